@@ -3,7 +3,7 @@
 A word is a run of letters in lower case. The hashes of the word and of its first bytes (so that
 inflected forms share something) each pick a row of the embedding table; a word's vector is their sum. Buckets seen in
 fewer than ``min_docs`` training texts share row 0. Filters of several widths run over the whole text, each filter's
-largest response is kept (max pooling), and a logistic layer scores them. A part of the sample
+``TOP`` largest different responses are kept (max pooling), and a logistic layer scores them. A part of the sample
 that the network did not train on sets one threshold for each language, and scores are shifted so
 that the threshold is 0.5. The language is told from the text's own function words unless a
 language column is named; the query names none.
@@ -30,6 +30,8 @@ BUCKETS = 1 << 22
 #: Bytes of the word starts that are hashed beside the whole word.
 STARTS = (4, 5)
 WIDTHS = (1, 2, 3)
+#: Largest different responses of each filter that are kept.
+TOP = 3
 #: Frequent function words that tell four languages apart. Fixed values.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it was for with are be this".split(),
@@ -108,7 +110,7 @@ def train(texts: pa.Array, y: np.ndarray, share: float, dim: int = 12, per_width
     net.table[:2] = 0
     net.filters = [rng.normal(0, 1 / np.sqrt(w * dim), (w, dim, per_width)) for w in WIDTHS]
     net.bias = [np.zeros(per_width) for _ in WIDTHS]
-    net.out = rng.normal(0, 0.3, per_width * len(WIDTHS))
+    net.out = rng.normal(0, 0.2, per_width * len(WIDTHS) * TOP)
     rows, bounds_p = padded(net.rows(ids), bounds)
     lengths = np.diff(bounds)
     squares = [np.full_like(net.table, 1e-3), [np.full_like(f, 1e-3) for f in net.filters], [np.full_like(b, 1e-3) for b in net.bias], np.full_like(net.out, 1e-3), 1e-3]
@@ -122,22 +124,26 @@ def train(texts: pa.Array, y: np.ndarray, share: float, dim: int = 12, per_width
     for _ in range(epochs):
         for batch in np.array_split(rng.permutation(order), max(1, len(order) // 48)):
             pooled = np.zeros((len(batch), len(net.out)))
-            where: list[tuple[int, int, np.ndarray]] = []
+            where: list[tuple[int, int, int, np.ndarray]] = []
             for i, t in enumerate(batch):
                 vec = net.table[rows[:, bounds_p[t] : bounds_p[t] + lengths[t] + max(WIDTHS)]].sum(0)
                 for k, w in enumerate(WIDTHS):
                     n = max(1, lengths[t] - w + 1)
                     conv = sum(vec[j : j + n] @ net.filters[k][j] for j in range(w)) + net.bias[k]
-                    best = conv.argmax(0)
-                    pooled[i, k * per_width : (k + 1) * per_width] = np.maximum(0, conv[best, np.arange(per_width)])
-                    where.append((i, k, bounds_p[t] + best))
+                    for top in range(TOP):
+                        best = conv.argmax(0)
+                        most = conv[best, np.arange(per_width)]
+                        at = (k * TOP + top) * per_width
+                        pooled[i, at : at + per_width] = np.maximum(0, most)
+                        where.append((i, k, at, bounds_p[t] + best))
+                        conv[conv >= most] = -np.inf
             z = pooled @ net.out + net.out_bias
             delta = (1 / (1 + np.exp(-z)) - y[batch]) * weight[batch] / len(batch)
             back = delta[:, None] * net.out * (pooled > 0)
             g_filters, g_bias = [np.zeros_like(f) for f in net.filters], [np.zeros_like(b) for b in net.bias]
             touched, grads = [], []
-            for i, k, at in where:
-                g = back[i, k * per_width : (k + 1) * per_width]
+            for i, k, first, at in where:
+                g = back[i, first : first + per_width]
                 on = np.flatnonzero(g)
                 if not len(on):
                     continue
@@ -174,17 +180,20 @@ def train(texts: pa.Array, y: np.ndarray, share: float, dim: int = 12, per_width
     return net
 
 
-def best_threshold(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """The middle of the gap between logits at which the weighted F1 is best; 0 without rows of both classes."""
+def best_threshold(z: np.ndarray, y: np.ndarray, weight: np.ndarray, slack: float = 0.004) -> float:
+    """Of the cuts whose weighted F1 is within ``slack`` of the best, the one nearest to 0; 0 without rows of both classes.
+
+    A cut lies in the middle between neighbouring logits. The slack keeps a few odd rows of a well separated sample
+    from moving the threshold far.
+    """
     if not 0 < y.sum() < len(y):
         return 0.0
     order = np.argsort(-z, kind="stable")
     z, y, weight = z[order], y[order], weight[order]
-    hit, all_ = np.cumsum(weight * y), np.cumsum(weight)
-    f1 = 2 * hit / (all_ + (weight * y).sum())
-    f1[:-1][z[:-1] == z[1:]] = 0
-    at = int(np.argmax(f1))
-    return float((z[at] + z[min(at + 1, len(z) - 1)]) / 2)
+    f1 = 2 * np.cumsum(weight * y) / (np.cumsum(weight) + (weight * y).sum())
+    cuts = np.r_[(z[:-1] + z[1:]) / 2, z[-1] - 1]
+    good = np.flatnonzero((f1 >= f1.max() - slack) & np.r_[z[:-1] > z[1:], True])
+    return float(cuts[good[np.argmin(np.abs(cuts[good]))]])
 
 
 def logits(net: TextCNN, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -200,7 +209,14 @@ def logits(net: TextCNN, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         # a window counts where it lies in its text; a shorter text has one padded window
         end = at[:-1] + np.maximum(1, length - w + 1)
         cuts = np.stack([at[:-1], end], 1).ravel()
-        pooled.append(np.maximum(0, np.maximum.reduceat(conv, cuts, axis=0)[::2] + net.bias[k]) if len(vec) else np.zeros((0, len(net.bias[k]))))
+        own = np.repeat(np.arange(len(length)), np.diff(at))
+        for top in range(TOP if len(vec) else 0):
+            most = np.maximum.reduceat(conv, cuts, axis=0)[::2]
+            pooled.append(np.maximum(0, most + net.bias[k]))
+            if top < TOP - 1:
+                conv[conv >= most[own]] = -np.inf
+    if not pooled:
+        return np.zeros(0)
     return np.concatenate(pooled, 1) @ net.out + net.out_bias
 
 
