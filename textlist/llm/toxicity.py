@@ -46,7 +46,7 @@ def bucket_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     data = LOWER[data]
     start, end, row = words(data, offsets, LETTERS)
     kinds = [word_hashes(data, start, end), *(mixed(word_hashes(data, start, np.minimum(end, start + n)) + np.uint64(n)) for n in STARTS)]
-    return (np.stack(kinds) % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(row, np.arange(len(offsets)))
+    return np.stack([(x % np.uint64(BUCKETS)).astype(np.int32) for x in kinds]), np.searchsorted(row, np.arange(len(offsets)))
 
 
 def language_ids() -> list[tuple[str, np.ndarray]]:
@@ -78,14 +78,14 @@ class TextCNN:
 
     def rows(self, ids: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.known, ids), max(0, len(self.known) - 1))
-        return np.where(self.known[at] == ids, at + 2, 0) if len(self.known) else np.zeros_like(ids)
+        return np.where(self.known[at] == ids, at + 2, 0).astype(np.int32) if len(self.known) else np.zeros_like(ids)
 
 
 def padded(rows: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts one after the other, each followed by padding as wide as the widest filter."""
     gap = max(WIDTHS)
     shift = np.arange(len(bounds)) * gap
-    out = np.ones((len(rows), rows.shape[1] + gap * (len(bounds) - 1)), np.int64)
+    out = np.ones((len(rows), rows.shape[1] + gap * (len(bounds) - 1)), np.int32)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     out[:, np.arange(rows.shape[1]) + shift[text]] = rows
     return out, bounds + shift
@@ -103,15 +103,17 @@ def train(texts: pa.Array, y: np.ndarray, share: float, dim: int = 12, per_width
     rng = np.random.default_rng(seed)
     fit = np.ones(len(y), bool)
     fit[4::5] = False  # the sample is in md5 order
-    pairs = np.unique(np.concatenate([(kind * len(y) + text)[fit[text]] for kind in ids]))
+    pairs = np.unique(np.concatenate([np.unique((kind.astype(np.int64) * len(y) + text)[fit[text]]) for kind in ids]))
     buckets, seen = np.unique(pairs // len(y), return_counts=True)
+    del pairs
     net = TextCNN(buckets[seen >= min_docs], np.zeros(0), [], [], np.zeros(0), 0.0, np.zeros(len(FUNCTION_WORDS)))
     net.table = rng.normal(0, 0.1, (len(net.known) + 2, dim))
     net.table[:2] = 0
     net.filters = [rng.normal(0, 1 / np.sqrt(w * dim), (w, dim, per_width)) for w in WIDTHS]
     net.bias = [np.zeros(per_width) for _ in WIDTHS]
     net.out = rng.normal(0, 0.2, per_width * len(WIDTHS) * TOP)
-    rows, bounds_p = padded(net.rows(ids), bounds)
+    rows, bounds_p = padded(np.stack([net.rows(kind) for kind in ids]), bounds)
+    del ids
     lengths = np.diff(bounds)
     squares = [np.full_like(net.table, 1e-3), [np.full_like(f, 1e-3) for f in net.filters], [np.full_like(b, 1e-3) for b in net.bias], np.full_like(net.out, 1e-3), 1e-3]
     weight = np.where(y == 1, 0.5 / max(1e-9, y[fit].mean()), 0.5 / max(1e-9, 1 - y[fit].mean()))
@@ -169,9 +171,15 @@ def train(texts: pa.Array, y: np.ndarray, share: float, dim: int = 12, per_width
                     step(net.bias[k], squares[2][k], g_bias[k])
 
     net.table = net.table.astype(np.float32)
-    z = logits(net, ids, bounds)
-    lang = languages(ids, bounds)
+    del rows
+    z, lang = np.zeros(len(y)), np.zeros(len(y), np.int64)
     check = ~fit
+    kept, at = np.flatnonzero(check), 0
+    for _, _, data, offsets in text_slices(texts.take(pa.array(kept))):
+        own = kept[at : at + len(offsets) - 1]
+        at += len(own)
+        ids, bounds = bucket_ids(data, offsets)
+        z[own], lang[own] = logits(net, ids, bounds), languages(ids, bounds)
     prior = np.where(y == 1, share / max(1e-9, y.mean()), (1 - share) / max(1e-9, 1 - y.mean()))
     whole = best_threshold(z[check], y[check], prior[check])
     for k in range(len(FUNCTION_WORDS)):
@@ -220,7 +228,7 @@ def logits(net: TextCNN, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.concatenate(pooled, 1) @ net.out + net.out_bias
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_bytes: int = 100_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_bytes: int = 100_000) -> DataFrame:
     """``(doc_id, held_out, score, predicted)``. The sample is at most ``2 * per_class`` texts of at most ``max_bytes``."""
     share = class_shares(labels, "toxic")
     texts, y = labelled_sample(docs, labels, "toxic", per_class, max_bytes)
