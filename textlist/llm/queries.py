@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, jaccard_join, line_dedup, media, mixing, quality, toxicity
+from . import decontaminate, html_extract, jaccard_join, line_dedup, media, mixing, quality, toxicity
 from .common import read_table
 
 
@@ -34,6 +34,10 @@ def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(read_table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op7_html_extraction": op7_html_extraction,
     "op8_flac_media": op8_flac_media,
+    "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
 }
 
