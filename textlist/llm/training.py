@@ -54,3 +54,15 @@ def score_texts(docs: DataFrame, scorer: Callable[[], Callable[[np.ndarray, np.n
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+
+
+def keep_texts(docs: DataFrame, scorer: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]], least: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose ``text`` scores ``least`` or more. Nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer()
+        for batch in batches:
+            for row, end, data, offsets in text_slices(batch.column("text")):
+                yield batch.slice(row, end - row).filter(pa.array(score(data, offsets) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
