@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import line_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+BOOKS = [line_queries.book]
+QUERIES = {name: query for book in BOOKS for name, query in book.queries.items()}
+ORACLES = {name: sql for book in BOOKS for name, sql in book.oracles.items()}
