@@ -3,7 +3,7 @@
 Two sets A and B link when ``100 * |A & B| >= percent * |A | B|``. The answer is exact for 48-bit shingle hashes.
 
 1. Every text becomes its set of shingle hashes, of which are kept its size, a 128-bit hash of the set and its
-   count vector: how many shingles fall in each of 128 token groups.
+   count vector: how many shingles fall in each of 256 token groups.
 2. Routing. Linked sets differ in at most ``(100 - percent) / (100 + percent)`` of the sum of their sizes. So if hash space is cut
    into more ranges than that, some range holds the same shingles in both: sets are blocked by (size band,
    range, hash of the shingles in the range). Ranges with fewer than two shingles are left out where enough others remain
@@ -13,8 +13,9 @@ Two sets A and B link when ``100 * |A & B| >= percent * |A | B|``. The answer is
    accepted when the ranges they share already make the link, dropped when the summed coordinate minima
    of their count vectors cannot reach it, and else verified on the sets.
 4. Blocks with members in different groups after that are searched in whole: an R-tree over the members' count
-   vectors, whose bound for a node is the sum of minima with the node's upper corner, gives the pairs of different
-   groups that might link, and these are verified. Pairs inside a group are never made.
+   vectors, whose bound for a node is the sum of minima with the node's upper corner, finds pairs of different
+   groups that might link. As many as would join the block's groups into one are verified, not all pairs; then groups are made
+   anew, and the search goes on, four times as wide, without the pairs that failed, until no block has a pair left to try.
 
 Only size bands, ranges and set hashes decide where rows go, so a hot source does not matter; copies are collapsed
 by map-side combined aggregates.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, save
 from .textbytes import LOWER, NOT_SPACE, mixed, text_slices, word_hashes, words
 
-GROUPS = 128
+GROUPS = 256
 TREE_LEAF = 16
 FACTORS = mixed(np.arange(101, 117, dtype=np.uint64)) | np.uint64(1)
 FILTER_BITS = 1 << 24
@@ -90,11 +91,13 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
             for row, end, h, bounds in slices(batch, width):
                 of = np.repeat(np.arange(end - row), np.diff(bounds))
                 vec = np.bincount(of * GROUPS + (h % np.uint64(GROUPS)).astype(np.int64), minlength=(end - row) * GROUPS)
-                vec = np.minimum(vec, 65535).astype("<u2").tobytes()
+                vec = vec.reshape(-1, GROUPS)
+                vec[vec.max(1, initial=0) > 255] = 255  # too large to count: bounds nothing
+                vec = vec.astype(np.uint8).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id")[row:end], pa.array(np.diff(bounds)), pa.array(segment_sums(mixed(h), bounds).view(np.int64)), pa.array(segment_sums(mixed(h ^ np.uint64(1 << 50)), bounds).view(np.int64)),
-                        pa.array([vec[2 * GROUPS * i : 2 * GROUPS * (i + 1)] for i in range(end - row)], pa.binary()),
+                        pa.array([vec[GROUPS * i : GROUPS * (i + 1)] for i in range(end - row)], pa.binary()),
                     ], ["id", "n", "s1", "s2", "vec"],
                 )
 
@@ -210,22 +213,26 @@ def least_overlap(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
 
 
 def judge(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs(a, b, shared)`` plus ``sure`` (1: shared ranges make the link; 0: the count vectors allow it); others go."""
-    one = sets.select("id", "n", "vec")
-    rows = pairs.join(one.withColumnsRenamed({"id": "a", "n": "na", "vec": "va"}), "a").join(one.withColumnsRenamed({"id": "b", "n": "nb", "vec": "vb"}), "b")
-    rows = rows.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    """``pairs(a, b, shared)`` plus ``sure`` (1: shared ranges make the link; 0: the count vectors allow it); others go.
+
+    Sizes are joined first, so that only pairs they leave open carry their vectors.
+    """
+    n = sets.select("id", "n")
+    rows = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    rows = save(rows.withColumn("need", F.expr(f"cast(ceil({percent} * (na + nb) / {100 + percent}.0D) as long)")), "sized-pairs")
+    vec = sets.select("id", "vec")
+    open_ = rows.where("shared < need").join(vec.toDF("a", "va"), "a").join(vec.toDF("b", "vb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            na, nb, shared = (batch.column(c).to_numpy() for c in ("na", "nb", "shared"))
-            need = least_overlap(na, nb, percent)
-            va, vb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, GROUPS) for c in ("va", "vb"))
-            keep = (shared >= need) | (np.minimum(va, vb).sum(1, dtype=np.int64) >= need)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep)), pa.array((shared >= need)[keep].astype(np.int32))], ["a", "b", "sure"])
+            va, vb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, GROUPS) for c in ("va", "vb"))
+            keep = pa.array(np.minimum(va, vb).sum(1, dtype=np.int64) >= batch.column("need").to_numpy())
+            yield batch.select(["a", "b"]).filter(keep)
 
-    return rows.select("a", "b", "na", "nb", "shared", "va", "vb").mapInArrow(run, "a long, b long, sure int")
+    able = open_.select("a", "b", "need", "va", "vb").mapInArrow(run, "a long, b long").withColumn("sure", F.lit(0))
+    return rows.where("shared >= need").select("a", "b", F.lit(1).alias("sure")).unionByName(able)
 
 
 def slot(id_: Column) -> Column:
@@ -270,7 +277,7 @@ class RTree:
     """Points in pages, pages in nodes: each node keeps its points' upper corner, least size and, if they share it, group."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> None:
-        self.order = np.lexsort((*points[:, :4].T, sizes))
+        self.order = np.lexsort((sizes, groups))
         self.points, self.sizes, self.groups = points[self.order], sizes[self.order], groups[self.order]
         self.levels = [(self.points, self.sizes, self.groups)]
         while len(self.levels[-1][0]) > TREE_LEAF:
@@ -279,54 +286,69 @@ class RTree:
             low, high = np.minimum.reduceat(g, cuts), np.maximum.reduceat(g, cuts)
             self.levels.append((np.maximum.reduceat(p, cuts), np.minimum.reduceat(s, cuts), np.where(low == high, low, -1)))
 
-    def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of points of different groups whose bound reaches the link; each once, as positions in the input."""
-        out_a, out_b = [], []
-        todo = [(len(self.levels) - 1, k, np.arange(len(self.points))) for k in range(len(self.levels[-1][0]))]
-        while todo:
-            depth, k, asking = todo.pop()
-            corner, size, group = (x[k] for x in self.levels[depth])
-            if depth == 0:
-                asking = asking[asking > k]
-            asking = asking[self.groups[asking] != group]
-            reach = np.minimum(self.points[asking], corner).sum(1, dtype=np.int64)
-            asking = asking[reach >= least_overlap(self.sizes[asking], size, percent)]
-            if not len(asking):
-                continue
-            if depth == 0:
-                asking = asking[100 * size >= percent * self.sizes[asking]]
-                out_a.append(np.full(len(asking), k))
-                out_b.append(asking)
-            else:
-                todo += [(depth - 1, j, asking) for j in range(k * TREE_LEAF, min((k + 1) * TREE_LEAF, len(self.levels[depth - 1][0])))]
-        if not out_a:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return self.order[np.concatenate(out_a)], self.order[np.concatenate(out_b)]
+    def near(self, k: int, percent: int) -> np.ndarray:
+        """Positions of the points of other groups whose bound with point ``k`` reaches the link."""
+        point, size, group = self.points[k], self.sizes[k], self.groups[k]
+        at = np.arange(len(self.levels[-1][0]))
+        for depth in range(len(self.levels) - 1, -1, -1):
+            corners, sizes, groups = self.levels[depth]
+            at = at[groups[at] != group]
+            at = at[np.minimum(corners[at], point).sum(1, dtype=np.int64) >= least_overlap(sizes[at], size, percent)]
+            if depth:
+                at = (at[:, None] * TREE_LEAF + np.arange(TREE_LEAF)).ravel()
+                at = at[at < len(self.levels[depth - 1][0])]
+        return at[100 * np.minimum(self.sizes[at], size) >= percent * np.maximum(self.sizes[at], size)]
+
+
+def joining_pairs(tree: RTree, percent: int, most: int, failed: dict[int, set[int]]) -> list[tuple[int, int]]:
+    """Pairs (input positions) that would join the tree's groups, at most ``most`` for each point and group it is not joined with yet.
+
+    Points of the largest group need not ask: every pair with them is found from its other side.
+    """
+    names, label = np.unique(tree.groups, return_inverse=True)
+    large = np.argmax(np.bincount(label))
+    out = []
+    for k in np.flatnonzero(label != large).tolist():
+        near = tree.near(k, percent)
+        near = near[label[near] != label[k]]
+        if not len(near):
+            continue
+        mine = int(tree.order[k])
+        tried = failed.get(mine, ())
+        taken: dict[int, int] = {}
+        for j, other in zip(tree.order[near].tolist(), label[near].tolist(), strict=True):
+            if taken.get(other, 0) < most and j not in tried and mine not in failed.get(j, ()):
+                taken[other] = taken.get(other, 0) + 1
+                out.append((mine, j))
+        for other in taken:
+            label[label == other] = label[k]
+    return out
 
 
-def tree_candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """``rows(sig, id, centre, comp, n, vec)`` to ``(a, b)``: pairs of different groups that no block's centre has settled."""
+def tree_candidates(rows: DataFrame, percent: int, most: int) -> DataFrame:
+    """``rows(sig, id, comp, n, vec, failed)`` to ``(sig, a, b)``: pairs to verify next; ``failed`` lists ids that ``id`` need not be tried with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "sig"):
-            sig, ids, centre, comp, n = (table.column(c).to_numpy() for c in ("sig", "id", "centre", "comp", "n"))
-            vec = table.column("vec")
+            sig, ids, comp, n = (table.column(c).to_numpy() for c in ("sig", "id", "comp", "n"))
+            vec, failed = table.column("vec"), table.column("failed").to_pylist()
             start = np.r_[np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]), len(sig)]
+            found: list[tuple[int, int, int]] = []
             for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
-                own = np.arange(a, b)[ids[a:b] != centre[a]]  # the centre has been tried with every member
-                if len(own) < 2 or (comp[own] == comp[own[0]]).all():
-                    continue
-                points = np.frombuffer(b"".join(vec.take(pa.array(own)).to_pylist()), "<u2").reshape(-1, GROUPS)
-                x, y = RTree(points, n[own], comp[own]).pairs(percent)
-                if len(x):
-                    x, y = ids[own[x]], ids[own[y]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                points = np.frombuffer(b"".join(vec.slice(a, b - a).to_pylist()), np.uint8).reshape(-1, GROUPS)
+                at = {x: k for k, x in enumerate(ids[a:b].tolist())}
+                known = {k: {at[x] for x in failed[a + k] if x in at} for k in range(b - a) if failed[a + k]}
+                for x, y in joining_pairs(RTree(points, n[a:b], comp[a:b]), percent, most, known):
+                    x, y = int(ids[a + x]), int(ids[a + y])
+                    found.append((int(sig[a]), min(x, y), max(x, y)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["sig", "a", "b"])
 
-    return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, a long, b long")
 
 
 def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``sets`` of all rows, and ``edges(a, b)`` that join every group: copies with their least id, then verified links."""
+    """``sets`` of all rows, and ``(id, component)`` of the ids in groups: copies with their least id, then verified links."""
     docs = docs.where("text is not null")
     sets = save(describe(docs, width), "sets")
     most = sets.agg(F.max("n")).first()[0] or 0
@@ -338,17 +360,35 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
 
     members = save(blocks(docs, width, bands), "blocks")
     tried = members.where("id <> centre").groupBy(F.col("centre").alias("a"), F.col("id").alias("b")).agg(F.greatest(F.sum(F.expr("if(meta % 2 = 0, meta div 2, 0)")), F.sum(F.expr("if(meta % 2 = 1, meta div 2, 0)"))).alias("shared"))
+    tried = save(tried, "tried")
     first = save(judge(tried, one_per_id(sets), percent), "judged")
     edges = save(copies.union(first.where("sure = 1").select("a", "b")).union(verified(first.where("sure = 0").select("a", "b"), docs, width, percent)), "edges")
 
-    groups = save(connected_components(edges), "groups")
-    rows = members.join(groups, "id", "left").select("sig", "centre", "id", F.coalesce("component", "id").alias("comp"))
-    open_ = rows.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("k")).where("low <> high and k > 2").select("sig")
-    rows = rows.join(open_, "sig").join(one_per_id(sets).select("id", "n", "vec"), "id")
-    rest = save(tree_candidates(rows.select("sig", "centre", "id", "comp", "n", "vec"), percent), "tree-pairs")
-    settled = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(rest.join(settled, ["a", "b"], "left_anti"), docs, width, percent)
-    return sets, save(edges.union(more), "edges")
+    each = one_per_id(sets).select("id", "n", "vec")
+    failed = failures(tried.select("a", "b"), edges)
+    most = 1
+    while True:
+        groups = save(connected_components(edges), "groups")
+        rows = members.select("sig", "id").join(groups, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("comp"))
+        mixed_ = rows.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("k")).where("low <> high and k > 2").select("sig")  # two have been tried
+        rows = rows.join(mixed_, "sig")
+        listed = failed.groupBy("id").agg(F.collect_set("other").alias("failed"))
+        asked = save(tree_candidates(rows.join(each, "id").join(listed, "id", "left").select("sig", "id", "comp", "n", "vec", "failed"), percent, most), "tree-pairs")
+        if asked.isEmpty():
+            return sets, groups
+        rest = save(asked.select("a", "b").distinct(), "pairs")
+        members = save(members.select("sig", "id").join(asked.select("sig").distinct(), "sig"), "open-blocks")  # a block with no pair left stays so
+        more = save(verified(rest, docs, width, percent), "links")
+        failed = save(failed.unionByName(failures(rest, more)), "failed")
+        edges = save(edges.union(more), "edges")
+        most *= 4
+
+
+def failures(tried: DataFrame, linked: DataFrame) -> DataFrame:
+    """``(id, other)`` of pairs that did not link; kept with the second, since the first may be a centre tried with very many."""
+    order = [F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")]
+    gone = tried.select("a", "b", *order).join(linked.select(*order).distinct(), ["x", "y"], "left_anti")
+    return gone.select(F.col("b").alias("id"), F.col("a").alias("other"))
 
 
 def one_per_id(sets: DataFrame) -> DataFrame:
@@ -359,7 +399,6 @@ def one_per_id(sets: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of each row; the component is the least id reachable by links."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets, edges = links(docs, width, percent)
-    groups = connected_components(edges)
+    sets, groups = links(docs, width, percent)
     rows = sets.select("id", "n").unionByName(docs.where("text is null").select("id", F.lit(0).cast("long").alias("n")))
     return rows.join(groups, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
