@@ -91,7 +91,22 @@ SELECT CAST(l_orderkey * 10 + l_linenumber AS STRING) AS entry_id, CAST(l_orderk
 FROM lineitem
 """
 
-VIEWS = {"lines": LINES, "catalog": CATALOG, "items": ITEMS, "aliases": ALIASES, "blocks": BLOCKS, "ocr": OCR, "files": FILES, "stored": STORED}
+#: Rules of every third restaurant; the last does not compile.
+RULESETS = """
+SELECT CAST(k AS STRING) AS restaurant_id, concat('{"extraction_rules":[{"pattern":"(?P<vintage>19[0-9]{2}|20[0-9]{2}) +(?P<price>[0-9]{2,4})","confidence":0.9,"fields":["vintage","price"]},',
+  '{"pattern":"(?P<producer>Domaine [A-Z][a-z]+)","confidence":0.95,"fields":["producer","cuvee"],"provenance":"lwin_match"},',
+  '{"pattern":"(?P<price>[0-9]+) *€","confidence":0.8,"fields":["price"],"provenance":"restaurant_rule"},',
+  '{"pattern":"(?P<cuvee>[","confidence":0.9,"fields":["cuvee"]}]}') AS rules_json
+FROM (SELECT DISTINCT o_custkey % 20 AS k FROM orders ) AS r WHERE k % 3 = 0
+"""
+
+#: Another source's values for texts.
+SUGGESTED = """
+SELECT text AS raw_text, CASE WHEN length(text) % 2 = 0 THEN upper(substr(text, 1, 5)) END AS producer, CASE WHEN length(text) % 3 = 0 THEN substr(text, 3, 4) END AS cuvee
+FROM (SELECT DISTINCT text FROM lines ) AS t
+"""
+
+VIEWS = {"rulesets": RULESETS, "suggested": SUGGESTED, "lines": LINES, "catalog": CATALOG, "items": ITEMS, "aliases": ALIASES, "blocks": BLOCKS, "ocr": OCR, "files": FILES, "stored": STORED}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +116,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]
     needs = [t for t in (*TABLES, *VIEWS) if t != name and f" {t}" in text]
     tables = {t: table(spark, sf_dir, t) for t in needs}
+    text = text.replace("{", "{{").replace("}", "}}")
     for t in needs:
         for lead in ("FROM", "JOIN"):
             text = text.replace(f"{lead} {t} ", f"{lead} {{{t}}} ").replace(f"{lead} {t}\n", f"{lead} {{{t}}}\n").replace(f"{lead} {t})", f"{lead} {{{t}}})")
@@ -111,7 +127,7 @@ def with_views(*names: str) -> str:
     """The WITH clause that defines derived tables, for SQL of other engines."""
     order: list[str] = []
     for name in names:
-        if name in ("blocks", "ocr") and "lines" not in order:
+        if name in ("blocks", "ocr", "suggested") and "lines" not in order:
             order.append("lines")
         if name not in order:
             order.append(name)

@@ -13,7 +13,6 @@ PRICE_VALUE = rf"^\d{{1,3}}(?:[.,]\d{{3}})*(?:[.,]\d{{2}})?\s*[€$£]?$|^POA$"
 
 def is_valid(field: str | Column, value: Column) -> Column:
     """Whether a value fits its field; missing values do not, fields without a check do."""
-    field = F.lit(field) if isinstance(field, str) else field
     size, low = F.char_length(value), F.lower(value)
     shady = F.contains(low, F.lit("cru")) | F.contains(low, F.lit("grand")) | F.contains(low, F.lit("premier"))
     checks = {
@@ -26,6 +25,8 @@ def is_valid(field: str | Column, value: Column) -> Column:
         "cuvee": size.between(1, 100),
     }
     out = F.when(value.isNull() | (value == ""), False)
+    if isinstance(field, str):  # a known name needs no cases
+        return out.otherwise(checks.get(field, F.lit(True)))
     for name, ok in checks.items():
         out = out.when(field == name, ok)
     return out.otherwise(True)
@@ -39,17 +40,21 @@ def checked(field: Column, value: Column) -> Column:
     return F.struct(valid.alias("valid"), F.when(missing, 0.0).when(~known, 0.7).when(valid, 0.9).otherwise(0.3).alias("confidence"))
 
 
-def lookup(key: Column, table: dict[str, float], other: float) -> Column:
+def lookup(key: Column | str, table: dict[str, float], other: float) -> Column:
+    if isinstance(key, str):
+        return F.lit(table.get(key, other))
     out = None
     for k, v in table.items():
         out = F.when(key == k, v) if out is None else out.when(key == k, v)
     return out.otherwise(other)
 
 
-def field_confidence(field: str | Column, value: Column, origin: Column, base: Column) -> Column:
-    field = F.lit(field) if isinstance(field, str) else field
-    up = F.upper(value)
-    score = base * lookup(origin, C.ORIGIN_FACTORS, C.OTHER_ORIGIN) * F.when(is_valid(field, value), 1.0).otherwise(0.5)
+def field_confidence(field: str | Column, value: Column, origin: Column | str, base: Column) -> Column:
+    up, fits = F.upper(value), F.when(is_valid(field, value), 1.0).otherwise(0.5)
+    if isinstance(field, str):
+        special = {"vintage": F.when(up.isin("NV", "N.V."), 0.9).otherwise(1.0), "price": F.when(up == "POA", 0.8).otherwise(1.0)}.get(field, F.lit(1.0))
+        return F.least(base * lookup(origin, C.ORIGIN_FACTORS, C.OTHER_ORIGIN) * fits * special * C.FIELD_WEIGHTS.get(field, 0.5), F.lit(1.0))
+    score = base * lookup(origin, C.ORIGIN_FACTORS, C.OTHER_ORIGIN) * fits
     score = score * F.when((field == "vintage") & up.isin("NV", "N.V."), 0.9).otherwise(1.0) * F.when((field == "price") & (up == "POA"), 0.8).otherwise(1.0)
     return F.least(score * lookup(field, C.FIELD_WEIGHTS, 0.5), F.lit(1.0))
 

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import constants as C
 
@@ -25,7 +26,7 @@ def any_word(text: Column, listed: list[str]) -> Column:
     return reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in listed])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.confidence import field_confidence, row_confidence
-from ..functions.text import normalize_text, rx
+from ..functions.text import any_match, normalize_text, rx
 
 STATE = "struct<value:string,confidence:double,origin:string>"
 INHERITED = {"section_header": ("section_inherit", ["region", "country", "type"]), "sub_section": ("subsection_inherit", ["subregion", "grape_variety"])}
@@ -33,7 +33,7 @@ def check_rules(rules: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = [translated(p) for p in f["pattern"]]
-            yield f.assign(valid=[o is not None for o in out], java_pattern=[o[0] if o else None for o in out], groups=[list(o[1].items()) if o else [] for o in out])
+            yield f.assign(valid=[o is not None for o in out], java_pattern=[o[0] if o else None for o in out], groups=[o[1] if o else {} for o in out])
 
     more = "valid boolean, java_pattern string, groups map<string,int>"
     shape = ", ".join(f"`{n}` {t}" for n, t in rules.dtypes)
@@ -86,11 +86,11 @@ def candidates(field: str, text: Column, groups: str, inherit: list[str]) -> lis
         for j, f in enumerate(fields):
             if f == field:
                 value = F.col(groups)[i][j]
-                out.append(one(value, base, field_confidence(field, value, F.lit("global_rule"), F.lit(base)), "global_rule"))
+                out.append(one(value, base, field_confidence(field, value, "global_rule", F.lit(base)), "global_rule"))
     for f, pattern, base in C.FIELD_RULES:
         if f == field:
             value = F.regexp_extract(text, rx(pattern), 1)
-            out.append(one(value, base, field_confidence(field, value, F.lit("field_pattern_match"), F.lit(base)), "field_pattern_match"))
+            out.append(one(value, base, field_confidence(field, value, "field_pattern_match", F.lit(base)), "field_pattern_match"))
     for column in inherit:
         origin, fields = INHERITED[column]
         if field in fields:
@@ -98,6 +98,14 @@ def candidates(field: str, text: Column, groups: str, inherit: list[str]) -> lis
     return out
 
 
+def all_groups(text: Column, pattern: str, n: int) -> Column:
+    """The groups of the first match, or null: one replacement instead of a search for each group. Texts without what every match has are spared it."""
+    mark = "\x01"
+    got = F.regexp_replace(text, rx(rf"(?s)^.*?{pattern}.*$"), mark.join(f"${j + 1}" for j in range(n)))
+    sign = any_match(text, ["Château|Domaine|Estate"]) if pattern.startswith("(Château") else F.contains(text, F.lit(","))
+    return F.when(sign & F.contains(got, F.lit(mark)), F.split(got, mark, -1))
+
+
 def settled(owner: Column | None, found: list[Column]) -> Column:
     """The state after all candidates: one is taken if nothing is set or what is set has less confidence than its rule."""
     start = owner if owner is not None else F.lit(None).cast(STATE)
@@ -118,10 +126,11 @@ def extract_fields(entries: DataFrame, rules: DataFrame | None = None, key: str
     inherit = [c for c in INHERITED if c in df.columns]
     if rules is not None:
         df = df.join(owner_candidates(df, rules, key), "entry_id", "left")
-    every = [F.when(F.col("text").rlike(rx(p)), F.array(*[F.regexp_extract("text", rx(p), j + 1) for j in range(len(fields))])) for p, _, fields in C.ENTRY_RULES]
-    df = df.withColumn("_groups", F.array(*every))
+    df = df.withColumn("_groups", F.array(*[all_groups(F.col("text"), p, len(fields)) for p, _, fields in C.ENTRY_RULES]))
     states = {f: settled(F.try_element_at("owner", F.lit(f)) if rules is not None else None, candidates(f, F.col("text"), "_groups", inherit)) for f in C.FIELD_WEIGHTS}
-    df = df.withColumn("_state", F.filter(F.array(*[F.struct(F.lit(f).alias("field"), s.alias("s")) for f, s in states.items()]), lambda x: x["s"].isNotNull()))
+    found = F.filter(F.array(*[F.struct(F.lit(f).alias("field"), s.alias("s")) for f, s in states.items()]), lambda x: x["s"].isNotNull())
+    # made by a generator, so that a filter on a field is not pushed below it and does not run all patterns again
+    df = df.select("*", F.explode_outer(F.array(found)).alias("_state"))
     df = df.withColumns({
         "fields": F.map_from_entries(F.transform("_state", lambda x: F.struct(x["field"], x["s"]["value"]))),
         "field_confidence": F.map_from_entries(F.transform("_state", lambda x: F.struct(x["field"], x["s"]["confidence"]))),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..fixtures import table
 from ..operators import match, mine, pages, rules, sample, sections, segment
+from ..operators.lineage import cut
 
 
 def entries_of(lines: DataFrame) -> DataFrame:
@@ -17,6 +18,7 @@ def entries_of(lines: DataFrame) -> DataFrame:
 def sample_with_matches(parsed: DataFrame, catalog: DataFrame) -> DataFrame:
     """Both ends of each file with their direct or composite match."""
     picked = sample.both_ends(parsed).where("part = 0 or rank > 5").select("file_id", "entry_id", "rank", "text", "section", "sub_section", "n_lines", F.size("fields").alias("n_fields"), *[F.try_element_at("fields", F.lit(k)).alias(k) for k in C.KEYS])
+    picked = cut(picked)  # seven rows a file at most; the match reads them several times
     items, rows = match.normalize_items(picked), match.normalize_catalog(catalog)
     direct = match.direct_match(items, rows).withColumn("score", F.lit(100.0))
     rest = match.composite_match(items.join(direct, "entry_id", "left_anti"), rows)
@@ -26,11 +28,12 @@ def sample_with_matches(parsed: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def parse_lists(entries: DataFrame, stored_rules: DataFrame, catalog: DataFrame) -> DataFrame:
     """Owners with rules are parsed with them; the others' files with rules mined from their own sample. ``stage`` says which."""
+    entries, stored_rules = cut(entries), cut(stored_rules)
     owners = stored_rules.select("restaurant_id").distinct()
     known = rules.extract_fields(entries.join(owners, "restaurant_id", "left_semi"), stored_rules).withColumn("stage", F.lit("rules_exist"))
     rest = entries.join(owners, "restaurant_id", "left_anti")
     first = rules.extract_fields(rest)
-    mined = mine.mine_rules(sample_with_matches(first, catalog))
+    mined = cut(mine.mine_rules(sample_with_matches(first, catalog)))
     again = rules.extract_fields(rest, mined, "file_id").withColumn("stage", F.lit("multi_stage"))
     return known.unionByName(again)
 
