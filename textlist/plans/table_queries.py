@@ -43,9 +43,9 @@ def sql_lcs(a: str, b: str) -> str:
     return f"list_last(list_reduce(list_prepend({row}, {chars}), lambda prev, ch: {step}))"
 
 
-#: A slice of both sides: the SQL form of the ratio is far too slow for the whole.
+#: Each item with the catalogue row it was made from.
 PAIRS = f"""pr AS (SELECT i.entry_id, c.catalog_row, {sql_sorted("concat_ws(' ', " + ", ".join(f"nullif(i.{k}_n, '')" for k in C.KEYS) + ")")} AS a,
- {sql_sorted("concat_ws(' ', " + ", ".join(f"nullif(c.{k}_norm, '')" for k in C.KEYS) + ")")} AS b FROM inn i JOIN cn c ON c.catalog_row % 40 = CAST(i.entry_id AS BIGINT) % 40)"""
+ {sql_sorted("concat_ws(' ', " + ", ".join(f"nullif(c.{k}_norm, '')" for k in C.KEYS) + ")")} AS b FROM inn i JOIN cn c ON c.catalog_row = i.true_row)"""
 
 
 def both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -92,12 +92,12 @@ def direct_match(spark: SparkSession, d: str) -> DataFrame:
     return match.direct_match(*both(spark, d))
 
 
-@book.add("token_sort_ratio", f"{TO_MATCH}, {PAIRS}, sl AS (SELECT * FROM pr WHERE CAST(entry_id AS BIGINT) % 20 = 0) SELECT entry_id, catalog_row, round(200.0 * {sql_lcs('a', 'b')} / (length(a) + length(b)), 6) AS ratio FROM sl")
+@book.add("token_sort_ratio", f"{TO_MATCH}, {PAIRS} SELECT entry_id, catalog_row, round(200.0 * {sql_lcs('a', 'b')} / (length(a) + length(b)), 6) AS ratio FROM pr")
 def token_sort_ratio(spark: SparkSession, d: str) -> DataFrame:
     items, rows = both(spark, d)
-    a = items.where("cast(entry_id as bigint) % 20 = 0").select("entry_id", (F.col("entry_id").cast("bigint") % 40).alias("k"), sorted_tokens(F.concat_ws(" ", *[F.nullif(F.col(f"{k}_n"), F.lit("")) for k in C.KEYS])).alias("a"))
-    b = rows.select("catalog_row", (F.col("catalog_row") % 40).alias("k"), sorted_tokens(F.col("composite_key")).alias("b"))
-    return a.join(b, "k").select("entry_id", "catalog_row", F.round(sorted_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+    a = items.select("entry_id", F.col("true_row").alias("catalog_row"), sorted_tokens(F.concat_ws(" ", *[F.nullif(F.col(f"{k}_n"), F.lit("")) for k in C.KEYS])).alias("a"))
+    b = rows.select("catalog_row", sorted_tokens(F.col("composite_key")).alias("b"))
+    return a.join(b, "catalog_row").select("entry_id", "catalog_row", F.round(sorted_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
 @book.add("match_grade", "SELECT part.p_partkey AS id, CASE WHEN p_retailprice % 101 >= 100 THEN 'direct' WHEN p_retailprice % 101 >= 85 THEN 'fuzzy' WHEN p_retailprice % 101 >= 70 THEN 'partial' ELSE 'no_match' END AS grade FROM part")
@@ -291,10 +291,15 @@ def ruleset_replace(spark: SparkSession, d: str) -> DataFrame:
     return tables.patch_rows(old, new, "restaurant_id", ["rules_json"])
 
 
-@book.add("audit_diff", f"{STORED}, {CHANGES}, n AS (SELECT s.entry_id, s.producer AS p0, s.price AS r0, {NEW} FROM stored s LEFT JOIN ch c USING (entry_id)) SELECT entry_id, 'producer' AS field, p0 AS old_value, producer AS new_value FROM n WHERE p0 IS DISTINCT FROM producer UNION ALL SELECT entry_id, 'price', r0, price FROM n WHERE r0 IS DISTINCT FROM price")
+@book.add(
+    "audit_diff",
+    f"{with_views('files')} SELECT id, 'status' AS field, status AS old_value, 'processing' AS new_value FROM files WHERE status IN ('uploaded', 'error') "
+    "UNION ALL SELECT id, 'notes', notes, NULL FROM files WHERE notes IS NOT NULL AND status = 'error'",
+)
 def audit_diff(spark: SparkSession, d: str) -> DataFrame:
-    old = table(spark, d, "stored")
-    return tables.audit_diff(old, tables.patch_rows(old, patches(spark, d), "entry_id", ["producer", "price"]), "entry_id", ["producer", "price"])
+    old = table(spark, d, "files").select("id", "status", "notes")
+    new = tables.status_transition(old.withColumn("notes", F.when(F.col("status") != "error", F.col("notes"))), "processing")
+    return tables.audit_diff(old, new, "id", ["status", "notes"])
 
 
 @book.add("latest_status", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id")
