@@ -5,7 +5,7 @@ with each template as a zstandard raw dictionary; the share of bytes that the di
 best ``TOP`` are compared with the block word by word: the template's words are aligned with the block's, slots
 take the one word that stands there (a version, a year), and a template is confirmed if at least ``LEAST`` of its words are
 found in order and no more than a third as many foreign words stand between them. What is missing or extra is listed.
-Confirmed templates are taken from the top; one that overlaps words already given away is dropped.
+Of confirmed templates that overlap, the one with most words found, less two for each difference, is taken; then the better rank.
 
 Defined results: null and empty texts have no blocks; very long texts and long blocks are read whole; a text
 may give several rows, or none; repeated rows each give theirs; ties in rank go to the template listed first;
@@ -101,32 +101,36 @@ class Scanner:
             yield first, last
 
     def confirmed(self, block: str) -> Iterator[dict]:
-        """Templates found in the block. Blocks of several notices are searched until the best ranks confirm no more."""
+        """Templates found in the block."""
         words = word_spans(block)
-        taken = [False] * len(words)
         spoken = [w for w, _, _ in words]
+        found = []
         for rank, (saved, k) in enumerate(self.ranked(block)):
             name, _, wanted, _ = self.templates[k]
             exact = all(w in spoken or w.startswith("<") for w in wanted)  # every word is there: worth comparing at any rank
-            if rank >= TOP and not exact:
-                continue
-            for found in places(wanted, spoken, taken):
-                taken[found["first"] : found["end"]] = [True] * (found["end"] - found["first"])
-                yield {"license": name, "start": words[found["first"]][1], "end": words[found["end"] - 1][2], "saved": saved, "version": found["slot"], "missing": found["missing"], "extra": found["extra"]}
+            if rank < TOP or exact:
+                for at in places(wanted, spoken):
+                    odd = len(at["missing"]) + len(at["extra"])
+                    found.append((2 * odd - (len(wanted) - len(at["missing"])), rank, at["first"], at["end"], {"license": name, "saved": saved, "version": at["slot"], "missing": " ".join(at["missing"]), "extra": " ".join(at["extra"])}))
+        taken = [False] * len(words)
+        for _, _, first, end, said in sorted(found, key=lambda f: f[:4]):
+            if not any(taken[first:end]):
+                taken[first:end] = [True] * (end - first)
+                yield said | {"start": words[first][1], "end": words[end - 1][2]}
 
 
-def places(wanted: list[str], spoken: list[str], taken: list[bool]) -> Iterator[dict]:
-    """Where ``wanted`` stands in ``spoken``, outside ``taken`` words, with what is missing and extra."""
+def places(wanted: list[str], spoken: list[str]) -> Iterator[dict]:
+    """Where ``wanted`` stands in ``spoken``, with what is missing and extra."""
     span = len(wanted) + len(wanted) // 3
     fixed = [w for w in wanted if not w.startswith("<")]
     after = 0
     for i, word in enumerate(spoken):
-        if i < after or word not in fixed[:3] or taken[i]:
+        if i < after or word not in fixed[:3]:
             continue
         window = spoken[i : i + span]
         matcher = difflib.SequenceMatcher(None, wanted, window, autojunk=False)
         hits = [(a + n, b + n) for a, b, size in matcher.get_matching_blocks() for n in range(size)]
-        if not hits or any(taken[i + b] for _, b in hits):
+        if not hits:
             continue
         slots, missing, end = [], [], max(b for _, b in hits) + 1
         at = dict(hits)
@@ -143,7 +147,7 @@ def places(wanted: list[str], spoken: list[str], taken: list[bool]) -> Iterator[
                 missing.append(w)
         extra = [window[b] for b in range(min(used), end) if b not in used]
         if (len(wanted) - len(missing)) >= LEAST * len(wanted) and 3 * len(extra) <= len(wanted) and len(slots) == sum(w.startswith("<") for w in wanted):
-            yield {"first": i + min(used), "end": i + end, "slot": " ".join(slots), "missing": " ".join(missing), "extra": " ".join(extra)}
+            yield {"first": i + min(used), "end": i + end, "slot": " ".join(slots), "missing": missing, "extra": extra}
             after = i + end
 
 
