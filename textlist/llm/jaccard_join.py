@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, save
@@ -126,7 +126,7 @@ class Bands:
 
 
 def signatures(h: np.ndarray, bounds: np.ndarray, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(text, signature, 2 * shingles + parity of the level)`` for the two levels of each text."""
+    """``(text, signature, 4 * shingles + 2 if the level is the band below + parity of the level)`` for the two levels of each text."""
     n = np.diff(bounds)
     band = bands.band(np.maximum(1, n))
     m = mixed(h + np.uint64(77))
@@ -150,7 +150,7 @@ def signatures(h: np.ndarray, bounds: np.ndarray, bands: Bands) -> Iterator[tupl
         text, number, first, size = text[keep], (np.arange(base[-1]) - base[text])[keep], first[keep], size[keep]
         lv = level[text].astype(np.uint64)
         sig = mixed((sums[first + size] - sums[first]) + mixed(number.astype(np.uint64) + (lv << np.uint64(32))))
-        yield text, sig, 2 * size + (level[text] & 1)
+        yield text, sig, 4 * size + 2 * down + (level[text] & 1)
 
 
 def blocks(docs: DataFrame, width: int, bands: Bands, remember: int = 200_000) -> DataFrame:
@@ -182,7 +182,8 @@ def blocks(docs: DataFrame, width: int, bands: Bands, remember: int = 200_000) -
             least = np.flatnonzero(key == np.minimum.reduceat(key, start)[run])
             centre = np.zeros(len(start), np.int64)
             centre[run[least]] = ids[least]
-            keep = size[run] > 1
+            own = np.add.reduceat((meta & 2 == 0).astype(np.int64), start)  # a block of texts that only come down from the next band is also one of theirs
+            keep = ((size > 1) & (own > 0))[run]
             yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(centre[run[keep]]), pa.array(ids[keep]), pa.array(meta[keep])], ["sig", "centre", "id", "meta"])
 
     rows = docs.where("id is not null").mapInArrow(emit, "sig long, id long, meta int")
@@ -359,7 +360,7 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
     copies = save(copies, "copies")
 
     members = save(blocks(docs, width, bands), "blocks")
-    tried = members.where("id <> centre").groupBy(F.col("centre").alias("a"), F.col("id").alias("b")).agg(F.greatest(F.sum(F.expr("if(meta % 2 = 0, meta div 2, 0)")), F.sum(F.expr("if(meta % 2 = 1, meta div 2, 0)"))).alias("shared"))
+    tried = members.where("id <> centre").groupBy(F.col("centre").alias("a"), F.col("id").alias("b")).agg(F.greatest(F.sum(F.expr("if(meta % 2 = 0, meta div 4, 0)")), F.sum(F.expr("if(meta % 2 = 1, meta div 4, 0)"))).alias("shared"))
     tried = save(tried, "tried")
     first = save(judge(tried, one_per_id(sets), percent), "judged")
     edges = save(copies.union(first.where("sure = 1").select("a", "b")).union(verified(first.where("sure = 0").select("a", "b"), docs, width, percent)), "edges")
@@ -370,8 +371,8 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
     while True:
         groups = save(connected_components(edges), "groups")
         rows = members.select("sig", "id").join(groups, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("comp"))
-        mixed_ = rows.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("k")).where("low <> high and k > 2").select("sig")  # two have been tried
-        rows = rows.join(mixed_, "sig")
+        block = Window.partitionBy("sig")  # no larger than a block
+        rows = rows.withColumns({"low": F.min("comp").over(block), "high": F.max("comp").over(block), "k": F.count("*").over(block)}).where("low <> high and k > 2").select("sig", "id", "comp")  # two have been tried
         listed = failed.groupBy("id").agg(F.collect_set("other").alias("failed"))
         asked = save(tree_candidates(rows.join(each, "id").join(listed, "id", "left").select("sig", "id", "comp", "n", "vec", "failed"), percent, most), "tree-pairs")
         if asked.isEmpty():
