@@ -141,3 +141,19 @@ def leaks_of_width(docs: DataFrame, items: DataFrame, width: int, percent: int,
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
     """``(doc_id)`` of each document with a leak, once."""
     return leaks(docs, benchmark, **options).select("doc_id").distinct()
+
+
+#: Without items of fewer than five words, which the tables do not have.
+ORACLE = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+iw AS (SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+ds AS (SELECT doc_id, len(w) AS n, unnest(range(len(w) - 4)) AS pos, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM dw WHERE len(w) >= 5),
+ic AS (SELECT item_id, size, s, count(*) AS k FROM (SELECT item_id, len(w) AS size, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM iw WHERE len(w) >= 5) GROUP BY ALL),
+sh AS (SELECT ds.* FROM ds WHERE s IN (SELECT s FROM ic)),
+wi AS (SELECT DISTINCT sh.doc_id, sh.n, ic.size, greatest(0, least(sh.pos, sh.n - ic.size)) AS t FROM sh JOIN ic USING (s)),
+co AS (SELECT wi.doc_id, wi.n, wi.size, wi.t, ic.item_id, ic.s, count(*) AS c, any_value(ic.k) AS k
+  FROM wi JOIN sh ON sh.doc_id = wi.doc_id AND sh.pos BETWEEN wi.t AND wi.t + wi.size - 5 JOIN ic ON ic.s = sh.s AND ic.size = wi.size GROUP BY ALL),
+sc AS (SELECT doc_id, item_id, size, t, CAST(sum(least(c, k)) AS BIGINT) AS b, any_value(least(n, size) - 4 + size - 4) AS total FROM co GROUP BY doc_id, item_id, size, t),
+ok AS (SELECT *, b::DOUBLE / (total - b) AS similarity FROM sc WHERE b * 100 >= (total - b) * 80)
+SELECT doc_id, item_id, round(max(similarity), 6) AS similarity, CAST(arg_max(t, (similarity, -t)) AS INT) AS start_word, CAST(any_value(size) AS INT) AS item_words FROM ok GROUP BY doc_id, item_id
+"""

@@ -65,5 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
+    "op9_decontamination": decontaminate.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
