@@ -48,7 +48,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = save(small, "cc")
@@ -59,3 +59,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("connected components did not settle")
     return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component").union(edges.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component")))
+
+
+def joined_components(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """``groups(id, component)`` after adding ``edges(a, b)``: only the graph of the groups that the edges touch is worked on."""
+    a, b = groups.toDF("a", "ca"), groups.toDF("b", "cb")
+    between = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    new = save(connected_components(between), "cc-new")
+    moved = groups.join(new.toDF("component", "least"), "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+    return moved.unionByName(new.join(groups.select("id"), "id", "left_anti"))

@@ -15,7 +15,7 @@ Two sets A and B link when ``100 * |A & B| >= percent * |A | B|``. The answer is
 4. Blocks with members in different groups after that are searched in whole: an R-tree over the members' count
    vectors, whose bound for a node is the sum of minima with the node's upper corner, finds pairs of different
    groups that might link. As many as would join the block's groups into one are verified, not all pairs; then groups are made
-   anew, and the search goes on, four times as wide, without the pairs that failed, until no block has a pair left to try.
+   anew, and the search goes on, sixteen times as wide, without the pairs that failed, until no block has a pair left to try.
 
 Only size bands, ranges and set hashes decide where rows go, so a hot source does not matter; copies are collapsed
 by map-side combined aggregates.
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, save
+from .common import connected_components, joined_components, save
 from .textbytes import LOWER, NOT_SPACE, mixed, text_slices, word_hashes, words
 
 GROUPS = 256
@@ -367,9 +367,9 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
 
     each = one_per_id(sets).select("id", "n", "vec")
     failed = failures(tried.select("a", "b"), edges)
-    most = 1
+    most = 8
+    groups = save(connected_components(edges), "groups")
     while True:
-        groups = save(connected_components(edges), "groups")
         rows = members.select("sig", "id").join(groups, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("comp"))
         block = Window.partitionBy("sig")  # no larger than a block
         rows = rows.withColumns({"low": F.min("comp").over(block), "high": F.max("comp").over(block), "k": F.count("*").over(block)}).where("low <> high and k > 2").select("sig", "id", "comp")  # two have been tried
@@ -381,8 +381,9 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
         members = save(members.select("sig", "id").join(asked.select("sig").distinct(), "sig"), "open-blocks")  # a block with no pair left stays so
         more = save(verified(rest, docs, width, percent), "links")
         failed = save(failed.unionByName(failures(rest, more)), "failed")
-        edges = save(edges.union(more), "edges")
-        most *= 4
+        if not more.isEmpty():
+            groups = save(joined_components(groups, more), "groups")
+        most *= 16
 
 
 def failures(tried: DataFrame, linked: DataFrame) -> DataFrame:
