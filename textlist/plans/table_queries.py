@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..fixtures import table, with_views
 from ..functions.similarity import sorted_ratio, sorted_tokens
-from ..operators import match, pages, sections, segment, tables
+from ..operators import match, mine, pages, sections, segment, tables
 from ..sources import readers, sinks
 from ..streaming import ingest
 from .book import Book
@@ -163,6 +163,18 @@ def enrich_sample(spark: SparkSession, d: str) -> DataFrame:
     return items.select("entry_id").join(found, "entry_id", "left").join(other, "entry_id", "left").select("entry_id", choice.alias("choice"), "catalog_row")
 
 
+@book.add(
+    "mine_aliases",
+    f"""{TO_MATCH}, {DIRECT}, m AS (SELECT CAST(CAST(d.entry_id AS BIGINT) % 7 AS VARCHAR) AS file_id, CAST(d.entry_id AS BIGINT) AS rank, trim(c.producer_name) AS p, trim(c.wine) AS w FROM di d JOIN cn c USING (catalog_row))
+SELECT file_id, 'producer' AS field, lower(p) AS alias, arg_max(p, rank) AS name FROM m WHERE p <> '' GROUP BY file_id, lower(p) UNION ALL SELECT file_id, 'cuvee', lower(w), arg_max(w, rank) FROM m WHERE w <> '' GROUP BY file_id, lower(w)""",
+)
+def mine_aliases(spark: SparkSession, d: str) -> DataFrame:
+    items, rows = both(spark, d)
+    found = match.direct_match(items, rows).join(rows.select("catalog_row", "producer_name", "wine"), "catalog_row")
+    sample = found.select((F.col("entry_id").cast("long") % 7).cast("string").alias("file_id"), F.col("entry_id").cast("long").alias("rank"), "producer_name", "wine", F.lit(100.0).alias("score"))
+    return mine.mine_aliases(sample)
+
+
 # ---- stored tables --------------------------------------------------------------------------------------------------
 
 STORED = with_views("stored")
