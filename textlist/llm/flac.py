@@ -196,14 +196,17 @@ def metadata(stream: bytes) -> tuple[int, int, bytes, np.ndarray]:
     need(stream[:4] == b"fLaC", "no FLAC stream")
     at, total, digest, seek, last = 4, -1, b"", None, False
     while not last:
+        need(at + 4 <= len(stream), "metadata cut off")
         last, kind, n = stream[at] >> 7, stream[at] & 127, int.from_bytes(stream[at + 1 : at + 4])
         body = stream[at + 4 : at + 4 + n]
         need(len(body) == n, "metadata cut off")
         if kind == 0:
+            need(n == 34, "broken stream information")
             packed = int.from_bytes(body[10:18])
             need((packed >> 41) & 7 == 0 and (packed >> 36) & 31 == 7, "not mono 8-bit")
             total, digest = packed & ((1 << 36) - 1), body[18:34]
         elif kind == 3:
+            need(n % SEEK.itemsize == 0, "a broken seek table")
             seek = np.frombuffer(body, SEEK)
             seek = seek[seek["sample"] != (1 << 64) - 1]
         at += 4 + n
@@ -222,6 +225,8 @@ def decode(streams: list[bytes]) -> Frames:
     row, start, end, sample = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
     offsets = np.r_[0, np.cumsum([m[1] for m in meta])].astype(np.int64)
 
+    limit = base[row + 1]
+    need((start >= base[row]) & (start + 8 < limit) & (end > start + 8) & (end <= limit), "a broken seek table")
     need((data[start] == 0xFF) & (data[start + 1] & 0xFE == 0xF8) & (end > start), "no frame where the seek table says")
     lead = data[start + 4]
     used = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, np.where(lead < 0xF8, 4, np.where(lead < 0xFC, 5, 6)))))
@@ -231,6 +236,7 @@ def decode(streams: list[bytes]) -> Frames:
     head = 4 + used + more + np.where(rate == 12, 1, np.where(rate > 12, 2, 0)) + 1
     tail = start + 4 + used
     count = np.where(code == 6, data[tail] + 1, np.where(code == 7, (data[tail] << 8 | data[tail + 1]) + 1, block_size(code)))
+    need((sample >= 0) & (sample + count <= np.diff(offsets)[row]) & (end - start - 2 > head), "a frame that does not fit")
     need(crc(data, start, head - 1, CRC8) == data[start + head - 1], "wrong CRC-8")
     need(crc(data, start, end - start - 2, CRC16) == (data[end - 2] << 8 | data[end - 1]), "wrong CRC-16")
 
