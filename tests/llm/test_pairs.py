@@ -5,10 +5,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from textlist.llm import decontaminate, jaccard_join, line_dedup, suffix_dedup
-from textlist.llm.jaccard_join import Bands
+from textlist.llm.jaccard_join import Bands, RTree
 from textlist.llm.suffix_array import suffix_array
 
 WORDS = [f"w{i}" for i in range(60)]
@@ -74,6 +75,24 @@ def test_jaccard_odd_inputs(spark):
     assert got == [("2", "2"), ("3", "2"), ("3", "2"), ("None", "None")]
 
 
+def test_jaccard_of_very_long_texts(spark):
+    base = [f"v{k}" for k in range(100_000)]
+    near = ["changed" if k % 200 == 7 else w for k, w in enumerate(base)]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(f"u{k}" for k in range(100_000)))]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3}
+
+
+def test_tree_keeps_uncounted_points():
+    n = 40
+    points = np.full((n, 256), 255, np.uint8)
+    points[::2] = 250  # counted: 64,000 shingles
+    sizes = np.where(np.arange(n) % 2, 100_000, 64_000)
+    tree = RTree(points, sizes, np.arange(n))
+    near = {int(tree.order[k]): {int(x) for x in tree.order[tree.near(k, 85)]} for k in range(n)}
+    assert near == {k: {j for j in range(n) if j != k and j % 2 == k % 2} for k in range(n)}
+
+
 def test_bands_meet():
     for percent in (60, 80, 85):
         bands = Bands(percent, 3000)

@@ -92,7 +92,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                 of = np.repeat(np.arange(end - row), np.diff(bounds))
                 vec = np.bincount(of * GROUPS + (h % np.uint64(GROUPS)).astype(np.int64), minlength=(end - row) * GROUPS)
                 vec = vec.reshape(-1, GROUPS)
-                vec[vec.max(1, initial=0) > 255] = 255  # too large to count: bounds nothing
+                vec[vec.max(1, initial=0) > 255] = 255  # too large to count: see overlap_bound
                 vec = vec.astype(np.uint8).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -213,6 +213,12 @@ def least_overlap(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (na + nb) // (100 + percent))
 
 
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Shingles that sets with these count vectors (or corners) share at most. Where both are too large to count, only their sizes bound it."""
+    least = np.minimum(a, b).sum(1, dtype=np.int64)
+    return np.where(least == GROUPS * 255, np.iinfo(np.int64).max, least)
+
+
 def judge(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``pairs(a, b, shared)`` plus ``sure`` (1: shared ranges make the link; 0: the count vectors allow it); others go.
 
@@ -229,7 +235,7 @@ def judge(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             va, vb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, GROUPS) for c in ("va", "vb"))
-            keep = pa.array(np.minimum(va, vb).sum(1, dtype=np.int64) >= batch.column("need").to_numpy())
+            keep = pa.array(overlap_bound(va, vb) >= batch.column("need").to_numpy())
             yield batch.select(["a", "b"]).filter(keep)
 
     able = open_.select("a", "b", "need", "va", "vb").mapInArrow(run, "a long, b long").withColumn("sure", F.lit(0))
@@ -301,7 +307,7 @@ class RTree:
         for depth in range(len(self.levels) - 1, -1, -1):
             corners, sizes, groups = self.levels[depth]
             at = at[groups[at] != group]
-            at = at[np.minimum(corners[at], point).sum(1, dtype=np.int64) >= least_overlap(sizes[at], size, percent)]
+            at = at[overlap_bound(corners[at], point) >= least_overlap(sizes[at], size, percent)]
             if depth:
                 at = (at[:, None] * TREE_LEAF + np.arange(TREE_LEAF)).ravel()
                 at = at[at < len(self.levels[depth - 1][0])]
