@@ -83,6 +83,31 @@ def test_jaccard_of_very_long_texts(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3}
 
 
+def test_jaccard_of_repeated_rows(spark):
+    rng = random.Random(9)
+    rows, clean = [], []
+    for k in range(6):
+        base = [f"t{k}x{j}" for j in range(400)]
+        other = list(base)
+        at = rng.randrange(60, 100)
+        other[at : at + 65] = [f"o{k}x{j}" for j in range(65)]  # similarity 0.7
+        for i, w in ((2 * k, base), (2 * k + 1, other)):
+            clean.append((i, " ".join(w)))
+            rows += [(i, " ".join(w))] * 8
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 5, 80).collect()
+    want = components(clean, 5, 80)
+    assert len(got) == len(rows) and {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(i, *w) for i, w in want.items()}
+    assert all(i == group for i, (_, group) in want.items())
+
+
+def test_ranges_of_differing_texts_of_an_id_make_no_link(spark):
+    base = [f"w{j}" for j in range(400)]
+    near = [base[:at] + [f"a{at}x{j}" for j in range(65)] + base[at + 65 :] for at in range(10, 330, 20)]  # each 0.7 alike
+    rows = [(1, " ".join(base))] + [(2, " ".join(w)) for w in near]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 80).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 2)}
+
+
 def test_tree_keeps_uncounted_points():
     n = 40
     points = np.full((n, 256), 255, np.uint8)

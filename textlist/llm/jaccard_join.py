@@ -175,6 +175,10 @@ def blocks(docs: DataFrame, width: int, bands: Bands, remember: int = 200_000) -
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "sig"):
             sig, ids, meta = (table.column(c).to_numpy() for c in ("sig", "id", "meta"))
+            order = np.lexsort((meta, ids, sig))
+            sig, ids, meta = sig[order], ids[order], meta[order]
+            new = np.r_[True, (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])]  # repeated rows are one member; of their levels the own one
+            sig, ids, meta = sig[new], ids[new], meta[new]
             start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
             size = np.diff(np.r_[start, len(sig)])
             key = mixed(ids.astype(np.uint64))
@@ -224,8 +228,10 @@ def judge(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Sizes are joined first, so that only pairs they leave open carry their vectors.
     """
-    n = sets.select("id", "n")
-    rows = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    n = sets.select("id", "n", "alike")
+    rows = pairs.join(n.toDF("a", "na", "la"), "a").join(n.toDF("b", "nb", "lb"), "b")
+    rows = rows.withColumn("shared", F.expr("if(la and lb, shared, 0)")).drop("la", "lb")  # ranges of differing texts of one id make no sum
+    rows = rows.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     rows = save(rows.withColumn("need", F.expr(f"cast(ceil({percent} * (na + nb) / {100 + percent}.0D) as long)")), "sized-pairs")
     vec = sets.select("id", "vec")
     open_ = rows.where("shared < need").join(vec.toDF("a", "va"), "a").join(vec.toDF("b", "vb"), "b")
@@ -407,8 +413,9 @@ def failures(tried: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def one_per_id(sets: DataFrame) -> DataFrame:
-    """Rows that repeat an id are one vertex; the larger set stands for them where they differ."""
-    return sets.where("id is not null and n > 0").dropDuplicates(["id"])
+    """``(id, n, vec, alike)``: rows that repeat an id are one vertex; the larger set stands for them where they differ, that is, are not ``alike``."""
+    alike = (F.min("s1") == F.max("s1")) & (F.min("s2") == F.max("s2"))
+    return sets.where("id is not null and n > 0").groupBy("id").agg(F.max("n").alias("n"), F.max_by("vec", "n").alias("vec"), alike.alias("alike"))
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
