@@ -1,5 +1,6 @@
 """Classifiers, licenses, pages, media and mixing."""
 
+import textwrap
 import zlib
 
 import duckdb
@@ -72,6 +73,26 @@ def test_licenses(spark):
     assert got == [(3, "Apache", "2.0", "", ""), (3, "MIT", "", "", ""), (4, "Apache", "2.0", "file", "document")]
 
 
+@pytest.mark.parametrize("width", [30, 60, 80])
+@pytest.mark.parametrize("mark", ["", " * ", "# "])
+def test_wrapped_licenses(width, mark):
+    scanner = license_scan.Scanner()
+    for name, _, wanted, _ in scanner.templates:
+        text = next(t for n, t, w, _ in scanner.templates if w is wanted).replace("<version>", "2.0")
+        lines = textwrap.wrap("Some lines of prose stand above. " * 30 + text + " And others below." * 30, width, break_long_words=False, break_on_hyphens=False)
+        said = "\n".join(mark + x for x in lines)
+        got = [m for a, b in scanner.blocks(said) for m in scanner.confirmed(said[a:b])]
+        assert [(m["license"], m["missing"], m["extra"]) for m in got] == [(name, "", "")]
+
+
+def test_six_reworded_licenses_in_a_block(spark):
+    change = {"MIT": ("deal", "act"), "BSD": ("provided", "so"), "ISC": ("hereby", "thus"), "GPL": ("later", "newer"), "MPL": ("distributed", "shipped"), "Apache": ("compliance", "accord")}
+    texts = {n: max(license_scan.TEMPLATES[n], key=len).replace("<version>", "2.0") for n in change}
+    said = "\n".join(textwrap.fill(texts[n].replace(a, b, 1), 72) for n, (a, b) in change.items())
+    got = [(r["license"], r["missing"], r["extra"]) for r in license_scan.license_scan(table(spark, [(1, said)])).orderBy("char_start").collect()]
+    assert got == [(n, a, b) for n, (a, b) in change.items()]
+
+
 def test_licenses_of_documents_are_all_found(spark, sf):
     docs = read_table(spark, sf, "documents")
     got = sorted((r["doc_id"], r["license"]) for r in license_scan.license_scan(docs).where("license <> 'Proprietary'").collect())

@@ -1,10 +1,11 @@
-"""License scans by conditional compression, confirmed by exact wording differences.
+"""License scans by exact wording differences, ranked by conditional compression.
 
-Lines with a cue word, and at most ``GAP`` lines between two of them, make a candidate block. A block is compressed plainly and
-with each template as a zstandard raw dictionary; the share of bytes that the dictionary saves ranks the templates. The
-best ``TOP`` are compared with the block word by word: the template's words are aligned with the block's, slots
+Every cue word, with as many words before and after it as the longest template's window has, makes a candidate block; blocks that
+meet are one. Lines do not matter, so a wrapped notice is whole. Every template of which at least ``LEAST`` of the words stand in
+the block is compared with it word by word: the template's words are aligned with the block's, slots
 take the one word that stands there (a version, a year), and a template is confirmed if at least ``LEAST`` of its words are
 found in order and no more than a third as many foreign words stand between them. What is missing or extra is listed.
+A confirmed notice is compressed plainly and with its template as a zstandard raw dictionary; the share of bytes that this saves is its rank.
 Of confirmed templates that overlap, the one with most words found, less two for each difference, is taken; then the better rank.
 
 Defined results: null and empty texts have no blocks; very long texts and long blocks are read whole; a text
@@ -17,14 +18,15 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CUE = r"(?i)licen[cs]|copyright|warrant|redistribut|public domain|spdx|permission is hereby|all rights reserved|creative commons|\bcc[ -]by"
-GAP, TOP, LEAST = 1, 4, 0.85
+CUE = r"(?i)licen[cs]|copyright|warrant|redistribut|public\W+domain|spdx|permission\W+is\W+hereby|all\W+rights\W+reserved|creative\W+commons|\bcc[\s-]+by|binary\W+forms|unencumbered"
+LEAST = 0.85
 
 #: Notices of common licenses, as published. <version>, <year> and <name> stand for one word each. Fixed values.
 TEMPLATES = {
@@ -70,33 +72,30 @@ class Scanner:
     def __init__(self) -> None:
         self.plain = self.compressor(None)
         self.templates = [(name, text, [w for w, _, _ in word_spans(text)], self.compressor(text)) for name, texts in TEMPLATES.items() for text in texts]
+        self.reach = max(window_size(wanted) for _, _, wanted, _ in self.templates)
 
     @staticmethod
     def compressor(text: str | None) -> zstandard.ZstdCompressor:
         extra = {} if text is None else {"dict_data": zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)}
         return zstandard.ZstdCompressor(level=9, write_content_size=False, write_checksum=False, write_dict_id=False, **extra)
 
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """Share of the compressed size that each template saves, highest first."""
-        raw = block.encode()
-        whole = len(self.plain.compress(raw))
-        saved = [(1 - len(c.compress(raw)) / whole, -k) for k, (_, _, _, c) in enumerate(self.templates)]
-        return [(s, -k) for s, k in sorted(saved, reverse=True)]
+    def saved(self, notice: str, k: int) -> float:
+        """Share of the compressed size that template ``k`` saves."""
+        raw = notice.encode()
+        return 1 - len(self.templates[k][3].compress(raw)) / len(self.plain.compress(raw))
 
     def blocks(self, text: str) -> Iterator[tuple[int, int]]:
         """Character spans of candidate blocks."""
-        at, first, last, since = 0, -1, -1, 0
-        cue = re.compile(CUE)
-        for line in text.split("\n"):
-            if cue.search(line):
-                first = at if first < 0 else first
-                last, since = at + len(line), 0
-            elif first >= 0:
-                since += 1
-                if since > GAP:
-                    yield first, last
-                    first = -1
-            at += len(line) + 1
+        first, last = -1, -1
+        for cue in re.finditer(CUE, text):
+            start = words_before(text, cue.start(), self.reach)
+            if first >= 0 and start > last:
+                yield first, last
+                first = -1
+            first = start if first < 0 else first
+            for word in islice(WORDS.finditer(text, cue.start()), self.reach):
+                last = max(last, word.end())
+            last = max(last, cue.end())
         if first >= 0:
             yield first, last
 
@@ -104,33 +103,61 @@ class Scanner:
         """Templates found in the block."""
         words = word_spans(block)
         spoken = [w for w, _, _ in words]
+        there = set(spoken)
         found = []
-        for rank, (saved, k) in enumerate(self.ranked(block)):
-            name, _, wanted, _ = self.templates[k]
-            exact = all(w in spoken or w.startswith("<") for w in wanted)  # every word is there: worth comparing at any rank
-            if rank < TOP or exact:
-                for at in places(wanted, spoken):
-                    odd = len(at["missing"]) + len(at["extra"])
-                    found.append((2 * odd - (len(wanted) - len(at["missing"])), rank, at["first"], at["end"], {"license": name, "saved": saved, "version": at["slot"], "missing": " ".join(at["missing"]), "extra": " ".join(at["extra"])}))
+        for k, (name, _, wanted, _) in enumerate(self.templates):
+            if not may_reach(wanted, there):
+                continue
+            for at in places(wanted, spoken):
+                odd = len(at["missing"]) + len(at["extra"])
+                start, end = words[at["first"]][1], words[at["end"] - 1][2]
+                saved = self.saved(block[start:end], k)
+                said = {"license": name, "saved": saved, "version": at["slot"], "missing": " ".join(at["missing"]), "extra": " ".join(at["extra"]), "start": start, "end": end}
+                found.append((2 * odd - (len(wanted) - len(at["missing"])), -saved, k, at["first"], at["end"], said))
         taken = [False] * len(words)
-        for _, _, first, end, said in sorted(found, key=lambda f: f[:4]):
+        for *_, first, end, said in sorted(found, key=lambda f: f[:5]):
             if not any(taken[first:end]):
                 taken[first:end] = [True] * (end - first)
-                yield said | {"start": words[first][1], "end": words[end - 1][2]}
+                yield said
+
+
+def words_before(text: str, at: int, n: int) -> int:
+    """Where the ``n``-th word before ``at`` begins."""
+    size = 16 * n
+    while True:
+        low = max(0, at - size)
+        starts = [m.start() for m in WORDS.finditer(text, low, at)]
+        if len(starts) > n:  # the first may be cut
+            return starts[-n]
+        if not low:
+            return 0
+        size *= 4
+
+
+def window_size(wanted: list[str]) -> int:
+    return len(wanted) + len(wanted) // 3
+
+
+def may_reach(wanted: list[str], there: set[str]) -> bool:
+    """Whether enough of the words are there at all."""
+    return sum(w in there or w.startswith("<") for w in wanted) >= LEAST * len(wanted)
 
 
 def places(wanted: list[str], spoken: list[str]) -> Iterator[dict]:
     """Where ``wanted`` stands in ``spoken``, with what is missing and extra."""
-    span = len(wanted) + len(wanted) // 3
+    span = window_size(wanted)
     fixed = [w for w in wanted if not w.startswith("<")]
+    first = set(fixed[: int((1 - LEAST) * len(wanted) + 1e-9) + 1])  # not all of these can be missing
     after = 0
     for i, word in enumerate(spoken):
-        if i < after or word not in fixed[:3]:
+        if i < after or word not in first:
             continue
         window = spoken[i : i + span]
+        if not may_reach(wanted, set(window)):
+            continue
         matcher = difflib.SequenceMatcher(None, wanted, window, autojunk=False)
         hits = [(a + n, b + n) for a, b, size in matcher.get_matching_blocks() for n in range(size)]
-        if not hits:
+        if not hits or hits[0][1]:  # it begins at a later word, whose window does not cut its end
             continue
         slots, missing, end = [], [], max(b for _, b in hits) + 1
         at = dict(hits)
