@@ -114,6 +114,24 @@ def test_pages(spark):
     assert html_extract.main_text(table(spark, [], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_without_article_keep_all_but_clutter(spark):
+    long = "many words of the body " * 20
+    around = '<html><body><div class="menu"><a href="x">Home</a></div><div class="wrap">{}</div><div class="sidebar">ads</div></body></html>'
+    bodies = {
+        0: "<h1>Head</h1><p>Lead</p><div class='text'><p>{}</div><ul><li>a<li>b</ul>",
+        1: "<h1><a href='x'>Head</a></h1><blockquote>{}</blockquote><p>Said so",
+        2: "<p>Lead<table><tr><td>{}</table><p>End",
+        3: "<h2>Head</h2><ul><li>{}</ul><div>End</div>",
+        4: "<div class='text'><p>short</div><p>{}",
+    }
+    want = {0: ["Head", "Lead", long, "a", "b"], 1: ["Head", long, "Said so"], 2: ["Lead", long, "End"], 3: ["Head", long, "End"], 4: ["short", long]}
+    rows = [(k, f"https://h{k * own}.example/", around.format(b.format(long))) for own in (0, 1) for k, b in bodies.items()]
+    rows += [(9, "https://h0.example/", f"<html><body><div class='wrap'><div class='text'><p>{long}</div></div><div class='more'>End</div></body></html>")]
+    got = {(r["page_id"], r["url"]): r["text"] for r in html_extract.main_text(table(spark, rows, "page_id long, url string, html string")).collect()}
+    want[9] = [long, "End"]
+    assert got == {(k, url): "\n".join(" ".join(x.split()) for x in want[k]) for k, url, _ in rows}
+
+
 def streams(*rows, **options):
     data = [np.frombuffer(r, np.uint8) for r in rows]
     return flac.encode(np.concatenate(data), np.r_[0, np.cumsum([len(d) for d in data])], **options)

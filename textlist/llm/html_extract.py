@@ -2,8 +2,8 @@
 
 First pass: every page names its best container as a generalised path of tags and classes (digits dropped,
 inline tags skipped). Spark counts the votes for each path of each host. Second pass: every page is
-read again with its host's winning paths; a page on which none of them has text falls back on its own
-best container. What a page shows is its blocks in page order, without menus, headers (their headings
+read again with its host's winning paths; a page on which none of them has text, or as much as it needs, falls back on its own
+best container: its largest article element, or else the least element that holds all that is not clutter. What a page shows is its blocks in page order, without menus, headers (their headings
 stay inside an article), footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments, told by tag, class, id and role.
 
@@ -174,26 +174,39 @@ def shown(page: Page, k: int) -> bool:
 
 
 def best_container(page: Page) -> str:
-    """The path of the article element with most text, or else of the deepest element that holds most of the text outside links."""
+    """The path of the article element with most text, or else of the deepest element that holds all text that is shown."""
     clean = [(n.size - n.linked if not n.skip else 0) for n in page.nodes]
-    if clean[0] <= 0:
-        return ""
     for tag in ("article", "main"):
         k = max((k for k, n in enumerate(page.nodes) if n.tag == tag), key=lambda k: clean[k], default=0)
-        if k and 4 * clean[k] >= clean[0]:
+        if k and clean[k] > 0 and 4 * clean[k] >= clean[0]:
             return page.nodes[k].path
-    return max(((n.path.count(">"), -k, n.path) for k, n in enumerate(page.nodes) if n.tag not in ("p", "li", *HEADINGS) and 10 * clean[k] >= 7 * clean[0]), default=(0, 0, ""))[2]
+    held = [0] * len(page.nodes)
+    for k, said in page.blocks:
+        held[k] += len(said) * shown(page, k)
+    for k in range(len(page.nodes) - 1, 0, -1):
+        held[page.nodes[k].parent] += held[k]
+    return max(((n.path.count(">"), -k, n.path) for k, n in enumerate(page.nodes) if n.tag not in ("p", "li", *HEADINGS) and held[k] == held[0] > 0), default=(0, 0, ""))[2]
+
+
+def below_path(page: Page, path: str) -> str:
+    """The shown blocks below the elements of a path."""
+    below = [n.path == path for n in page.nodes]
+    for k, n in enumerate(page.nodes):
+        below[k] |= n.parent >= 0 and below[n.parent]
+    return "\n".join(t for k, t in page.blocks if below[k] and shown(page, k))
 
 
 def extract(page: Page, paths: list[str]) -> str:
-    """The blocks below the first of ``paths`` that has text, else below the page's own best container."""
-    for path in [*paths, best_container(page)]:
-        below = [n.path == path for n in page.nodes]
-        for k, n in enumerate(page.nodes):
-            below[k] |= n.parent >= 0 and below[n.parent]
-        if said := "\n".join(t for k, t in page.blocks if below[k] and shown(page, k)):
+    """The blocks below the first of ``paths`` that has text, else below the page's own best container.
+
+    A path that ends in no article element was voted for by pages without one: it must hold as much of this page as the page's own container.
+    """
+    own = below_path(page, best_container(page))
+    for path in paths:
+        said = below_path(page, path)
+        if said and (path.rsplit(">", 1)[-1].split(".")[0] in ("article", "main") or len(said) >= len(own)):
             return said
-    return ""
+    return own
 
 
 def host_of(url: Column) -> Column:
