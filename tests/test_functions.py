@@ -128,6 +128,14 @@ def test_length_pairs_lose_no_match(spark):
     assert got == want
 
 
+def test_white_space_inside_fields_loses_no_match(spark):
+    cat = match.normalize_catalog(spark.createDataFrame([(1, "c a", "d", "2001", "X", "Y", "red")], CATALOG))
+    items = match.normalize_items(spark.createDataFrame([("a", "a" + " " * 12 + "c", None, None, None, None, None)], "entry_id string, producer string, cuvee string, vintage string, region string, country string, grape_variety string"))
+    wide = items.withColumn("producer_n", F.lit("a" + " " * 12 + "c"))  # however it was normalised
+    got = [(r["entry_id"], r["catalog_row"], r["score"]) for r in match.scored_pairs(wide, cat).collect()]
+    assert got == [("a", 1, 100.0)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("abc ", max_size=12), st.text("abc ", max_size=12))
 def test_lcs(a, b):

@@ -100,6 +100,8 @@ def scored_pairs(items: DataFrame, catalog: DataFrame) -> DataFrame:
     keyed = items.groupBy(*[f"{k}_n" for k in C.KEYS]).agg(F.min("entry_id").alias("rep"))
     wide = keyed.select("rep", *[f"{k}_n" for k in C.KEYS])
     rows = catalog.select("catalog_row", *[f"{k}_norm" for k in C.KEYS])
+    wide = wide.withColumns({f"{k}_la": F.char_length(sorted_tokens(F.col(f"{k}_n"))) for k in C.KEYS})
+    rows = rows.withColumns({f"{k}_lb": F.char_length(sorted_tokens(F.col(f"{k}_norm"))) for k in C.KEYS})
     pairs = wide.join(rows, reach(), "inner")
     ratios = {f"{k}_r": F.when(filled(k) & (F.col(f"{k}_n") != F.col(f"{k}_norm")), sorted_ratio(sorted_tokens(F.col(f"{k}_n")), sorted_tokens(F.col(f"{k}_norm")))) for k in C.KEYS}
     scored = pairs.withColumns(ratios).withColumn("score", pair_score()).where(F.col("score") >= C.PARTIAL).select("rep", "catalog_row", "score")
@@ -108,12 +110,12 @@ def scored_pairs(items: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def reach() -> Column:
-    """Whether a pair's score can reach the threshold at all: by lengths, a ratio is at most 200 * min / (la + lb)."""
+    """Whether a pair's score can reach the threshold at all: by lengths of the sorted tokens, a ratio is at most 200 * min / (la + lb)."""
     parts, whole = [], []
     for k in C.KEYS:
         w = C.KEY_WEIGHTS[k]
-        a, b = F.char_length(f"{k}_n"), F.char_length(f"{k}_norm")
-        most = 200.0 * F.least(a, b) / (a + b)
+        a, b = F.col(f"{k}_la"), F.col(f"{k}_lb")
+        most = F.when(a + b > 0, 200.0 * F.least(a, b) / (a + b)).otherwise(100.0)
         boost = {"producer": 10, "cuvee": 5}.get(k, 0)
         parts.append(F.when(filled(k), F.when(F.col(f"{k}_n") == F.col(f"{k}_norm"), 100.0).otherwise(F.least(F.lit(100.0), most + boost)) * w).otherwise(0.0))
         whole.append(F.when(filled(k), w).otherwise(0.0))
