@@ -4,19 +4,21 @@ DataFrame functions only. Words are runs of bytes that are not ASCII white space
 by an item where some window of as many words as the item has, or the whole text where it is shorter, reaches a weighted Jaccard similarity
 of ``percent`` / 100 over shingles of ``width`` words; a shingle weighs as often as it stands there.
 
-1. A window that shares no shingle with any item cannot reach the threshold. The best window of a text starts at a shared
-   shingle, or ends the text: sliding a window right to its first shared shingle loses none. So the
-   windows at shared shingles, one for each shingle and item size, are all that need be looked at. Shared shingles are found against
-   the items' shingles in blocks of at most ``block_rows`` rows, each of which is broadcast.
-2. Each such window and each item has a 64-bit SimHash. The bits are cut into ``radius + 1`` parts; a window meets the items of its
-   size that equal it in some part, so that all fingerprints within the radius meet, and farther ones are dropped.
-3. The pairs left are compared exactly.
+1. A window that shares no shingle with an item cannot reach the threshold with it. The best window for an item starts at a shingle of
+   that item, or ends the text: sliding a window right to its first shared shingle loses none. So the windows at shared shingles, for
+   the items that hold the shingle, are all that need be looked at; items of one size that share nothing with a window are never met.
+   The items' shingles are broadcast only up to ``broadcast_rows`` rows; a larger set is joined by a shuffle on the shingle.
+2. Only documents with such a place are read again for their windows. A window and its item have 64-bit SimHashes, cut into
+   ``radius + 1`` parts: fingerprints within the radius equal one another in some part, so pairs without an equal part go, then
+   those beyond the radius. At a similarity of 0.8 the parts are three bits wide and pass most pairs: the shingle is what selects.
+3. The pairs left are compared exactly; an item's shingles are joined once, to these pairs.
 
 The radius loses a window of the threshold's similarity with a chance of about 2e-4 for each: its distance is 10 bits in the mean with
 a deviation of 3.
 
 Defined results: null, empty and blank texts and items match nothing; items shorter than a shingle are matched as one shingle of
-their own length; very long texts are read whole; repeated rows of a document or an item count once;
+their own length; very long texts are read whole; repeated rows of a document or an item count once, and rows that repeat an
+id with another text are looked at one by one, the best window of all standing for the id; of windows that tie the first is given;
 null ids are an id of their own; an empty table gives an empty result; other columns are not read.
 """
 
@@ -27,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import free_names, save
 from .line_dedup import lower_ascii
 
 BLANK = r"[\x20\x09-\x0D]+"
@@ -39,13 +41,16 @@ def word_array(text: Column) -> Column:
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, BLANK, -1))
 
 
-def with_shingles(df: DataFrame, text: str, width: int) -> DataFrame:
-    """``df`` with ``n_words`` and ``shingles``, a 64-bit hash of each run of ``width`` words."""
-    df = df.withColumn("_words", F.transform(word_array(F.col(text)), lambda x: F.xxhash64(x)))
-    df = df.withColumn("n_words", F.size("_words"))
+def with_words(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``words``, a 64-bit hash of each word, and ``n_words``."""
+    return df.withColumn("words", F.transform(word_array(F.col(text)), lambda x: F.xxhash64(x))).withColumn("n_words", F.size("words"))
+
+
+def shingles(width: int) -> Column:
+    """A 64-bit hash of each run of ``width`` of the ``words``; null where there are fewer."""
     at = F.sequence(F.lit(0), F.col("n_words") - width)
-    made = F.transform(at, lambda i: F.xxhash64(*[F.get("_words", i + j) for j in range(width)]))
-    return df.withColumn("shingles", F.when(F.col("n_words") >= width, made)).drop("_words")
+    made = F.transform(at, lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(width)]))
+    return F.when(F.col("n_words") >= width, made)
 
 
 def simhash(items: Column) -> tuple[Column, Column]:
@@ -80,11 +85,18 @@ def with_simhash(df: DataFrame, items: str) -> DataFrame:
     return df.withColumn("_counts", counts).withColumn("simhash", bits).drop("_counts")
 
 
-def parts_of(bits: Column, radius: int) -> Column:
-    """The fingerprint cut into radius + 1 parts."""
-    n = radius + 1
-    cuts = [64 * i // n for i in range(n + 1)]
-    return F.array(*[F.shiftrightunsigned(bits, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")) for a, b in zip(cuts, cuts[1:], strict=False)])
+def part_masks(radius: int) -> list[int]:
+    """The 64 bits cut into radius + 1 parts."""
+    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+    masks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def near(a: Column, b: Column, radius: int) -> Column:
+    """Whether two fingerprints meet in some part and lie within the radius."""
+    differ = a.bitwiseXOR(b)
+    met = reduce(Column.__or__, [differ.bitwiseAND(F.lit(m).cast("long")) == 0 for m in part_masks(radius)])
+    return met & (F.bit_count(differ) <= radius)
 
 
 def overlap(a: str, b: str) -> Column:
@@ -95,52 +107,74 @@ def overlap(a: str, b: str) -> Column:
     return F.when(repeated, counted).otherwise(plain)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80, radius: int = 20, block_rows: int = 1_000_000) -> DataFrame:
-    """``(doc_id, item_id, similarity, start_word, item_words)``: for each contaminated pair its best window, the first on ties."""
-    texts = benchmark.select("item_id", "text").where("text is not null").dropDuplicates()
-    sized = texts.withColumn("item_words", F.size(word_array(F.col("text")))).where("item_words > 0")
-    sized = save(sized.withColumn("width", F.least(F.lit(width), F.col("item_words"))), "items")
-    found = []
-    for w, n_rows in sorted((r["width"], r["n"]) for r in sized.groupBy("width").agg(F.sum(F.col("item_words") - F.col("width") + 1).alias("n")).collect()):  # at most ``width`` rows
-        of_width = sized.where(F.col("width") == w)
-        blocks = -(-n_rows // block_rows)
-        for block in range(blocks):
-            part = of_width.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-            found.append(leaks_of_width(docs.select("doc_id", "text"), part, w, percent, radius))
-    if not found:
+def item_prints(benchmark: DataFrame, width: int) -> DataFrame:
+    """``(item, item_id, size, width, item_shingles, item_bits)`` of each distinct item; ``item`` is a hash of its id and text."""
+    rows = benchmark.select("item_id", "text").where("text is not null").dropDuplicates()
+    rows = with_words(rows.withColumn("item", F.xxhash64("item_id", "text")), "text").where("n_words > 0")
+    rows = rows.withColumn("width", F.least(F.lit(width), F.col("n_words")))
+    rows = rows.withColumn("item_shingles", F.coalesce(*[F.when(F.col("width") == w, shingles(w)) for w in range(1, width + 1)]))
+    return with_simhash(rows, "item_shingles").select("item", "item_id", F.col("n_words").alias("size"), "width", "item_shingles", F.col("simhash").alias("item_bits"))
+
+
+def places(docs: DataFrame, prints: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``(doc_id, print, at)``: for each text that shares a shingle with an item, the windows ``(width, item, size, start)`` to look at."""
+    keys = prints.select(F.explode(F.array_distinct("item_shingles")).alias("h"), "item", "size", "width")
+    if keys.count() <= broadcast_rows:
+        keys = F.broadcast(keys)
+    rows = with_words(docs, "text")
+    found = None
+    for width in sorted(r["width"] for r in prints.select("width").distinct().collect()):  # one, unless items are shorter than a shingle
+        # the outer form: the plain one infers a filter on the array's size, which is pushed down and makes the array again
+        some = rows.select("doc_id", "print", "n_words", F.posexplode_outer(shingles(width)).alias("pos", "h")).join(keys.where(F.col("width") == width), "h")
+        start = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("n_words") - F.col("size")))
+        some = some.select("doc_id", "print", F.struct("width", "item", "size", start.alias("start")).alias("at"))
+        found = some if found is None else found.unionByName(some)
+    return found.groupBy("doc_id", "print").agg(F.collect_set("at").alias("at"))  # no more than one text has
+
+
+def candidates(docs: DataFrame, prints: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``(doc_id, print, item, start, window, bits)``: the windows at shared shingles and their fingerprints."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("print"))
+    found = save(places(docs, prints, broadcast_rows), "places").withColumnsRenamed({"doc_id": "_doc", "print": "_print"})
+    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("print") == F.col("_print")))
+    widths = [r["width"] for r in prints.select("width").distinct().collect()]
+    made = with_words(rows, "text")
+    out = None
+    for width in sorted(widths):
+        some = made.withColumn("shingles", shingles(width)).select("doc_id", "print", "shingles", F.explode(F.filter("at", lambda x: x["width"] == width)).alias("at"))
+        window = F.slice("shingles", F.col("at.start") + 1, F.greatest(F.lit(1), F.col("at.size") - width + 1))
+        some = some.select("doc_id", "print", "at.item", "at.start", window.alias("window"))
+        out = some if out is None else out.unionByName(some)
+    return with_simhash(out, "window").withColumnRenamed("simhash", "bits")
+
+
+def leaking_texts(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80, radius: int = 20, broadcast_rows: int = 500_000) -> DataFrame:
+    """``(doc_id, print, item_id, similarity, start_word, item_words)``: for each text and item its best window, the first on ties; ``print`` is a hash of the text."""
+    prints = save(item_prints(benchmark, width), "item-prints")
+    if prints.isEmpty():
         kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-        return docs.sparkSession.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, similarity double, start_word int, item_words int")
-    every = reduce(DataFrame.unionByName, found)
-    best = every.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("back"), "item_words")).alias("m"))
-    return best.select("doc_id", "item_id", F.round("m.similarity", 6).alias("similarity"), (-F.col("m.back")).alias("start_word"), "m.item_words")
-
-
-def leaks_of_width(docs: DataFrame, items: DataFrame, width: int, percent: int, radius: int) -> DataFrame:
-    items = with_simhash(with_shingles(items, "text", width), "shingles").select("item_id", "item_words", F.col("shingles").alias("item_shingles"), F.col("simhash").alias("item_bits"))
-    items = save(items, "item-prints")
-    keys = items.select("item_words", F.explode(F.array_distinct("item_shingles")).alias("h")).groupBy("h").agg(F.collect_set("item_words").alias("sizes"))
-    index = items.withColumn("item_parts", parts_of(F.col("item_bits"), radius)).select("*", F.posexplode("item_parts").alias("part", "value"))
-
-    # the outer form: the plain one infers a filter on the array's size, which is pushed down and makes the array again
-    rows = with_shingles(docs, "text", width).select("doc_id", "n_words", "shingles", F.posexplode_outer("shingles").alias("pos", "h")).join(F.broadcast(keys), "h")
-    rows = rows.select("doc_id", "n_words", "shingles", "pos", F.explode("sizes").alias("size"))
-    start = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("n_words") - F.col("size")))
-    rows = rows.withColumn("start_word", start)
-    rows = rows.select("doc_id", "start_word", "size", F.slice("shingles", F.col("start_word") + 1, F.greatest(F.lit(1), F.col("size") - width + 1)).alias("window"))
-    rows = save(rows, "windows")
-    rows = with_simhash(rows, "window").withColumn("parts", parts_of(F.col("simhash"), radius))
-    rows = rows.select("doc_id", "start_word", "size", "window", "simhash", "parts", F.posexplode("parts").alias("part", "value"))
-    met = rows.join(F.broadcast(index), (F.col("size") == F.col("item_words")) & (rows["part"] == index["part"]) & (rows["value"] == index["value"]))
-    first = F.array_position(F.zip_with("parts", "item_parts", lambda a, b: a == b), True) == rows["part"] + 1  # each pair once
-    met = met.where(first & (F.bit_count(F.col("simhash").bitwiseXOR(F.col("item_bits"))) <= radius))
+        return docs.sparkSession.createDataFrame([], f"doc_id {kinds[0]}, print long, item_id {kinds[1]}, similarity double, start_word int, item_words int")
+    rows = candidates(docs, prints, broadcast_rows).join(prints.select("item", "item_id", "size", "item_shingles", "item_bits"), "item")
+    met = rows.where(near(F.col("bits"), F.col("item_bits"), radius))
     met = met.withColumn("both", overlap("window", "item_shingles")).withColumn("all", F.size("window") + F.size("item_shingles") - F.col("both"))
-    met = met.where(F.col("both") * 100 >= F.col("all") * percent)
-    return met.select("doc_id", "item_id", (F.col("both") / F.col("all")).alias("similarity"), "start_word", "item_words")
+    met = met.where(F.col("both") * 100 >= F.col("all") * percent).withColumn("similarity", F.col("both") / F.col("all"))
+    best = met.groupBy("doc_id", "print", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "size")).alias("m"))
+    return best.select("doc_id", "print", "item_id", F.round("m.similarity", 6).alias("similarity"), (-F.col("m.back")).alias("start_word"), F.col("m.size").alias("item_words"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
+    """``(doc_id, item_id, similarity, start_word, item_words)``: for each contaminated pair its best window, the first on ties."""
+    order = F.struct("similarity", -F.col("start_word"), "item_words")
+    best = leaking_texts(docs, benchmark, **options).groupBy("doc_id", "item_id").agg(F.max_by(F.struct("similarity", "start_word", "item_words"), order).alias("m"))
+    return best.select("doc_id", "item_id", "m.*")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
-    """``(doc_id)`` of each document with a leak, once."""
-    return leaks(docs, benchmark, **options).select("doc_id").distinct()
+def clean_documents(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose own text holds no item; a null id is looked at like any other."""
+    doc, print_ = free_names(docs, "doc", "print")
+    gone = leaking_texts(docs.select("doc_id", "text"), benchmark, **options).select(F.col("doc_id").alias(doc), F.col("print").alias(print_)).distinct()
+    gone = save(gone, "leaking")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[doc]) & (F.xxhash64(docs["text"]) == gone[print_]), "left_anti")
 
 
 #: Without items of fewer than five words, which the tables do not have.
