@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import save
 from .textbytes import text_slices
 
 
@@ -17,22 +18,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int) -> tuple[pa.Array, np.ndarray]:
-    """Texts and 0/1 labels of at most ``per_class`` rows of each class, in md5 order of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, made: Callable[[np.ndarray, np.ndarray], list[bytes]], max_bytes: int) -> tuple[list[bytes], np.ndarray]:
+    """What ``made`` gives for the texts, and 0/1 labels, of at most ``per_class`` rows of each class, in md5 order of the id.
 
-    Held-out rows, null ids and null labels are left out, and so are texts over ``max_bytes``: what
-    comes to the driver is bounded. Ids are chosen from the labels alone, so at most twice
-    ``per_class`` ids are broadcast and no text is shuffled. Where an id has several labels, the largest counts.
+    ``made`` runs in the tasks, so that no text comes to the driver. Held-out rows, null ids, null labels and labels without a document
+    are left out, and so are texts over ``max_bytes``: what comes to the driver is bounded. Only ids and labels are shuffled, and at most twice
+    ``per_class`` ids are broadcast. Where an id has several labels, the largest counts; where it has several texts, the first in order.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("y"))
-    marked = marked.withColumn("order", F.md5(F.col("doc_id").cast("string").cast("binary")))
+    able = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes)).select("doc_id")
+    marked = marked.join(able, "doc_id", "left_semi").withColumn("order", F.md5(F.col("doc_id").cast("string").cast("binary")))
     ids = None
     for y in (0, 1):
         some = marked.where(F.col("y") == y).orderBy("order", "doc_id").limit(per_class)
         ids = some if ids is None else ids.unionByName(some)
+    ids = save(ids, "sample-ids")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    found = rows.groupBy("doc_id", "y", "order").agg(F.min("text").alias("text")).select("order", "text", "y").toArrow().sort_by("order")
-    return found["text"].combine_chunks() if len(found) else pa.array([], pa.string()), found["y"].to_numpy()
+    rows = rows.groupBy("order", "y").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, data, offsets in text_slices(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([batch.column("order")[row:end], batch.column("y")[row:end], pa.array(made(data, offsets), pa.binary())], ["order", "y", "made"])
+
+    found = rows.select("order", F.col("y").cast("long").alias("y"), "text").mapInArrow(run, "order string, y long, made binary").toArrow().sort_by("order")
+    return found["made"].to_pylist(), found["y"].to_numpy()
 
 
 def class_shares(labels: DataFrame, label: str) -> float:
