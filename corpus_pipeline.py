@@ -1,4 +1,10 @@
-"""A training-corpus pipeline of five operators: documents in, a mixing plan out."""
+"""A training-corpus pipeline of five operators: documents in, a mixing plan out.
+
+Defined results, for each stage: null and empty texts are scored as empty by the classifier, become empty in line dedup, link with
+nothing, hold no benchmark item and have size 0; a null doc_id is looked at like any other and is never a near duplicate; of rows that
+repeat a doc_id each is judged by its own text until near duplicates go, which leaves one row of an id; ties go to the least doc_id (near duplicates)
+or the largest (lines); very long texts are read whole; empty tables give empty results; other columns are handed on, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -16,21 +22,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines repeated in five documents or more stay in one of them."""
-    out = line_dedup.line_dedup(docs).withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")})
-    return out.select(*docs.columns)
+    out = line_dedup.without_repeated_lines(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose five-word shingles link at 0.8 or more, the one with the least id stays."""
-    groups = jaccard_join.jaccard_components(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return jaccard_join.one_of_each_group(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    gone = decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.clean_documents(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,10 +6,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from textlist.llm import decontaminate, jaccard_join, line_dedup, suffix_dedup
-from textlist.llm.jaccard_join import Bands, RTree
+from textlist.llm.jaccard_join import Bands, Points, RTree, count_vector, runs
+from textlist.llm.common import connected_components
 from textlist.llm.suffix_array import suffix_array
 
 WORDS = [f"w{i}" for i in range(60)]
@@ -78,9 +80,12 @@ def test_jaccard_odd_inputs(spark):
 def test_jaccard_of_very_long_texts(spark):
     base = [f"v{k}" for k in range(100_000)]
     near = ["changed" if k % 200 == 7 else w for k, w in enumerate(base)]
-    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(f"u{k}" for k in range(100_000)))]
+    rng, rows = random.Random(4), [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(f"u{k}" for k in range(100_000)))]
+    for i, n in ((4, 20_000), (6, 60_000), (8, 150_000)):
+        own = [f"x{i}y{k}" for k in range(n)]
+        rows += [(i, " ".join(own)), (i + 1, " ".join("other" if rng.random() < 0.015 else w for w in own))]
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
-    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3}
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8, 9: 8}
 
 
 def test_jaccard_of_repeated_rows(spark):
@@ -110,14 +115,62 @@ def test_ranges_of_differing_texts_of_an_id_make_no_link(spark):
 
 def test_tree_keeps_uncounted_points():
     n = 40
-    points = np.full((n, 256), 255, np.uint8)
-    points[::2] = 250  # counted: 64,000 shingles
+    counts = np.full((n, 256), 255, np.uint8)
+    counts[::2] = 250  # counted: 64,000 shingles
     sizes = np.where(np.arange(n) % 2, 100_000, 64_000)
-    tree = RTree(points, sizes, np.arange(n))
+    tree = RTree(Points([c.tobytes() for c in counts], sizes), np.arange(n))
     near = {int(tree.order[k]): {int(x) for x in tree.order[tree.near(k, 85)]} for k in range(n)}
     assert near == {k: {j for j in range(n) if j != k and j % 2 == k % 2} for k in range(n)}
 
 
+def test_bound_of_vectors_of_two_lengths():
+    rng = np.random.default_rng(3)
+    for na, nb in ((900, 1100), (1024, 1025), (5000, 5200), (20_000, 17_000)):
+        both = np.unique(rng.integers(0, 1 << 48, na // 2, dtype=np.uint64))
+        a, b = (np.unique(np.r_[both, rng.integers(0, 1 << 48, n - len(both), dtype=np.uint64)]) for n in (na, nb))
+        points = Points([count_vector(a), count_vector(b)], np.array([len(a), len(b)]))
+        shared = len(np.intersect1d(a, b))
+        assert shared <= np.minimum(*points.at).sum() < 0.9 * min(na, nb)
+
+
+def test_runs_over_a_limit_come_in_parts():
+    key = np.sort(np.r_[np.zeros(3), np.ones(50), np.full(7, 2), np.full(40, 3)]).astype(np.int64)
+    for size in (1, 4, 9, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + size])], ["k"]) for i in range(0, len(key), size)]
+        found = [(t.column("k").to_numpy(), whole) for t, whole in runs(iter(batches), "k", 10)]
+        assert np.array_equal(np.concatenate([k for k, _ in found]), key)
+        for value, n in ((0, 3), (1, 50), (2, 7), (3, 40)):
+            parts = [whole for k, whole in found if value in k]
+            assert all(not w for w in parts) if n > 10 + size else parts == [True]
+
+
+def test_tiles_lose_no_link(spark, monkeypatch):
+    rows = families(4)
+    monkeypatch.setattr(jaccard_join, "TILE", 3)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components(rows, 4, 85)
+
+
+def test_one_of_each_group(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(4, a, "p"), (2, a + " more", "q"), (2, a + " more", "q"), (2, b, "r"), (None, a, "s"), (None, a, "s"), (7, None, "t"), (8, "", "u"), (9, b, "v")]
+    out = jaccard_join.one_of_each_group(spark.createDataFrame(rows, "doc_id int, text string, gone string"))
+    assert out.columns == ["doc_id", "text", "gone"]
+    assert sorted(map(str, out.collect())) == sorted(map(str, spark.createDataFrame([rows[k] for k in (1, 4, 5, 6, 7)], "doc_id int, text string, gone string").collect()))
+    assert jaccard_join.one_of_each_group(spark.createDataFrame([], "doc_id long, text string, again int")).count() == 0
+
+
+def test_components_of_many_edges(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(600), rng.randrange(600)) for _ in range(420)] + [(700 + k, 701 + k) for k in range(150)]
+    group = list(range(900))
+    for _ in range(900):
+        for x, y in edges:
+            group[x] = group[y] = min(group[x], group[y])
+    got = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(4), most=50).collect()
+    assert {r["id"]: r["component"] for r in got} == {v: group[v] for e in edges for v in e if e[0] != e[1]}
+
+
 def test_bands_meet():
     for percent in (60, 80, 85):
         bands = Bands(percent, 3000)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,14 +19,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where none is set (tests)."""
+    """The folder that driver and executors share. Where none is set, only a session within one machine gets its own (tests)."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -33,32 +49,64 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def contracted(edges: DataFrame, most: int) -> DataFrame:
+    """``edges(a, b)`` as stars: each partition's edges are united in runs of at most ``most``, and each vertex is given the least of its run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while (up := least.get(top, top)) != top:
+                top = up
+            while x != top:
+                least[x], x = top, least.get(x, x)
+            return top
+
+        def stars() -> pa.RecordBatch:
+            rows = [(x, root(x)) for x in list(least)]
+            least.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*rows, strict=True)) or [(), ()])], ["a", "b"])
+
+        for batch in batches:
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = root(x), root(y)
+                if x != y:
+                    least[max(x, y)] = min(x, y)
+            if len(least) > most:
+                yield stars()
+        yield stars()
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, most: int = 500_000) -> DataFrame:
     """Smallest reachable id for every vertex of ``edges(a, b)``, as ``(id, component)``.
 
-    Alternates large-star and small-star steps until nothing changes; each step is one
-    shuffle of the remaining edges, and every step's edges are a written table, so a lost
+    Edges are united within tasks, ``most`` at a time, which settles a small graph. A larger one goes on with large-star and small-star
+    steps until only stars are left; each step is one shuffle of the remaining edges, and every step's edges are a written table, so a lost
     executor costs one step. Vertices without an edge do not appear. Null ends are dropped.
-    Each star keeps a vertex's neighbours as rows, so a hub never becomes one collected group:
-    the hub's minimum is a map-side-combined aggregate and is joined back.
+    Each star keeps a vertex's neighbours as rows, so a hub never becomes one collected group: the hub's minimum is a map-side-combined
+    aggregate and is joined back, where a hub's rows are split as a skewed join.
     """
-    edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = save(edges, "cc")
-    state = None
-    for _ in range(max_rounds):
+    edges = save(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "cc")
+    parts = 1 + edges.count() // most
+    edges = save(contracted(edges.coalesce(parts), most), "cc")
+    for _ in range(max_rounds if parts > 1 else 0):
+        tops = edges.select(F.col("b").alias("a")).distinct()
+        if edges.join(tops, "a", "left_semi").isEmpty() and edges.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("c")).where("b <> c").isEmpty():
+            break
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        edges = save(small, "cc")
-        now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if now == state:
-            break
-        state = now
+        edges = save(contracted(small, most), "cc")
     else:
-        raise RuntimeError("connected components did not settle")
-    return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component").union(edges.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component")))
+        if parts > 1:
+            raise RuntimeError("connected components did not settle")
+    stars = edges.groupBy("a").agg(F.min("b").alias("component"))
+    return stars.select(F.col("a").alias("id"), "component").union(edges.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component")))
 
 
 def joined_components(groups: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,43 +2,46 @@
 
 Two sets A and B link when ``100 * |A & B| >= percent * |A | B|``. The answer is exact for 48-bit shingle hashes.
 
-1. Every text becomes its set of shingle hashes, of which are kept its size, a 128-bit hash of the set and its
-   count vector: how many shingles fall in each of 256 token groups.
-2. Routing. Linked sets differ in at most ``(100 - percent) / (100 + percent)`` of the sum of their sizes. So if hash space is cut
-   into more ranges than that, some range holds the same shingles in both: sets are blocked by (size band,
-   range, hash of the shingles in the range). Ranges with fewer than two shingles are left out where enough others remain
-   to keep this certain, so that a shingle that many texts share makes no block of its own. Copies that one task sees
-   are blocked once.
-3. Each member of a block is tried with the block's centre, the same centre for most blocks of a family. Pairs are
-   accepted when the ranges they share already make the link, dropped when the summed coordinate minima
-   of their count vectors cannot reach it, and else verified on the sets.
-4. Blocks with members in different groups after that are searched in whole: an R-tree over the members' count
-   vectors, whose bound for a node is the sum of minima with the node's upper corner, finds pairs of different
-   groups that might link. As many as would join the block's groups into one are verified, not all pairs; then groups are made
-   anew, and the search goes on, sixteen times as wide, without the pairs that failed, until no block has a pair left to try.
-
-Only size bands, ranges and set hashes decide where rows go, so a hot source does not matter; copies are collapsed
-by map-side combined aggregates.
+1. Every text becomes its set of shingle hashes, of which are kept its size, a 128-bit hash and its count vector: how many
+   shingles fall in each token group. Longer sets have more groups (256 and up, at most four shingles in each in the mean), each a split
+   of a coarser one, so vectors of two lengths meet on the coarser groups. Sets that are the same go under their least id.
+2. Where the trees stand. Linked sets differ in at most ``(100 - percent) / (100 + percent)`` of the sum of their sizes. So if hash space
+   is cut into more ranges than that, some range holds the same shingles in both: sets that share (size band, range, hash of the
+   shingles in the range) are one block, and only they can link. Empty ranges are left out where enough others remain to keep this
+   certain. Blocks with the same members are one.
+3. In each block an R-tree over the count vectors finds the pairs that may link: a node's bound is the sum of coordinate minima with its
+   upper corner. The first search takes every found pair for a link and asks only for as many as join the block; those are verified on the sets,
+   and links make groups.
+4. Where a block's members are in different groups still, the tree is searched again, now to the end: its pairs of different groups
+   that pass the bound are verified on the spot, until the groups are joined or no pair is left. So no link between different texts is lost.
+
+No task holds a large block: a block over ``TILE`` members is cut into tiles, of one group each where groups are that large; the first
+search is within tiles, to each of which the block's centre is added, the second is over pairs of tiles that are not all of one group.
+
+Only size bands, ranges and set hashes decide where rows go, so a hot source does not matter; copies are collapsed by map-side
+combined aggregates.
 
 Defined results: a null, empty or blank text has no shingles and links with nothing; a text with fewer words than a
-shingle is one shingle; a null id is in no group and its component is null; rows that repeat an id are one
-vertex; very long texts are taken whole; an empty table gives an empty result; only id and text are read.
+shingle is one shingle; a null id is in no group and its component is null; rows that repeat an id are one vertex, which has the links
+of all of their texts; very long texts are taken whole; an empty table gives an empty result; only id and text are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, joined_components, save
+from .common import connected_components, free_names, joined_components, save
 from .textbytes import LOWER, NOT_SPACE, mixed, text_slices, word_hashes, words
 
 GROUPS = 256
 TREE_LEAF = 16
+TILE = 2048
 FACTORS = mixed(np.arange(101, 117, dtype=np.uint64)) | np.uint64(1)
 FILTER_BITS = 1 << 24
 
@@ -83,29 +86,53 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
+def groups_of(n: int) -> int:
+    """Token groups of a set of ``n`` shingles: a power of two, so that each is a split of a coarser one."""
+    return max(GROUPS, 1 << (max(1, n - 1) // 4).bit_length())
+
+
+def count_vector(h: np.ndarray) -> bytes:
+    """Shingles by token group, 255 where there are more."""
+    groups = groups_of(len(h))
+    return np.minimum(np.bincount((h & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8).tobytes()
+
+
+def count_vectors(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """``count_vector`` of each text; short texts all at once."""
+    n = np.diff(bounds)
+    short = n <= 4 * GROUPS
+    of = np.repeat(np.cumsum(short) - 1, n)
+    mine = np.repeat(short, n)
+    flat = np.bincount(of[mine] * GROUPS + (h[mine] & np.uint64(GROUPS - 1)).astype(np.int64), minlength=short.sum() * GROUPS)
+    flat, at, out = np.minimum(flat, 255).astype(np.uint8).tobytes(), 0, []
+    for i, small in enumerate(short.tolist()):
+        if small:
+            out.append(flat[at : at + GROUPS])
+            at += GROUPS
+        else:
+            out.append(count_vector(h[bounds[i] : bounds[i + 1]]))
+    return out
+
+
 def describe(docs: DataFrame, width: int) -> DataFrame:
     """``(id, n, s1, s2, vec)`` of each row: size, hash of the set, count vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, h, bounds in slices(batch, width):
-                of = np.repeat(np.arange(end - row), np.diff(bounds))
-                vec = np.bincount(of * GROUPS + (h % np.uint64(GROUPS)).astype(np.int64), minlength=(end - row) * GROUPS)
-                vec = vec.reshape(-1, GROUPS)
-                vec[vec.max(1, initial=0) > 255] = 255  # too large to count: see overlap_bound
-                vec = vec.astype(np.uint8).tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id")[row:end], pa.array(np.diff(bounds)), pa.array(segment_sums(mixed(h), bounds).view(np.int64)), pa.array(segment_sums(mixed(h ^ np.uint64(1 << 50)), bounds).view(np.int64)),
-                        pa.array([vec[GROUPS * i : GROUPS * (i + 1)] for i in range(end - row)], pa.binary()),
-                    ], ["id", "n", "s1", "s2", "vec"],
-                )
+                s1, s2 = segment_sums(mixed(h), bounds), segment_sums(mixed(h ^ np.uint64(1 << 50)), bounds)
+                columns = [batch.column("id")[row:end], pa.array(np.diff(bounds)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(count_vectors(h, bounds), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "s1", "s2", "vec"])
 
     return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, vec binary")
 
 
 class Bands:
-    """Size bands such that linked sets are in the same or in neighbouring bands, and each band's ranges."""
+    """Size bands such that linked sets are in the same or in neighbouring bands, and each band's ranges.
+
+    Linked sets of a level differ in at most ``differ`` shingles, so of ``differ + 1 + spare`` ranges more than ``spare`` hold the same in
+    both, and as many as ``spare`` may be left out.
+    """
 
     def __init__(self, percent: int, most: int) -> None:
         low, self.low = 1, [1]
@@ -113,11 +140,15 @@ class Bands:
             low = max(low + 1, -(-low * 100 // percent))
             self.low.append(low)
         self.ranges, self.spare = [], []
-        for high in self.low[1:]:
+        for low, high in zip(self.low, self.low[1:], strict=False):
             a = high - 1
             both = a + a * 100 // percent
             differ = both * (100 - percent) // (100 + percent)
-            spare = 2 + differ // 12 if a >= 60 else 0
+            spare = 0
+            for _ in range(20):  # as many as ranges that a set of the least size leaves empty, with room for chance
+                ranges = differ + 1 + spare
+                empty = math.exp(-low / ranges)
+                spare = min(math.ceil(empty * ranges + 2 * math.sqrt(empty * (1 - empty) * ranges)), differ)
             self.ranges.append(differ + 1 + spare)
             self.spare.append(spare)
 
@@ -125,8 +156,8 @@ class Bands:
         return np.searchsorted(np.array(self.low), n, "right") - 1
 
 
-def signatures(h: np.ndarray, bounds: np.ndarray, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(text, signature, 4 * shingles + 2 if the level is the band below + parity of the level)`` for the two levels of each text."""
+def signatures(h: np.ndarray, bounds: np.ndarray, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(text, signature)`` of the ranges of each text, for its own band and the one below."""
     n = np.diff(bounds)
     band = bands.band(np.maximum(1, n))
     m = mixed(h + np.uint64(77))
@@ -145,16 +176,21 @@ def signatures(h: np.ndarray, bounds: np.ndarray, bands: Bands) -> Iterator[tupl
         # a text's cells lie in hash order, so its first shingle in a cell follows from the sizes
         edge = np.r_[0, np.cumsum(size)]
         first = bounds[text] + edge[:-1] - edge[base[text]]
-        tiny = np.bincount(text, weights=size < 2, minlength=len(n))
-        keep = (size > 1) | (tiny > spare)[text]
+        # the thinnest ranges are left out, all of one size together: of those that linked sets share, both leave out the same or one the fewer
+        least = np.zeros(len(n), np.int64)
+        for thin in range(2):
+            least += np.bincount(text, weights=size <= thin, minlength=len(n)) <= spare
+        keep = size >= least[text]
         text, number, first, size = text[keep], (np.arange(base[-1]) - base[text])[keep], first[keep], size[keep]
-        lv = level[text].astype(np.uint64)
-        sig = mixed((sums[first + size] - sums[first]) + mixed(number.astype(np.uint64) + (lv << np.uint64(32))))
-        yield text, sig, 4 * size + 2 * down + (level[text] & 1)
+        sig = mixed((sums[first + size] - sums[first]) + mixed(number.astype(np.uint64) + (level[text].astype(np.uint64) << np.uint64(32))))
+        yield text, sig
 
 
-def blocks(docs: DataFrame, width: int, bands: Bands, remember: int = 200_000) -> DataFrame:
-    """``(sig, centre, id, meta)`` of the members of all blocks with several members."""
+def blocks(docs: DataFrame, width: int, bands: Bands, remember: int = 200_000, hold: int = 1 << 20) -> DataFrame:
+    """``(block, id)``: the members of all blocks with several members; blocks with the same members are one.
+
+    A block's name is a hash of its members, or of its range where it has over ``hold`` rows, which no task holds at once.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -163,53 +199,82 @@ def blocks(docs: DataFrame, width: int, bands: Bands, remember: int = 200_000) -
             for row, _, h, bounds in slices(batch, width):
                 whole = segment_sums(mixed(h), bounds).tolist()
                 new = np.ones(len(whole), bool)
-                for i, s in enumerate(whole):  # a copy of what this task has blocked already
+                for i, (s, id_) in enumerate(zip(whole, ids[row : row + len(whole)].tolist(), strict=True)):
+                    # a copy of what this task has blocked already under a smaller id; the smallest of all stands for the set later
                     new[i] = s not in seen
                     seen.add(s)
                 if len(seen) > remember:
                     seen.clear()
-                for text, sig, meta in signatures(h, bounds, bands):
+                for text, sig in signatures(h, bounds, bands):
                     keep = new[text]
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(ids[row + text[keep]].astype(np.int64)), pa.array(meta[keep].astype(np.int32))], ["sig", "id", "meta"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(ids[row + text[keep]].astype(np.int64))], ["sig", "id"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_runs(batches, "sig"):
-            sig, ids, meta = (table.column(c).to_numpy() for c in ("sig", "id", "meta"))
-            order = np.lexsort((meta, ids, sig))
-            sig, ids, meta = sig[order], ids[order], meta[order]
-            new = np.r_[True, (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])]  # repeated rows are one member; of their levels the own one
-            sig, ids, meta = sig[new], ids[new], meta[new]
+        names: set[int] = set()
+        for table, whole in runs(batches, "sig", hold):
+            sig, ids = table.column("sig").to_numpy(), table.column("id").to_numpy()
+            if not whole:
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ids)], ["block", "id"])
+                continue
+            order = np.lexsort((ids, sig))
+            sig, ids = sig[order], ids[order]
+            new = np.r_[True, (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])]  # repeated rows are one member
+            sig, ids = sig[new], ids[new]
             start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
             size = np.diff(np.r_[start, len(sig)])
-            key = mixed(ids.astype(np.uint64))
-            run = np.repeat(np.arange(len(start)), size)
-            least = np.flatnonzero(key == np.minimum.reduceat(key, start)[run])
-            centre = np.zeros(len(start), np.int64)
-            centre[run[least]] = ids[least]
-            own = np.add.reduceat((meta & 2 == 0).astype(np.int64), start)  # a block of texts that only come down from the next band is also one of theirs
-            keep = ((size > 1) & (own > 0))[run]
-            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(centre[run[keep]]), pa.array(ids[keep]), pa.array(meta[keep])], ["sig", "centre", "id", "meta"])
-
-    rows = docs.where("id is not null").mapInArrow(emit, "sig long, id long, meta int")
-    return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(gather, "sig long, centre long, id long, meta int")
-
-
-def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of the sorted rows in which no run of equal keys is cut."""
+            name = np.add.reduceat(mixed(ids.view(np.uint64) ^ np.uint64(0x5BD1E995)), start)
+            fresh = np.zeros(len(start), bool)
+            for i in np.flatnonzero(size > 1).tolist():
+                fresh[i] = int(name[i]) not in names
+                names.add(int(name[i]))
+            if len(names) > remember:
+                names.clear()
+            keep = np.repeat(fresh, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[keep].view(np.int64)), pa.array(ids[keep])], ["block", "id"])
+
+    rows = docs.where("id is not null").mapInArrow(emit, "sig long, id long")
+    return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(gather, "block long, id long").distinct()
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str, hold: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Tables of the sorted rows in which no run of equal keys is cut, with True; a run of over ``hold`` rows comes in parts, each with False."""
     held: list[pa.RecordBatch] = []
+    long = None  # the key of a run that is handed on in parts
     for batch in batches:
         if not batch.num_rows:
             continue
         k = batch.column(key).to_numpy()
+        if long is not None:
+            n = int(np.searchsorted(k, long, "right"))
+            if n:
+                yield pa.Table.from_batches([batch.slice(0, n)]), False
+            batch, k = batch.slice(n), k[n:]
+            if not len(k):
+                continue
+            long = None
         cut = int(np.searchsorted(k, k[-1]))
-        if cut or held and held[-1].column(key)[-1].as_py() != k[0]:
-            done = [*held, batch.slice(0, cut)] if cut else held
-            yield pa.Table.from_batches(done).combine_chunks()
+        if held and (cut or held[-1].column(key)[-1].as_py() != k[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks(), True
+            held = [batch.slice(cut)]
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)]), True
             held = [batch.slice(cut)]
         else:
             held.append(batch)
+        if sum(b.num_rows for b in held) > hold:
+            yield pa.Table.from_batches(held), False
+            held, long = [], k[-1]
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield pa.Table.from_batches(held).combine_chunks(), True
+
+
+def each_run(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """A table for each run of equal keys of the sorted rows, which are few for each key."""
+    for table, _ in runs(batches, key, 1 << 62):
+        k = table.column(key).to_numpy()
+        start = np.r_[np.flatnonzero(np.r_[True, k[1:] != k[:-1]]), len(k)]
+        for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+            yield table.slice(a, b - a)
 
 
 def least_overlap(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -217,205 +282,269 @@ def least_overlap(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (na + nb) // (100 + percent))
 
 
-def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Shingles that sets with these count vectors (or corners) share at most. Where both are too large to count, only their sizes bound it."""
-    least = np.minimum(a, b).sum(1, dtype=np.int64)
-    return np.where(least == GROUPS * 255, np.iinfo(np.int64).max, least)
+class Points:
+    """Count vectors on the coarsest groups that one of them has, with sizes.
 
+    A vector with a cell of 255 is ``full``: the cell may stand for more, so that two such vectors bound nothing but their sizes.
+    """
 
-def judge(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs(a, b, shared)`` plus ``sure`` (1: shared ranges make the link; 0: the count vectors allow it); others go.
+    def __init__(self, vectors: list[bytes], sizes: np.ndarray) -> None:
+        groups = min(map(len, vectors))
+        rows = [np.frombuffer(v, np.uint8) for v in vectors]
+        self.full = np.array([r.max() == 255 for r in rows])
+        self.at = np.stack([r.reshape(-1, groups).sum(0, dtype=np.int32) if len(r) > groups else r.astype(np.int32) for r in rows])
+        self.sizes = sizes
 
-    Sizes are joined first, so that only pairs they leave open carry their vectors.
-    """
-    n = sets.select("id", "n", "alike")
-    rows = pairs.join(n.toDF("a", "na", "la"), "a").join(n.toDF("b", "nb", "lb"), "b")
-    rows = rows.withColumn("shared", F.expr("if(la and lb, shared, 0)")).drop("la", "lb")  # ranges of differing texts of one id make no sum
-    rows = rows.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    rows = save(rows.withColumn("need", F.expr(f"cast(ceil({percent} * (na + nb) / {100 + percent}.0D) as long)")), "sized-pairs")
-    vec = sets.select("id", "vec")
-    open_ = rows.where("shared < need").join(vec.toDF("a", "va"), "a").join(vec.toDF("b", "vb"), "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+class RTree:
+    """Points in pages, pages in nodes: each node keeps its points' upper corner, least and largest size and, if they share it, group."""
+
+    def __init__(self, points: Points, groups: np.ndarray) -> None:
+        _, groups = np.unique(groups, return_inverse=True)
+        self.order = np.lexsort((points.sizes, groups))
+        self.points, self.sizes, self.groups, self.full = points.at[self.order], points.sizes[self.order], groups[self.order], points.full[self.order]
+        self.levels = [(self.points, self.sizes, self.sizes, self.groups, self.full)]
+        while len(self.levels[-1][0]) > TREE_LEAF:
+            p, low, high, g, full = self.levels[-1]
+            cuts = np.arange(0, len(p), TREE_LEAF)
+            least, most = np.minimum.reduceat(g, cuts), np.maximum.reduceat(g, cuts)
+            self.levels.append((np.maximum.reduceat(p, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.where(least == most, least, -1), np.logical_or.reduceat(full, cuts)))
+
+    def near(self, k: int, percent: int) -> np.ndarray:
+        """Positions of the points of other groups whose bound with point ``k`` reaches the link."""
+        point, size, group, full = self.points[k], self.sizes[k], self.groups[k], self.full[k]
+        at = np.arange(len(self.levels[-1][0]))
+        for depth in range(len(self.levels) - 1, -1, -1):
+            corners, low, high, groups, fulls = self.levels[depth]
+            at = at[groups[at] != group]
+            at = at[(100 * high[at] >= percent * size) & (100 * size >= percent * low[at])]
+            bound = np.minimum(corners[at], point).sum(1, dtype=np.int64)
+            bound = np.where(fulls[at] & full, np.minimum(high[at], size), bound)
+            at = at[bound >= least_overlap(np.maximum(low[at], -(-percent * size // 100)), size, percent)]
+            if depth:
+                at = (at[:, None] * TREE_LEAF + np.arange(TREE_LEAF)).ravel()
+                at = at[at < len(self.levels[depth - 1][0])]
+        return at
+
+
+def joining_pairs(tree: RTree, percent: int) -> list[tuple[int, int]]:
+    """Pairs (input positions) that join all that may link, were each pair a link: one for each point and group it is not joined with yet."""
+    label = tree.groups.copy()
+    out = []
+    for k in range(len(label)):
+        if (label == label[0]).all():
+            break
+        near = tree.near(k, percent)
+        near = near[label[near] != label[k]]
+        others, first = np.unique(label[near], return_index=True)
+        out += [(int(tree.order[k]), int(tree.order[j])) for j in near[first]]
+        if len(others):
+            label[np.isin(label, others)] = label[k]
+    return out
+
+
+def linked_pairs(tree: RTree, percent: int, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (input positions) that join the tree's groups as far as any do: a pair is verified unless its ends are joined already.
+
+    Points of the largest group need not ask: every pair with them is found from its other side.
+    """
+    label = tree.groups.copy()
+    done = np.zeros(len(label), bool)
+    out = []
+    for k in np.flatnonzero(label != np.argmax(np.bincount(label))).tolist():
+        near = tree.near(k, percent)
+        a = int(tree.order[k])
+        for j in near[~done[near]].tolist():
+            if label[j] == label[k]:
                 continue
-            va, vb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, GROUPS) for c in ("va", "vb"))
-            keep = pa.array(overlap_bound(va, vb) >= batch.column("need").to_numpy())
-            yield batch.select(["a", "b"]).filter(keep)
+            b = int(tree.order[j])
+            if alike(sets[a], sets[b], percent):
+                out.append((a, b))
+                label[label == label[j]] = label[k]
+        done[k] = True
+    return out
+
 
-    able = open_.select("a", "b", "need", "va", "vb").mapInArrow(run, "a long, b long").withColumn("sure", F.lit(0))
-    return rows.where("shared >= need").select("a", "b", F.lit(1).alias("sure")).unionByName(able)
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.sort(np.concatenate([x, y]))
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(both) - same)
+
+
+def packed(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Hashes of each text in six bytes each."""
+    raw = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return [raw[6 * a : 6 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    """Hashes from six bytes each."""
     wide = np.zeros((len(raw) // 6, 8), np.uint8)
     wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
     return wide.view("<u8").ravel()
 
 
+def by_key(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key", *more)
+
+
+def first_tiles(members: DataFrame) -> DataFrame:
+    """``members(block, v)`` to ``(key, v)``: blocks cut into tiles of some ``TILE`` members, each with its block's centre."""
+    sizes = members.groupBy("block").agg(F.count("*").alias("k"), F.min_by("v", F.xxhash64("v")).alias("centre")).where("k > 1")
+    sizes = sizes.withColumn("tiles", F.expr(f"cast(ceil(k / {TILE}.0D) as long)"))
+    rows = members.join(sizes, "block").select("block", F.pmod(F.xxhash64("v"), F.col("tiles")).alias("tile"), "v")
+    centres = sizes.where("tiles > 1").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), F.col("centre").alias("v"))
+    return rows.unionByName(centres).select(F.xxhash64("block", "tile").alias("key"), "v").distinct()
+
+
+def second_tiles(members: DataFrame) -> DataFrame:
+    """``members(block, v, comp)`` of blocks with several groups to ``(key, v, comp)``: each pair of groups meets in some key.
+
+    A group with over ``TILE`` members has tiles of its own, smaller ones share tiles; a pair of tiles that are all of one group goes.
+    """
+    counts = members.groupBy("block", "comp").agg(F.count("*").alias("c"))
+    small = counts.where(f"c < {TILE}").groupBy("block").agg(F.sum("c").alias("rest"))
+    open_ = counts.groupBy("block").agg(F.count("*").alias("groups")).where("groups > 1").select("block")
+    counts = counts.join(open_, "block", "left_semi").join(small, "block", "left")
+    named = members.join(counts, ["block", "comp"]).withColumn("own", F.col("c") >= TILE)
+    parts = F.expr(f"cast(ceil(if(own, c, rest) / {TILE}.0D) as long)")
+    named = named.select("block", "v", "comp", F.xxhash64(F.when(F.col("own"), F.col("comp")), "own", F.pmod(F.xxhash64("v"), parts)).alias("tile"))
+    tiles = named.groupBy("block", "tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    pairs = tiles.toDF("block", "tile", "low", "high").join(tiles.toDF("block", "other", "low2", "high2"), "block").where("tile <= other and not (low = high and low2 = high2 and low = low2)")
+    alone = tiles.groupBy("block").agg(F.count("*").alias("n"))
+    pairs = pairs.join(alone, "block").where("n = 1 or tile <> other")  # a tile meets itself in its pairs with others
+    keys = pairs.select("block", F.xxhash64("block", "tile", "other").alias("key"), F.explode(F.array_distinct(F.array("tile", "other"))).alias("tile"))
+    return named.join(keys, ["block", "tile"]).select("key", "v", "comp")
+
+
+def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows(key, v, n, vec)`` to the ``(a, b)`` that the first search asks for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in each_run(batches, "key"):
+            v = table.column("v").to_numpy()
+            if len(v) > 1:
+                tree = RTree(Points(table.column("vec").to_pylist(), table.column("n").to_numpy()), np.arange(len(v)))
+                found = joining_pairs(tree, percent)
+                if found:
+                    x, y = v[np.array(found)].T
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return by_key(rows).mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def open_members(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows(key, v, comp, n, vec)`` to the ``(key, v, comp)`` that have a point of another group in reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in each_run(batches, "key"):
+            tree = RTree(Points(table.column("vec").to_pylist(), table.column("n").to_numpy()), table.column("comp").to_numpy())
+            near = np.zeros(len(tree.groups), bool)
+            for k in np.flatnonzero(tree.groups != np.argmax(np.bincount(tree.groups))).tolist():
+                at = tree.near(k, percent)
+                near[at] = True
+                near[k] |= len(at) > 0
+            yield from table.select(["key", "v", "comp"]).take(pa.array(np.sort(tree.order[near]))).to_batches()
+
+    return by_key(rows).mapInArrow(run, "key long, v long, comp long")
+
+
+def tree_links(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows(key, v, comp, items)`` to the ``(a, b)`` that link members of different groups, as many as join them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in each_run(batches, "key"):
+            v = table.column("v").to_numpy()
+            sets = [unpacked(raw) for raw in table.column("items").to_pylist()]
+            tree = RTree(Points([count_vector(h) for h in sets], np.array([len(h) for h in sets])), table.column("comp").to_numpy())
+            found = linked_pairs(tree, percent, sets)
+            if found:
+                x, y = v[np.array(found)].T
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+    return by_key(rows).mapInArrow(run, "a long, b long")
+
+
 def slot(id_: Column) -> Column:
     return F.pmod(F.xxhash64(id_), F.lit(FILTER_BITS))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The ``(a, b)`` whose sets link. Only documents in pairs have their sets made again.
+def sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``(v, items)``: the sets of the documents in ``ids(v)``; only theirs are made again.
 
     They are found by a bit table of fixed size (2 MB on the driver); what passes it by chance is dropped by the join.
     """
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).select(slot(F.col("id")).alias("s"))
-    need = need.groupBy(F.expr("s div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toArrow()
+    need = ids.select(slot(F.col("v")).alias("s")).groupBy(F.expr("s div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toArrow()
     table = np.zeros(FILTER_BITS // 64, np.uint64)
     table[need["word"].to_numpy()] = need["bits"].to_numpy().view(np.uint64)
     table = docs.sparkSession.sparkContext.broadcast(table)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
         for batch in batches:
             s = batch.column("slot").to_numpy()
             batch = batch.filter(pa.array((bits[s // 64] >> (s % 64).astype(np.uint64)) & np.uint64(1) == 1))
             for row, end, h, bounds in slices(batch, width):
-                raw = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column("id")[row:end], pa.array([raw[6 * a : 6 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], ["id", "items"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("ia").to_pylist(), batch.column("ib").to_pylist(), strict=True):
-                both = np.sort(unpacked(x + y))
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(both) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([batch.column("id")[row:end], pa.array(packed(h, bounds), pa.binary())], ["v", "items"])
 
-    made = docs.where("id is not null").withColumn("slot", slot(F.col("id"))).mapInArrow(sets, "id long, items binary")
-    rows = pairs.join(made.withColumnsRenamed({"id": "a", "items": "ia"}), "a").join(made.withColumnsRenamed({"id": "b", "items": "ib"}), "b")
-    return rows.select("a", "b", "ia", "ib").mapInArrow(compare, "a long, b long")
+    made = docs.where("id is not null").withColumn("slot", slot(F.col("id"))).mapInArrow(run, "v long, items binary").where("length(items) > 0")
+    made = save(made.join(ids, "v", "left_semi").distinct(), "set-items")
+    table.destroy()
+    return made
 
 
-class RTree:
-    """Points in pages, pages in nodes: each node keeps its points' upper corner, least size and, if they share it, group."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> None:
-        self.order = np.lexsort((sizes, groups))
-        self.points, self.sizes, self.groups = points[self.order], sizes[self.order], groups[self.order]
-        self.levels = [(self.points, self.sizes, self.groups)]
-        while len(self.levels[-1][0]) > TREE_LEAF:
-            p, s, g = self.levels[-1]
-            cuts = np.arange(0, len(p), TREE_LEAF)
-            low, high = np.minimum.reduceat(g, cuts), np.maximum.reduceat(g, cuts)
-            self.levels.append((np.maximum.reduceat(p, cuts), np.minimum.reduceat(s, cuts), np.where(low == high, low, -1)))
-
-    def near(self, k: int, percent: int) -> np.ndarray:
-        """Positions of the points of other groups whose bound with point ``k`` reaches the link."""
-        point, size, group = self.points[k], self.sizes[k], self.groups[k]
-        at = np.arange(len(self.levels[-1][0]))
-        for depth in range(len(self.levels) - 1, -1, -1):
-            corners, sizes, groups = self.levels[depth]
-            at = at[groups[at] != group]
-            at = at[overlap_bound(corners[at], point) >= least_overlap(sizes[at], size, percent)]
-            if depth:
-                at = (at[:, None] * TREE_LEAF + np.arange(TREE_LEAF)).ravel()
-                at = at[at < len(self.levels[depth - 1][0])]
-        return at[100 * np.minimum(self.sizes[at], size) >= percent * np.maximum(self.sizes[at], size)]
-
-
-def joining_pairs(tree: RTree, percent: int, most: int, failed: dict[int, set[int]]) -> list[tuple[int, int]]:
-    """Pairs (input positions) that would join the tree's groups, at most ``most`` for each point and group it is not joined with yet.
-
-    Points of the largest group need not ask: every pair with them is found from its other side.
-    """
-    names, label = np.unique(tree.groups, return_inverse=True)
-    large = np.argmax(np.bincount(label))
-    out = []
-    for k in np.flatnonzero(label != large).tolist():
-        near = tree.near(k, percent)
-        near = near[label[near] != label[k]]
-        if not len(near):
-            continue
-        mine = int(tree.order[k])
-        tried = failed.get(mine, ())
-        taken: dict[int, int] = {}
-        for j, other in zip(tree.order[near].tolist(), label[near].tolist(), strict=True):
-            if taken.get(other, 0) < most and j not in tried and mine not in failed.get(j, ()):
-                taken[other] = taken.get(other, 0) + 1
-                out.append((mine, j))
-        for other in taken:
-            label[label == other] = label[k]
-    return out
-
-
-def tree_candidates(rows: DataFrame, percent: int, most: int) -> DataFrame:
-    """``rows(sig, id, comp, n, vec, failed)`` to ``(sig, a, b)``: pairs to verify next; ``failed`` lists ids that ``id`` need not be tried with."""
+def verified(pairs: DataFrame, made: DataFrame, percent: int, share: int = 1000) -> DataFrame:
+    """The ``(a, b)`` whose sets link. A set ``a`` is sent once for ``share`` of its pairs."""
+    parts = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(*) / {share}.0D) as long)").alias("parts"))
+    keyed = pairs.join(parts, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("key"))
+    first = keyed.select("key", F.col("a").alias("v")).distinct().join(made, "v").select("key", F.lit(0).alias("side"), F.col("v").alias("a"), F.col("v").alias("b"), "items")
+    rest = keyed.join(made.withColumnRenamed("v", "b"), "b").select("key", F.lit(1).alias("side"), "a", "b", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_runs(batches, "sig"):
-            sig, ids, comp, n = (table.column(c).to_numpy() for c in ("sig", "id", "comp", "n"))
-            vec, failed = table.column("vec"), table.column("failed").to_pylist()
-            start = np.r_[np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]), len(sig)]
-            found: list[tuple[int, int, int]] = []
-            for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
-                points = np.frombuffer(b"".join(vec.slice(a, b - a).to_pylist()), np.uint8).reshape(-1, GROUPS)
-                at = {x: k for k, x in enumerate(ids[a:b].tolist())}
-                known = {k: {at[x] for x in failed[a + k] if x in at} for k in range(b - a) if failed[a + k]}
-                for x, y in joining_pairs(RTree(points, n[a:b], comp[a:b]), percent, most, known):
-                    x, y = int(ids[a + x]), int(ids[a + y])
-                    found.append((int(sig[a]), min(x, y), max(x, y)))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["sig", "a", "b"])
+        key, own = None, []
+        for batch in batches:
+            keys, sides = batch.column("key").to_pylist(), batch.column("side").to_pylist()
+            keep = []
+            for k, side, raw in zip(keys, sides, batch.column("items"), strict=True):
+                if k != key:
+                    key, own = k, []
+                if not side:
+                    own.append(unpacked(raw.as_py()))
+                other = unpacked(raw.as_py()) if side else None
+                keep.append(bool(side) and any(alike(x, other, percent) for x in own))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, a long, b long")
+    return by_key(first.unionByName(rest), "side").mapInArrow(run, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``sets`` of all rows, and ``(id, component)`` of the ids in groups: copies with their least id, then verified links."""
+    """``sets`` of all rows with text, and ``(id, component)`` of the ids that have shingles."""
     docs = docs.where("text is not null")
     sets = save(describe(docs, width), "sets")
     most = sets.agg(F.max("n")).first()[0] or 0
-    bands = Bands(percent, most)
-    filled = sets.where("n > 0 and id is not null")
-    least = filled.groupBy("s1", "s2", "n").agg(F.min("id").alias("b"), F.count("*").alias("k")).where("k > 1")
-    copies = filled.join(least, ["s1", "s2", "n"]).where("id <> b").select(F.col("id").alias("a"), "b")
-    copies = save(copies, "copies")
-
-    members = save(blocks(docs, width, bands), "blocks")
-    tried = members.where("id <> centre").groupBy(F.col("centre").alias("a"), F.col("id").alias("b")).agg(F.greatest(F.sum(F.expr("if(meta % 2 = 0, meta div 4, 0)")), F.sum(F.expr("if(meta % 2 = 1, meta div 4, 0)"))).alias("shared"))
-    tried = save(tried, "tried")
-    first = save(judge(tried, one_per_id(sets), percent), "judged")
-    edges = save(copies.union(first.where("sure = 1").select("a", "b")).union(verified(first.where("sure = 0").select("a", "b"), docs, width, percent)), "edges")
-
-    each = one_per_id(sets).select("id", "n", "vec")
-    failed = failures(tried.select("a", "b"), edges)
-    most = 8
-    groups = save(connected_components(edges), "groups")
-    while True:
-        rows = members.select("sig", "id").join(groups, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("comp"))
-        block = Window.partitionBy("sig")  # no larger than a block
-        rows = rows.withColumns({"low": F.min("comp").over(block), "high": F.max("comp").over(block), "k": F.count("*").over(block)}).where("low <> high and k > 2").select("sig", "id", "comp")  # two have been tried
-        listed = failed.groupBy("id").agg(F.collect_set("other").alias("failed"))
-        asked = save(tree_candidates(rows.join(each, "id").join(listed, "id", "left").select("sig", "id", "comp", "n", "vec", "failed"), percent, most), "tree-pairs")
-        if asked.isEmpty():
-            return sets, groups
-        rest = save(asked.select("a", "b").distinct(), "pairs")
-        members = save(members.select("sig", "id").join(asked.select("sig").distinct(), "sig"), "open-blocks")  # a block with no pair left stays so
-        more = save(verified(rest, docs, width, percent), "links")
-        failed = save(failed.unionByName(failures(rest, more)), "failed")
-        if not more.isEmpty():
-            groups = save(joined_components(groups, more), "groups")
-        most *= 16
-
-
-def failures(tried: DataFrame, linked: DataFrame) -> DataFrame:
-    """``(id, other)`` of pairs that did not link; kept with the second, since the first may be a centre tried with very many."""
-    order = [F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")]
-    gone = tried.select("a", "b", *order).join(linked.select(*order).distinct(), ["x", "y"], "left_anti")
-    return gone.select(F.col("b").alias("id"), F.col("a").alias("other"))
-
-
-def one_per_id(sets: DataFrame) -> DataFrame:
-    """``(id, n, vec, alike)``: rows that repeat an id are one vertex; the larger set stands for them where they differ, that is, are not ``alike``."""
-    alike = (F.min("s1") == F.max("s1")) & (F.min("s2") == F.max("s2"))
-    return sets.where("id is not null and n > 0").groupBy("id").agg(F.max("n").alias("n"), F.max_by("vec", "n").alias("vec"), alike.alias("alike"))
+
+    filled = sets.where("n > 0 and id is not null").select("id", "n", "s1", "s2")
+    least = filled.groupBy("n", "s1", "s2").agg(F.min("id").alias("v"))
+    names = save(filled.join(least, ["n", "s1", "s2"]).select("id", "v").distinct(), "names")
+    same = names.groupBy("id").agg(F.min("v").alias("b"), F.max("v").alias("c")).where("b <> c").select("id", "b")  # ids that repeat with another text
+    same = names.join(same, "id").where("v <> b").select(F.col("v").alias("a"), "b")
+
+    members = blocks(docs, width, Bands(percent, most)).join(names, "id").select("block", "v").distinct()
+    members = save(members, "blocks")
+    points = save(sets.join(members.select("v").distinct(), sets["id"] == F.col("v"), "left_semi").dropDuplicates(["id", "s1", "s2"]).select(F.col("id").alias("v"), "n", "vec"), "points")
+
+    asked = save(tree_pairs(first_tiles(members).join(points, "v"), percent), "asked")
+    made = sets_of(asked.select(F.explode(F.array("a", "b")).alias("v")).distinct(), docs, width)
+    groups = save(connected_components(verified(asked, made, percent).unionByName(same)), "groups")
+
+    again = members.join(groups.withColumnRenamed("id", "v"), "v", "left").select("block", "v", F.coalesce("component", "v").alias("comp"))
+    left = save(open_members(second_tiles(again).join(points, "v"), percent), "open")
+    rest = save(left.select("v").join(made, "v", "left_anti").distinct(), "rest")  # of blocks with several tiles
+    if not rest.isEmpty():
+        made = made.unionByName(sets_of(rest, docs, width))
+    more = save(tree_links(left.join(made, "v"), percent).distinct(), "links")
+    groups = joined_components(groups, more)
+    comps = names.join(groups.withColumnRenamed("id", "v"), "v", "left").groupBy("id").agg(F.min(F.coalesce("component", "v")).alias("component"))
+    return sets, save(comps, "components")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -424,3 +553,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     sets, groups = links(docs, width, percent)
     rows = sets.select("id", "n").unionByName(docs.where("text is null").select("id", F.lit(0).cast("long").alias("n")))
     return rows.join(groups, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` of the least id of each group, one row of each id; rows with a null id all stay, and so do texts without words.
+
+    Of rows that repeat the id, the one with the longest text stays, then the first in order of the text; rows that are the same are one.
+    """
+    groups = jaccard_components(docs.select(id_col, text_col), width, percent, id_col, text_col).where(F.col(id_col).isNotNull())
+    gone, again = free_names(docs, "gone", "again")
+    drop = save(groups.groupBy(id_col).agg((F.min("component_id") != F.col(id_col)).alias("linked"), F.count("*").alias("rows")).where("linked or rows > 1").select(F.col(id_col).alias(gone), F.expr("not linked").alias(again)), "gone")
+    rows = docs.join(drop, docs[id_col].cast("long") == drop[gone], "left").where(F.col(gone).isNull() | F.col(again))
+    if drop.where(F.col(again)).isEmpty():
+        return rows.drop(gone, again)
+    plain = [F.xxhash64(c) for c, t in docs.dtypes if "map<" not in t]
+    order = F.struct(F.coalesce(-F.char_length(text_col), F.lit(1)), F.coalesce(text_col, F.lit("")), *plain)
+    repeated = rows.where(F.col(again)).groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), order).alias(again)).select(F.col(again))
+    return rows.where(F.col(again).isNull()).drop(gone, again).unionByName(repeated.select(f"{again}.*"))

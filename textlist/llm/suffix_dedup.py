@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard_join import whole_runs
+from .jaccard_join import runs
 from .suffix_array import suffix_array
 from .textbytes import mixed, text_slices, window_hashes
 
@@ -238,7 +238,7 @@ def spans(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for table in whole_runs(batches, "h"):
+        for table, _ in runs(batches, "h", 1 << 62):
             held.append(table)
             n += table.num_rows
             if n >= PIECES:
