@@ -11,7 +11,7 @@ import pytest
 
 from textlist.llm import decontaminate, jaccard_join, line_dedup, suffix_dedup
 from textlist.llm.jaccard_join import Bands, Points, RTree, count_vector, runs
-from textlist.llm.common import connected_components
+from textlist.llm.common import connected_components, save
 from textlist.llm.suffix_array import suffix_array
 
 WORDS = [f"w{i}" for i in range(60)]
@@ -141,7 +141,7 @@ def test_runs_over_a_limit_come_in_parts():
         assert np.array_equal(np.concatenate([k for k, _ in found]), key)
         for value, n in ((0, 3), (1, 50), (2, 7), (3, 40)):
             parts = [whole for k, whole in found if value in k]
-            assert all(not w for w in parts) if n > 10 + size else parts == [True]
+            assert parts == [True] if n <= 10 else not any(parts) or size > n  # never both, which would give a block two names
 
 
 def test_tiles_lose_no_link(spark, monkeypatch):
@@ -250,6 +250,24 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_line_dedup_of_repeated_ids_and_clashing_names(spark):
+    line = "a line that is long enough to be looked at, and stands in many"
+    rows = [(1, line, 1, 2), (1, "unique text that must stay where it is, whatever the other row of the id", 3, 4), (1, line, 5, 6), (None, line, 7, 8), *[(k, f"{line}\n{k}", 9, 10) for k in range(2, 8)], (9, None, 0, 0)]
+    want = sorted(["", rows[1][1], "", "", *[str(k) for k in range(2, 7)], f"{line}\n7", ""])
+    for heavy in (2000, 3):  # the same by either way
+        out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, _keep int, n_lines int"), heavy_rows=heavy)
+        assert sorted(r["kept_text"] for r in out.collect()) == want and out.columns == ["doc_id", "text", "_keep", "n_lines", "_n_lines", "n_dropped", "kept_text"]
+        out = line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string, kept_text int, doc int"), heavy_rows=heavy)
+        assert sorted(r["text"] for r in out.collect()) == want and out.columns == ["doc_id", "text", "kept_text", "doc"]
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    lines = [f"line number {k} of a text with very many lines in it" for k in range(30_000)]
+    rows = [(1, "\n".join(lines)), *[(k, lines[29_999]) for k in range(2, 6)]]
+    out = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1]["n_lines"] == 30_000 and out[1]["n_dropped"] == 1 and out[1]["kept_text"] == "\n".join(lines[:-1]) and out[5]["kept_text"] == lines[29_999]
+
+
 def leaks(docs, items, width=5, percent=80):
     out = {}
     for d, t in docs:
@@ -282,3 +300,38 @@ def test_leaks(spark):
     got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in got.collect()} == leaks(docs, items)
     assert decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
+    # the same where items are too many to broadcast
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=0)
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in got.collect()} == leaks(docs, items)
+
+
+def test_leaks_of_odd_rows(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    docs = [(None, f"x {item}", 1, "a"), (1, f"{item} y {item}", 1, "b"), (1, "clean words of the same id", 1, "c"), (1, f"{item} y {item}", 1, "b"), (2, "clean", 1, "d"), (3, f"{'long ' * 60_000}{item}", 1, "e"), (4, None, 1, "f")]
+    df, bench = spark.createDataFrame(docs, "doc_id int, text string, print int, doc string"), spark.createDataFrame([(7, item), (7, item), (None, None)], "item_id int, text string")
+    got = decontaminate.leaks(df, bench)
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([(None, 7, 1.0, 1, 20), (1, 7, 1.0, 0, 20), (3, 7, 1.0, 60_000, 20)], got.schema).collect()))
+    kept = decontaminate.clean_documents(df, bench)
+    assert kept.columns == df.columns and sorted(r["doc"] for r in kept.collect()) == ["c", "d", "f"]
+    assert decontaminate.clean_documents(df.where("false"), bench).count() == 0
+
+
+def test_candidates_are_few_and_lose_little(spark):
+    """All windows at the threshold against those that pass the parts and the radius; candidates against all pairs."""
+    rng = random.Random(11)
+    items = [(k, " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(40))) for k in range(60)]
+    docs = []
+    for d in range(300):
+        said = words(rng.choice(items)[1])
+        at = rng.randrange(4, 30)
+        said[at] = "changed"  # five of 36 shingles: similarity 31 / 41
+        if d % 2:
+            said[at + 3] = "changed too"
+        docs.append((d, " ".join([*(f"lead{rng.randrange(9)}" for _ in range(rng.randrange(40))), *said])))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = leaks(docs, items, 5, 70)
+    got = decontaminate.leaks(df, bench, percent=70)
+    assert len(want) > 100 and len({(r["doc_id"], r["item_id"]) for r in got.collect()} & set(want)) >= 0.98 * len(want)
+    prints = save(decontaminate.item_prints(bench, 5), "prints")
+    found = decontaminate.candidates(df, prints, 500_000).select("doc_id", "item").distinct().count()
+    assert found <= 2 * 300 < 0.05 * 300 * 60

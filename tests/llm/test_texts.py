@@ -1,6 +1,7 @@
 """Classifiers, licenses, pages, media and mixing."""
 
 import textwrap
+import time
 import zlib
 
 import duckdb
@@ -132,6 +133,43 @@ def test_pages_without_article_keep_all_but_clutter(spark):
     assert got == {(k, url): "\n".join(" ".join(x.split()) for x in want[k]) for k, url, _ in rows}
 
 
+LONG = " ".join(f"word{k}" for k in range(60))
+LAYOUTS = {
+    '<div class="content no-sidebar"><article>{}</article></div>': True,
+    '<div class="has-menu"><article>{}</article></div><ul class="menu"><li><a href="x">Home</a></ul>': True,
+    '<div class="search-results-page"><main>{}</main></div><div id="site-footer">Foot</div>': True,
+    '<form id="page"><div class="mainNav">Home</div><article>{}</article></form>': True,
+    '<div class="post">{}</div><div class="comments"><article class="comment"><p>nice</article><article class="comment"><p>bad</article></div>': False,
+    '<div class="notice">We close at six</div><div class="widget-area sidebar-left">Links</div><div class="text">{}</div>': False,
+    '<div class="warning"><div class="body">{}</div></div><div class="cookie-bar">Cookies</div>': False,
+}
+
+
+def test_pages_of_many_layouts(spark):
+    inner = f"<h1>Head</h1><p>{LONG}</p><p class='warning lead'>Mind this</p><div class='popular-science'><p>More</p></div><section class='comment-list'><p>Nice</p></section><ul class='share-buttons'><li>Send</ul><p>End <span class='ad'>Buy</span>"
+    rows = [(10 * h + k, f"https://h{h * k}.example/{k}", f"<html><body>{layout.format(inner)}</body></html>") for h in (0, 1) for k, layout in enumerate(LAYOUTS)]  # one host for all, then one for each
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(table(spark, rows * 2, "page_id long, url string, html string")).collect()}
+    for h in (0, 1):
+        for k, article in enumerate(LAYOUTS.values()):
+            want = ["Head", LONG, *["Mind this"] * article, "More", "End"]
+            assert got[10 * h + k] == "\n".join(want), (h, k)
+
+
+def test_very_deep_pages():
+    start = time.time()
+    for part in ("<div class='a'>", "<blockquote><i class='x'>", "<ul><li>", "<span class='ad'></p>"):
+        text = html_extract.extract(part * 20_000 + "<p>deep text", [])
+        assert text == ("" if "ad" in part else "deep text")
+    assert time.time() - start < 20
+
+
+def test_votes_that_tie(spark):
+    rows = [(k, "https://h.example/", f"<div class='{c}'><p>{LONG} {c}</div><div class='{d}'><p>x</div>") for k, (c, d) in enumerate((("a", "b"), ("b", "a")))]
+    once = html_extract.main_text(table(spark, rows, "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert once == html_extract.main_text(table(spark, rows[::-1], "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert all(LONG in r["text"] for r in once)
+
+
 def streams(*rows, **options):
     data = [np.frombuffer(r, np.uint8) for r in rows]
     return flac.encode(np.concatenate(data), np.r_[0, np.cumsum([len(d) for d in data])], **options)

@@ -7,13 +7,20 @@ best container: its largest article element, or else the least element that hold
 stay inside an article), footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments, told by tag, class, id and role.
 
-Each page is parsed on its own; the html is never shuffled: only ``(host, path, votes)`` rows are, and
-those are map-side combined, so a host with most of the pages is no hot group. The winners, a few short
-strings for each host, are broadcast only while their number is below ``broadcast_hosts``; beyond that the pages are joined by host.
+A name speaks for clutter as a whole (``sidebar``), by its last part (``site-header``) or, for some words, by its first
+(``comment-list``), but not after ``no`` or ``has`` (``no-sidebar``). Words that articles use as well (``warning``, ``popular``) count only
+as the whole name, and not for paragraphs and the like inside an article. What holds the page's article is never
+left out for its name, nor is, on pages without one, what holds most of the text, unless it is named as comments, menu or the like; and below a
+container that the host's pages have voted for only names inside it count.
+
+Each page is parsed on its own, in time linear in its length; the html is never shuffled: only ``(host, path, votes)`` rows are, and
+those are map-side combined, so a host with most of the pages is no hot group. A path needs a tenth of its host's votes, so there are
+ten for each host at most; pages of rarer layouts are read by their own container. The winners are broadcast only while their number is below
+``broadcast_hosts``; beyond that the pages are joined by host.
 
 Defined results: null or empty html gives an empty text; a null url belongs to the nameless host;
 pages cut off anywhere keep what they have, half a tag at the end is dropped; repeated rows
-each vote and each get a row; very long pages are read whole; an empty table gives an empty
+each vote and each get a row; paths with as many votes are tried in order of the path; very long and very deep pages are read whole; an empty table gives an empty
 result; columns other than page_id, url and html are not read.
 """
 
@@ -21,6 +28,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,28 +44,38 @@ BLOCKS = set("address article aside blockquote body center dd details dialog div
 SKIPPED = set("aside button canvas datalist dialog footer form head header iframe map menu nav noscript object option select svg template title".split())
 RAW = "script|style|textarea|xmp|noframes"
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Parts of class names and ids, and roles, of what is not the article.
+#: Names of what is not the article, as whole class names, ids or roles, or as the last part of one.
 CLUTTER = set(
-    "ad ads adbox adslot advert adverts advertisement advertising alert announcement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer "
-    "discussion disqus drawer feedback footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification "
-    "pager pagination paywall popular popup promo promoted promotion recommended related replies reply respond responses search share sharing sidebar signup skip social "
-    "sponsor sponsored subscribe subscription toolbar topbar trending warning widget widgets complementary contentinfo".split()
+    "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
+    "disqus footer gdpr header masthead menu modal nav navbar navigation newsletter pager pagination paywall popup promo "
+    "respond share sharing sidebar signup sponsor sponsored subscribe subscription toolbar topbar widget widgets complementary contentinfo".split()
 )
+#: Of these, those that speak as the first part of a name as well.
+LEADS = CLUTTER - set("header complementary contentinfo subscription signup paywall respond masthead".split()) | {"related", "skip"}
+#: Names that articles use as well.
+SOFT = set("alert announcement disclaimer discussion drawer feedback login notice notices notification popular promoted promotion recommended related replies reply response responses search skip social trending warning".split())
+#: What is left out however much of the page it holds.
+NEVER = set("comment comments commentlist disqus respond footer menu nav navbar navigation sidebar cookie cookies consent gdpr ad ads advert adverts advertisement breadcrumb breadcrumbs pagination".split())
+#: First parts that turn a name round.
+TURNS = set("no has with without not is hide show js".split())
+#: Tags that hold running text.
+TEXT_TAGS = set("p li dt dd td th tr h1 h2 h3 h4 h5 h6 pre blockquote figcaption b i em strong span a abbr cite code mark q small sub sup time u".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROOTS = {"html", "body", "article", "main"}
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
-NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @dataclass
 class Node:
     tag: str
-    path: str
-    skip: bool
+    step: str  # tag and classes
     parent: int
-    headings: bool = False  # of what is skipped, headings stay
-    size: int = 0  # characters of text below
+    mark: int  # clutter: 0 no, 1 by a name that articles use too, 2 by name, 3 by name and never pardoned, 4 by tag
+    inside: bool  # below an article or main
+    header: bool  # of an article: its headings stay
+    size: int = 0  # characters of own text
     linked: int = 0
 
 
@@ -66,6 +84,20 @@ class Page:
     nodes: list[Node] = field(default_factory=list)
     blocks: list[tuple[int, str]] = field(default_factory=list)  # the node that holds it, its text
 
+    def path(self, k: int) -> str:
+        steps = []
+        while k > 0:
+            steps.append(self.nodes[k].step)
+            k = self.nodes[k].parent
+        return ">".join(reversed(steps))
+
+    def sums(self, own: list[int]) -> list[int]:
+        """Of each node, what it and all below it have."""
+        own = list(own)
+        for k in range(len(own) - 1, 0, -1):
+            own[self.nodes[k].parent] += own[k]
+        return own
+
 
 def attributes(text: str) -> dict[str, str]:
     return {(m[1] or m[5]).lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)} if text.strip(" /") else {}
@@ -73,25 +105,33 @@ def attributes(text: str) -> dict[str, str]:
 
 def parse(html: str) -> Page:
     """Elements that hold blocks, and the text blocks in page order."""
-    page = Page([Node("", "", False, -1)])
+    page = Page([Node("", "", -1, 0, False, False)])
     stack, text, links, linked = [0], [], 0, 0
+    open_tags: Counter[str] = Counter()
+    mute = 0  # where an inline element that is clutter lies on the stack; what it holds is no part of the block around it
 
     def flush() -> None:
         nonlocal linked
         if text and (said := " ".join(entities.unescape("".join(text)).split())):
-            page.blocks.append((stack[-1], said))
-            page.nodes[stack[-1]].size += len(said)
-            page.nodes[stack[-1]].linked += min(linked, len(said))
+            holder = stack[mute - 1 if mute else -1]
+            page.blocks.append((holder, said))
+            page.nodes[holder].size += len(said)
+            page.nodes[holder].linked += min(linked, len(said))
         text.clear()
         linked = 0
 
     def close(upto: int) -> None:
-        flush()
+        nonlocal mute
+        if not mute or upto < mute:
+            flush()
+        if mute >= upto:
+            mute = 0
+        open_tags.subtract(page.nodes[k].tag for k in stack[upto:])
         del stack[upto:]
 
     at = 0
     for m in TOKEN.finditer(html):
-        if m.start() > at:
+        if m.start() > at and not mute:
             text.append(html[at : m.start()])
             linked += (m.start() - at) * (links > 0)
         at = m.end()
@@ -104,106 +144,180 @@ def parse(html: str) -> Page:
             text.append(" " if tag != "wbr" else "")
         if not html[at - 1] == ">" and at == len(html):
             break  # half a tag at the end
-        block, held = tag in BLOCKS, tag in SKIPPED or tag in BLOCKS
-        if not held and not closing and m[4] and tag not in VOID and clutter(attributes(m[4])):
-            held = True  # an inline element that is not the article's
+        block = tag in BLOCKS
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if page.nodes[stack[k]].tag == tag:
-                    close(k)
-                    break
-            else:
-                if block:
-                    flush()
+            if open_tags[tag] > 0:
+                for k in range(len(stack) - 1, 0, -1):
+                    if page.nodes[stack[k]].tag == tag:
+                        close(k)
+                        break
+            elif block and not mute:
+                flush()
             continue
-        if not held:
+        has = attributes(m[4]) if m[4] and tag not in VOID else {}
+        above = page.nodes[stack[-1]]
+        inside = above.inside or above.tag in ("article", "main")
+        mark = 4 if tag in SKIPPED else 0 if tag in ROOTS else named(has, inside and tag in TEXT_TAGS)
+        if not block and not mark:
             continue
         if block:
-            flush()
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph; an item ends the item before it
+            if not mute:
+                flush()
+            for k in range(len(stack) - 1, mute, -1):  # a block ends an open paragraph; an item ends the item before it
                 open_tag = page.nodes[stack[k]].tag
-                if open_tag == "p" or open_tag in HEADINGS and tag in HEADINGS:
-                    close(k)
-                    break
-                if tag in ("li", "dt", "dd", "tr", "option") and open_tag == tag:
+                if open_tag == "p" or open_tag in HEADINGS and tag in HEADINGS or open_tag == tag and tag in ("li", "dt", "dd", "tr", "option"):
                     close(k)
                     break
-                if open_tag in ("ul", "ol", "dl", "table", "div", "article", "section", "body"):
+                if open_tag in BLOCKS and open_tag not in HEADINGS:
                     break
-        elif tag in SKIPPED:
-            flush()
+            above = page.nodes[stack[-1]]
         if tag in VOID or m[4].rstrip().endswith("/") and tag not in BLOCKS | SKIPPED:
             continue
-        above = page.nodes[stack[-1]]
-        has = attributes(m[4])
-        aside = tag in SKIPPED or tag not in ROOTS and clutter(has)
-        inside = any(page.nodes[k].tag in ("article", "main") for k in stack)
-        head = aside and inside and not above.skip and (tag == "header" or "header" in parts(has)) and not parts(has) & (CLUTTER - {"header"})
         names = ".".join(sorted(x for x in re.sub(r"\d+", "", has.get("class", "")).lower().split() if x))
-        stack.append(len(page.nodes))
-        page.nodes.append(Node(tag, f"{above.path}>{tag}" + (f".{names}" if names else ""), above.skip or aside, stack[-2], head or above.headings))
-    if at < len(html):
-        rest = html[at:]
-        text.append(re.sub(r"<[/!a-zA-Z][^<]*\Z", "", rest))
+        page.nodes.append(Node(tag, tag + (f".{names}" if names else ""), stack[-1], mark, inside, inside and mark > 0 and (tag == "header" or "header" in parts(has)) and not words_of(has) & CLUTTER - {"header"}))
+        stack.append(len(page.nodes) - 1)
+        open_tags[tag] += 1
+        if not block and not mute:
+            mute = len(stack) - 1
+    if at < len(html) and not mute:
+        text.append(re.sub(r"<[/!a-zA-Z][^<]*\Z", "", html[at:]))
     flush()
-    for node in reversed(page.nodes[1:]):
-        if not node.skip or node.headings:
-            page.nodes[node.parent].size += node.size
-            page.nodes[node.parent].linked += node.linked
     return page
 
 
+def words_of(has: dict[str, str]) -> set[str]:
+    return set(f"{has.get('class', '')} {has.get('id', '')} {has.get('role', '')}".lower().split())
+
+
 def parts(has: dict[str, str]) -> set[str]:
     return {x.lower() for x in NAME_PARTS.findall(f"{has.get('class', '')} {has.get('id', '')} {has.get('role', '')}")}
 
 
-def clutter(has: dict[str, str]) -> bool:
-    return bool(has) and (bool(parts(has) & CLUTTER) or "hidden" in has or has.get("aria-hidden") == "true" or "display:none" in has.get("style", "").replace(" ", "").lower())
+def named(has: dict[str, str], running: bool) -> int:
+    """How an element's names and attributes mark it; ``running``: it holds running text of an article."""
+    if not has:
+        return 0
+    if "hidden" in has or has.get("aria-hidden") == "true" or "display:none" in has.get("style", "").replace(" ", "").lower():
+        return 3
+    most = 0
+    for name in f"{has.get('class', '')} {has.get('id', '')} {has.get('role', '')}".split():
+        split = [x.lower() for x in NAME_PARTS.findall(name)]
+        if not split or split[0] in TURNS:
+            continue
+        whole = split[0] if len(split) == 1 else ""
+        if split[-1] in CLUTTER or split[0] in LEADS:
+            most = max(most, 3 if split[-1] in NEVER or split[0] in NEVER else 2)
+        elif whole in SOFT and not running:
+            most = max(most, 1)
+    return most
+
+
+def main_node(page: Page, unlinked: list[int], total: int) -> int:
+    """The article element with most text of its own, or else the main element; 0 where neither has a quarter of the page's text."""
+    bad = [False] * len(page.nodes)
+    for k, n in enumerate(page.nodes[1:], 1):
+        bad[k] = bad[n.parent] or n.mark >= 3 and n.tag != "form"
+    for tag in ("article", "main"):
+        k = max((k for k, n in enumerate(page.nodes) if n.tag == tag and not bad[k]), key=lambda k: unlinked[k], default=0)
+        if k and unlinked[k] > 0 and 4 * unlinked[k] >= total:
+            return k
+    return 0
+
+
+def judge(page: Page) -> tuple[list[bool], int]:
+    """Whether each node is clutter by itself, and the node of the article, or 0."""
+    own = [n.size - n.linked for n in page.nodes]
+    unlinked = page.sums(own)
+    # of an article, what stands in marked elements below it is not its own
+    kept = list(own)
+    for k in range(len(kept) - 1, 0, -1):
+        if page.nodes[k].mark < 2:
+            kept[page.nodes[k].parent] += kept[k]
+    best = main_node(page, kept, kept[0] + sum(x for k, x in enumerate(kept) if k and page.nodes[k].mark == 2))
+    skip = [n.mark > 0 for n in page.nodes]
+    if best:
+        k = best
+        while k > 0:
+            skip[k] = False
+            k = page.nodes[k].parent
+    else:
+        for k, n in enumerate(page.nodes):
+            if (n.mark in (1, 2) or n.tag == "form") and 2 * unlinked[k] > unlinked[0]:
+                skip[k] = False
+    return skip, best
+
+
+def shown_below(page: Page, skip: list[bool], top: set[int]) -> list[bool]:
+    """Whether a block held by each node is shown, below the elements ``top``; only marks below these count."""
+    state = [0] * len(page.nodes)  # 0 outside, 1 shown, 2 left out, 3 left out but for headings
+    for k, n in enumerate(page.nodes):
+        up = state[n.parent] if k else 0
+        if k in top and up == 0:
+            state[k] = 1
+        elif up == 1 and skip[k]:
+            state[k] = 3 if n.header else 2
+        elif up == 3 and (n.tag in HEADINGS or skip[k]):
+            state[k] = 1 if n.tag in HEADINGS else 2
+        else:
+            state[k] = up
+    return [x == 1 for x in state]
+
+
+def best_container(page: Page, skip: list[bool], best: int) -> int:
+    """The node of the article, or else of the deepest element that holds all text that is shown; -1 where none is."""
+    if best:
+        return best
+    shown = shown_below(page, skip, {0})
+    own = [0] * len(page.nodes)
+    for k, said in page.blocks:
+        own[k] += len(said) * shown[k]
+    held = page.sums(own)
+    deep = [0] * len(page.nodes)
+    for k, n in enumerate(page.nodes[1:], 1):
+        deep[k] = deep[n.parent] + 1
+    return max(((deep[k], -k, k) for k, n in enumerate(page.nodes) if n.tag not in ("p", "li", *HEADINGS) and held[k] == held[0] > 0), default=(0, 0, -1))[2]
 
 
-def shown(page: Page, k: int) -> bool:
-    """Whether a block held by node ``k`` belongs to the page's own text."""
-    node = page.nodes[k]
-    if not node.skip:
-        return True
-    if not node.headings:
-        return False
-    while k > 0 and page.nodes[k].tag not in HEADINGS:
-        k = page.nodes[k].parent
-    return k > 0
+def vote(html: str) -> str:
+    """The path of a page's own container."""
+    page = parse(html)
+    return page.path(max(0, best_container(page, *judge(page))))
 
 
-def best_container(page: Page) -> str:
-    """The path of the article element with most text, or else of the deepest element that holds all text that is shown."""
-    clean = [(n.size - n.linked if not n.skip else 0) for n in page.nodes]
-    for tag in ("article", "main"):
-        k = max((k for k, n in enumerate(page.nodes) if n.tag == tag), key=lambda k: clean[k], default=0)
-        if k and clean[k] > 0 and 4 * clean[k] >= clean[0]:
-            return page.nodes[k].path
-    held = [0] * len(page.nodes)
-    for k, said in page.blocks:
-        held[k] += len(said) * shown(page, k)
-    for k in range(len(page.nodes) - 1, 0, -1):
-        held[page.nodes[k].parent] += held[k]
-    return max(((n.path.count(">"), -k, n.path) for k, n in enumerate(page.nodes) if n.tag not in ("p", "li", *HEADINGS) and held[k] == held[0] > 0), default=(0, 0, ""))[2]
+def nodes_at(page: Page, paths: list[str]) -> list[set[int]]:
+    """The nodes of each path."""
+    numbers: dict[tuple[int, str], int] = {}
+    ends = []
+    for path in paths:
+        at = 0
+        for step in path.split(">"):
+            at = numbers.setdefault((at, step), len(numbers) + 1)
+        ends.append(at)
+    found: dict[int, set[int]] = {end: set() for end in ends}
+    where = [0] * len(page.nodes)
+    for k, n in enumerate(page.nodes[1:], 1):
+        where[k] = numbers.get((where[n.parent], n.step), -1) if where[n.parent] >= 0 else -1
+        if where[k] in found:
+            found[where[k]].add(k)
+    return [found[end] for end in ends]
 
 
-def below_path(page: Page, path: str) -> str:
-    """The shown blocks below the elements of a path."""
-    below = [n.path == path for n in page.nodes]
-    for k, n in enumerate(page.nodes):
-        below[k] |= n.parent >= 0 and below[n.parent]
-    return "\n".join(t for k, t in page.blocks if below[k] and shown(page, k))
+def below(page: Page, skip: list[bool], top: set[int]) -> str:
+    shown = shown_below(page, skip, top)
+    return "\n".join(t for k, t in page.blocks if shown[k])
 
 
-def extract(page: Page, paths: list[str]) -> str:
+def extract(html: str, paths: list[str]) -> str:
     """The blocks below the first of ``paths`` that has text, else below the page's own best container.
 
     A path that ends in no article element was voted for by pages without one: it must hold as much of this page as the page's own container.
     """
-    own = below_path(page, best_container(page))
-    for path in paths:
-        said = below_path(page, path)
+    page = parse(html)
+    skip, best = judge(page)
+    k = best_container(page, skip, best)
+    own = below(page, skip, {k}) if k >= 0 else ""
+    for path, top in zip(paths, nodes_at(page, paths), strict=True):
+        said = below(page, skip, top) if top else ""
         if said and (path.rsplit(">", 1)[-1].split(".")[0] in ("article", "main") or len(said) >= len(own)):
             return said
     return own
@@ -218,18 +332,18 @@ def votes(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [best_container(parse(h or "")) for h in batch.column(1).to_pylist()]
+            found = [vote(h or "") for h in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["host", "path"])
 
     named = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string")
     return named.where("path <> ''").groupBy("host", "path").agg(F.count("*").alias("votes"))
 
 
-def winning_paths(pages: DataFrame, least: float = 0.1, most: int = 8) -> DataFrame:
+def winning_paths(pages: DataFrame, least: float = 0.1) -> DataFrame:
     """``(host, paths)``: paths with at least a share ``least`` of their host's votes, most votes first."""
     order = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
     v = votes(pages).withColumns({"rank": F.row_number().over(order), "all": F.sum("votes").over(Window.partitionBy("host"))})
-    v = v.where((F.col("rank") <= most) & (F.col("votes") >= least * F.col("all")))
+    v = v.where(F.col("votes") >= least * F.col("all"))
     return v.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
 
 
@@ -242,7 +356,7 @@ def main_text(pages: DataFrame, broadcast_hosts: int = 100_000) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [extract(parse(h or ""), p or []) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            found = [extract(h or "", p or []) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
