@@ -1,5 +1,6 @@
 """Classifiers, licenses, pages, media and mixing."""
 
+import hashlib
 import textwrap
 import time
 import zlib
@@ -175,7 +176,7 @@ def streams(*rows, **options):
     return flac.encode(np.concatenate(data), np.r_[0, np.cumsum([len(d) for d in data])], **options)
 
 
-@pytest.mark.parametrize("options", [{}, {"coefficients": (9, -3), "shift": 3}])
+@pytest.mark.parametrize("options", [{}, {"linear": True}, {"linear": False}])
 def test_flac_round_trip(options):
     rng = np.random.default_rng(1)
     rows = [bytes(rng.integers(0, 256, 64 * n, dtype=np.uint8)) for n in (1, 2, 3, 4, 5, 130)] + [b"\0" * 640, b"\0" * 250 + b"\xff" * 6, b"ab" * 3200]
@@ -183,6 +184,77 @@ def test_flac_round_trip(options):
     assert [bytes((got.samples[a:b] + 128).astype(np.uint8)) for a, b in zip(got.offsets, got.offsets[1:], strict=False)] == rows
 
 
+def plain_crc(data, poly, bits):
+    c = 0
+    for byte in data:
+        c ^= byte << (bits - 8)
+        for _ in range(8):
+            c = (c << 1 ^ (poly if c >> (bits - 1) else 0)) & ((1 << bits) - 1)
+    return c
+
+
+def ordinary_stream(channels, depth, block, layout=None, wasted=0, seek=False):
+    """A stream as other programs write it, bit by bit: verbatim, fixed and linear subframes in turn, four Rice partitions, an escaped one."""
+    n, body = len(channels[0]), b""
+    for number, at in enumerate(range(0, n, block)):
+        cut = [c[at : at + block] for c in channels]
+        m = len(cut[0])
+        head = bytes([0xFF, 0xF8, 0x70, ((len(channels) - 1) if layout is None else layout) << 4]) + chr(number).encode() + (m - 1).to_bytes(2)
+        bits = "".join(f"{b:08b}" for b in head + bytes([plain_crc(head, 7, 8)]))
+        if layout is not None:
+            a, b = cut
+            cut = {8: [a, [x - y for x, y in zip(a, b)]], 9: [[x - y for x, y in zip(a, b)], b], 10: [[(x + y) >> 1 for x, y in zip(a, b)], [x - y for x, y in zip(a, b)]]}[layout]  # noqa: B905
+        for c, x in enumerate(cut):
+            wide = depth + (layout in (8, 10) and c == 1 or layout == 9 and c == 0) - wasted
+            x = [v >> wasted for v in x]
+            raw = lambda v, w: f"{v & ((1 << w) - 1):0{w}b}"
+            kind = (number + c) % 3 if m % 4 == 0 else 0
+            bits += "0" + f"{(1, 10, 33)[kind]:06b}" + ("1" + "0" * (wasted - 1) + "1" if wasted else "0")
+            if kind == 0:
+                bits += "".join(raw(v, wide) for v in x)
+                continue
+            rest = [x[i] - (2 * x[i - 1] - x[i - 2] if kind == 1 else (7 * x[i - 1] - 3 * x[i - 2]) >> 2) for i in range(2, m)]
+            bits += raw(x[0], wide) + raw(x[1], wide) + ("" if kind == 1 else raw(5, 4) + raw(2, 5) + raw(7, 6) + raw(-3, 6)) + "01" + raw(2, 4)
+            for part in range(4):
+                own = rest[max(0, part * m // 4 - 2) : (part + 1) * m // 4 - 2]
+                folded = [2 * v if v >= 0 else -2 * v - 1 for v in own]
+                if part == 2:
+                    w = max((v.bit_length() + 1 for v in own), default=1)
+                    bits += raw(31, 5) + raw(w, 5) + "".join(raw(v, w) for v in own)
+                else:
+                    k = max(0, max(folded, default=0).bit_length() - 3)
+                    bits += raw(k, 5) + "".join("0" * (v >> k) + "1" + (raw(v, k) if k else "") for v in folded)
+        bits += "0" * (-len(bits) % 8)
+        frame = int(bits, 2).to_bytes(len(bits) // 8)
+        body += frame + plain_crc(frame, 0x8005, 16).to_bytes(2)
+    flat = b"".join(v.to_bytes(-(-depth // 8), "little", signed=True) for row in zip(*channels, strict=True) for v in row)
+    info = block.to_bytes(2) * 2 + bytes(6) + ((44100 << 44) | (len(channels) - 1 << 41) | (depth - 1 << 36) | n).to_bytes(8) + hashlib.md5(flat).digest()
+    tables = b"\x03" + (18).to_bytes(3) + bytes(16) + block.to_bytes(2) if seek else b""
+    return b"fLaC\x00" + (34).to_bytes(3) + info + tables + b"\x84" + (4).to_bytes(3) + b"note" + body
+
+
+@pytest.mark.parametrize("depth, count, layout, wasted", [(8, 1, None, 0), (16, 2, None, 0), (16, 2, 8, 0), (16, 2, 9, 0), (24, 2, 10, 0), (12, 3, None, 2), (20, 8, None, 0), (16, 1, None, 5)])
+def test_flac_of_other_programs(spark, depth, count, layout, wasted):
+    rng = np.random.default_rng(depth + count)
+    top = 1 << (depth - 1)
+    channels = [[int(v) >> wasted << wasted for v in np.clip(np.cumsum(rng.integers(-top // 50 - 2, top // 50 + 3, 500)), -top, top - 1)] for _ in range(count)]
+    channels[0][100:140] = [-top] * 20 + [top - (1 << wasted)] * 20
+    made = [ordinary_stream(channels, depth, 192, layout, wasted, seek) for seek in (False, True)]
+    got = flac.decode(made)
+    want = np.array(channels).T.ravel()
+    assert np.array_equal(got.samples, np.r_[want, want]) and got.channels.tolist() == [count] * 2 and got.sample[:3].tolist() == [0, 192, 384]
+    rows = media.pcm_blocks(spark.createDataFrame([(1, bytearray(made[0])), (2, None), (3, bytearray(made[0][:-9])), (4, bytearray(b"no"))], "doc_id long, media binary"), on_error="skip").orderBy("block").collect()
+    size = -(-depth // 8)
+    assert b"".join(r["pcm"] for r in rows) == b"".join(int(v).to_bytes(size, "little", signed=True) for v in want)
+    assert [(r["doc_id"], r["sample_offset"], r["n_samples"], r["channels"], r["bits"]) for r in rows] == [(1, a, min(192, 500 - a), count, depth) for a in (0, 192, 384)]
+    with pytest.raises(flac.Broken):
+        flac.decode([made[0][:-9]])
+
+
+def test_media_of_no_rows(spark):
+    assert media.pcm_blocks(media.store(table(spark, []))).count() == media.media_digest(table(spark, [])).count() == 0
+
+
 @pytest.mark.parametrize("at", [2, 20, 45, 70, -3, -1])
 def test_flac_faults_are_found(at):
     bad = bytearray(streams(b"some text " * 64)[0])

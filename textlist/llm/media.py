@@ -6,7 +6,7 @@ can seek by sample, and ``media_digest`` stores, reads back and sums up in one p
 
 Defined results: null and empty texts are 64 zero bytes of payload; very long texts are coded whole,
 frame by frame, in slices of at least one text; a null stream has no blocks; a stream that is not
-FLAC or fails a check sum raises, and names the fault, unless ``on_error="skip"``, which leaves out its
+FLAC, fails a check sum (``Broken``) or has over 24 bits a sample (``Unread``) raises, and names the fault, unless ``on_error="skip"``, which leaves out its
 blocks; repeated rows give equal rows; an empty table gives an empty result; columns other than the
 id and the text or stream are not read.
 """
@@ -53,7 +53,10 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", on_error: str = "raise") -> DataFrame:
-    """``(id, block, sample_offset, n_samples, pcm)``: signed 8-bit PCM of each frame of each stream."""
+    """``(id, block, sample_offset, n_samples, channels, bits, pcm)`` of each frame of each stream.
+
+    PCM is signed and little-endian, channels interleaved, in as many whole bytes as a sample needs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,20 +65,23 @@ def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
                     continue
                 try:
                     f = flac.decode([stream.as_py()])
-                except flac.Broken:
+                except (flac.Broken, flac.Unread):
                     if on_error != "skip":
                         raise
                     continue
-                pcm = f.samples.astype(np.int8).tobytes()
+                channels, bits = int(f.channels[0]), int(f.depth[0])
+                wide = channels * -(-bits // 8)
+                pcm = f.samples.astype("<i4").view(np.uint8).reshape(-1, 4)[:, : -(-bits // 8)].tobytes()
+                n = len(f.sample)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.repeat(batch.column(0)[i], len(f.sample)), pa.array(np.arange(len(f.sample))), pa.array(f.sample), pa.array(f.count),
-                        pa.array([pcm[a : a + n] for a, n in zip(f.sample, f.count, strict=True)], pa.binary()),
-                    ], [id_col, "block", "sample_offset", "n_samples", "pcm"],
+                        pa.repeat(batch.column(0)[i], n), pa.array(np.arange(n)), pa.array(f.sample), pa.array(f.count), pa.array(np.full(n, channels, np.int32)), pa.array(np.full(n, bits, np.int32)),
+                        pa.array([pcm[wide * a : wide * (a + m)] for a, m in zip(f.sample.tolist(), f.count.tolist(), strict=True)], pa.binary()),
+                    ], [id_col, "block", "sample_offset", "n_samples", "channels", "bits", "pcm"],
                 )
 
     kind = media.schema[id_col].dataType.simpleString()
-    return media.select(id_col, media_col).mapInArrow(run, f"`{id_col}` {kind}, block long, sample_offset long, n_samples long, pcm binary")
+    return media.select(id_col, media_col).mapInArrow(run, f"`{id_col}` {kind}, block long, sample_offset long, n_samples long, channels int, bits int, pcm binary")
 
 
 def features(samples: np.ndarray, offsets: np.ndarray) -> list[str]:
@@ -120,3 +126,20 @@ def media_digest(docs: DataFrame) -> DataFrame:
 
 
 NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+
+
+def block_digest(docs: DataFrame) -> DataFrame:
+    """``(doc_id, block, sample_offset, n_samples, pcm)``: the stored streams of all texts, read back block by block; PCM as hexadecimal."""
+    rows = pcm_blocks(store(docs.select("doc_id", "text")))
+    return rows.select("doc_id", "block", "sample_offset", "n_samples", F.hex("pcm").alias("pcm"))
+
+
+#: Samples are bytes less 128, so that as signed bytes their top bit is turned: half of each hexadecimal pair by a table.
+BLOCK_ORACLE = """
+WITH p AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, rpad(h, CAST(greatest(1, ceil(length(h) / 128.0)) AS INT) * 128, '0') AS h FROM p),
+b AS (SELECT doc_id, unnest(range(CAST(ceil(length(h) / 512.0) AS BIGINT))) AS block, h FROM w),
+c AS (SELECT doc_id, block, substr(h, block * 512 + 1, 512) AS h FROM b)
+SELECT doc_id, block, block * 256 AS sample_offset, length(h) // 2 AS n_samples,
+  array_to_string(list_transform(range(length(h) // 2), lambda i: translate(substr(h, 2 * i + 1, 1), '0123456789ABCDEF', '89ABCDEF01234567') || substr(h, 2 * i + 2, 1)), '') AS pcm FROM c
+"""

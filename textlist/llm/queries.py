@@ -42,6 +42,10 @@ def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(read_table(spark, sf_dir, "documents"))
 
 
+def flac_pcm_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.block_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -59,12 +63,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_html_extraction": op7_html_extraction,
     "op8_flac_media": op8_flac_media,
+    "flac_pcm_blocks": flac_pcm_blocks,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
+    "flac_pcm_blocks": media.BLOCK_ORACLE,
     "op9_decontamination": decontaminate.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
