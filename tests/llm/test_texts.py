@@ -1,5 +1,6 @@
 """Classifiers, licenses, pages, media and mixing."""
 
+import difflib
 import hashlib
 import textwrap
 import time
@@ -102,6 +103,36 @@ def test_licenses_of_documents_are_all_found(spark, sf):
     assert got == sorted((r["doc_id"], k) for r in docs.collect() for k, v in plain.items() for _ in range(r["text"].count(v)))
 
 
+def test_notices_of_one_block_are_all_found(spark):
+    lines = [f"This work is licensed beneath the GNU {x}General Public License, version 3." for x in ("", "Lesser ", "Affero ")]
+    lines += [f"This work is licensed beneath a Creative Commons Attribution{x} 4.0 International License." for x in ("", "-ShareAlike", "-NonCommercial")]
+    lines += ["Licensed beneath the Mozilla Public License, Version 2.0.", "Licensed beneath the Apache License, Version 2.0.", "This is free and unencumbered software released beneath the public domain."]
+    rows = [(1, "\n".join(lines)), (1, "\n".join(lines)), (2, None), (3, ""), (4, "word " * 200_000 + lines[0])]
+    got = license_scan.license_scan(table(spark, rows)).collect()
+    assert sorted(r["license"] for r in got if r["doc_id"] == 1) == sorted(2 * ["GPL", "LGPL", "AGPL", "CC-BY", "CC-BY-SA", "CC-BY-NC", "MPL", "Apache", "Unlicense"])
+    assert [(r["doc_id"], r["license"]) for r in got if r["doc_id"] != 1] == [(4, "GPL")]
+    assert license_scan.license_scan(table(spark, [])).count() == 0
+
+
+def test_reworded_templates_against_all_places():
+    """Each template with a word in twelve changed, the first one among them, is found; and the scan finds a template just where an alignment at every word does."""
+    scanner, rng = license_scan.Scanner(), np.random.default_rng(6)
+    for name, text, wanted, _ in scanner.templates:
+        said = text.replace("<version>", "2.0").split()
+        for at in range(0, len(said) // 12 * 12, 12):
+            said[at] = "changed"
+        block = " ".join([*rng.choice(["lead", "words"], 40), *said, *rng.choice(["more", "words"], 40)])
+        found = [m["license"] for a, b in scanner.blocks(block) for m in scanner.confirmed(block[a:b])]
+        assert found == [name], text
+        spoken = [w for w, _, _ in license_scan.word_spans(block)]
+        for _, _, other, _ in scanner.templates:
+            span, said = license_scan.window_size(other), ["2.0" if w.startswith("<") else w for w in other]
+            anywhere = any(
+                sum(m.size for m in difflib.SequenceMatcher(None, said, spoken[i : i + span], autojunk=False).get_matching_blocks()) >= 0.85 * len(other) for i in range(len(spoken)) if license_scan.may_reach(other, set(spoken[i : i + span]))
+            )
+            assert anywhere or not list(license_scan.places(other, spoken))
+
+
 PAGE = """<html><head><title>T</title><script>if (a < b) x("</p>")</script></head><body><header><h1>Site</h1></header><div id="cookie-notice">We use cookies</div><nav><ul><li>Home</ul></nav>
 <div class="post-{n}"><article class="story"><header><h1>Head&eacute;r</h1><p>by me</p></header><p>One <a href="x">link</a>
 two<br>more.<p>Three &lt;b&gt; <b>four<ul><li>a<li>b</ul><form><p>name</form><aside>see also</aside></article></div>

@@ -1,11 +1,11 @@
-"""License scans by exact wording differences, ranked by conditional compression.
+"""License scans by conditional compression and exact wording differences.
 
 Every cue word, with as many words before and after it as the longest template's window has, makes a candidate block; blocks that
-meet are one. Lines do not matter, so a wrapped notice is whole. Every template of which at least ``LEAST`` of the words stand in
-the block is compared with it word by word: the template's words are aligned with the block's, slots
-take the one word that stands there (a version, a year), and a template is confirmed if at least ``LEAST`` of its words are
-found in order and no more than a third as many foreign words stand between them. What is missing or extra is listed.
-A confirmed notice is compressed plainly and with its template as a zstandard raw dictionary; the share of bytes that this saves is its rank.
+meet are one. Lines do not matter, so a wrapped notice is whole. A block is compressed plainly and with each template as a zstandard raw dictionary;
+the share of bytes that a template saves is its rank, and templates are compared in this order, word by word: the template's words are
+aligned with the block's, slots take the one word that stands there (a version, a year), and a template is confirmed if at least ``LEAST`` of its words are
+found in order and no more than a third as many foreign words stand between them. What is missing or extra is listed. None is left uncompared for its rank, since a
+block may hold many notices; only templates of which too few words stand in the block at all are not tried.
 Of confirmed templates that overlap, the one with most words found, less two for each difference, is taken; then the better rank.
 
 Defined results: null and empty texts have no blocks; very long texts and long blocks are read whole; a text
@@ -28,13 +28,38 @@ from pyspark.sql import functions as F
 CUE = r"(?i)licen[cs]|copyright|warrant|redistribut|public\W+domain|spdx|permission\W+is\W+hereby|all\W+rights\W+reserved|creative\W+commons|\bcc[\s-]+by|binary\W+forms|unencumbered"
 LEAST = 0.85
 
+#: Parts of license bodies, as published. Fixed values.
+MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+    "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+MIT_WARRANTY = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+    "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+BSD_CONDITIONS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+BSD_CLAUSES = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
+    "other materials provided with the distribution."
+)
+BSD_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+ISC_WARRANTY = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+    "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
 #: Notices of common licenses, as published. <version>, <year> and <name> stand for one word each. Fixed values.
 TEMPLATES = {
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "SPDX-License-Identifier: MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        MIT_GRANT,
+        f"{MIT_GRANT} The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {MIT_WARRANTY}",
     ],
     "Apache": [
         "Licensed under the Apache License, Version <version>.",
@@ -50,8 +75,13 @@ TEMPLATES = {
     "LGPL": ["This work is licensed under the GNU Lesser General Public License, version <version>."],
     "AGPL": ["This work is licensed under the GNU Affero General Public License, version <version>."],
     "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. <version>. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Licensed under the Mozilla Public License, Version <version>."],
-    "BSD": ["Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "BSD": [
+        "Released under the BSD License.",
+        BSD_CONDITIONS,
+        f"{BSD_CONDITIONS} {BSD_CLAUSES} {BSD_WARRANTY}",
+        f"{BSD_CONDITIONS} {BSD_CLAUSES} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {BSD_WARRANTY}",
+    ],
+    "ISC": [ISC_GRANT, f"{ISC_GRANT} {ISC_WARRANTY}"],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "CC-BY-NC": ["Licensed under CC BY-NC <version>.", "This work is licensed under a Creative Commons Attribution-NonCommercial <version> International License."],
     "CC-BY-SA": ["Licensed under CC BY-SA <version>.", "This work is licensed under a Creative Commons Attribution-ShareAlike <version> International License."],
@@ -79,11 +109,19 @@ class Scanner:
         extra = {} if text is None else {"dict_data": zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)}
         return zstandard.ZstdCompressor(level=9, write_content_size=False, write_checksum=False, write_dict_id=False, **extra)
 
-    def saved(self, notice: str, k: int) -> float:
+    def saved(self, raw: bytes, k: int) -> float:
         """Share of the compressed size that template ``k`` saves."""
-        raw = notice.encode()
         return 1 - len(self.templates[k][3].compress(raw)) / len(self.plain.compress(raw))
 
+    def ranked(self, block: str, there: set[str]) -> list[tuple[float, int]]:
+        """Templates that may be in the block, most saved first."""
+        able = [k for k, (_, _, wanted, _) in enumerate(self.templates) if may_reach(wanted, there)]
+        if not able:
+            return []
+        raw = block.encode()
+        plain = len(self.plain.compress(raw))
+        return sorted(((1 - len(self.templates[k][3].compress(raw)) / plain, k) for k in able), key=lambda x: (-x[0], x[1]))
+
     def blocks(self, text: str) -> Iterator[tuple[int, int]]:
         """Character spans of candidate blocks."""
         first, last = -1, -1
@@ -103,22 +141,19 @@ class Scanner:
         """Templates found in the block."""
         words = word_spans(block)
         spoken = [w for w, _, _ in words]
-        there = set(spoken)
         found = []
-        for k, (name, _, wanted, _) in enumerate(self.templates):
-            if not may_reach(wanted, there):
-                continue
+        for rank, (_, k) in enumerate(self.ranked(block, set(spoken))):
+            name, _, wanted, _ = self.templates[k]
             for at in places(wanted, spoken):
                 odd = len(at["missing"]) + len(at["extra"])
                 start, end = words[at["first"]][1], words[at["end"] - 1][2]
-                saved = self.saved(block[start:end], k)
-                said = {"license": name, "saved": saved, "version": at["slot"], "missing": " ".join(at["missing"]), "extra": " ".join(at["extra"]), "start": start, "end": end}
-                found.append((2 * odd - (len(wanted) - len(at["missing"])), -saved, k, at["first"], at["end"], said))
+                said = {"license": name, "template": k, "version": at["slot"], "missing": " ".join(at["missing"]), "extra": " ".join(at["extra"]), "start": start, "end": end}
+                found.append((2 * odd - (len(wanted) - len(at["missing"])), rank, at["first"], at["end"], said))
         taken = [False] * len(words)
-        for *_, first, end, said in sorted(found, key=lambda f: f[:5]):
+        for *_, first, end, said in sorted(found, key=lambda f: f[:4]):
             if not any(taken[first:end]):
                 taken[first:end] = [True] * (end - first)
-                yield said
+                yield said | {"saved": self.saved(block[said["start"] : said["end"]].encode(), said["template"])}
 
 
 def words_before(text: str, at: int, n: int) -> int:
