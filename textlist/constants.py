@@ -78,4 +78,6 @@ OFF_PAGE_WORDS = ["table of contents", "notes", "about", "introduction", "summar
 KEY_WEIGHTS = {"producer": 1.0, "cuvee": 1.0, "vintage": 0.8, "region": 0.7, "country": 0.7, "grape_variety": 0.6}
 KEYS = list(KEY_WEIGHTS)
 KEY_COLUMNS = {"producer": "producer_name", "cuvee": "wine", "vintage": "vintage_config", "region": "region", "country": "country"}
+#: Added to a field's ratio where it is over 80. Fixed values.
+NEAR_BOOST = {"producer": 10, "cuvee": 5}
 DIRECT, FUZZY, PARTIAL = 100, 85, 70

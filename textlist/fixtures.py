@@ -48,7 +48,7 @@ SELECT CAST(o_orderkey AS STRING) AS entry_id, p_partkey AS true_row,
   CASE WHEN o_orderkey % 2 = 0 THEN r_name END AS region, CASE WHEN o_orderkey % 2 = 0 THEN n_name END AS country,
   CAST(NULL AS STRING) AS grape_variety
 FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)
-JOIN nation ON n_nationkey = p_partkey % 25 JOIN region ON r_regionkey = n_regionkey WHERE o_orderkey % 50 < 3
+JOIN nation ON n_nationkey = p_partkey % 25 JOIN region ON r_regionkey = n_regionkey
 """
 
 #: Corrections: the latest for each (field, original) counts.

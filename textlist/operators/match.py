@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.similarity import sorted_ratio, sorted_tokens
+from .search import distinct_keys, search, weighted, whole_key
 
 DESIGNATION = r"\s+(?:grand\s+cru|premier\s+cru|1er\s+cru)$"
 
@@ -74,14 +75,13 @@ def direct_match(items: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def pair_score(keys: list[str] = C.KEYS) -> Column:
-    """Weighted score of a joined pair over the fields the item has; ``{k}_r`` is the pair's ratio where the fields differ."""
+    """Weighted score of a joined pair over the fields the item has, from the ratio of each field's tokens."""
     parts, whole = [], []
     for k in keys:
-        w = C.KEY_WEIGHTS[k]
-        ratio = F.col(f"{k}_r")
-        boost = {"producer": 10, "cuvee": 5}.get(k, 0)
-        fuzzy = F.when(ratio > 80, F.least(F.lit(100.0), ratio + boost)).otherwise(ratio) if boost else ratio
-        parts.append(F.when(filled(k), F.when(F.col(f"{k}_n") == F.col(f"{k}_norm"), 100.0).otherwise(fuzzy) * w).otherwise(0.0))
+        w, boost = C.KEY_WEIGHTS[k], C.NEAR_BOOST.get(k, 0)
+        ratio = sorted_ratio(sorted_tokens(F.col(f"{k}_n")), sorted_tokens(F.col(f"{k}_norm")))
+        near = F.when(ratio > 80, F.least(F.lit(100.0), ratio + boost)).otherwise(ratio) if boost else ratio
+        parts.append(F.when(filled(k), F.when(F.col(f"{k}_n") == F.col(f"{k}_norm"), 100.0).otherwise(near) * w).otherwise(0.0))
         whole.append(F.when(filled(k), w).otherwise(0.0))
     total = reduce(Column.__add__, whole)
     return F.when(total > 0, reduce(Column.__add__, parts) / total).otherwise(0.0)
@@ -91,48 +91,30 @@ def grade(score: Column) -> Column:
     return F.when(score >= C.DIRECT, "direct").when(score >= C.FUZZY, "fuzzy").when(score >= C.PARTIAL, "partial").otherwise("no_match")
 
 
-def scored_pairs(items: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``(entry_id, catalog_row, score)`` of pairs at or above the partial threshold.
+def score_pairs(pairs: DataFrame, items: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``pairs(entry_id, catalog_row)`` with the weighted ``score`` of each."""
+    left, right = items.select("entry_id", *[f"{k}_n" for k in C.KEYS]), catalog.select("catalog_row", *[f"{k}_norm" for k in C.KEYS])
+    return pairs.join(left, "entry_id").join(right, "catalog_row").withColumn("score", pair_score()).select("entry_id", "catalog_row", "score")
 
-    No single field bounds the weighted sum, so every item meets every catalogue row; but the work is on distinct values: the ratio of
-    each pair of distinct values of a field is made once, and a pair of rows looks its ratios up. Items enter once for each distinct key.
-    """
-    keyed = items.groupBy(*[f"{k}_n" for k in C.KEYS]).agg(F.min("entry_id").alias("rep"))
-    wide = keyed.select("rep", *[f"{k}_n" for k in C.KEYS])
-    rows = catalog.select("catalog_row", *[f"{k}_norm" for k in C.KEYS])
-    wide = wide.withColumns({f"{k}_la": F.char_length(sorted_tokens(F.col(f"{k}_n"))) for k in C.KEYS})
-    rows = rows.withColumns({f"{k}_lb": F.char_length(sorted_tokens(F.col(f"{k}_norm"))) for k in C.KEYS})
-    pairs = wide.join(rows, reach(), "inner")
-    ratios = {f"{k}_r": F.when(filled(k) & (F.col(f"{k}_n") != F.col(f"{k}_norm")), sorted_ratio(sorted_tokens(F.col(f"{k}_n")), sorted_tokens(F.col(f"{k}_norm")))) for k in C.KEYS}
-    scored = pairs.withColumns(ratios).withColumn("score", pair_score()).where(F.col("score") >= C.PARTIAL).select("rep", "catalog_row", "score")
-    members = items.select("entry_id", *[f"{k}_n" for k in C.KEYS]).join(keyed, [f"{k}_n" for k in C.KEYS]).select("entry_id", "rep")
-    return members.join(scored, "rep").select("entry_id", "catalog_row", "score")
-
-
-def reach() -> Column:
-    """Whether a pair's score can reach the threshold at all: by lengths of the sorted tokens, a ratio is at most 200 * min / (la + lb)."""
-    parts, whole = [], []
-    for k in C.KEYS:
-        w = C.KEY_WEIGHTS[k]
-        a, b = F.col(f"{k}_la"), F.col(f"{k}_lb")
-        most = F.when(a + b > 0, 200.0 * F.least(a, b) / (a + b)).otherwise(100.0)
-        boost = {"producer": 10, "cuvee": 5}.get(k, 0)
-        parts.append(F.when(filled(k), F.when(F.col(f"{k}_n") == F.col(f"{k}_norm"), 100.0).otherwise(F.least(F.lit(100.0), most + boost)) * w).otherwise(0.0))
-        whole.append(F.when(filled(k), w).otherwise(0.0))
-    return reduce(Column.__add__, parts) >= C.PARTIAL * reduce(Column.__add__, whole)
 
+def scored_pairs(items: DataFrame, catalog: DataFrame, k: int | None = None) -> DataFrame:
+    """``(entry_id, catalog_row, score)`` of pairs at or above the partial threshold; with ``k`` only each item's best.
 
-def best_of(pairs: DataFrame) -> DataFrame:
-    """The highest score of each item; the first catalogue row on ties."""
-    best = F.max_by(F.struct("catalog_row", "score"), F.struct("score", -F.col("catalog_row")))
-    return pairs.groupBy("entry_id").agg(best.alias("b")).select("entry_id", "b.catalog_row", "b.score")
+    Items enter the search once for each distinct key.
+    """
+    columns = {f: sorted_tokens(F.col(f"{f}_n")) for f in C.KEYS}
+    rows = catalog.select("catalog_row", *[sorted_tokens(F.col(f"{f}_norm")).alias(f) for f in C.KEYS])
+    keys = distinct_keys(items, columns)
+    found = search(keys, rows, weighted, C.PARTIAL, k)
+    members = items.select("entry_id", *[c.alias(f) for f, c in columns.items()]).join(keys, C.KEYS).select("entry_id", "rep")
+    return members.join(found, "rep").select("entry_id", "catalog_row", "score")
 
 
 def best_match(items: DataFrame, catalog: DataFrame, threshold: float = C.PARTIAL) -> DataFrame:
     """``(entry_id, catalog_row, score, provenance)`` of every item: direct, else the best weighted score, else nulls."""
     direct = direct_match(items, catalog).withColumn("score", F.lit(100.0))
     rest = items.join(direct, "entry_id", "left_anti")
-    fuzzy = best_of(scored_pairs(rest, catalog)).where(F.col("score") >= threshold)
+    fuzzy = scored_pairs(rest, catalog, 1).where(F.col("score") >= threshold)
     found = direct.withColumn("provenance", F.lit("direct")).unionByName(fuzzy.withColumn("provenance", grade(F.col("score"))))
     return items.select("entry_id").join(found, "entry_id", "left")
 
@@ -140,23 +122,22 @@ def best_match(items: DataFrame, catalog: DataFrame, threshold: float = C.PARTIA
 def suggestions(items: DataFrame, catalog: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` best catalogue rows of each item, at or above the partial threshold."""
     order = Window.partitionBy("entry_id").orderBy(F.desc("score"), "catalog_row")
-    return scored_pairs(items, catalog).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scored_pairs(items, catalog, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def composite_match(items: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``(entry_id, catalog_row, score)``: the best ratio of whole keys, at or above the partial threshold.
+    """``(entry_id, catalog_row, score)``: the best ratio of whole keys, at or above the partial threshold; the first row on ties."""
+    items = items.withColumn("text", sorted_tokens(F.concat_ws(" ", *[f"{k}_n" for k in C.KEYS]))).where("text <> ''").select("entry_id", "text")
+    rows = catalog.select("catalog_row", sorted_tokens(F.col("composite_key")).alias("text")).where("text <> ''").groupBy("text").agg(F.min("catalog_row").alias("catalog_row"))
+    keys = distinct_keys(items, {"text": F.col("text")})
+    found = search(keys, rows, whole_key, C.PARTIAL, 1)
+    return items.join(keys, "text").join(found, "rep").select("entry_id", "catalog_row", "score")
 
-    A ratio of 70 needs lengths of at least 7 to 13, so keys are joined by the pairs of lengths that can reach it: an equality join,
-    exact, with at most a few thousand length pairs.
-    """
-    items = items.withColumn("key", sorted_tokens(F.concat_ws(" ", *[f"{k}_n" for k in C.KEYS]))).where("key <> ''").select("entry_id", "key")
-    rows = catalog.select("catalog_row", sorted_tokens(F.col("composite_key")).alias("row_key")).where("row_key <> ''")
-    keys = items.select("key").distinct().withColumn("la", F.char_length("key"))
-    texts = rows.groupBy("row_key").agg(F.min("catalog_row").alias("catalog_row")).withColumn("lb", F.char_length("row_key"))
-    lengths = keys.select("la").distinct().join(texts.select("lb").distinct(), F.expr("13 * least(la, lb) >= 7 * greatest(la, lb)"))
-    pairs = keys.join(lengths, "la").join(texts, "lb").withColumn("score", sorted_ratio(F.col("key"), F.col("row_key"))).where(F.col("score") >= C.PARTIAL)
-    best = pairs.groupBy("key").agg(F.max_by(F.struct("catalog_row", "score"), F.struct("score", -F.col("catalog_row"))).alias("b"))
-    return items.join(best, "key").select("entry_id", "b.catalog_row", "b.score")
+
+def item_matches(items: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``(entry_id, catalog_row, score)``: the direct match, else the best by the whole key."""
+    direct = direct_match(items, catalog).withColumn("score", F.lit(100.0))
+    return direct.unionByName(composite_match(items.join(direct, "entry_id", "left_anti"), catalog))
 
 
 def enrich(items: DataFrame, matches: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -174,9 +155,27 @@ def enrich(items: DataFrame, matches: DataFrame, catalog: DataFrame) -> DataFram
     return df.withColumns({f: F.coalesce(own[f], new[f]) for f in fields}).drop(*[f"_{f}" for f in fields])
 
 
+def enrich_choice(items: DataFrame, matches: DataFrame, suggested: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Items enriched from a match of 85 or more, else by another source's values, else as they are; ``choice`` says which.
+
+    ``suggested(entry_id, suggested)`` has a map of values. A chosen match leaves its ``lwin`` number and ``match_confidence``, its score as a share.
+    """
+    good = matches.where(F.col("score") >= C.FUZZY)
+    numbers = catalog.select("catalog_row", "lwin")
+    first = enrich(items.join(good.select("entry_id"), "entry_id", "left_semi"), good, catalog).join(numbers, "catalog_row", "left")
+    first = first.withColumns({"choice": F.lit("match"), "match_confidence": F.col("score") / 100})
+    rest = items.join(good.select("entry_id"), "entry_id", "left_anti").withColumns({"raw_text": F.col("entry_id"), "field_confidence": F.create_map().cast("map<string,double>"), "type": F.lit(None).cast("string")})
+    said = suggested.select(F.col("entry_id").alias("raw_text"), "suggested")
+    rest = merge_suggested(rest.join(said.select(F.col("raw_text").alias("entry_id"), F.lit(True).alias("_has")).distinct(), "entry_id", "left"), said, [*C.KEY_COLUMNS, "type"])
+    rest = rest.withColumn("choice", F.when(F.col("_has"), "suggested").otherwise("none")).drop("_has", "raw_text")
+    return first.unionByName(rest, allowMissingColumns=True)
+
+
 def merge_suggested(entries: DataFrame, suggested: DataFrame, fields: list[str]) -> DataFrame:
     """Entries with another source's values by text laid over their own, at confidence .8 where it says anything."""
-    df = entries.join(suggested.dropDuplicates(["raw_text"]), "raw_text", "left")
+    first = F.struct(F.coalesce(F.to_json("suggested"), F.lit("")))
+    suggested = suggested.groupBy("raw_text").agg(F.min_by("suggested", first).alias("suggested"))  # of several, the first as JSON
+    df = entries.join(suggested, "raw_text", "left")
     said = F.map_filter(F.coalesce("suggested", F.create_map().cast("map<string,string>")), lambda _, v: v.isNotNull())
     df = df.withColumn("_said", said)
     marks = F.transform_values("_said", lambda _, __: F.lit(0.8))

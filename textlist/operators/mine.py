@@ -37,6 +37,12 @@ def mine_rules(sample: DataFrame) -> DataFrame:
     return rows.select("file_id", (F.col("rank") * 4 + F.col("kind")).alias("rule_pos"), "r.pattern", "r.confidence", "r.fields", "r.provenance")
 
 
+def mine_exclusions(sample: DataFrame) -> DataFrame:
+    """``(file_id, pattern, confidence)``: what every mined ruleset excludes, for each file of the sample."""
+    made = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(0.9).alias("confidence")) for p in EXCLUDED])
+    return sample.select("file_id").distinct().select("file_id", F.explode(made).alias("e")).select("file_id", "e.*")
+
+
 def mine_aliases(sample: DataFrame) -> DataFrame:
     """``(file_id, field, alias, name)``: lower-case names of good matches."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.lower(c).alias("alias"), F.col(c).alias("name")) for f, c in (("producer", "producer_name"), ("cuvee", "wine"))])

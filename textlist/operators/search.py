@@ -1,0 +1,164 @@
+"""The best catalogue rows for each key, searched in blocks.
+
+A weighted score has no field that bounds it, and a ratio of whole keys hardly any, so every key meets every catalogue row. That work is
+dealt evenly: keys are cut into parts and the catalogue into blocks of a fixed size, each pair of a part and a block is one
+task's share, and only the best rows of each key leave it. Within a share strings are arrays: one string is compared with all distinct values of a
+block at once, and a ratio that several keys or rows need is made once.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .. import constants as C
+from ..functions.similarity import lcs_length
+
+#: Most floats that one share keeps of ratios made before.
+KEPT = 4_000_000
+
+
+class Strings:
+    """Distinct strings as a matrix of character numbers; 0 is behind the end."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.texts = texts
+        self.length = np.array([len(t) for t in texts], np.int64)
+        raw = np.array(texts, dtype=f"U{max(1, self.length.max(initial=0))}").view(np.uint32).reshape(len(texts), -1)
+        self.chars, codes = np.unique(raw, return_inverse=True)
+        behind = np.arange(raw.shape[1]) >= self.length[:, None]
+        self.codes = np.where(behind, 0, codes.reshape(raw.shape) + 1)
+        at = np.arange(len(texts))[:, None] * (len(self.chars) + 1) + self.codes
+        self.counts = np.bincount(at.ravel(), minlength=len(texts) * (len(self.chars) + 1)).reshape(len(texts), -1)[:, 1:].astype(np.uint16)
+
+    def numbers(self, text: str) -> np.ndarray:
+        """Character numbers of another string; -1 for characters that none of these has."""
+        said = np.array([ord(c) for c in text], np.uint32)
+        at = np.minimum(np.searchsorted(self.chars, said), max(0, len(self.chars) - 1))
+        return np.where(self.chars[at] == said, at, -1) if len(self.chars) else np.full(len(said), -1)
+
+    def common(self, text: str) -> np.ndarray:
+        """Characters in common with ``text``, each as often as in both: no less than the longest common subsequence."""
+        own = self.numbers(text)
+        count = np.bincount(own[own >= 0], minlength=len(self.chars)).astype(np.uint16)
+        return np.minimum(self.counts[:, count > 0], count[count > 0]).sum(1, dtype=np.int64)
+
+    def lcs(self, text: str, at: np.ndarray) -> np.ndarray:
+        """Longest common subsequence of ``text`` with the strings ``at``: a row of bits for each, a step for each character."""
+        if len(text) > 64:
+            return np.array([lcs_length(text, self.texts[i]) for i in at.tolist()], np.int64)
+        masks = np.zeros(len(self.chars) + 1, np.uint64)
+        for i, c in enumerate(self.numbers(text).tolist()):
+            if c >= 0:
+                masks[c + 1] |= np.uint64(1 << i)
+        codes = self.codes[at]
+        row = np.full(len(at), (1 << len(text)) - 1, np.uint64)
+        for j in range(int(self.length[at].max(initial=0))):
+            u = row & masks[codes[:, j]]
+            row = (row + u) | (row - u)
+        return len(text) - np.bitwise_count(row & np.uint64((1 << len(text)) - 1)).astype(np.int64)
+
+    def ratio(self, text: str, at: np.ndarray | None = None) -> np.ndarray:
+        """0 to 100: twice the longest common subsequence over both lengths; 100 for two empty strings."""
+        at = np.arange(len(self.texts)) if at is None else at
+        both = self.length[at] + len(text)
+        return np.where(both > 0, 200.0 * self.lcs(text, at) / np.maximum(1, both), 100.0)
+
+
+def top(rows: np.ndarray, score: np.ndarray, least: float, k: int | None) -> np.ndarray:
+    """Positions of the ``k`` best scores of at least ``least``; the first row on ties."""
+    at = np.flatnonzero(score >= least)
+    if k is not None and len(at) > k:
+        edge = np.partition(score[at], len(at) - k)[len(at) - k]
+        at = at[score[at] >= edge]
+        at = at[np.lexsort((rows[at], -score[at]))][:k]
+    return at
+
+
+def search(keys: DataFrame, rows: DataFrame, scorer: Callable[[pa.Table], Callable[[dict], np.ndarray]], least: float, k: int | None, part_size: int = 4000, block_size: int = 20_000) -> DataFrame:
+    """``keys(rep, ...)`` and ``rows(catalog_row, ...)`` to ``(rep, catalog_row, score)``, the ``k`` best rows of each key.
+
+    ``scorer`` is given a block and gives a function from a key to the scores of the block's rows (-1: not reached).
+    """
+    parts, blocks = (max(1, -(-df.count() // size)) for df, size in ((keys, part_size), (rows, block_size)))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = keys.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(parts))).withColumn("block", each(blocks))
+    right = rows.withColumn("block", F.pmod(F.xxhash64("catalog_row"), F.lit(blocks))).withColumn("part", each(parts))
+    kind = keys.schema["rep"].dataType.simpleString()
+
+    def share(own: pa.Table, block: pa.Table) -> pa.Table:
+        reps, found, scores = [], [], []
+        if own.num_rows and block.num_rows:
+            numbers, score_of = block.column("catalog_row").to_numpy(), scorer(block)
+            for key in own.to_pylist():
+                score = score_of(key)
+                at = top(numbers, score, least, k)
+                reps += [key["rep"]] * len(at)
+                found.append(numbers[at])
+                scores.append(score[at])
+        both = [np.concatenate(x) if x else np.zeros(0) for x in (found, scores)]
+        return pa.table({"rep": pa.array(reps, own.schema.field("rep").type), "catalog_row": pa.array(both[0].astype(np.int64)), "score": pa.array(both[1].astype(float))})
+
+    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(share, f"rep {kind}, catalog_row long, score double")
+    if k is None or blocks == 1:
+        return found
+    order = Window.partitionBy("rep").orderBy(F.desc("score"), "catalog_row")  # k rows of each block at most
+    return found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
+
+
+def weighted(block: pa.Table) -> Callable[[dict], np.ndarray]:
+    """Scores by the fields the key has: the ratio of sorted tokens, more for a near producer or cuvee, times the field's weight."""
+    values, codes, made = {}, {}, {}
+    for f in C.KEYS:
+        column = block.column(f).to_pylist()
+        distinct = sorted(set(column))
+        number = {t: i for i, t in enumerate(distinct)}
+        values[f], codes[f], made[f] = Strings(distinct), np.array([number[t] for t in column]), {}
+
+    def points(f: str, said: str) -> np.ndarray:
+        if said not in made[f]:
+            if sum(len(v) for kept in made.values() for v in kept.values()) > KEPT:
+                made[f].clear()
+            ratio = values[f].ratio(said)
+            boost = C.NEAR_BOOST.get(f, 0)
+            made[f][said] = np.where(ratio > 80, np.minimum(100.0, ratio + boost), ratio) * C.KEY_WEIGHTS[f]
+        return made[f][said]
+
+    def score(key: dict) -> np.ndarray:
+        own = [f for f in C.KEYS if key[f]]
+        if not own:
+            return np.full(block.num_rows, -1.0)
+        total = np.zeros(block.num_rows)
+        for f in own:
+            total = total + points(f, key[f])[codes[f]]
+        return total / sum(C.KEY_WEIGHTS[f] for f in own)
+
+    return score
+
+
+def whole_key(block: pa.Table) -> Callable[[dict], np.ndarray]:
+    """The best ratio of the whole key, sorted tokens; rows whose common characters cannot reach the best are not compared."""
+    strings = Strings(block.column("text").to_pylist())
+
+    def score(key: dict) -> np.ndarray:
+        bound = 200.0 * strings.common(key["text"]) / (strings.length + len(key["text"]))
+        out = np.full(len(bound), -1.0)
+        order = np.argsort(-bound, kind="stable")
+        first = order[:64]
+        out[first] = strings.ratio(key["text"], first)
+        rest = order[64:]
+        rest = rest[bound[rest] >= max(C.PARTIAL, out[first].max(initial=0))]
+        if len(rest):
+            out[rest] = strings.ratio(key["text"], rest)
+        return out
+
+    return score
+
+
+def distinct_keys(items: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The distinct values of ``columns`` with one of their ``entry_id`` as ``rep``."""
+    return items.select("entry_id", *[c.alias(name) for name, c in columns.items()]).groupBy(*columns).agg(F.min("entry_id").alias("rep"))

@@ -10,6 +10,7 @@ from ..fixtures import table, with_views
 from ..functions import confidence as K
 from ..functions.text import json_number
 from ..operators import match, mine, rules, sample
+from ..operators.lineage import new_folder
 from ..sources import sinks
 from . import pipeline
 from .book import Book
@@ -266,9 +267,9 @@ SELECT file_id, CAST(rank * 4 + 2 AS INT) AS rule_pos, concat('(?P<price>', rege
 UNION ALL SELECT file_id, CAST(rank * 4 + 3 AS INT), concat('(?P<vintage>', regexp_replace(v, '([^a-zA-Z0-9_])', '\\\\\\1', 'g'), ')'), 0.9 FROM m WHERE v <> ''""",
 )
 def mine_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Entries of these lists name no catalogue producer, so only price and vintage patterns arise; the others are tested on fixtures."""
+    """Entries of these lists name no catalogue row well enough, so only price and vintage patterns arise; ``mine_match_rules`` has the others."""
     df = parsed(spark, d).withColumn("row_confidence", F.floor(F.col("row_confidence") * 1000000 + 0.5))
-    return mine.mine_rules(pipeline.sample_with_matches(df, table(spark, d, "catalog"))).where("provenance = 'pattern_match'").select("file_id", "rule_pos", "pattern", "confidence")
+    return mine.mine_rules(pipeline.sample_with_matches(df, table(spark, d, "catalog"))).select("file_id", "rule_pos", "pattern", "confidence")
 
 
 @book.add(
@@ -289,15 +290,33 @@ def parse_lists(spark: SparkSession, d: str) -> DataFrame:
     return df.select("entry_id", "file_id", "stage", F.to_json("fields").alias("fields"), F.round("row_confidence", 6).alias("row_confidence"), "needs_review")
 
 
+@book.add("mine_exclusions", f"{TO_FIELDS} SELECT DISTINCT file_id, unnest([{', '.join(q(p) for p in mine.EXCLUDED)}]) AS pattern, 0.9::DOUBLE AS confidence FROM xr")
+def mine_exclusions(spark: SparkSession, d: str) -> DataFrame:
+    return mine.mine_exclusions(sample.both_ends(parsed(spark, d)))
+
+
+SAMPLED = "k AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY CAST(floor(row_confidence * 1000000 + 0.5) AS BIGINT), page, line_no) AS rank, count(*) OVER (PARTITION BY file_id) AS n FROM ini)"
+
+
 @book.add(
     "refinement_tables",
-    f"""{TO_OWNED} SELECT 'final_parse' AS stage, entry_id, round(row_confidence, 6) AS row_confidence, CAST(NULL AS VARCHAR) AS pattern FROM xr
-UNION ALL SELECT 'needs_review', entry_id, round(row_confidence, 6), NULL FROM xr WHERE row_confidence < {C.REVIEW_BELOW}
-UNION ALL SELECT 'restaurant_rules', NULL, NULL, json_extract_string(rules_json, '$.extraction_rules[' || p || '].pattern') FROM (SELECT rules_json, unnest(range(4)) AS p FROM ({with_views("rulesets")} SELECT * FROM rulesets))""",
+    f"""WITH ini AS (SELECT * FROM ({TO_FIELDS} SELECT entry_id, file_id, page, line_no, row_confidence FROM xr)), own AS (SELECT * FROM ({TO_OWNED} SELECT entry_id, row_confidence FROM xr)), rs AS (SELECT * FROM ({with_views("rulesets")} SELECT * FROM rulesets)), {SAMPLED}
+SELECT 'initial_parse' AS stage, entry_id, round(row_confidence, 6) AS row_confidence, CAST(NULL AS VARCHAR) AS pattern FROM ini
+UNION ALL SELECT 'enriched_sample', entry_id, round(row_confidence, 6), NULL FROM k WHERE rank <= 5 UNION ALL SELECT 'enriched_sample', entry_id, round(row_confidence, 6), NULL FROM k WHERE n > 6 AND rank > n - 2
+UNION ALL SELECT 'final_parse', entry_id, round(row_confidence, 6), NULL FROM own UNION ALL SELECT 'needs_review', entry_id, round(row_confidence, 6), NULL FROM own WHERE row_confidence < {C.REVIEW_BELOW}
+UNION ALL SELECT 'restaurant_rules', NULL, NULL, json_extract_string(rules_json, '$.extraction_rules[' || p || '].pattern') FROM (SELECT rules_json, unnest(range(4)) AS p FROM rs)
+UNION ALL SELECT 'stage', NULL, NULL, concat(restaurant_id, ': rules_exist') FROM rs""",
 )
 def refinement_tables(spark: SparkSession, d: str) -> DataFrame:
-    df = rules.extract_fields(entries(spark, d), stored_rules(spark, d)).select("entry_id", F.round("row_confidence", 6).alias("row_confidence"), "needs_review")
-    return sinks.refinement_table({"final_parse": df.drop("needs_review"), "needs_review": df.where("needs_review").drop("needs_review"), "restaurant_rules": stored_rules(spark, d).select("pattern")})
+    """All six parts of the refinement data, written as JSON and read back."""
+    said = lambda df: df.select("entry_id", F.round("row_confidence", 6).alias("row_confidence"))
+    first, last, given = parsed(spark, d), rules.extract_fields(entries(spark, d), stored_rules(spark, d)), stored_rules(spark, d)
+    picked = sample.both_ends(first.withColumns({"row_confidence": F.floor(F.col("row_confidence") * 1000000 + 0.5), "said": F.col("row_confidence")})).withColumn("row_confidence", F.col("said"))
+    parts = {"initial_parse": said(first), "enriched_sample": said(picked), "final_parse": said(last), "needs_review": said(last.where("needs_review")), "restaurant_rules": given.select("pattern")}
+    parts["stage"] = given.select(F.concat("restaurant_id", F.lit(": rules_exist")).alias("pattern")).distinct()
+    rows, path = sinks.refinement_table(parts).select("stage", "entry_id", "row_confidence", "pattern"), new_folder(spark, "refinement")
+    sinks.write_json(rows, path)
+    return spark.read.schema(rows.schema).json(path)
 
 
 @book.add(

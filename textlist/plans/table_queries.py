@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from .. import constants as C
 from ..fixtures import table, with_views
 from ..functions.similarity import sorted_ratio, sorted_tokens
 from ..operators import match, mine, pages, sections, segment, tables
+from ..operators.lineage import new_folder
 from ..sources import readers, sinks
 from ..streaming import ingest
 from .book import Book
@@ -111,10 +109,25 @@ def fuzzy_match_composite(spark: SparkSession, d: str) -> DataFrame:
     return out.select("entry_id", "catalog_row", F.round("score", 6).alias("score"))
 
 
-@book.add("match_score")
+#: Ratios of the distinct values that stand beside each other, by field.
+RATIOS = ", ".join(
+    f"r_{k} AS (SELECT a, b, CASE WHEN a = '' OR b = '' THEN 0 ELSE 200.0 * {sql_lcs('a', 'b')} / (length(a) + length(b)) END AS r FROM (SELECT DISTINCT {sql_sorted(f'{k}_n')} AS a, {sql_sorted(f'{k}_norm')} AS b FROM mp WHERE {k}_n <> '' AND {k}_n <> {k}_norm))" for k in C.KEYS
+)
+POINTS = " + ".join(f"CASE WHEN {k}_n = '' THEN 0 WHEN {k}_n = {k}_norm THEN 100 * {C.KEY_WEIGHTS[k]} ELSE CASE WHEN r_{k}.r > 80 THEN least(100.0, r_{k}.r + {C.NEAR_BOOST.get(k, 0)}) ELSE r_{k}.r END * {C.KEY_WEIGHTS[k]} END" for k in C.KEYS)
+WEIGHT = " + ".join(f"CASE WHEN {k}_n = '' THEN 0 ELSE {C.KEY_WEIGHTS[k]} END" for k in C.KEYS)
+LOOKUPS = " ".join(f"LEFT JOIN r_{k} ON {sql_sorted(f'mp.{k}_n')} = r_{k}.a AND {sql_sorted(f'mp.{k}_norm')} = r_{k}.b" for k in C.KEYS)
+
+
+@book.add(
+    "match_score",
+    f"{TO_MATCH}, mp AS (SELECT i.entry_id, c.catalog_row, {', '.join(f'i.{k}_n, c.{k}_norm' for k in C.KEYS)} FROM (SELECT *, unnest([true_row, true_row + 1]) AS near_row FROM inn) i JOIN cn c ON c.catalog_row = i.near_row), {RATIOS} "
+    f"SELECT entry_id, catalog_row, round(({POINTS}) / ({WEIGHT}), 6) AS score FROM mp {LOOKUPS}",
+)
 def match_score(spark: SparkSession, d: str) -> DataFrame:
-    out = match.scored_pairs(*both(spark, d))
-    return out.select("entry_id", "catalog_row", F.round("score", 6).alias("score"))
+    """Each item with the row it was made from and the row after it."""
+    items, rows = both(spark, d)
+    pairs = items.select("entry_id", F.explode(F.array("true_row", F.col("true_row") + 1)).alias("catalog_row"))
+    return match.score_pairs(pairs, items, rows).withColumn("score", F.round("score", 6))
 
 
 @book.add("best_match")
@@ -145,22 +158,51 @@ def enrich_entries(spark: SparkSession, d: str) -> DataFrame:
     return out.select("entry_id", "producer", "vintage", "region", "type", *[F.try_element_at("field_confidence", F.lit(f)).alias(f"{f}_confidence") for f in ("region", "type")])
 
 
-@book.add("match_confidence", f"{TO_MATCH}, {DIRECT} SELECT entry_id, CAST(CASE WHEN producer_n <> '' THEN 1 ELSE 0 END + CASE WHEN cuvee_n <> '' THEN 1 ELSE 0 END + CASE WHEN vintage_n <> '' THEN 1 ELSE 0 END + CASE WHEN region_n <> '' THEN 1 ELSE 0 END + CASE WHEN country_n <> '' THEN 1 ELSE 0 END AS INT) AS fields, 0.95::DOUBLE AS confidence FROM inn JOIN di USING (entry_id)")
+#: The direct match, else the row the item was made from where the whole keys are alike enough.
+FOUND = f"""{PAIRS}, mt AS (SELECT entry_id, catalog_row, 100.0::DOUBLE AS score FROM di UNION ALL
+ SELECT entry_id, catalog_row, score FROM (SELECT entry_id, catalog_row, 200.0 * {sql_lcs("a", "b")} / (length(a) + length(b)) AS score FROM pr WHERE entry_id NOT IN (SELECT entry_id FROM di)) WHERE score >= {C.PARTIAL})"""
+
+
+def found_matches(items: DataFrame, rows: DataFrame) -> DataFrame:
+    direct = match.direct_match(items, rows).withColumn("score", F.lit(100.0))
+    rest = items.join(direct, "entry_id", "left_anti").select("entry_id", F.col("true_row").alias("catalog_row"), sorted_tokens(F.concat_ws(" ", *[f"{k}_n" for k in C.KEYS])).alias("a"))
+    rest = rest.join(rows.select("catalog_row", sorted_tokens(F.col("composite_key")).alias("b")), "catalog_row")
+    rest = rest.select("entry_id", "catalog_row", sorted_ratio(F.col("a"), F.col("b")).alias("score")).where(F.col("score") >= C.PARTIAL)
+    return direct.unionByName(rest)
+
+
+def filled_sql(k: str) -> str:
+    return f"coalesce(nullif(i.{k}, ''), nullif(trim(c.{C.KEY_COLUMNS[k]}), ''))" if k in C.KEY_COLUMNS else f"nullif(i.{k}, '')"
+
+
+@book.add(
+    "match_confidence",
+    f"{TO_MATCH}, {DIRECT}, {FOUND} SELECT m.entry_id, m.catalog_row, {', '.join(f'CASE WHEN {filled_sql(k)} IS NOT NULL THEN round(least(0.95, m.score / 100), 6) END AS {k}' for k in C.KEY_COLUMNS)} FROM mt m JOIN items i USING (entry_id) JOIN cn c USING (catalog_row)",
+)
 def match_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Confidences of the key fields of matched items, direct and fuzzy."""
     items, rows = both(spark, d)
-    hits = match.direct_match(items, rows)
-    said = F.filter(F.array(*[F.col(f"{k}_n") for k in C.KEYS]), lambda x: x != "")
-    return items.join(hits, "entry_id").select("entry_id", F.size(said).alias("fields"), F.least(F.lit(0.95), F.lit(100.0) / 100).alias("confidence"))
+    hits = found_matches(items, rows)
+    out = match.enrich(table(spark, d, "items"), hits, rows).where("score is not null")
+    return out.select("entry_id", "catalog_row", *[F.round(F.try_element_at("field_confidence", F.lit(k)), 6).alias(k) for k in C.KEY_COLUMNS])
 
 
-@book.add("enrich_sample", f"{TO_MATCH}, {DIRECT} SELECT i.entry_id, CASE WHEN d.catalog_row IS NOT NULL THEN 'match' WHEN CAST(i.entry_id AS BIGINT) % 3 = 0 THEN 'suggested' ELSE 'none' END AS choice, d.catalog_row FROM items i LEFT JOIN di d USING (entry_id)")
+@book.add(
+    "enrich_sample",
+    f"""{TO_MATCH}, {DIRECT}, {FOUND}, g AS (SELECT * FROM mt WHERE score >= {C.FUZZY})
+SELECT i.entry_id, CASE WHEN g.score IS NOT NULL THEN 'match' WHEN CAST(i.entry_id AS BIGINT) % 3 = 0 THEN 'suggested' ELSE 'none' END AS choice, c.lwin, round(g.score / 100, 6) AS match_confidence,
+CASE WHEN g.score IS NOT NULL THEN {filled_sql("producer")} WHEN CAST(i.entry_id AS BIGINT) % 3 = 0 THEN concat('Said ', i.cuvee) ELSE i.producer END AS producer,
+CASE WHEN g.score IS NOT NULL THEN {filled_sql("region")} ELSE i.region END AS region,
+CASE WHEN g.score IS NOT NULL THEN round(least(0.95, g.score / 100), 6) WHEN CAST(i.entry_id AS BIGINT) % 3 = 0 THEN 0.8 END AS producer_confidence
+FROM items i LEFT JOIN g USING (entry_id) LEFT JOIN cn c USING (catalog_row)""",
+)
 def enrich_sample(spark: SparkSession, d: str) -> DataFrame:
     """The match where it is good enough, else another source's values where it has some."""
     items, rows = both(spark, d)
-    found = match.direct_match(items, rows).withColumn("score", F.lit(100.0))
-    other = table(spark, d, "items").where("cast(entry_id as bigint) % 3 = 0").select("entry_id", F.lit(True).alias("said"))
-    choice = F.when(F.col("score") >= C.FUZZY, "match").when(F.col("said"), "suggested").otherwise("none")
-    return items.select("entry_id").join(found, "entry_id", "left").join(other, "entry_id", "left").select("entry_id", choice.alias("choice"), "catalog_row")
+    own = table(spark, d, "items")
+    said = own.where("cast(entry_id as bigint) % 3 = 0").select("entry_id", F.create_map(F.lit("producer"), F.concat(F.lit("Said "), "cuvee")).alias("suggested"))
+    out = match.enrich_choice(own, found_matches(items, rows), said, rows)
+    return out.select("entry_id", "choice", "lwin", F.round("match_confidence", 6).alias("match_confidence"), "producer", "region", F.round(F.try_element_at("field_confidence", F.lit("producer")), 6).alias("producer_confidence"))
 
 
 @book.add(
@@ -175,6 +217,24 @@ def mine_aliases(spark: SparkSession, d: str) -> DataFrame:
     return mine.mine_aliases(sample)
 
 
+@book.add(
+    "mine_match_rules",
+    f"""{TO_MATCH}, {DIRECT}, {FOUND}, m AS (SELECT CAST(CAST(m.entry_id AS BIGINT) % 7 AS VARCHAR) AS file_id, CAST(m.entry_id AS INT) AS rank, m.score, trim(c.producer_name) AS p, trim(c.wine) AS w, i.vintage AS v FROM mt m JOIN items i USING (entry_id) JOIN cn c USING (catalog_row)),
+e AS (SELECT *, regexp_replace(p, '([^a-zA-Z0-9_])', '\\\\\\1', 'g') AS pe, regexp_replace(w, '([^a-zA-Z0-9_])', '\\\\\\1', 'g') AS we FROM m)
+SELECT file_id, rank * 4 AS rule_pos, concat('(?P<producer>', pe, ')\\s+(?P<cuvee>', we, ')') AS pattern, 0.95::DOUBLE AS confidence, 'lwin_match' AS provenance FROM e WHERE score >= {C.FUZZY}
+UNION ALL SELECT file_id, rank * 4 + 1, concat('(?P<producer>', pe, ')(?:\\s+[A-Za-z]+)*\\s+(?P<cuvee>', we, ')'), 0.85, 'lwin_fuzzy' FROM e WHERE score >= {C.FUZZY}
+UNION ALL SELECT file_id, rank * 4 + 2, concat('(?P<price>', left(v, 3), ')'), 0.9, 'pattern_match' FROM e WHERE v IS NOT NULL
+UNION ALL SELECT file_id, rank * 4 + 3, concat('(?P<vintage>', v, ')'), 0.9, 'pattern_match' FROM e WHERE v IS NOT NULL""",
+)
+def mine_match_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules of samples that name catalogue rows: exact and gap-tolerant pairs, and numbers, of which the price pattern takes three digits."""
+    items, rows = both(spark, d)
+    hits = found_matches(items, rows).join(rows.select("catalog_row", "producer_name", "wine"), "catalog_row").join(table(spark, d, "items").select("entry_id", "vintage"), "entry_id")
+    text = F.concat_ws(" ", F.lit("cask"), F.when(F.col("vintage").isNotNull(), F.concat(F.lit("of "), "vintage")))
+    sample = hits.select((F.col("entry_id").cast("long") % 7).cast("string").alias("file_id"), F.col("entry_id").cast("int").alias("rank"), text.alias("text"), "producer_name", "wine", "score", F.lit(1).alias("n_fields"))
+    return mine.mine_rules(sample).select("file_id", "rule_pos", "pattern", "confidence", "provenance")
+
+
 # ---- stored tables --------------------------------------------------------------------------------------------------
 
 STORED = with_views("stored")
@@ -183,7 +243,10 @@ KNOWN = ["entry_id", "file_id", "restaurant_id", "producer", "cuvee", "vintage",
 
 @book.add("entries_sink", f"{STORED} SELECT {', '.join(KNOWN)}, CASE WHEN bin IS NULL THEN '{{}}' ELSE concat('{{\"bin\":\"', bin, '\"}}') END AS extra_data FROM stored")
 def entries_sink(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.split_extra(table(spark, d, "stored"), KNOWN)
+    """Written by restaurant and read back."""
+    rows, path = table(spark, d, "stored"), new_folder(spark, "entries")
+    sinks.write_entries(rows, path, KNOWN)
+    return readers.read_entries(spark, path, sinks.split_extra(rows, KNOWN).schema)
 
 
 @book.add("entry_view", f"{STORED} SELECT entry_id, coalesce(bin, '') AS bin, upper(status) AS status, CASE WHEN bin IS NOT NULL THEN bin ELSE cuvee END AS cuvee FROM stored")
@@ -198,7 +261,18 @@ def entry_view(spark: SparkSession, d: str) -> DataFrame:
 
 @book.add("export_flat", f"{STORED} SELECT entry_id, concat('{{\"producer\":', coalesce('\"' || producer || '\"', 'null'), ',\"type\":', coalesce('\"' || type || '\"', 'null'), '}}') AS fields FROM stored")
 def export_flat(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.export_flat(table(spark, d, "stored").select("entry_id", F.create_map(F.lit("producer"), "producer", F.lit("type"), "type").alias("fields")))
+    """Written as CSV and read back."""
+    rows, path = table(spark, d, "stored").select("entry_id", F.create_map(F.lit("producer"), "producer", F.lit("type"), "type").alias("fields")), new_folder(spark, "export")
+    sinks.write_csv(rows, path)
+    return readers.read_csv(spark, path, sinks.export_flat(rows).schema)
+
+
+@book.add("export_json", f"{STORED} SELECT entry_id, producer, row_confidence, bin FROM stored")
+def export_json(spark: SparkSession, d: str) -> DataFrame:
+    """Written as JSON and read back."""
+    rows, path = table(spark, d, "stored").select("entry_id", "producer", "row_confidence", "bin"), new_folder(spark, "export")
+    sinks.write_json(rows, path)
+    return spark.read.schema(rows.schema).json(path)
 
 
 @book.add("refinement_path", f"{with_views('files')} SELECT id, regexp_extract(notes, 'refinement_json: ([^;\\n]+)', 1) AS path FROM files WHERE notes IS NOT NULL")
@@ -206,6 +280,15 @@ def refinement_path(spark: SparkSession, d: str) -> DataFrame:
     return readers.refinement_paths(table(spark, d, "files"))
 
 
+@book.add("refinement_read", f"{STORED}, files AS ({with_views('files')} SELECT * FROM files) SELECT f.id, s.entry_id, s.cuvee FROM files f JOIN stored s ON s.file_id = f.id WHERE f.notes IS NOT NULL AND CAST(s.file_id AS BIGINT) % 3 <> 0")
+def refinement_read(spark: SparkSession, d: str) -> DataFrame:
+    """Refinement rows of some files, written as JSON and read back by the path in each file's notes."""
+    rows = table(spark, d, "stored").where("cast(file_id as bigint) % 3 <> 0").select(F.concat(F.lit("/tmp/r_"), "file_id", F.lit(".json")).alias("path"), "entry_id", "cuvee")
+    path = new_folder(spark, "refinement")
+    sinks.write_json(rows, path)
+    return readers.read_refinement(table(spark, d, "files"), spark.read.schema(rows.schema).json(path)).select("id", "entry_id", "cuvee")
+
+
 @book.add("needs_parse", f"{STORED} SELECT entry_id FROM stored WHERE coalesce(producer, '') = '' OR coalesce(cuvee, '') = '' OR coalesce(vintage, '') = '' OR coalesce(price, '') = '' OR coalesce(type, '') = ''")
 def needs_parse(spark: SparkSession, d: str) -> DataFrame:
     keys = F.array(*[F.coalesce(c, F.lit("")) for c in ("producer", "cuvee", "vintage", "price", "type")])
@@ -322,7 +405,7 @@ def latest_status(spark: SparkSession, d: str) -> DataFrame:
 @book.add("stream_ingest", f"{TO_CLEAN}, {SECTIONS}, {ENTRIES} SELECT entry_id, file_id, raw_text, n_lines FROM en")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Two drops of files, each ingested on arrival; the rows are those of one batch over all."""
-    folder = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='spark-')}/ingest-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "ingest")
     lines = table(spark, d, "lines").select("file_id", "restaurant_id", "page", "line_no", "text")
     for part in (0, 1):
         lines.where(F.pmod(F.xxhash64("file_id"), F.lit(2)) == part).repartition("file_id").write.mode("append").parquet(f"{folder}/in")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def scan_lines(blocks: DataFrame) -> DataFrame:
@@ -23,3 +24,18 @@ def with_recognition(blocks: DataFrame, ocr: DataFrame) -> DataFrame:
 def refinement_paths(files: DataFrame) -> DataFrame:
     """Files whose notes name their refinement data."""
     return files.select("id", F.regexp_extract(F.coalesce("notes", F.lit("")), r"refinement_json: ([^;\n]+)", 1).alias("path")).where("path <> ''")
+
+
+def read_entries(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Entries as ``write_entries`` wrote them; ids stay text."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def read_refinement(files: DataFrame, data: DataFrame) -> DataFrame:
+    """The refinement rows of each file whose notes name them by ``path``; files without such rows are left out."""
+    return refinement_paths(files).join(data, "path")
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows as ``write_csv`` wrote them."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
