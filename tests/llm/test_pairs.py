@@ -212,8 +212,9 @@ def test_suffix_dedup(spark):
         a, b = rng.randrange(200), rng.randrange(80, 200)
         cut = passage[a : a + b]
         rows.append((i, "".join(rng.choice("xyz\n ") for _ in range(rng.randrange(300))) + cut + "q" * rng.randrange(150) + passage[b : b + 101]))
-    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got.collect()} == removed(rows)
+    for hot in (4096, 1):  # no gram is hot, or each one seen twice is
+        got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), hot=hot)
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got.collect()} == removed(rows)
     assert suffix_dedup.suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -221,6 +222,11 @@ def test_suffix_dedup_of_repeated_rows(spark):
     rows = [(1, "x" * 90 + "y" * 90)] * 2
     got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [r["n_removed"] for r in got] == [0, 0]
+    part = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, part), (2, f"a text of its own, whatever the other row of the id loses {'z' * 400}"), (2, part), (2, part), (3, "b" * 40 + part * 3000)]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    own = lambda t: removed([(0, part), (1, t)])[1][1]
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == sorted([(1, 0), (2, removed(rows[1:2])[2][1]), (2, len(part)), (2, len(part)), (3, own(rows[4][1]))])
 
 
 def kept_lines(rows, n_chars=40, n_docs=5):
@@ -239,9 +245,9 @@ def test_line_dedup(spark):
     pool = [("É" if k % 2 else "A") + f" line number {k} of some length " + "pad" * 6 for k in range(12)]
     rows = [(0, None), (1, ""), (None, "\n".join(pool[:3]))]
     rows += [(i, "\n".join(rng.choice([rng.choice(pool), "\t" + rng.choice(pool).upper() + " ", "short", ""]) for _ in range(rng.choice([1, 3, 150])))) for i in range(2, 30)]
-    for share in (1000, 2):  # with and without lines settled as heavy
+    for heavy in (2000, 3):  # with and without lines settled as heavy
         long = line_dedup.long_lines(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 40)
-        gone = {(r["doc"], r["pos"]) for r in line_dedup.dropped_lines(long, 5, heavy_share=share).collect()}
+        gone = {(r["doc"], r["pos"]) for r in line_dedup.dropped_lines(long, 5, heavy_rows=heavy).collect()}
         want = kept_lines(rows)
         got = {i: "\n".join(x for p, x in enumerate((t or "").split("\n")) if (i, p) not in gone) for i, t in rows}
         assert got == want

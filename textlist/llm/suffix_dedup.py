@@ -4,11 +4,14 @@
 
 1. Anchors. Every window of ``WIDTH`` bytes picks the ``GRAM``-byte gram in it with the least hash (the last on ties). Equal windows pick equal
    grams at equal offsets. A first pass counts grams; those seen once cannot be part of a repeat. Grams seen more often
-   are marked in a bit table of fixed size: what passes it by chance only costs work.
+   are marked in a bit table of fixed size: what passes it by chance only costs work. So are grams of over ``HOT`` slices in a second one.
 2. Pieces. The windows in a row that pick one anchor are a piece of text. A second pass sends each piece whose gram is marked to the task of its
    gram; a task sends equal pieces of one slice as one row with the list of places, so that a gram
-   in a third of all documents is a few rows from each task.
-3. Suffix arrays. Of equal pieces the first place stays and the rest go in whole. Different pieces of one gram are cut into ``UNIT``-byte symbols
+   in a third of all documents is a few rows from each task. A hot gram is split by the bytes around it: a window has 0 to 68 bytes before its gram
+   and the rest after it, so in each of ``PARTS`` classes of windows all share the gram and 51 bytes next to it, 83 in one run; a piece goes to the task of each such
+   run that it has, and equal windows meet in the class that they are of.
+3. Suffix arrays. Of equal pieces the first place stays and the rest go in whole, place by place as they come: a task holds each different piece once. Different pieces of one
+   gram are cut into ``UNIT``-byte symbols
    counted from the gram. Symbols that only one piece has cannot be in a repeat, and runs of too few others are left out; the rest of
    a batch of grams is one sequence, whose suffix array is made by linear grouping. Neighbours in it
    that share as many symbols as every window holds in whole are candidates; windows are then compared
@@ -17,7 +20,7 @@
 
 Defined results: null and empty texts have no bytes and lose none; texts shorter than a window lose nothing; a null id sorts before all
 others; repeated rows of an id are one document (the same place is not an earlier one), and each row gets
-the result; very long texts are read whole; an empty table gives an empty result; other columns are not read.
+the result of its own text; very long texts are read whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .jaccard_join import runs
 from .suffix_array import suffix_array
-from .textbytes import mixed, text_slices, window_hashes
+from .textbytes import mixed, text_slices, window_hashes, word_hashes
 
 WIDTH, GRAM, UNIT = 100, 32, 8
 #: Symbols that lie in every window in whole, wherever it starts.
@@ -40,6 +43,10 @@ WHOLE = (WIDTH - UNIT + 1) // UNIT
 TABLE_BITS = 1 << 27
 SLICE = 1 << 20
 PIECES = 20_000
+#: Slices in which a gram stands that is split, and the classes of windows that it is split by.
+HOT, PARTS = 4096, 4
+STEP = (WIDTH - GRAM) // PARTS
+RUN = GRAM + STEP * (PARTS - 1)
 NULL_ID = -(1 << 63)
 
 
@@ -82,8 +89,8 @@ def slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - TABLE_BITS.bit_length() + 1)).astype(np.int64)
 
 
-def marked_grams(docs: DataFrame) -> np.ndarray:
-    """The bit table of grams seen more than once, 16 MB however many there are."""
+def marked_grams(docs: DataFrame, hot: int = HOT) -> np.ndarray:
+    """Two bit tables, of grams seen more than once and of those seen over ``hot`` times (twice a slice at most): 16 MB each, however many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,48 +99,72 @@ def marked_grams(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], ["h", "n"])
 
     counts = docs.select("text").mapInArrow(run, "h long, n byte").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    bit = F.shiftrightunsigned("h", 64 - TABLE_BITS.bit_length() + 1)
-    words = counts.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - TABLE_BITS.bit_length() + 1}) % 64 as int))")).alias("bits"))
-    table = np.zeros(TABLE_BITS // 64, np.uint64)
+    at = f"shiftrightunsigned(h, {64 - TABLE_BITS.bit_length() + 1})"
+    bit = f"shiftleft(1L, cast({at} % 64 as int))"
+    words = counts.groupBy(F.expr(f"shiftright({at}, 6)").alias("word")).agg(F.bit_or(F.expr(bit)).alias("bits"), F.bit_or(F.expr(f"if(n > {hot}, {bit}, 0L)")).alias("hot"))
+    table = np.zeros((2, TABLE_BITS // 64), np.uint64)
     found = words.toArrow()
-    table[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    for k, c in enumerate(("bits", "hot")):
+        table[k, found["word"].to_numpy()] = found[c].to_numpy().view(np.uint64)
     return table
 
 
+def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    s = slot(h)
+    return (bits[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def split_grams(data: np.ndarray, first: np.ndarray, end: np.ndarray, anchor: np.ndarray, h: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(piece, key)``: pieces of other grams under their gram, those of hot grams under each run of bytes around the gram that they have."""
+    piece, key = [np.flatnonzero(~hot)], [h[~hot]]
+    for k in range(PARTS):
+        start = anchor - STEP * k
+        has = np.flatnonzero(hot & (start >= first) & (start + RUN <= end + WIDTH - 1))
+        piece.append(has)
+        key.append(mixed(word_hashes(data, start[has], start[has] + RUN) + np.uint64(k)))
+    return np.concatenate(piece), np.concatenate(key)
+
+
 def pieces(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """``(h, at, text, doc, start)``: a gram, its offset in the piece, the piece, and the places where the slice has it."""
+    """``(h, at, text, doc, print, start)``: a gram, its offset in the piece, the piece, and the places where the slice has it."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        bits, heavy = shared.value
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            ids, prints = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "print"))
             for row, _, data, offsets in text_slices(batch.column("text"), SLICE):
                 first, end, anchor, h = anchors(data, offsets)
-                s = slot(h)
-                keep = (bits[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) == 1
+                keep = marked(bits, h)
                 first, end, anchor, h = first[keep], end[keep], anchor[keep], h[keep]
+                hot = marked(heavy, h)
+                if hot.any():
+                    piece, h = split_grams(data, first, end, anchor, h, hot)
+                    first, end, anchor = first[piece], end[piece], anchor[piece]
                 if not len(first):
                     continue
                 raw = data.tobytes()
                 own = np.searchsorted(offsets, first, "right") - 1
-                doc, start = ids[row + own].tolist(), (first - offsets[own]).tolist()
-                places: dict[tuple, tuple[list, list]] = {}
+                doc, mark, start = ids[row + own].tolist(), prints[row + own].tolist(), (first - offsets[own]).tolist()
+                places: dict[tuple, tuple[list, list, list]] = {}
                 for k, key in enumerate(zip(h.tolist(), (anchor - first).tolist(), map(raw.__getitem__, map(slice, first.tolist(), (end + WIDTH - 1).tolist())), strict=True)):
                     at = places.get(key)
                     if at is None:
-                        places[key] = [doc[k]], [start[k]]
+                        places[key] = [doc[k]], [mark[k]], [start[k]]
                     else:
                         at[0].append(doc[k])
-                        at[1].append(start[k])
+                        at[1].append(mark[k])
+                        at[2].append(start[k])
                 keys = list(zip(*places, strict=True))
-                both = list(zip(*places.values(), strict=True))
+                all_ = list(zip(*places.values(), strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(keys[0], np.uint64).view(np.int64)), pa.array(keys[1], pa.int32()), pa.array(keys[2], pa.binary()), pa.array(both[0], pa.list_(pa.int64())), pa.array(both[1], pa.list_(pa.int32()))],
-                    ["h", "at", "text", "doc", "start"],
-                )
+                    [
+                        pa.array(np.array(keys[0], np.uint64).view(np.int64)), pa.array(keys[1], pa.int32()), pa.array(keys[2], pa.binary()),
+                        pa.array(all_[0], pa.list_(pa.int64())), pa.array(all_[1], pa.list_(pa.int64())), pa.array(all_[2], pa.list_(pa.int32())),
+                    ], ["h", "at", "text", "doc", "print", "start"],
+                )
 
-    return docs.mapInArrow(run, "h long, at int, text binary, doc array<long>, start array<int>")
+    return docs.mapInArrow(run, "h long, at int, text binary, doc array<long>, print array<long>, start array<int>")
 
 
 def repeated_windows(h: np.ndarray, at: np.ndarray, text: list[bytes], doc: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int]]:
@@ -204,67 +235,75 @@ def repeated_windows(h: np.ndarray, at: np.ndarray, text: list[bytes], doc: np.n
     return list(zip(owners.tolist(), (np.flatnonzero(edge == 1) - edge_at).tolist(), (np.flatnonzero(edge == -1) - edge_at + WIDTH - 1).tolist(), strict=True))
 
 
-def batch_spans(table: pa.Table) -> tuple[list[int], list[int], list[int]]:
-    """``doc, start, end`` of the spans to remove, of whole grams sorted by gram."""
-    docs, starts, ends = [], [], []
-    groups: dict[tuple, list[int]] = {}
-    text, doc, start = (table.column(c).to_pylist() for c in ("text", "doc", "start"))
-    h, at = table.column("h").to_pylist(), table.column("at").to_pylist()
-    for k, key in enumerate(zip(h, at, text, strict=True)):
-        groups.setdefault(key, []).append(k)
-    first, ambiguous = [], {}
-    for (gram, offset, piece), rows in groups.items():
-        places = [p for k in rows for p in zip(doc[k], start[k], strict=True)]
-        least = min(places)
-        for d, s in places:
-            if (d, s) != least:
-                docs.append(d)
-                starts.append(s)
-                ends.append(s + len(piece))
-        ambiguous.setdefault(gram, []).append(len(first))
-        first.append((gram, offset, piece, *least))
-    several = [k for own in ambiguous.values() if len(own) > 1 for k in own]
-    if several:
-        gram, offset, piece, d, s = zip(*(first[k] for k in several), strict=True)
-        for owner, a, b in repeated_windows(np.array(gram, np.int64), np.array(offset, np.int64), list(piece), np.array(d, np.int64), np.array(s, np.int64)):
-            docs.append(d[owner])
-            starts.append(s[owner] + a)
-            ends.append(s[owner] + b)
-    return docs, starts, ends
-
-
-def spans(rows: DataFrame) -> DataFrame:
-    """``(id, start, end)`` of all spans to remove."""
+class Batch:
+    """Whole grams, one after the other: the first place of each different piece, and the spans that others lose."""
+
+    def __init__(self) -> None:
+        self.first: dict[tuple[int, int, bytes], tuple[int, int, int]] = {}
+        self.lost: list[tuple[int, int, int, int]] = []
+
+    def add(self, table: pa.Table) -> None:
+        """Of the places of equal pieces, whichever is not the first so far is lost."""
+        columns = (table.column(c).to_pylist() for c in ("h", "at", "text", "doc", "start", "print"))
+        for gram, at, text, doc, start, mark in zip(*columns, strict=True):
+            key, n = (gram, at, text), len(text)
+            least = self.first.get(key)
+            for place in zip(doc, start, mark, strict=True):
+                if least is None:
+                    least = place
+                elif place[:2] != least[:2]:
+                    gone, least = (place, least) if place > least else (least, place)
+                    self.lost.append((gone[0], gone[2], gone[1], gone[1] + n))
+            self.first[key] = least
+
+    def spans(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*self.lost, strict=True)) or [()] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["id", "print", "start", "end"])
+        self.lost = []
+        return out
+
+    def close(self) -> pa.RecordBatch:
+        """The spans that differing pieces of one gram lose to each other, and those still held; the batch is empty then."""
+        seen: dict[int, int] = {}
+        for gram, _, _ in self.first:
+            seen[gram] = seen.get(gram, 0) + 1
+        several = [(*key, *place) for key, place in self.first.items() if seen[key[0]] > 1]
+        if several:
+            gram, at, text, doc, start, mark = zip(*several, strict=True)
+            for k, a, b in repeated_windows(np.array(gram, np.int64), np.array(at, np.int64), list(text), np.array(doc, np.int64), np.array(start, np.int64)):
+                self.lost.append((doc[k], mark[k], start[k] + a, start[k] + b))
+        self.first = {}
+        return self.spans()
+
+
+def spans(rows: DataFrame, hold: int = 100_000) -> DataFrame:
+    """``(id, print, start, end)`` of all spans to remove."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for table, _ in runs(batches, "h", 1 << 62):
-            held.append(table)
+        batch, n = Batch(), 0
+        for table, whole in runs(batches, "h", hold):
+            batch.add(table)
             n += table.num_rows
-            if n >= PIECES:
-                yield arrow_spans(pa.concat_tables(held))
-                held, n = [], 0
-        if held:
-            yield arrow_spans(pa.concat_tables(held))
-
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "id long, start int, end int")
-
+            if whole and n >= PIECES:
+                yield batch.close()
+                n = 0
+            elif len(batch.lost) > hold:
+                yield batch.spans()
+        yield batch.close()
 
-def arrow_spans(table: pa.Table) -> pa.RecordBatch:
-    d, a, b = batch_spans(table)
-    return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["id", "start", "end"])
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "id long, print long, start int, end int")
 
 
 def row_id(id_: Column) -> Column:
     return F.coalesce(id_.cast("long"), F.lit(NULL_ID))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept, kept_sha256)`` of each row; ``kept`` is what is left, as bytes."""
-    texts = docs.select(row_id(F.col(id_col)).alias("id"), F.col(text_col).alias("text"))
-    found = spans(pieces(texts, marked_grams(texts)))
-    found = found.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), row_id(F.col(id_col)).alias("id"), F.col(text_col).alias("text")).join(found, "id", "left").select("doc_id", "text", "spans")
+    texts = docs.select(row_id(F.col(id_col)).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
+    found = spans(pieces(texts, marked_grams(texts, hot)))
+    found = found.groupBy("id", "print").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # no more than one text has
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_id(F.col(id_col)).alias("id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
+    rows = rows.join(found, ["id", "print"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
