@@ -12,10 +12,12 @@ Two sets A and B link when ``100 * |A & B| >= percent * |A | B|``. The answer is
 3. In each block an R-tree over the count vectors finds the pairs that may link: a node's bound is the sum of coordinate minima with its
    upper corner. The first search takes every found pair for a link and asks only for as many as join the block; those are verified on the sets,
    and links make groups.
-4. Where a block's members are in different groups still, the tree is searched again, now to the end: its pairs of different groups
+4. Where a block's members are in different groups still, the tree is searched again, and members of different groups that the bound does not keep
+   apart make families. A family's sets are sent to one place, once each, whatever blocks they are in, and an R-tree over
+   them is searched to the end: its pairs of different groups
    that pass the bound are verified on the spot, until the groups are joined or no pair is left. So no link between different texts is lost.
 
-No task holds a large block: a block over ``TILE`` members is cut into tiles, of one group each where groups are that large; the first
+No task holds a large block or family: one of over ``TILE`` members is cut into tiles, of one group each where groups are that large; the first
 search is within tiles, to each of which the block's centre is added, the second is over pairs of tiles that are not all of one group.
 
 Only size bands, ranges and set hashes decide where rows go, so a hot source does not matter; copies are collapsed by map-side
@@ -41,7 +43,7 @@ from .textbytes import LOWER, NOT_SPACE, mixed, text_slices, word_hashes, words
 
 GROUPS = 256
 TREE_LEAF = 16
-TILE = 2048
+TILE = 1024
 FACTORS = mixed(np.arange(101, 117, dtype=np.uint64)) | np.uint64(1)
 FILTER_BITS = 1 << 24
 
@@ -432,20 +434,26 @@ def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return by_key(rows).mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def open_members(rows: DataFrame, percent: int) -> DataFrame:
-    """``rows(key, v, comp, n, vec)`` to the ``(key, v, comp)`` that have a point of another group in reach."""
+def near_edges(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows(key, v, comp, n, vec)`` to ``(a, b)``: points of different groups in each other's reach, as many as join all that are in reach of one another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in each_run(batches, "key"):
             tree = RTree(Points(table.column("vec").to_pylist(), table.column("n").to_numpy()), table.column("comp").to_numpy())
-            near = np.zeros(len(tree.groups), bool)
+            v = table.column("v").to_numpy()[tree.order]
+            label, found = np.arange(len(v)), []
             for k in np.flatnonzero(tree.groups != np.argmax(np.bincount(tree.groups))).tolist():
-                at = tree.near(k, percent)
-                near[at] = True
-                near[k] |= len(at) > 0
-            yield from table.select(["key", "v", "comp"]).take(pa.array(np.sort(tree.order[near]))).to_batches()
+                near = tree.near(k, percent)
+                near = near[label[near] != label[k]]
+                others, first = np.unique(label[near], return_index=True)
+                found += [(v[k], v[j]) for j in near[first]]
+                if len(others):
+                    label[np.isin(label, others)] = label[k]
+            if found:
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
-    return by_key(rows).mapInArrow(run, "key long, v long, comp long")
+    return by_key(rows).mapInArrow(run, "a long, b long").distinct()
 
 
 def tree_links(rows: DataFrame, percent: int) -> DataFrame:
@@ -468,10 +476,15 @@ def slot(id_: Column) -> Column:
     return F.pmod(F.xxhash64(id_), F.lit(FILTER_BITS))
 
 
-def sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``(v, items)``: the sets of the documents in ``ids(v)``; only theirs are made again.
+def small(rows: DataFrame, most: int = 500_000) -> DataFrame:
+    """``rows``, narrow ones, to be broadcast where they are ``most`` at most; beyond that they are joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def sets_of(ids: DataFrame, docs: DataFrame, width: int, remember: int = 200_000) -> DataFrame:
+    """``(v, items)``: the sets of the documents in ``ids(v)``, and of a few others; only theirs are made again.
 
-    They are found by a bit table of fixed size (2 MB on the driver); what passes it by chance is dropped by the join.
+    They are found by a bit table of fixed size (2 MB on the driver). Repeated rows may come several times.
     """
     need = ids.select(slot(F.col("v")).alias("s")).groupBy(F.expr("s div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toArrow()
     table = np.zeros(FILTER_BITS // 64, np.uint64)
@@ -480,14 +493,21 @@ def sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             s = batch.column("slot").to_numpy()
             batch = batch.filter(pa.array((bits[s // 64] >> (s % 64).astype(np.uint64)) & np.uint64(1) == 1))
             for row, end, h, bounds in slices(batch, width):
-                yield pa.RecordBatch.from_arrays([batch.column("id")[row:end], pa.array(packed(h, bounds), pa.binary())], ["v", "items"])
+                ids = batch.column("id")[row:end]
+                new = np.ones(end - row, bool)
+                for i, mine in enumerate(zip(ids.to_pylist(), segment_sums(mixed(h), bounds).tolist(), strict=True)):
+                    new[i] = bounds[i + 1] > bounds[i] and mine not in seen
+                    seen.add(mine)
+                if len(seen) > remember:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([ids, pa.array(packed(h, bounds), pa.binary())], ["v", "items"]).filter(pa.array(new))
 
-    made = docs.where("id is not null").withColumn("slot", slot(F.col("id"))).mapInArrow(run, "v long, items binary").where("length(items) > 0")
-    made = save(made.join(ids, "v", "left_semi").distinct(), "set-items")
+    made = save(docs.where("id is not null").withColumn("slot", slot(F.col("id"))).mapInArrow(run, "v long, items binary"), "set-items")
     table.destroy()
     return made
 
@@ -495,9 +515,9 @@ def sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 def verified(pairs: DataFrame, made: DataFrame, percent: int, share: int = 1000) -> DataFrame:
     """The ``(a, b)`` whose sets link. A set ``a`` is sent once for ``share`` of its pairs."""
     parts = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(*) / {share}.0D) as long)").alias("parts"))
-    keyed = pairs.join(parts, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("key"))
-    first = keyed.select("key", F.col("a").alias("v")).distinct().join(made, "v").select("key", F.lit(0).alias("side"), F.col("v").alias("a"), F.col("v").alias("b"), "items")
-    rest = keyed.join(made.withColumnRenamed("v", "b"), "b").select("key", F.lit(1).alias("side"), "a", "b", "items")
+    keyed = pairs.join(parts, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("key"), "a", "b")
+    sides = keyed.select("key", F.lit(0).alias("side"), "a", F.col("a").alias("b")).distinct().unionByName(keyed.select("key", F.lit(1).alias("side"), "a", "b"))
+    rows = made.join(small(save(sides.withColumn("v", F.col("b")), "sides")), "v").select("key", "side", "a", "b", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, []
@@ -507,13 +527,13 @@ def verified(pairs: DataFrame, made: DataFrame, percent: int, share: int = 1000)
             for k, side, raw in zip(keys, sides, batch.column("items"), strict=True):
                 if k != key:
                     key, own = k, []
+                other = unpacked(raw.as_py())
                 if not side:
-                    own.append(unpacked(raw.as_py()))
-                other = unpacked(raw.as_py()) if side else None
+                    own.append(other)
                 keep.append(bool(side) and any(alike(x, other, percent) for x in own))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return by_key(first.unionByName(rest), "side").mapInArrow(run, "a long, b long").distinct()
+    return by_key(rows, "side").mapInArrow(run, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -537,11 +557,13 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
     groups = save(connected_components(verified(asked, made, percent).unionByName(same)), "groups")
 
     again = members.join(groups.withColumnRenamed("id", "v"), "v", "left").select("block", "v", F.coalesce("component", "v").alias("comp"))
-    left = save(open_members(second_tiles(again).join(points, "v"), percent), "open")
-    rest = save(left.select("v").join(made, "v", "left_anti").distinct(), "rest")  # of blocks with several tiles
+    near = near_edges(second_tiles(again).join(points, "v"), percent)
+    family = connected_components(near).toDF("v", "block").join(groups.withColumnRenamed("id", "v"), "v", "left").select("block", "v", F.coalesce("component", "v").alias("comp"))
+    left = save(second_tiles(family), "open")
+    rest = save(left.select("v").distinct().join(asked.select(F.explode(F.array("a", "b")).alias("v")), "v", "left_anti"), "rest")  # of blocks with several tiles
     if not rest.isEmpty():
         made = made.unionByName(sets_of(rest, docs, width))
-    more = save(tree_links(left.join(made, "v"), percent).distinct(), "links")
+    more = save(tree_links(made.join(small(left), "v"), percent).distinct(), "links")
     groups = joined_components(groups, more)
     comps = names.join(groups.withColumnRenamed("id", "v"), "v", "left").groupBy("id").agg(F.min(F.coalesce("component", "v")).alias("component"))
     return sets, save(comps, "components")
