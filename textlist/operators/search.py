@@ -33,7 +33,8 @@ class Strings:
         behind = np.arange(raw.shape[1]) >= self.length[:, None]
         self.codes = np.where(behind, 0, codes.reshape(raw.shape) + 1)
         at = np.arange(len(texts))[:, None] * (len(self.chars) + 1) + self.codes
-        self.counts = np.bincount(at.ravel(), minlength=len(texts) * (len(self.chars) + 1)).reshape(len(texts), -1)[:, 1:].astype(np.uint16)
+        counts = np.bincount(at.ravel(), minlength=len(texts) * (len(self.chars) + 1)).reshape(len(texts), -1)[:, 1:]
+        self.counts = np.ascontiguousarray(counts.T.astype(np.uint16))  # a row for each character
 
     def numbers(self, text: str) -> np.ndarray:
         """Character numbers of another string; -1 for characters that none of these has."""
@@ -43,9 +44,12 @@ class Strings:
 
     def common(self, text: str) -> np.ndarray:
         """Characters in common with ``text``, each as often as in both: no less than the longest common subsequence."""
-        own = self.numbers(text)
-        count = np.bincount(own[own >= 0], minlength=len(self.chars)).astype(np.uint16)
-        return np.minimum(self.counts[:, count > 0], count[count > 0]).sum(1, dtype=np.int64)
+        total = np.zeros(len(self.texts), np.uint16)
+        own, times = np.unique(self.numbers(text), return_counts=True)
+        for c, n in zip(own.tolist(), times.tolist(), strict=True):
+            if c >= 0:
+                total += np.minimum(self.counts[c], np.uint16(n))
+        return total.astype(np.int64)
 
     def lcs(self, text: str, at: np.ndarray) -> np.ndarray:
         """Longest common subsequence of ``text`` with the strings ``at``: a row of bits for each, a step for each character."""
@@ -147,11 +151,9 @@ def whole_key(block: pa.Table) -> Callable[[dict], np.ndarray]:
     def score(key: dict) -> np.ndarray:
         bound = 200.0 * strings.common(key["text"]) / (strings.length + len(key["text"]))
         out = np.full(len(bound), -1.0)
-        order = np.argsort(-bound, kind="stable")
-        first = order[:64]
+        first = np.argpartition(-bound, 63)[:64] if len(bound) > 64 else np.arange(len(bound))
         out[first] = strings.ratio(key["text"], first)
-        rest = order[64:]
-        rest = rest[bound[rest] >= max(C.PARTIAL, out[first].max(initial=0))]
+        rest = np.flatnonzero((out < 0) & (bound >= max(C.PARTIAL, out.max(initial=0))))
         if len(rest):
             out[rest] = strings.ratio(key["text"], rest)
         return out
