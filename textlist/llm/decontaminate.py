@@ -7,8 +7,9 @@ of ``percent`` / 100 over shingles of ``width`` words; a shingle weighs as often
 1. A window that shares no shingle with an item cannot reach the threshold with it. The best window for an item starts at a shingle of
    that item, or ends the text: sliding a window right to its first shared shingle loses none. So the windows at shared shingles, for
    the items that hold the shingle, are all that need be looked at; items of one size that share nothing with a window are never met.
-   The items' shingles are broadcast only up to ``broadcast_rows`` rows; a larger set is joined by a shuffle on the shingle.
-2. Only documents with such a place are read again for their windows. A window and its item have 64-bit SimHashes, cut into
+   The items' shingles are broadcast only up to ``broadcast_rows`` rows, and then no text is shuffled; a larger set is joined by a shuffle on
+   the shingle, and only documents with such a place are read again for their windows.
+2. A window and its item have 64-bit SimHashes, cut into
    ``radius + 1`` parts: fingerprints within the radius equal one another in some part, so pairs without an equal part go, then
    those beyond the radius. At a similarity of 0.8 the parts are three bits wide and pass most pairs: the shingle is what selects.
 3. The pairs left are compared exactly; an item's shingles are joined once, to these pairs.
@@ -116,36 +117,41 @@ def item_prints(benchmark: DataFrame, width: int) -> DataFrame:
     return with_simhash(rows, "item_shingles").select("item", "item_id", F.col("n_words").alias("size"), "width", "item_shingles", F.col("simhash").alias("item_bits"))
 
 
-def places(docs: DataFrame, prints: DataFrame, broadcast_rows: int) -> DataFrame:
-    """``(doc_id, print, at)``: for each text that shares a shingle with an item, the windows ``(width, item, size, start)`` to look at."""
-    keys = prints.select(F.explode(F.array_distinct("item_shingles")).alias("h"), "item", "size", "width")
-    if keys.count() <= broadcast_rows:
-        keys = F.broadcast(keys)
-    rows = with_words(docs, "text")
-    found = None
-    for width in sorted(r["width"] for r in prints.select("width").distinct().collect()):  # one, unless items are shorter than a shingle
-        # the outer form: the plain one infers a filter on the array's size, which is pushed down and makes the array again
-        some = rows.select("doc_id", "print", "n_words", F.posexplode_outer(shingles(width)).alias("pos", "h")).join(keys.where(F.col("width") == width), "h")
-        start = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("n_words") - F.col("size")))
-        some = some.select("doc_id", "print", F.struct("width", "item", "size", start.alias("start")).alias("at"))
-        found = some if found is None else found.unionByName(some)
-    return found.groupBy("doc_id", "print").agg(F.collect_set("at").alias("at"))  # no more than one text has
+def hits(docs: DataFrame, keys: DataFrame, width: int, *more: str) -> DataFrame:
+    """``(doc_id, print, item, size, start)``, and the columns ``more`` of the text, where a shingle of ``width`` words is an item's: the window to look at."""
+    rows = with_words(docs, "text").withColumn("shingles", shingles(width))
+    # the outer form: the plain one infers a filter on the array's size, which is pushed down and makes the array again
+    rows = rows.select("doc_id", "print", "n_words", *more, F.posexplode_outer("shingles").alias("pos", "h")).join(keys.where(F.col("width") == width), "h")
+    start = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("n_words") - F.col("size")))
+    return rows.select("doc_id", "print", *more, "item", "size", start.alias("start"))
+
+
+def window(width: int, start: Column, size: Column) -> Column:
+    return F.slice("shingles", start + 1, F.greatest(F.lit(1), size - width + 1))
+
+
+def far_windows(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, print, item, start, window)`` where keys are too many to broadcast: single shingles are shuffled, and texts with a hit are read again."""
+    found = hits(docs, keys, width).groupBy("doc_id", "print").agg(F.collect_set(F.struct("item", "size", "start")).alias("at"))  # no more than one text has
+    found = save(found, "places").withColumnsRenamed({"doc_id": "_doc", "print": "_print"})
+    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("print") == F.col("_print")))
+    rows = with_words(rows, "text").withColumn("shingles", shingles(width)).select("doc_id", "print", "shingles", F.explode("at").alias("at"))
+    return rows.select("doc_id", "print", "at.item", "at.start", window(width, F.col("at.start"), F.col("at.size")).alias("window"))
 
 
 def candidates(docs: DataFrame, prints: DataFrame, broadcast_rows: int) -> DataFrame:
     """``(doc_id, print, item, start, window, bits)``: the windows at shared shingles and their fingerprints."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("print"))
-    found = save(places(docs, prints, broadcast_rows), "places").withColumnsRenamed({"doc_id": "_doc", "print": "_print"})
-    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("print") == F.col("_print")))
-    widths = [r["width"] for r in prints.select("width").distinct().collect()]
-    made = with_words(rows, "text")
+    keys = prints.select(F.explode(F.array_distinct("item_shingles")).alias("h"), "item", "size", "width")
+    near_ = keys.count() <= broadcast_rows
     out = None
-    for width in sorted(widths):
-        some = made.withColumn("shingles", shingles(width)).select("doc_id", "print", "shingles", F.explode(F.filter("at", lambda x: x["width"] == width)).alias("at"))
-        window = F.slice("shingles", F.col("at.start") + 1, F.greatest(F.lit(1), F.col("at.size") - width + 1))
-        some = some.select("doc_id", "print", "at.item", "at.start", window.alias("window"))
+    for width in sorted(r["width"] for r in prints.select("width").distinct().collect()):  # one, unless items are shorter than a shingle
+        if near_:
+            some = hits(docs, F.broadcast(keys), width, "shingles").select("doc_id", "print", "item", "start", window(width, F.col("start"), F.col("size")).alias("window"))
+        else:
+            some = far_windows(docs, keys, width)
         out = some if out is None else out.unionByName(some)
-    return with_simhash(out, "window").withColumnRenamed("simhash", "bits")
+    return with_simhash(save(out, "windows"), "window").withColumnRenamed("simhash", "bits")
 
 
 def leaking_texts(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80, radius: int = 20, broadcast_rows: int = 500_000) -> DataFrame:
