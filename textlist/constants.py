@@ -39,6 +39,16 @@ FIELD_RULES = [
     ("cuvee", rf"(?:'([^']+)'|\"[^\"]+\"|{NAME})(?={_NEXT})", 0.8),
 ]
 
+#: Replacements that normalise a text, in order: dashes, words broken by a hyphen, ampersands, apostrophes, then the space before a currency sign and runs of white space. Fixed values.
+DASHES = r"[‐-―⁃−⎯⏤]"
+JOINS = [
+    (r"(\w+)-\s*\n\s*(\w+)", "$1$2"),
+    (r"(\w+)-\s*(\w+)", "$1$2"),
+    (r"(\w+)(?:&|and)\s*(\w+)", "$1 & $2"),
+    (r"(\w+)'\s*(\w+)", "$1'$2"),
+]
+CURRENCIES = ["€", "$", "£"]
+
 #: Patterns that exclude a line, by group. Fixed values.
 EXCLUSIONS = {
     "by_the_glass": [r"by\s+the\s+glass", r"glass\s+pour", r"glass\s+only", r"available\s+by\s+glass"],
@@ -54,8 +64,8 @@ BOTTLES = [
 #: Variant tags in order. Fixed values.
 VARIANTS = [("vintage", r"\b(19|20)\d{2}\b"), *((w, rf"\b{w}\b") for w in ("reserve", "special", "limited", "single", "grand", "premier", "cru"))]
 #: Words that speak for an item, and regions; three are in both. Fixed values.
-TERMS = "wine,chateau,domaine,estate,vineyard,cellar,pinot,chardonnay,cabernet,merlot,syrah,grenache,sauvignon,blanc,noir,rouge,rose,sparkling,champagne,burgundy,bordeaux,italy,spain,france,germany,australia,usa,new zealand,chile,argentina".split(",")
-REGIONS = "burgundy,bordeaux,champagne,alsace,loire,rhone,tuscany,piedmont,veneto,rioja,ribera,priorat,napa,sonoma,oregon,washington,barossa,mclaren,margaret river,marlborough,central otago".split(",")
+TERMS = ["wine", "chateau", "domaine", "estate", "vineyard", "cellar", "pinot", "chardonnay", "cabernet", "merlot", "syrah", "grenache", "sauvignon", "blanc", "noir", "rouge", "rose", "sparkling", "champagne", "burgundy", "bordeaux", "italy", "spain", "france", "germany", "australia", "usa", "new zealand", "chile", "argentina"]
+REGIONS = ["burgundy", "bordeaux", "champagne", "alsace", "loire", "rhone", "tuscany", "piedmont", "veneto", "rioja", "ribera", "priorat", "napa", "sonoma", "oregon", "washington", "barossa", "mclaren", "margaret river", "marlborough", "central otago"]
 HOUSE_TERMS = TERMS[:6]
 
 #: Headings, three levels: patterns for the whole line and words anywhere in it. Fixed values.
@@ -66,9 +76,9 @@ HEADER_PATTERNS = {
     3: [TITLE_CASE, "^(?:Pinot Noir|Chardonnay|Cabernet|Merlot|Syrah|Grenache)$", "^(?:Grand Cru|Premier Cru|1er Cru|Riserva|Reserva|Gran Reserva)$"],
 }
 HEADER_WORDS = {
-    1: "champagne,rosé,magnums,white,red,sparkling,dessert,sweet,fortified".split(","),
-    2: "burgundy,bordeaux,italy,spain,usa,australia,germany,new zealand,champagne".split(","),
-    3: "pinot noir,chardonnay,cabernet,merlot,syrah,grenache,grand cru,premier cru,1er cru".split(","),
+    1: ["champagne", "rosé", "magnums", "white", "red", "sparkling", "dessert", "sweet", "fortified"],
+    2: ["burgundy", "bordeaux", "italy", "spain", "usa", "australia", "germany", "new zealand", "champagne"],
+    3: ["pinot noir", "chardonnay", "cabernet", "merlot", "syrah", "grenache", "grand cru", "premier cru", "1er cru"],
 }
 #: Words that make a contents page, and a page without items. Fixed values.
 CONTENTS_WORDS = ["contents", "index", "table of contents", "wine list", "sommelier's selection"]

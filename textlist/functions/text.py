@@ -39,12 +39,10 @@ def nfkc(text: Column) -> Column:
 def normalize_text(text: Column, compose: bool = True) -> Column:
     """Dashes, broken words, ampersands, apostrophes, currency signs and white space, in that order."""
     text = nfkc(text) if compose else text
-    text = F.regexp_replace(text, r"[‐-―⁃−⎯⏤]", "-")
-    text = F.regexp_replace(text, rx(r"(\w+)-\s*\n\s*(\w+)"), "$1$2")
-    text = F.regexp_replace(text, rx(r"(\w+)-\s*(\w+)"), "$1$2")
-    text = F.regexp_replace(text, rx(r"(\w+)(?:&|and)\s*(\w+)"), "$1 & $2")
-    text = F.regexp_replace(text, rx(r"(\w+)'\s*(\w+)"), "$1'$2")
-    for sign in "€$£":
+    text = F.regexp_replace(text, C.DASHES, "-")
+    for pattern, joined in C.JOINS:
+        text = F.regexp_replace(text, rx(pattern), joined)
+    for sign in C.CURRENCIES:
         text = F.regexp_replace(text, rx(rf"(\d+)\s*\{sign}"), rf"$1\{sign}")
     return F.trim(F.regexp_replace(text, rx(r"\s+"), " "))
 
