@@ -103,6 +103,15 @@ def test_licenses_of_documents_are_all_found(spark, sf):
     assert got == sorted((r["doc_id"], k) for r in docs.collect() for k, v in plain.items() for _ in range(r["text"].count(v)))
 
 
+@pytest.mark.parametrize("name, label, caught, kept", [("op1_toxicity", "toxic", 0.85, 0.99), ("op3_quality", "quality", 0.97, 0.97)])
+def test_held_out_rows(spark, name, label, caught, kept):
+    """Shares of held-out rows of label 1 and of label 0 that are told right; ten thousand documents, of which the labels cover some."""
+    sf = "/root/testdata/sf0.1"
+    rows = queries.QUERIES[name](spark, sf).where("held_out").join(read_table(spark, sf, "labels"), "doc_id").select(label, "predicted").collect()
+    right = lambda y: np.mean([r["predicted"] == y for r in rows if r[label] == y])
+    assert len(rows) > 500 and right(1) >= caught and right(0) >= kept
+
+
 def test_notices_of_one_block_are_all_found(spark):
     lines = [f"This work is licensed beneath the GNU {x}General Public License, version 3." for x in ("", "Lesser ", "Affero ")]
     lines += [f"This work is licensed beneath a Creative Commons Attribution{x} 4.0 International License." for x in ("", "-ShareAlike", "-NonCommercial")]
