@@ -33,5 +33,8 @@ def test_query(spark, sf, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_query_without_sql_runs(spark, sf, name):
-    assert registry.QUERIES[name](spark, sf).count() >= 0
+def test_query_without_sql_gives_rows(spark, sf, name):
+    """Their values are held in test_matching.py and test_samples_and_streams.py."""
+    df = registry.QUERIES[name](spark, sf)
+    found = [tuple(r) for r in df.collect()]
+    assert found and len(set(map(repr, found))) == len(found)
