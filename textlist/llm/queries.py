@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, jaccard_join, license_scan, line_dedup, media, mixing, quality, suffix_dedup, toxicity
+from . import cap_filters, decontaminate, hard_negatives, html_extract, jaccard_join, lexical_search, license_scan, line_dedup, media, mixing, quality, suffix_dedup, toxicity
 from .common import read_table
 
 
@@ -54,6 +54,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op11_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_jaccard_join": op2_jaccard_join,
@@ -66,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flac_pcm_blocks": flac_pcm_blocks,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
+    "op11_cap_filters": op11_cap_filters,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -73,4 +88,7 @@ ORACLES: dict[str, str] = {
     "flac_pcm_blocks": media.BLOCK_ORACLE,
     "op9_decontamination": decontaminate.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_cap_filters": cap_filters.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
