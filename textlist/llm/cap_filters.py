@@ -11,7 +11,7 @@
    of them, so links are counted where they are found, and no pair leaves a task.
 
 Links are exact (each is verified in double precision); how many are found is a matter of chance that grows with ``filters``, the mean number of directions of a vector:
-with 64, 0.97 of pairs that stand right at the threshold are found, and nearly all that are nearer. The number of directions grows with the number of vectors, so that cells do not.
+five for each doubling of the vectors, with which more than 0.95 of pairs right at the threshold are found, and nearly all that are nearer. The number of directions grows with the number of vectors, so that cells do not.
 
 Defined results: null vectors, zero vectors and those with null or non-finite components link with nothing; shorter vectors are filled up with
 zeros; of rows that repeat an id the one with the least vector counts, and one row is returned; a null id links with nothing and has no component; an empty
@@ -53,6 +53,16 @@ def units(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 5e-324)
 
 
+def mean_filters(n: int) -> int:
+    """Caps of a vector in the mean, for ``n`` vectors: higher caps, which more vectors need, are shared by fewer of a pair."""
+    return max(20, math.ceil(5 * math.log2(n + 1)))
+
+
+def words_of(n: int, filters: int) -> int:
+    """Words of a half, so that a direction has ``POPULATION`` of the ``n`` vectors in the mean."""
+    return max(4, math.ceil((max(1, n) * filters / POPULATION) ** (1 / PARTS)))
+
+
 class Code:
     """A random product code with ``size`` words a part, and the cap's height at which a vector is in ``filters`` caps in the mean."""
 
@@ -275,7 +285,7 @@ def by_members(pairs: DataFrame, members: DataFrame, sizes: DataFrame, width: in
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "kind int, a long, b long")
 
 
-def near_vectors(embeddings: DataFrame, cosine: float = 0.9, filters: int = 64) -> DataFrame:
+def near_vectors(embeddings: DataFrame, cosine: float = 0.9, filters: int | None = None) -> DataFrame:
     """``embeddings(vec_id, embedding)`` to ``(vec_id, n_links, component_id, kept)``, one row an id; links are pairs found with a cosine of ``cosine`` or more."""
     element = embeddings.schema["embedding"].dataType.elementType.simpleString()
     kind = "float" if element == "float" else "double"
@@ -285,7 +295,8 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.9, filters: int = 64)
     rows = save(rows.withColumn("x", F.when(fit & F.col("vec_id").isNotNull(), F.col("x"))), "vectors")
     classes = save(rows.where("x is not null").groupBy("x").agg(F.min("vec_id").alias("id"), F.count("*").alias("w")).select("id", "w", "x"), "classes")
     n, width = classes.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(1))).first()
-    code = Code(width, max(4, math.ceil((max(1, n) * filters / POPULATION) ** (1 / PARTS))), filters)
+    filters = filters or mean_filters(n)
+    code = Code(width, words_of(n, filters), filters)
 
     members = save(families(decoded(classes, code, width), width, math.acos(cosine) / 2 - SLACK), "members")
     sizes = save(members.groupBy("fam").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.max("angle").alias("r")), "sizes")
