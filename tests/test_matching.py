@@ -1,14 +1,15 @@
-"""The blocked catalogue search against brute force over every pair."""
+"""The indexed and the threshold search of the catalogue against brute force over every pair."""
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textlist import constants as C
 from textlist.fixtures import table
 from textlist.functions.similarity import lcs_length
-from textlist.operators import match, search
+from textlist.operators import match, metric_index, threshold
 
 ITEM = "entry_id string, producer string, cuvee string, vintage string, region string, country string, grape_variety string"
 
@@ -93,22 +94,61 @@ def test_composite_match(sides):
         assert got.get(i["entry_id"]) == ((-best[1], best[0]) if best[0] >= C.PARTIAL else None)
 
 
-def test_blocks_and_parts_change_nothing(sides):
+def test_tiles_change_nothing(sides, monkeypatch):
     items, rows = sides
-    keys = search.distinct_keys(items.where("producer_n <> ''"), {f: F.col(f"{f}_n") for f in C.KEYS})
+    keys = match.distinct_keys(items.where("producer_n <> ''"), {f: F.col(f"{f}_n") for f in C.KEYS})
     cat = rows.select("catalog_row", *[F.col(f"{f}_norm").alias(f) for f in C.KEYS])
-    whole = sorted(map(tuple, search.search(keys, cat, search.weighted, 70, 3).collect()))
-    assert whole == sorted(map(tuple, search.search(keys, cat, search.weighted, 70, 3, part_size=7, block_size=33).collect())) != []
-    assert search.search(keys.where("false"), cat, search.weighted, 70, 3).count() == search.search(keys, cat.where("false"), search.weighted, 70, 3).count() == 0
+    whole = sorted(map(tuple, threshold.search(keys, cat, 3, 70).collect()))
+    assert threshold.search(keys.where("false"), cat, 3, 70).count() == threshold.search(keys, cat.where("false"), 3, 70).count() == 0
+    monkeypatch.setattr(metric_index, "TILE", 33)  # postings in tiles, values in an index
+    monkeypatch.setattr(threshold, "DEPTH", 3)
+    monkeypatch.setattr(threshold, "DEAR", 5)
+    assert whole == sorted(map(tuple, threshold.search(keys, cat, 3, 70).collect())) != []
 
 
-def test_strings():
+@pytest.fixture(scope="module")
+def larger(spark):
+    sf = "/root/testdata/sf0.01"
+    return match.normalize_items(table(spark, sf, "items")).cache(), match.normalize_catalog(table(spark, sf, "catalog")).cache()
+
+
+def test_searches_read_a_small_part_of_the_pairs(spark, larger):
+    """The composite search meets and compares, and the weighted one reads, a small part of keys times rows, and less of it the larger the catalogue is."""
+    items, rows = larger
+    count = lambda df, *c: df.select(*c).distinct().count()
+    meter = metric_index.Meter(*[spark.sparkContext.accumulator(0) for _ in range(2)])
+    assert match.composite_match(items, rows, meter).count() > 1000
+    pairs = count(items, *[f"{k}_n" for k in C.KEYS]) * count(rows, "composite_key")
+    assert 0 < meter.compared.value <= meter.met.value < 0.2 * pairs and meter.compared.value < 0.05 * pairs
+    read = spark.sparkContext.accumulator(0)
+    assert match.scored_pairs(items, rows, 1, read).count() > 1000
+    assert 0 < read.value < 0.05 * count(items, *[f"{k}_n" for k in C.KEYS]) * rows.count()
+
+
+def test_longest_common_subsequences_of_pairs():
     rng = random.Random(8)
-    texts = sorted({"".join(rng.choice("abcé 1") for _ in range(rng.randrange(30))) for _ in range(60)} | {"", "a\u0000", "😀b"})
-    strings = search.Strings(texts)
-    for said in [*texts, "zzz", "ab" * 40, "c" * 64]:
-        assert strings.ratio(said).tolist() == [100.0 if not a and not said else 200.0 * lcs_length(said, a) / (len(said) + len(a)) for a in texts]
-        assert all(c >= lcs_length(said, a) for c, a in zip(strings.common(said).tolist(), texts, strict=True))
+    texts = sorted({"".join(rng.choice("abcé 1") for _ in range(rng.choice([0, 1, 5, 30, 63, 64, 65, 128, 129, 300]))) for _ in range(60)} | {"", "a\u0000", "😀b"})
+    a, b = metric_index.Strings(texts), metric_index.Strings(texts[::-1])
+    i, j = (x.ravel() for x in np.indices((len(texts), len(texts))))
+    want = [lcs_length(texts[p], texts[::-1][q]) for p, q in zip(i.tolist(), j.tolist(), strict=True)]
+    assert metric_index.pair_lcs(a, b, i, j).tolist() == want
+
+
+def test_reads_leave_nothing_that_reaches_the_bound():
+    """Whatever a key does not read stays below its bound, for random lists."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n, m = 4, 5
+        length = rng.integers(1, m + 1, n)
+        score = -np.sort(-rng.integers(1, 100, (1, n, m)).astype(float), axis=2) * (np.arange(m) < length[:, None])
+        cost = rng.integers(1, 5000, (1, n, m)).astype(float) * (score > 0)
+        ends = np.where(length < m, 0.0, score[:, np.arange(n), length - 1])
+        bound = np.array([rng.integers(1, 350)])
+        _, one, place = threshold.reads(score, cost, ends, bound)
+        deep = np.bincount(one[one >= 0], minlength=n)
+        left = sum(score[0, f, d] if d < length[f] else ends[0, f] for f, d in enumerate(deep.tolist()))
+        assert (one < 0).any() or left < bound[0]
+        assert all(sorted(place[one == f].tolist()) == list(range(d)) for f, d in enumerate(deep.tolist()))
 
 
 def test_choice_of_enrichment(spark):

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.similarity import sorted_ratio, sorted_tokens
-from .search import distinct_keys, search, weighted, whole_key
+from . import metric_index, threshold
 
 DESIGNATION = r"\s+(?:grand\s+cru|premier\s+cru|1er\s+cru)$"
 
@@ -97,15 +98,15 @@ def score_pairs(pairs: DataFrame, items: DataFrame, catalog: DataFrame) -> DataF
     return pairs.join(left, "entry_id").join(right, "catalog_row").withColumn("score", pair_score()).select("entry_id", "catalog_row", "score")
 
 
-def scored_pairs(items: DataFrame, catalog: DataFrame, k: int | None = None) -> DataFrame:
+def scored_pairs(items: DataFrame, catalog: DataFrame, k: int | None = None, meter: Accumulator | None = None) -> DataFrame:
     """``(entry_id, catalog_row, score)`` of pairs at or above the partial threshold; with ``k`` only each item's best.
 
-    Items enter the search once for each distinct key.
+    Items enter the search once for each distinct key; ``threshold`` says how the search leaves out what cannot be among the best.
     """
     columns = {f: sorted_tokens(F.col(f"{f}_n")) for f in C.KEYS}
     rows = catalog.select("catalog_row", *[sorted_tokens(F.col(f"{f}_norm")).alias(f) for f in C.KEYS])
     keys = distinct_keys(items, columns)
-    found = search(keys, rows, weighted, C.PARTIAL, k)
+    found = threshold.search(keys, rows, k, C.PARTIAL, meter)
     members = items.select("entry_id", *[c.alias(f) for f, c in columns.items()]).join(keys, C.KEYS).select("entry_id", "rep")
     return members.join(found, "rep").select("entry_id", "catalog_row", "score")
 
@@ -125,15 +126,25 @@ def suggestions(items: DataFrame, catalog: DataFrame, k: int = 5) -> DataFrame:
     return scored_pairs(items, catalog, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def composite_match(items: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``(entry_id, catalog_row, score)``: the best ratio of whole keys, at or above the partial threshold; the first row on ties."""
+def composite_match(items: DataFrame, catalog: DataFrame, meter: metric_index.Meter | None = None) -> DataFrame:
+    """``(entry_id, catalog_row, score)``: the best ratio of whole keys, at or above the partial threshold; the first row on ties.
+
+    Keys are looked up in a metric index of the catalogue's distinct keys.
+    """
     items = items.withColumn("text", sorted_tokens(F.concat_ws(" ", *[f"{k}_n" for k in C.KEYS]))).where("text <> ''").select("entry_id", "text")
     rows = catalog.select("catalog_row", sorted_tokens(F.col("composite_key")).alias("text")).where("text <> ''").groupBy("text").agg(F.min("catalog_row").alias("catalog_row"))
+    space = F.lit("").alias("space")
     keys = distinct_keys(items, {"text": F.col("text")})
-    found = search(keys, rows, whole_key, C.PARTIAL, 1)
+    index = metric_index.build(rows.select(space, F.col("catalog_row").alias("id"), "text"), meter)
+    found = metric_index.nearest(index, keys.select(space, "rep", "text"), 1, C.PARTIAL).select("rep", F.col("id").alias("catalog_row"), F.col("ratio").alias("score"))
     return items.join(keys, "text").join(found, "rep").select("entry_id", "catalog_row", "score")
 
 
+def distinct_keys(items: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The distinct values of ``columns`` with one of their ``entry_id`` as ``rep``."""
+    return items.select("entry_id", *[c.alias(name) for name, c in columns.items()]).groupBy(*columns).agg(F.min("entry_id").alias("rep"))
+
+
 def item_matches(items: DataFrame, catalog: DataFrame) -> DataFrame:
     """``(entry_id, catalog_row, score)``: the direct match, else the best by the whole key."""
     direct = direct_match(items, catalog).withColumn("score", F.lit(100.0))
