@@ -96,7 +96,7 @@ def test_composite_match(sides):
 
 def test_tiles_change_nothing(sides, monkeypatch):
     items, rows = sides
-    keys = match.distinct_keys(items.where("producer_n <> ''"), {f: F.col(f"{f}_n") for f in C.KEYS})
+    keys = match.distinct_keys(items.where("producer_n <> ''").select("entry_id", *[F.col(f"{f}_n").alias(f) for f in C.KEYS]))
     cat = rows.select("catalog_row", *[F.col(f"{f}_norm").alias(f) for f in C.KEYS])
     whole = sorted(map(tuple, threshold.search(keys, cat, 3, 70).collect()))
     assert threshold.search(keys.where("false"), cat, 3, 70).count() == threshold.search(keys, cat.where("false"), 3, 70).count() == 0

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.similarity import sorted_ratio, sorted_tokens
 from . import metric_index, threshold
+from .lineage import saved
 
 DESIGNATION = r"\s+(?:grand\s+cru|premier\s+cru|1er\s+cru)$"
 
@@ -63,7 +64,8 @@ def direct_match(items: DataFrame, catalog: DataFrame) -> DataFrame:
     no row meets the whole catalogue. Items without any field match nothing.
     """
     mask = reduce(Column.__add__, [F.when(filled(k), 1 << i).otherwise(0) for i, k in enumerate(C.KEYS)])
-    items = items.withColumn("mask", mask)
+    items = saved(items.select("entry_id", *[f"{k}_n" for k in C.KEYS], mask.alias("mask")), "items")  # read once for each kind
+    catalog = saved(catalog.select("catalog_row", *[f"{k}_norm" for k in C.KEYS]), "catalog")
     kinds = sorted(r["mask"] for r in items.select("mask").distinct().collect() if r["mask"])  # 63 at most
     out = None
     for m in kinds:
@@ -105,15 +107,17 @@ def scored_pairs(items: DataFrame, catalog: DataFrame, k: int | None = None, met
     """
     columns = {f: sorted_tokens(F.col(f"{f}_n")) for f in C.KEYS}
     rows = catalog.select("catalog_row", *[sorted_tokens(F.col(f"{f}_norm")).alias(f) for f in C.KEYS])
-    keys = distinct_keys(items, columns)
+    said = saved(items.select("entry_id", *[c.alias(f) for f, c in columns.items()]), "said")
+    keys = saved(distinct_keys(said), "keys")
     found = threshold.search(keys, rows, k, C.PARTIAL, meter)
-    members = items.select("entry_id", *[c.alias(f) for f, c in columns.items()]).join(keys, C.KEYS).select("entry_id", "rep")
+    members = said.join(keys, C.KEYS).select("entry_id", "rep")
     return members.join(found, "rep").select("entry_id", "catalog_row", "score")
 
 
 def best_match(items: DataFrame, catalog: DataFrame, threshold: float = C.PARTIAL) -> DataFrame:
     """``(entry_id, catalog_row, score, provenance)`` of every item: direct, else the best weighted score, else nulls."""
-    direct = direct_match(items, catalog).withColumn("score", F.lit(100.0))
+    items = saved(items.select("entry_id", *[f"{k}_n" for k in C.KEYS]), "items")
+    direct = saved(direct_match(items, catalog).withColumn("score", F.lit(100.0)), "direct")
     rest = items.join(direct, "entry_id", "left_anti")
     fuzzy = scored_pairs(rest, catalog, 1).where(F.col("score") >= threshold)
     found = direct.withColumn("provenance", F.lit("direct")).unionByName(fuzzy.withColumn("provenance", grade(F.col("score"))))
@@ -132,22 +136,23 @@ def composite_match(items: DataFrame, catalog: DataFrame, meter: metric_index.Me
     Keys are looked up in a metric index of the catalogue's distinct keys.
     """
     items = items.withColumn("text", sorted_tokens(F.concat_ws(" ", *[f"{k}_n" for k in C.KEYS]))).where("text <> ''").select("entry_id", "text")
+    items = saved(items, "said")
     rows = catalog.select("catalog_row", sorted_tokens(F.col("composite_key")).alias("text")).where("text <> ''").groupBy("text").agg(F.min("catalog_row").alias("catalog_row"))
     space = F.lit("").alias("space")
-    keys = distinct_keys(items, {"text": F.col("text")})
+    keys = saved(distinct_keys(items), "keys")
     index = metric_index.build(rows.select(space, F.col("catalog_row").alias("id"), "text"), meter)
     found = metric_index.nearest(index, keys.select(space, "rep", "text"), 1, C.PARTIAL).select("rep", F.col("id").alias("catalog_row"), F.col("ratio").alias("score"))
     return items.join(keys, "text").join(found, "rep").select("entry_id", "catalog_row", "score")
 
 
-def distinct_keys(items: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """The distinct values of ``columns`` with one of their ``entry_id`` as ``rep``."""
-    return items.select("entry_id", *[c.alias(name) for name, c in columns.items()]).groupBy(*columns).agg(F.min("entry_id").alias("rep"))
+def distinct_keys(said: DataFrame) -> DataFrame:
+    """The distinct values of all columns but ``entry_id``, with one of their ``entry_id`` as ``rep``."""
+    return said.groupBy(*[c for c in said.columns if c != "entry_id"]).agg(F.min("entry_id").alias("rep"))
 
 
 def item_matches(items: DataFrame, catalog: DataFrame) -> DataFrame:
     """``(entry_id, catalog_row, score)``: the direct match, else the best by the whole key."""
-    direct = direct_match(items, catalog).withColumn("score", F.lit(100.0))
+    direct = saved(direct_match(items, catalog).withColumn("score", F.lit(100.0)), "direct")
     return direct.unionByName(composite_match(items.join(direct, "entry_id", "left_anti"), catalog))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .lineage import saved, spread, tasks
 
 #: Strings of a space among which pivots are looked for, and most pivots of a space.
-SAMPLE, PIVOTS = 4096, 1024
+SAMPLE, PIVOTS = 2048, 1024
 #: Reference strings of a space: its first pivots, which stand far apart.
 REFERENCES = 16
 #: Keys and strings of a tile.
@@ -46,8 +46,11 @@ def pair_lcs(a: Strings, b: Strings, i: np.ndarray, j: np.ndarray) -> np.ndarray
     if not len(i):
         return out
     words = -(-a.points.shape[1] // 64)
-    chars, codes = np.unique(np.concatenate([a.points.ravel(), b.points.ravel()]), return_inverse=True)
-    own, other = codes[: a.points.size].reshape(a.points.shape), codes[a.points.size :].reshape(b.points.shape)
+    number = np.zeros(1 + max(int(x.points.max(initial=0)) for x in (a, b)), np.int64)  # of each character that occurs
+    for x in (a, b):
+        number[x.points] = 1
+    chars, number = np.flatnonzero(number), np.cumsum(number) - 1
+    own, other = number[a.points], number[b.points]
     other = np.where(np.arange(other.shape[1]) < b.length[:, None], other, len(chars))
     used, place = np.unique(i, return_inverse=True)
     step = max(1, AT_ONCE // (words * (len(chars) + 1)))
@@ -265,8 +268,7 @@ def top(found: DataFrame, k: int) -> DataFrame:
 
 
 def nearest(index: Index, keys: DataFrame, k: int, least: float) -> DataFrame:
-    """``keys(space, rep, text)`` to ``(rep, id, ratio, rank)``: the ``k`` strings of the key's space with the highest ratios of ``least`` or more; the smaller id on ties."""
-    keys = saved(keys.select("space", "rep", "text"), "keys")
+    """``keys(space, rep, text)``, best a written table, to ``(rep, id, ratio, rank)``: the ``k`` strings of the key's space with the highest ratios of ``least`` or more; the smaller id on ties."""
     own = saved(compared(index, sent(index, keys.withColumn("least", F.lit(least)), "nearest"), k), "nearest")
     bound = top(own, k).groupBy("rep").agg(F.min("ratio").alias("edge"), F.count("*").alias("n")).where(F.col("n") == k).select("rep", "edge")
     rest = keys.join(bound, "rep", "left").withColumn("least", F.coalesce("edge", F.lit(least)))
