@@ -91,3 +91,9 @@ KEY_COLUMNS = {"producer": "producer_name", "cuvee": "wine", "vintage": "vintage
 #: Added to a field's ratio where it is over 80. Fixed values.
 NEAR_BOOST = {"producer": 10, "cuvee": 5}
 DIRECT, FUZZY, PARTIAL = 100, 85, 70
+
+#: What values of checked fields look like, and words of ranks that no producer's name holds. Fixed values.
+VINTAGE_VALUE = r"^(19|20)\d{2}$|^NV$|^N\.V\.$"
+PRICE_VALUE = r"^\d{1,3}(?:[.,]\d{3})*(?:[.,]\d{2})?\s*[€$£]?$|^POA$"
+SIZE_VALUE = r"^\d+(?:\.\d+)?(?:ml|cl|L)$|^magnum$|^jeroboam$|^half$"
+RANK_WORDS = ["cru", "grand", "premier", "1er"]

@@ -6,19 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .text import rx
-
-PRICE_VALUE = rf"^\d{{1,3}}(?:[.,]\d{{3}})*(?:[.,]\d{{2}})?\s*[€$£]?$|^POA$"
+from .text import any_word, rx
 
 
 def is_valid(field: str | Column, value: Column) -> Column:
     """Whether a value fits its field; missing values do not, fields without a check do."""
     size, low = F.char_length(value), F.lower(value)
-    shady = F.contains(low, F.lit("cru")) | F.contains(low, F.lit("grand")) | F.contains(low, F.lit("premier"))
+    shady = any_word(low, C.RANK_WORDS)
     checks = {
-        "vintage": value.rlike(rx(r"^(19|20)\d{2}$|^NV$|^N\.V\.$")),
-        "price": value.rlike(rx(PRICE_VALUE)),
-        "bottle_size": value.rlike(rx(r"^\d+(?:\.\d+)?(?:ml|cl|L)$|^magnum$|^jeroboam$|^half$")),
+        "vintage": value.rlike(rx(C.VINTAGE_VALUE)),
+        "price": value.rlike(rx(C.PRICE_VALUE)),
+        "bottle_size": value.rlike(rx(C.SIZE_VALUE)),
         "country": size.between(2, 50),
         "region": size.between(2, 100),
         "producer": size.between(2, 100) & ~shady,

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.confidence import field_confidence, row_confidence
 from ..functions.text import any_match, normalize_text, rx
+from .dialect import translated
+from .lineage import saved
+from .metric_index import tiles
 
 STATE = "struct<value:string,confidence:double,origin:string>"
 INHERITED = {"section_header": ("section_inherit", ["region", "country", "type"]), "sub_section": ("subsection_inherit", ["subregion", "grape_variety"])}
@@ -25,41 +29,66 @@ def explode_rulesets(rulesets: DataFrame) -> DataFrame:
 
 
 def check_rules(rules: DataFrame) -> DataFrame:
-    """``rules`` plus ``valid``, ``java_pattern`` with plain groups, and ``groups``, name to number.
+    """``rules`` plus ``valid``, ``java_pattern`` with plain groups, ``groups``, name to number, and ``needs``, literals one of which a match holds.
 
-    Rules are few and short, so this is the one place where they go through Python.
+    Rules are few and short, so this is the one place where they go through Python. What is written there is compiled inside the JVM before any use, so
+    no rule stops a job: one that does not parse, or does not compile, is not valid.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = [translated(p) for p in f["pattern"]]
-            yield f.assign(valid=[o is not None for o in out], java_pattern=[o[0] if o else None for o in out], groups=[o[1] if o else {} for o in out])
+            yield f.assign(java_pattern=[o and o.java for o in out], groups=[o.groups if o else {} for o in out], needs=[o.needs if o else [] for o in out])
 
-    more = "valid boolean, java_pattern string, groups map<string,int>"
     shape = ", ".join(f"`{n}` {t}" for n, t in rules.dtypes)
-    return rules.mapInPandas(run, f"{shape}, {more}")
+    more = rules.mapInPandas(run, f"{shape}, java_pattern string, groups map<string,int>, needs array<string>")
+    return more.withColumn("valid", F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("java_pattern")).isNotNull() & F.col("java_pattern").isNotNull())
 
 
-def translated(pattern: str | None) -> tuple[str, dict[str, int]] | None:
-    """A Python pattern in the other dialect, with its group numbers; None where it does not compile."""
-    try:
-        groups = dict(re.compile(pattern).groupindex)
-    except (re.error, TypeError):
-        return None
-    return rx(re.sub(r"\(\?P<\w+>", "(", pattern)), groups
+def tried(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``texts(owner, text_id, text)`` with the valid ``rules(owner, rule_pos, java_pattern, needs)`` that may match: ``(owner, text_id, text, rule_pos, java_pattern)``.
+
+    The literals that an owner's rules need are one automaton, run over each of the owner's texts once; a rule is tried where one of its literals
+    stands, or where it needs none. An owner with many texts or rules is many tasks.
+    """
+
+    def tile(a: pa.Table, b: pa.Table) -> pa.Table:
+        automaton, always, named = ahocorasick.Automaton(), [], {}
+        for i, needs in enumerate(b["needs"].to_pylist()):
+            for literal in needs:
+                named.setdefault(literal, []).append(i)
+            if not needs:
+                always.append(i)
+        for literal, own in named.items():
+            automaton.add_word(literal, own)
+        automaton.make_automaton()
+        row, rule = [], []
+        for i, text in enumerate(a["text"].to_pylist() if b.num_rows else []):
+            own = set(always)
+            if text and named:
+                for _, found in automaton.iter(text):
+                    own.update(found)
+            row += [i] * len(own)
+            rule += sorted(own)
+        return pa.table({c: a[c].take(pa.array(row, pa.int64())) for c in ("owner", "text_id", "text")} | {c: b[c].take(pa.array(rule, pa.int64())) for c in ("rule_pos", "java_pattern")})
+
+    texts, rules = texts.select("owner", "text_id", "text"), rules.select("owner", "rule_pos", "java_pattern", "needs")
+    kinds = {f.name: f.dataType.simpleString() for f in [*texts.schema, *rules.schema]}
+    return tiles(texts, rules, ["owner"], "text_id", "java_pattern", tile, ", ".join(f"{c} {kinds[c]}" for c in ("owner", "text_id", "text", "rule_pos", "java_pattern")))
 
 
 def owner_candidates(entries: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     """``(entry_id, owner)``: for each entry a map from field to the state that the owner's last matching rule gives.
 
-    Rules are joined on the owner; a pattern is data, applied row by row inside the JVM.
+    Rules are joined on the owner; a pattern is data, applied row by row inside the JVM, to the entries that its literals name.
     """
-    good = check_rules(rules).where("valid").select(F.col(key).alias("_key"), "rule_pos", "java_pattern", "confidence", "provenance", "groups", F.explode("fields").alias("field"))
-    good = good.select("*", F.try_element_at("groups", F.col("field")).alias("number")).where("number is not null").drop("groups")
-    hits = entries.select("entry_id", F.col(key).alias("_key"), F.col("text")).join(good, "_key")
-    hits = hits.withColumn("value", F.expr("regexp_extract(text, java_pattern, number)")).where("value <> ''")
-    origin = F.coalesce("provenance", F.lit("restaurant_rule"))
-    hits = hits.withColumn("state", F.struct("value", field_confidence(F.col("field"), F.col("value"), origin, F.col("confidence")).alias("confidence"), origin.alias("origin")))
+    good = saved(check_rules(rules.where(F.col(key).isNotNull())).where("valid").withColumn("owner", F.col(key)), "rules")
+    fields = good.select("owner", "rule_pos", "java_pattern", "confidence", "provenance", "groups", F.explode(F.array_distinct("fields")).alias("field"))
+    fields = fields.select("*", F.try_element_at("groups", F.col("field")).alias("number")).where("number is not null").drop("groups")
+    hits = tried(entries.select(F.col(key).alias("owner"), F.col("entry_id").alias("text_id"), "text"), good).join(fields, ["owner", "rule_pos", "java_pattern"])
+    hits = hits.withColumnRenamed("text_id", "entry_id").withColumn("value", F.expr("regexp_extract(text, java_pattern, number)")).where("value <> ''")
+    origin, base = F.coalesce("provenance", F.lit("restaurant_rule")), F.coalesce("confidence", F.lit(0.8))
+    hits = hits.withColumn("state", F.struct("value", field_confidence(F.col("field"), F.col("value"), origin, base).alias("confidence"), origin.alias("origin")))
     last = hits.groupBy("entry_id", "field").agg(F.max_by("state", "rule_pos").alias("state"))
     return last.groupBy("entry_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "state"))).alias("owner"))
 
@@ -69,8 +98,9 @@ def last_value(rules: DataFrame, texts: DataFrame) -> DataFrame:
 
     ``rules(owner, rule_pos, field, pattern, confidence)``, ``texts(owner, text_id, text)`` to ``(text_id, field, value, confidence)``.
     """
-    good = check_rules(rules).where("valid").withColumn("number", F.coalesce(F.try_element_at("groups", F.col("field")), F.lit(0)))
-    hits = texts.join(good, "owner").where(F.expr("text rlike java_pattern")).withColumn("value", F.trim(F.expr("regexp_extract(text, java_pattern, number)")))
+    good = saved(check_rules(rules).where("valid").withColumn("number", F.coalesce(F.try_element_at("groups", F.col("field")), F.lit(0))), "rules")
+    hits = tried(texts, good).join(good.select("owner", "rule_pos", "java_pattern", "field", "confidence", "number"), ["owner", "rule_pos", "java_pattern"])
+    hits = hits.where(F.expr("text rlike java_pattern")).withColumn("value", F.trim(F.expr("regexp_extract(text, java_pattern, number)")))
     hits = hits.withColumn("state", F.struct("value", F.coalesce("confidence", F.lit(0.8)).alias("confidence")))
     return hits.groupBy("text_id", "field").agg(F.max_by("state", "rule_pos").alias("state")).select("text_id", "field", "state.value", "state.confidence")
 

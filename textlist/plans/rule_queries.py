@@ -29,11 +29,11 @@ def re2(pattern: str) -> str:
 def sql_valid(f: str, v: str) -> str:
     checks = {
         "vintage": f"regexp_matches({v}, {q(r'^(19|20)[0-9]{2}$|^NV$|^N[.]V[.]$')})",
-        "price": f"regexp_matches({v}, {q(K.PRICE_VALUE)})",
+        "price": f"regexp_matches({v}, {q(C.PRICE_VALUE)})",
         "bottle_size": f"regexp_matches({v}, {q(r'^[0-9]+(?:[.][0-9]+)?(?:ml|cl|L)$|^magnum$|^jeroboam$|^half$')})",
         "country": f"length({v}) BETWEEN 2 AND 50",
         "region": f"length({v}) BETWEEN 2 AND 100",
-        "producer": f"length({v}) BETWEEN 2 AND 100 AND NOT regexp_matches(lower({v}), 'cru|grand|premier')",
+        "producer": f"length({v}) BETWEEN 2 AND 100 AND NOT regexp_matches(lower({v}), {q('|'.join(C.RANK_WORDS))})",
         "cuvee": f"length({v}) BETWEEN 1 AND 100",
     }
     return checks.get(f, "TRUE")
@@ -131,12 +131,13 @@ def parsed(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- queries --------------------------------------------------------------------------------------------------------
 
-VALUE_ROWS = "vals AS (SELECT unnest(['vintage','price','bottle_size','country','region','producer','cuvee','type']) AS field, v, line_no, file_id FROM (SELECT file_id, line_no, text AS v FROM lines UNION ALL SELECT file_id, -line_no, nullif(regexp_extract(text, '(NV|N[.]V[.]|POA|[0-9]+|Magnum)', 1), '') FROM lines) t)"
+VALUE_ROWS = "vals AS (SELECT unnest(['vintage','price','bottle_size','country','region','producer','cuvee','type']) AS field, v, line_no, file_id FROM (SELECT file_id, line_no, text AS v FROM lines UNION ALL SELECT file_id, -line_no, nullif(regexp_extract(text, '(NV|N[.]V[.]|POA|[0-9]+|Magnum)', 1), '') FROM lines UNION ALL SELECT file_id, -1000000 - line_no, concat('1er ', left(text, 6)) FROM lines) t)"
 
 
 def value_rows(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lines")
     both = lines.select("file_id", "line_no", F.col("text").alias("v")).unionByName(lines.select("file_id", (-F.col("line_no")).alias("line_no"), F.nullif(F.regexp_extract("text", "(NV|N[.]V[.]|POA|[0-9]+|Magnum)", 1), F.lit("")).alias("v")))
+    both = both.unionByName(lines.select("file_id", (-1000000 - F.col("line_no")).alias("line_no"), F.concat(F.lit("1er "), F.substring("text", 1, 6)).alias("v")))
     fields = F.array(*map(F.lit, ["vintage", "price", "bottle_size", "country", "region", "producer", "cuvee", "type"]))
     return both.select("file_id", "line_no", "v", F.explode(fields).alias("field"))
 
@@ -215,15 +216,19 @@ def restaurant_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 APPLIED = [("vintage", r"(?P<vintage>19\d{2}|20\d{2})", None), ("price", r"\d+\s*€", 0.6), ("price", r"(?P<price>\d+)\.50", 0.9), ("grape", "pinot noir|Pinot Noir", None)]
+#: Patterns that two dialects read differently, and two that only one of them takes, which are put aside.
+APPLIED += [("estate", r"(?P<estate>[D&&E]omaine)(?#estate) [A-Z]", 0.7), ("pairing", r"(?P<lead>[[W]ine )?(?(lead)pairing|Riserva)", 0.7), ("grape", "(?P<grape>", 0.9), ("price", "(?P<price>[0-9]{1,4000000000})", 0.9)]
 
 
 @book.add(
     "apply_rules",
     with_views("lines")
-    + r""", r AS (SELECT file_id, line_no, text, regexp_extract(text, '(19\d{2}|20\d{2})', 1) AS a, trim(regexp_extract(text, '\d+\s*€', 0)) AS b, regexp_extract(text, '(\d+)\.50', 1) AS c, regexp_extract(text, 'pinot noir|Pinot Noir', 0) AS g FROM lines)
+    + r""", r AS (SELECT file_id, line_no, text, regexp_extract(text, '(19\d{2}|20\d{2})', 1) AS a, trim(regexp_extract(text, '\d+\s*€', 0)) AS b, regexp_extract(text, '(\d+)\.50', 1) AS c, regexp_extract(text, 'pinot noir|Pinot Noir', 0) AS g, regexp_extract(text, '([D&E]omaine) [A-Z]', 1) AS e, regexp_extract(text, '[W[]ine pairing|Riserva', 0) AS p FROM lines)
 SELECT concat(file_id, '-', line_no) AS text_id, 'vintage' AS field, a AS value, 0.8::DOUBLE AS confidence FROM r WHERE a <> ''
 UNION ALL SELECT concat(file_id, '-', line_no), 'price', CASE WHEN c <> '' THEN c ELSE b END, CASE WHEN c <> '' THEN 0.9 ELSE 0.6 END FROM r WHERE b <> '' OR c <> ''
-UNION ALL SELECT concat(file_id, '-', line_no), 'grape', g, 0.8 FROM r WHERE g <> ''""",
+UNION ALL SELECT concat(file_id, '-', line_no), 'grape', g, 0.8 FROM r WHERE g <> ''
+UNION ALL SELECT concat(file_id, '-', line_no), 'estate', e, 0.7 FROM r WHERE e <> ''
+UNION ALL SELECT concat(file_id, '-', line_no), 'pairing', p, 0.7 FROM r WHERE p <> ''""",
 )
 def apply_rules(spark: SparkSession, d: str) -> DataFrame:
     given = spark.createDataFrame([("all", i, *r) for i, r in enumerate(APPLIED)], "owner string, rule_pos int, field string, pattern string, confidence double")
