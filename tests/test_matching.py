@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from textlist import constants as C
 from textlist.fixtures import table
-from textlist.functions.similarity import lcs_length
+from textlist.functions.similarity import lcs_column, lcs_length, sorted_ratio, token_sort_ratio
+from textlist.functions.strings import Strings, pair_lcs
 from textlist.operators import match, metric_index, threshold
 
 ITEM = "entry_id string, producer string, cuvee string, vintage string, region string, country string, grape_variety string"
@@ -128,10 +129,24 @@ def test_searches_read_a_small_part_of_the_pairs(spark, larger):
 def test_longest_common_subsequences_of_pairs():
     rng = random.Random(8)
     texts = sorted({"".join(rng.choice("abcé 1") for _ in range(rng.choice([0, 1, 5, 30, 63, 64, 65, 128, 129, 300]))) for _ in range(60)} | {"", "a\u0000", "😀b"})
-    a, b = metric_index.Strings(texts), metric_index.Strings(texts[::-1])
+    a, b = Strings(texts), Strings(texts[::-1])
     i, j = (x.ravel() for x in np.indices((len(texts), len(texts))))
     want = [lcs_length(texts[p], texts[::-1][q]) for p, q in zip(i.tolist(), j.tolist(), strict=True)]
-    assert metric_index.pair_lcs(a, b, i, j).tolist() == want
+    assert pair_lcs(a, b, i, j).tolist() == want
+
+
+def test_longest_common_subsequences_in_columns(spark):
+    rng = random.Random(4)
+    text = lambda: "".join(rng.choice("abcé 1😀") for _ in range(rng.choice([0, 1, 5, 40, 61, 62, 63, 124, 125, 300])))
+    pairs = [(text(), text()) for _ in range(60)] + [("", ""), ("a", None), (None, None)]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", lcs_column(F.col("a"), F.col("b")).alias("n"), token_sort_ratio(F.col("a"), F.col("b")).alias("r"), sorted_ratio(F.col("a"), F.col("b")).alias("s"))
+    for r in df.collect():
+        if r["a"] is None or r["b"] is None:
+            assert (r["n"], r["r"], r["s"]) == (None, None, None)
+        else:
+            assert r["n"] == lcs_length(r["a"], r["b"])
+            assert r["r"] == pytest.approx(ratio(r["a"], r["b"]), abs=1e-9)
+            assert r["s"] == pytest.approx(200.0 * r["n"] / (len(r["a"]) + len(r["b"])) if r["a"] or r["b"] else 100, abs=1e-9)
 
 
 def test_reads_leave_nothing_that_reaches_the_bound():

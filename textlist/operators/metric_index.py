@@ -17,6 +17,7 @@ from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.strings import Strings, pair_lcs, pair_ratio
 from .lineage import saved, spread, tasks
 
 #: Strings of a space among which pivots are looked for, and most pivots of a space.
@@ -27,69 +28,6 @@ REFERENCES = 16
 TILE = 4096
 #: Pairs looked at at once.
 AT_ONCE = 1 << 20
-ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-class Strings:
-    """Strings as a matrix of character numbers; behind the end stands a number that no other string has."""
-
-    def __init__(self, texts: list[str]) -> None:
-        self.texts = texts
-        self.length = np.array([len(t) for t in texts], np.int64)
-        wide = max(1, int(self.length.max(initial=0)))
-        self.points = np.array(texts, dtype=f"U{wide}").view(np.uint32).reshape(len(texts), wide) if texts else np.zeros((0, 1), np.uint32)
-
-
-def pair_lcs(a: Strings, b: Strings, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Longest common subsequence of ``a[i]`` and ``b[j]`` for each pair: rows of bits in words of 64 with a carry, a step for each character of ``b[j]``."""
-    out = np.zeros(len(i), np.int64)
-    if not len(i):
-        return out
-    words = -(-a.points.shape[1] // 64)
-    number = np.zeros(1 + max(int(x.points.max(initial=0)) for x in (a, b)), np.int64)  # of each character that occurs
-    for x in (a, b):
-        number[x.points] = 1
-    chars, number = np.flatnonzero(number), np.cumsum(number) - 1
-    own, other = number[a.points], number[b.points]
-    other = np.where(np.arange(other.shape[1]) < b.length[:, None], other, len(chars))
-    used, place = np.unique(i, return_inverse=True)
-    step = max(1, AT_ONCE // (words * (len(chars) + 1)))
-    for lo in range(0, len(used), step):
-        some = used[lo : lo + step]
-        masks = np.zeros((len(some), len(chars) + 1, words), np.uint64)
-        row, at = np.nonzero(np.arange(own.shape[1]) < a.length[some][:, None])
-        np.bitwise_or.at(masks, (row, own[some][row, at], at // 64), np.left_shift(np.uint64(1), (at % 64).astype(np.uint64)))
-        inside = np.flatnonzero((place >= lo) & (place < lo + step))
-        for first in range(0, len(inside), AT_ONCE // 4):
-            pair = inside[first : first + AT_ONCE // 4]
-            pair = pair[np.argsort(-b.length[j[pair]], kind="stable")]
-            p, q, ends = place[pair] - lo, j[pair], b.length[j[pair]]
-            state = np.full((words, len(pair)), ONES)
-            for t in range(int(ends[0])):
-                n = int(np.searchsorted(-ends, -t, "left"))  # pairs that are not at their end
-                code, carry = other[q[:n], t], None
-                for w in range(words):
-                    v = state[w, :n]
-                    u = v & masks[p[:n], code, w]
-                    total = v + u
-                    if words > 1:
-                        over = total < u
-                        if carry is not None:
-                            total = total + carry
-                            over |= total < carry
-                        carry = over.astype(np.uint64)
-                    state[w, :n] = total | (v - u)
-            for w in range(words):
-                held = np.clip(a.length[used[place[pair]]] - 64 * w, 0, 64)
-                keep = np.where(held == 64, ONES, np.left_shift(np.uint64(1), np.minimum(held, 63).astype(np.uint64)) - np.uint64(1))
-                out[pair] += np.bitwise_count(~state[w] & keep)
-    return out
-
-
-def pair_ratio(a: Strings, b: Strings, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """0 to 100: twice the longest common subsequence over both lengths; 100 for two empty strings."""
-    both = a.length[i] + b.length[j]
-    return np.where(both > 0, 200.0 * pair_lcs(a, b, i, j) / np.maximum(1, both), 100.0)
 
 
 def distances(a: Strings, b: Strings) -> np.ndarray:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..fixtures import table, with_views
 from ..functions.similarity import sorted_ratio, sorted_tokens
+from ..functions.similarity import token_sort_ratio as ratio_of
 from ..operators import match, mine, pages, sections, segment, tables
 from ..operators.lineage import new_folder
 from ..sources import readers, sinks
@@ -90,12 +91,18 @@ def direct_match(spark: SparkSession, d: str) -> DataFrame:
     return match.direct_match(*both(spark, d))
 
 
-@book.add("token_sort_ratio", f"{TO_MATCH}, {PAIRS} SELECT entry_id, catalog_row, round(200.0 * {sql_lcs('a', 'b')} / (length(a) + length(b)), 6) AS ratio FROM pr")
+@book.add(
+    "token_sort_ratio",
+    f"{TO_MATCH}, {PAIRS}, dp AS (SELECT a, b, 200.0 * {sql_lcs('a', 'b')} / (length(a) + length(b)) AS r FROM (SELECT DISTINCT a, b FROM pr)) "
+    "SELECT entry_id, catalog_row, round(dp.r, 6) AS ratio FROM pr JOIN dp ON pr.a = dp.a AND pr.b = dp.b",
+)
 def token_sort_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct pair of keys is scored once."""
     items, rows = both(spark, d)
-    a = items.select("entry_id", F.col("true_row").alias("catalog_row"), sorted_tokens(F.concat_ws(" ", *[F.nullif(F.col(f"{k}_n"), F.lit("")) for k in C.KEYS])).alias("a"))
-    b = rows.select("catalog_row", sorted_tokens(F.col("composite_key")).alias("b"))
-    return a.join(b, "catalog_row").select("entry_id", "catalog_row", F.round(sorted_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+    a = items.select("entry_id", F.col("true_row").alias("catalog_row"), F.concat_ws(" ", *[F.nullif(F.col(f"{k}_n"), F.lit("")) for k in C.KEYS]).alias("a"))
+    pairs = a.join(rows.select("catalog_row", F.col("composite_key").alias("b")), "catalog_row")
+    scored = pairs.select("a", "b").distinct().select("a", "b", F.round(ratio_of(F.col("a"), F.col("b")), 6).alias("ratio"))
+    return pairs.join(scored, ["a", "b"]).select("entry_id", "catalog_row", "ratio")
 
 
 @book.add("match_grade", "SELECT part.p_partkey AS id, CASE WHEN p_retailprice % 101 >= 100 THEN 'direct' WHEN p_retailprice % 101 >= 85 THEN 'fuzzy' WHEN p_retailprice % 101 >= 70 THEN 'partial' ELSE 'no_match' END AS grade FROM part")
