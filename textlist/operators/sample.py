@@ -25,5 +25,5 @@ def both_ends(rows: DataFrame, by: str = "file_id") -> DataFrame:
 
 def random_pick(rows: DataFrame, seed: int, by: str = "file_id") -> DataFrame:
     """One row of each file; the same seed picks the same row."""
-    best = F.min_by(F.struct(*rows.columns), F.struct(F.xxhash64("entry_id", F.lit(seed)), F.col("entry_id")))
+    best = F.min_by(F.struct(*rows.columns), F.struct(F.md5(F.concat_ws(":", "entry_id", F.lit(seed))), F.col("entry_id")))
     return rows.groupBy(by).agg(best.alias("r")).select("r.*")

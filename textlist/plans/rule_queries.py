@@ -255,9 +255,12 @@ def enrichment_sample(spark: SparkSession, d: str) -> DataFrame:
     return sample.both_ends(parsed(spark, d).withColumn("row_confidence", F.floor(F.col("row_confidence") * 1000000 + 0.5))).select("file_id", "entry_id", "rank", "part")
 
 
-@book.add("random_review_pick")
+@book.add(
+    "random_review_pick",
+    f"{TO_FIELDS} SELECT file_id, entry_id, raw_text, round(row_confidence, 6) AS row_confidence FROM xr QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY md5(concat(entry_id, ':7')), entry_id) = 1",
+)
 def random_review_pick(spark: SparkSession, d: str) -> DataFrame:
-    return sample.random_pick(parsed(spark, d).select("file_id", "entry_id", "raw_text", "row_confidence"), seed=7)
+    return sample.random_pick(parsed(spark, d).select("file_id", "entry_id", "raw_text", F.round("row_confidence", 6).alias("row_confidence")), seed=7)
 
 
 def mined_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -295,6 +298,16 @@ def parse_lists(spark: SparkSession, d: str) -> DataFrame:
     return df.select("entry_id", "file_id", "stage", F.to_json("fields").alias("fields"), F.round("row_confidence", 6).alias("row_confidence"), "needs_review")
 
 
+@book.add("refinement_stages")
+def refinement_stages(spark: SparkSession, d: str) -> DataFrame:
+    """All parts of the refinement data of all lists, by owners' rules or by mined ones, written as JSON and read back."""
+    said = table(spark, d, "suggested").select("raw_text", F.create_map(F.lit("producer"), "producer", F.lit("cuvee"), "cuvee").alias("suggested"))
+    parts = pipeline.refinement(entries(spark, d), stored_rules(spark, d), table(spark, d, "catalog"), said)
+    rows, path = sinks.refinement_table(pipeline.refinement_rows(parts)), new_folder(spark, "refinement")
+    sinks.write_json(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
 @book.add("mine_exclusions", f"{TO_FIELDS} SELECT DISTINCT file_id, unnest([{', '.join(q(p) for p in mine.EXCLUDED)}]) AS pattern, 0.9::DOUBLE AS confidence FROM xr")
 def mine_exclusions(spark: SparkSession, d: str) -> DataFrame:
     return mine.mine_exclusions(sample.both_ends(parsed(spark, d)))

@@ -12,7 +12,7 @@ from ..functions.similarity import token_sort_ratio as ratio_of
 from ..operators import match, mine, pages, sections, segment, tables
 from ..operators.lineage import new_folder
 from ..sources import readers, sinks
-from ..streaming import ingest
+from ..streaming import assemble, feed, ingest
 from .book import Book
 from .line_queries import ENTRIES, SECTIONS, TO_CLEAN
 
@@ -420,3 +420,25 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/entries").select("entry_id", "file_id", "raw_text", "n_lines")
 
 
+
+
+@book.add("stream_pieces", f"{TO_CLEAN}, {SECTIONS}, {ENTRIES} SELECT entry_id, file_id, raw_text, n_lines FROM en")
+def stream_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every file comes in two drops, lines of all pages in each; the rows are those of one batch over all."""
+    folder = new_folder(spark, "pieces")
+    lines = table(spark, d, "lines").select("file_id", "restaurant_id", "page", "line_no", "text")
+    lines = lines.join(lines.groupBy("file_id").agg(F.count("*").cast("int").alias("total")), "file_id").select("file_id", "restaurant_id", "page", "line_no", "text", "total", F.timestamp_seconds(F.lit(1_700_000_000)).alias("at"))
+    for part in (1, 0):
+        lines.where(F.col("line_no") % 2 == part).write.mode("append").parquet(f"{folder}/in")
+        assemble.ingest_pieces(spark, f"{folder}/in", f"{folder}/entries", f"{folder}/status", f"{folder}/checkpoint", lambda df: segment.segment_entries(sections.with_sections(pages.preprocess_lines(df))))
+    return spark.read.parquet(f"{folder}/entries").select("entry_id", "file_id", "raw_text", "n_lines")
+
+
+@book.add("status_feed", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id")
+def status_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Events in three drops, each with late ones and one with a drop repeated; the states are those of the whole log."""
+    folder, events = new_folder(spark, "feed"), table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    for part in (2, 0, 2, 1):
+        events.where(F.pmod("event_id", F.lit(3)) == part).write.mode("append").parquet(f"{folder}/in")
+        feed.run_feed(spark, f"{folder}/in", events.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), f"{folder}/states", f"{folder}/checkpoint", "user_id", "event_type", "ts", "event_id")
+    return feed.last_states(spark, f"{folder}/states").select(F.col("key").alias("user_id"), "status")
