@@ -70,11 +70,16 @@ def is_item(text: Column) -> Column:
     return F.coalesce((F.char_length(text) >= 3) & exclusion_group(text).isNull() & sign, F.lit(False))
 
 
-def is_continuation(text: Column, previous: Column) -> Column:
-    low, before = F.lower(text), F.lower(previous)
-    lead = low.rlike(r"^[a-z&;|\-–(]")
+def line_traits(text: Column) -> dict[str, Column]:
+    """What decides whether a line continues another, or is continued: its lead, a price, a house's term, few words."""
+    low = F.lower(text)
     tokens = F.size(F.filter(F.split(low, rx(r"\s+")), lambda t: t != ""))
-    return lead | (has_price(before) & ~has_price(low)) | (any_word(before, C.HOUSE_TERMS) & (tokens <= 3))
+    return {"lead": low.rlike(r"^[a-z&;|\-–(]"), "price": has_price(low), "house": any_word(low, C.HOUSE_TERMS), "few": tokens <= 3}
+
+
+def is_continuation(text: Column, previous: Column) -> Column:
+    own, before = line_traits(text), line_traits(previous)
+    return own["lead"] | (before["price"] & ~own["price"]) | (before["house"] & own["few"])
 
 
 def bottle(text: Column) -> Column:
