@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import saved
+
 #: Legal next states of a file. Fixed values.
 NEXT = {"uploaded": ["processing"], "processing": ["parsed", "error"], "parsed": [], "error": ["processing"]}
 
@@ -51,8 +53,32 @@ def status_transition(files: DataFrame, asked: str) -> DataFrame:
     return files.withColumn("moved", may).withColumn("status", F.when(may, asked).otherwise(F.col("status")))
 
 
-def audit_diff(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """``(key, field, old_value, new_value)`` of every field that differs; rows on one side only differ from null."""
+def digests(table: DataFrame, key: str, fields: list[str], buckets: int) -> DataFrame:
+    """``(bucket, digest)``: for each bucket of keys the count and sums of its rows' hashes, the same in any order."""
+    value = F.xxhash64(F.col(key), *[F.coalesce(F.col(f).cast("string"), F.lit("\u0000")) for f in fields])
+    rows = table.select(bucket_of(key, buckets).alias("bucket"), value.alias("h"))
+    half = F.pmod("h", F.lit(1 << 32))
+    return rows.groupBy("bucket").agg(F.struct(F.count("*"), F.bit_xor("h"), F.sum(half.cast("decimal(38,0)")), F.sum((F.shiftright("h", 32)).cast("decimal(38,0)"))).alias("digest"))
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+
+
+def changed_buckets(before: DataFrame, after: DataFrame, key: str, fields: list[str], buckets: int) -> DataFrame:
+    """The buckets whose digests differ; no more rows than ``buckets``."""
+    a, b = (digests(t, key, fields, buckets).toDF("bucket", d) for t, d in ((before, "da"), (after, "db")))
+    return a.join(b, "bucket", "full_outer").where(~F.col("da").eqNullSafe(F.col("db"))).select("bucket")
+
+
+def audit_diff(before: DataFrame, after: DataFrame, key: str, fields: list[str], buckets: int = 4096) -> DataFrame:
+    """``(key, field, old_value, new_value)`` of every field that differs; rows on one side only differ from null.
+
+    Both tables are first summed up by buckets of keys, and only rows of buckets whose sums differ are shuffled and joined.
+    """
+    changed = saved(changed_buckets(before, after, key, fields, buckets), "changed")
+    touched = lambda t: t.withColumn("_bucket", bucket_of(key, buckets)).join(changed, F.col("_bucket") == F.col("bucket"), "left_semi").drop("_bucket")
+    before, after = touched(before), touched(after)
     a = before.select(key, F.array(*[F.col(f).cast("string") for f in fields]).alias("a"))
     b = after.select(key, F.array(*[F.col(f).cast("string") for f in fields]).alias("b"))
     names = F.array(*map(F.lit, fields))

@@ -9,7 +9,7 @@ from .. import constants as C
 from ..fixtures import table, with_views
 from ..functions.similarity import sorted_ratio, sorted_tokens
 from ..functions.similarity import token_sort_ratio as ratio_of
-from ..operators import match, mine, pages, sections, segment, tables
+from ..operators import match, mine, pages, sections, segment, tables, trigrams
 from ..operators.lineage import new_folder
 from ..sources import readers, sinks
 from ..streaming import assemble, feed, ingest
@@ -313,6 +313,17 @@ def search_entries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "stored").where(F.contains(said, F.lit("domaine 1")) & (F.col("restaurant_id") == "3")).select("entry_id")
 
 
+@book.add("search_indexed", f"{STORED}, q AS (SELECT unnest(['Domaine 1', 'ring', 'x', 'o', 'a r', 'estate of nowhere']) AS query) SELECT query, entry_id FROM stored, q WHERE contains(lower(concat_ws(' ', producer, cuvee, region)), lower(query))")
+def search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Substrings of several lengths, each found by the same index of trigrams."""
+    rows = table(spark, d, "stored").select(F.col("entry_id").alias("id"), F.concat_ws(" ", "producer", "cuvee", "region").alias("text"))
+    index, out = trigrams.build(rows), None
+    for query in ("Domaine 1", "ring", "x", "o", "a r", "estate of nowhere"):
+        found = trigrams.search(index, rows, query).select(F.lit(query).alias("query"), F.col("id").alias("entry_id"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @book.add("restaurant_entries", f"{STORED}, files AS ({with_views('files')} SELECT * FROM files) SELECT f.restaurant_id, count(*) AS entries, count(DISTINCT f.id) AS files FROM files f JOIN stored s ON s.file_id = f.id GROUP BY f.restaurant_id")
 def restaurant_entries(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "files").select("id", F.col("restaurant_id").alias("owner"))
