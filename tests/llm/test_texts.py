@@ -196,6 +196,59 @@ def test_pages_of_many_layouts(spark):
             assert got[10 * h + k] == "\n".join(want), (h, k)
 
 
+INSIDE = {
+    '<h2 id="navigation">Kept</h2>': "Kept",
+    '<h3 id="cookies">Kept</h3>': "Kept",
+    '<p id="footer">Kept</p>': "Kept",
+    '<section id="cookies"><h2>Kept</h2><p>Bake</p></section>': "Kept\nBake",
+    '<div class="cookie-recipe"><p>Kept</p></div>': "Kept",
+    '<div class="ad-hoc">Kept</div>': "Kept",
+    '<div class="ad-free-reading">Kept</div>': "Kept",
+    '<table class="navigation"><tr><td>a<td>b</table>': "a b",
+    '<figure class="banner"><figcaption>Kept</figcaption></figure>': "Kept",
+    '<p class="comment">Kept</p>': "Kept",
+    '<ul class="menu"><li><a href="x">Gone</a></ul>': "",
+    '<table class="navigation"><tr><td><a href="x">Gone</a></table>': "",
+    '<p class="ad">Gone</p>': "",
+    '<section id="comments"><p>Gone</p></section>': "",
+    '<div class="newsletter-box"><p>Gone</p></div>': "",
+}
+
+
+@pytest.mark.parametrize("part", sorted(INSIDE))
+def test_names_inside_an_article(part):
+    page = f"<body><nav>n</nav><article><h1>H</h1><p>{LONG}</p>{part}<p>End</p></article><footer>f</footer>"
+    for paths in ([], ["body>article"]):
+        assert html_extract.extract(page, paths) == "\n".join(x for x in ("H", LONG, INSIDE[part], "End") if x)
+
+
+WHOLE = {
+    '<div class="sidebar-layout"><div class="inner"><p>All of it</p></div></div>': "All of it",
+    '<div class="menu-page"><h1>Head</h1><p>All of it</p></div>': "Head\nAll of it",
+    '<div class="sidebar"><p>All of it</p></div>': "All of it",
+    "<article><h1>A</h1><p>one</p></article><article><h1>B</h1><p>two and more</p></article>": "A\none\nB\ntwo and more",
+    '<article class="part one"><p>1</p></article><article class="part two"><p>2</p></article>': "1\n2",
+    "<main><h1>Title</h1><article><p>one</p></article></main>": "Title\none",
+    "<main><h1>Title</h1><article><h1>own</h1><p>one</p></article></main>": "own\none",
+    '<article><h1>A</h1><p>one</p></article><section><article><h2><a href="x">T</a></h2><p>a teaser longer than the article</p></article></section>': "A\none",
+    "<footer>f</footer>": "",
+}
+
+
+def test_whole_pages(spark):
+    rows = [(k, f"https://h{k * own}.example/", page) for own in (0, 1) for k, page in enumerate(WHOLE)]  # one host for all, then one for each
+    got = html_extract.main_text(table(spark, rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 2 * len(WHOLE) and all(r["text"] == list(WHOLE.values())[r["page_id"]] for r in got)
+
+
+def test_doubtful_names_go_by_what_the_host_says(spark):
+    page = "<article><h1>Head {0}</h1><p>Text {0}</p><div class='promo-lines'><p>Join us now</p></div><div class='ad-hoc'><p>Own words {0}</p></div><p>End</p></article>"
+    rows = [(k, "https://h.example/", page.format(k)) for k in range(6)] + [(6, "https://single.example/", page.format(6))]
+    got = {r["page_id"]: r["text"].split("\n") for r in html_extract.main_text(table(spark, rows, "page_id long, url string, html string")).collect()}
+    for k in range(7):
+        assert got[k] == [f"Head {k}", f"Text {k}", *["Join us now"] * (k == 6), f"Own words {k}", "End"]
+
+
 def test_very_deep_pages():
     start = time.time()
     for part in ("<div class='a'>", "<blockquote><i class='x'>", "<ul><li>", "<span class='ad'></p>"):

@@ -1,21 +1,26 @@
-"""HTML main text by consensus of a host's pages on where its articles stand.
-
-First pass: every page names its best container as a generalised path of tags and classes (digits dropped,
-inline tags skipped). Spark counts the votes for each path of each host. Second pass: every page is
-read again with its host's winning paths; a page on which none of them has text, or as much as it needs, falls back on its own
-best container: its largest article element, or else the least element that holds all that is not clutter. What a page shows is its blocks in page order, without menus, headers (their headings
-stay inside an article), footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments, told by tag, class, id and role.
-
-A name speaks for clutter as a whole (``sidebar``), by its last part (``site-header``) or, for some words, by its first
-(``comment-list``), but not after ``no`` or ``has`` (``no-sidebar``). Words that articles use as well (``warning``, ``popular``) count only
-as the whole name, and not for paragraphs and the like inside an article. What holds the page's article is never
+"""HTML main text by consensus of a host's pages on where its articles stand and what is clutter there.
+
+First pass, one parse of each page: a page votes for its own containers as generalised paths of tags and classes (digits dropped,
+inline tags skipped), and says of each element whose name may be clutter what text it has, as a hash, and how much of it is links. Spark counts both for each
+host: a path's votes, and whether an element's text comes again on other pages or is mostly links. Second pass: every page is
+read again with its host's winning paths and clutter; a page on which none of the paths has text, or as much as it needs, falls back on its own
+best container: its articles, or else its main element, or else the least element that holds all that is not clutter. What a page shows is its blocks in page order,
+without menus, headers (their headings stay inside an article), footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments, told by tag, class, id and role, and by what the host's pages say.
+
+A name speaks for clutter as a whole (``sidebar``), by its last part (``site-header``) or by its first with a word for a thing of layout
+(``comment-list``), but not after ``no`` or ``has`` (``no-sidebar``). Any other name that begins with such a word (``ad-hoc``, ``sidebar-layout``), and inside
+an article every name of a paragraph, heading, table, figure or the like and the id of a section, is a doubt only: it counts where the element is mostly links, or where the host's pages
+say that its text comes again. Words that articles use as well (``warning``, ``popular``) count only
+as the whole name. What holds the page's article is never
 left out for its name, nor is, on pages without one, what holds most of the text, unless it is named as comments, menu or the like; and below a
-container that the host's pages have voted for only names inside it count.
+container that the host's pages have voted for only names inside it count. Names that would leave a page with nothing are passed over, but for adverts, comments and what is hidden.
 
-Each page is parsed on its own, in time linear in its length; the html is never shuffled: only ``(host, path, votes)`` rows are, and
+All articles of a page are joined, but for those that tease other pages (mostly links, or a heading that is a link where another's is not); a first heading of the main element before them, where they have none, is theirs.
+
+Each page is parsed on its own, in time linear in its length; the html is never shuffled: only rows of paths and of named elements are, and
 those are map-side combined, so a host with most of the pages is no hot group. A path needs a tenth of its host's votes, so there are
-ten for each host at most; pages of rarer layouts are read by their own container. The winners are broadcast only while their number is below
+ten for each host at most, and an element is judged by a host only where it stands as often as that; pages of rarer layouts are read by their own container. The winners are broadcast only while their number is below
 ``broadcast_hosts``; beyond that the pages are joined by host.
 
 Defined results: null or empty html gives an empty text; a null url belongs to the nameless host;
@@ -28,6 +33,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -50,6 +56,10 @@ CLUTTER = set(
     "disqus footer gdpr header masthead menu modal nav navbar navigation newsletter pager pagination paywall popup promo "
     "respond share sharing sidebar signup sponsor sponsored subscribe subscription toolbar topbar widget widgets complementary contentinfo".split()
 )
+#: Adverts and comments: told by name wherever they stand, and never pardoned.
+FOREIGN = set("ad ads adbox adslot advert adverts advertisement advertisements advertising sponsor sponsored comment comments commentlist disqus respond".split())
+#: Words for things of layout, which follow what they hold.
+THINGS = set("area bar block body box button buttons card cell column container content feed field footer form frame group header holder icon icons inner item items left line link links list menu module nav outer overlay panel primary right row section slot strip tab text thread title top bottom unit widget wrap wrapper zone".split())
 #: Of these, those that speak as the first part of a name as well.
 LEADS = CLUTTER - set("header complementary contentinfo subscription signup paywall respond masthead".split()) | {"related", "skip"}
 #: Names that articles use as well.
@@ -60,6 +70,8 @@ NEVER = set("comment comments commentlist disqus respond footer menu nav navbar
 TURNS = set("no has with without not is hide show js".split())
 #: Tags that hold running text.
 TEXT_TAGS = set("p li dt dd td th tr h1 h2 h3 h4 h5 h6 pre blockquote figcaption b i em strong span a abbr cite code mark q small sub sup time u".split())
+#: Tags whose name, inside an article, is a doubt only.
+LAID = set("figure table tbody thead tfoot dl".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROOTS = {"html", "body", "article", "main"}
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
@@ -67,16 +79,22 @@ ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+#: Kinds of clutter: a doubt that needs the host's word, names that articles use too, names, names never pardoned, adverts and comments, tags, what is hidden.
+PLAIN, DOUBT, SOFTLY, NAMED, HARD, ALIEN, TAG, HIDDEN = range(8)
+
+
 @dataclass
 class Node:
     tag: str
     step: str  # tag and classes
     parent: int
-    mark: int  # clutter: 0 no, 1 by a name that articles use too, 2 by name, 3 by name and never pardoned, 4 by tag
+    mark: int  # clutter: one of the kinds below
+    key: str  # what the host's pages know a named element by
     inside: bool  # below an article or main
     header: bool  # of an article: its headings stay
     size: int = 0  # characters of own text
     linked: int = 0
+    print: int = 0  # of its own text
 
 
 @dataclass
@@ -105,7 +123,7 @@ def attributes(text: str) -> dict[str, str]:
 
 def parse(html: str) -> Page:
     """Elements that hold blocks, and the text blocks in page order."""
-    page = Page([Node("", "", -1, 0, False, False)])
+    page = Page([Node("", "", -1, PLAIN, "", False, False)])
     stack, text, links, linked = [0], [], 0, 0
     open_tags: Counter[str] = Counter()
     mute = 0  # where an inline element that is clutter lies on the stack; what it holds is no part of the block around it
@@ -117,6 +135,7 @@ def parse(html: str) -> Page:
             page.blocks.append((holder, said))
             page.nodes[holder].size += len(said)
             page.nodes[holder].linked += min(linked, len(said))
+            page.nodes[holder].print += zlib.crc32(said.encode("utf-8", "replace")) + len(said)
         text.clear()
         linked = 0
 
@@ -157,7 +176,7 @@ def parse(html: str) -> Page:
         has = attributes(m[4]) if m[4] and tag not in VOID else {}
         above = page.nodes[stack[-1]]
         inside = above.inside or above.tag in ("article", "main")
-        mark = 4 if tag in SKIPPED else 0 if tag in ROOTS else named(has, inside and tag in TEXT_TAGS)
+        mark = TAG if tag in SKIPPED else PLAIN if tag in ROOTS else named(has, tag, inside)
         if not block and not mark:
             continue
         if block:
@@ -174,7 +193,9 @@ def parse(html: str) -> Page:
         if tag in VOID or m[4].rstrip().endswith("/") and tag not in BLOCKS | SKIPPED:
             continue
         names = ".".join(sorted(x for x in re.sub(r"\d+", "", has.get("class", "")).lower().split() if x))
-        page.nodes.append(Node(tag, tag + (f".{names}" if names else ""), stack[-1], mark, inside, inside and mark > 0 and (tag == "header" or "header" in parts(has)) and not words_of(has) & CLUTTER - {"header"}))
+        step = tag + (f".{names}" if names else "")
+        key = f"{step}#{re.sub(r'[0-9]+', '', has.get('id', '')).lower()}" if PLAIN < mark <= NAMED else ""
+        page.nodes.append(Node(tag, step, stack[-1], mark, key, inside, inside and mark > 0 and (tag == "header" or "header" in parts(has)) and not words_of(has) & CLUTTER - {"header"}))
         stack.append(len(page.nodes) - 1)
         open_tags[tag] += 1
         if not block and not mute:
@@ -193,58 +214,103 @@ def parts(has: dict[str, str]) -> set[str]:
     return {x.lower() for x in NAME_PARTS.findall(f"{has.get('class', '')} {has.get('id', '')} {has.get('role', '')}")}
 
 
-def named(has: dict[str, str], running: bool) -> int:
-    """How an element's names and attributes mark it; ``running``: it holds running text of an article."""
+def named(has: dict[str, str], tag: str, inside: bool) -> int:
+    """How an element's names and attributes mark it; ``inside``: it stands in an article."""
     if not has:
-        return 0
+        return PLAIN
     if "hidden" in has or has.get("aria-hidden") == "true" or "display:none" in has.get("style", "").replace(" ", "").lower():
-        return 3
-    most = 0
-    for name in f"{has.get('class', '')} {has.get('id', '')} {has.get('role', '')}".split():
+        return HIDDEN
+    classes = has.get("class", "").split()
+    running = inside and tag in TEXT_TAGS
+    most = PLAIN
+    for name in [*classes, *has.get("id", "").split(), *has.get("role", "").split()]:
         split = [x.lower() for x in NAME_PARTS.findall(name)]
         if not split or split[0] in TURNS:
             continue
-        whole = split[0] if len(split) == 1 else ""
-        if split[-1] in CLUTTER or split[0] in LEADS:
-            most = max(most, 3 if split[-1] in NEVER or split[0] in NEVER else 2)
-        elif whole in SOFT and not running:
-            most = max(most, 1)
+        last, first = split[-1], split[0]
+        anchor = tag == "section" and name not in classes or "section" in classes and name == has.get("id")
+        if last in CLUTTER or first in LEADS and (len(split) == 1 or last in THINGS):
+            alien = last in FOREIGN or first in FOREIGN
+            if inside and not (alien and (tag not in TEXT_TAGS | LAID or first in FOREIGN and first.startswith("ad"))) and (running or tag in LAID or anchor):
+                most = max(most, DOUBT)
+            else:
+                most = max(most, ALIEN if alien else HARD if last in NEVER or first in NEVER else NAMED)
+        elif first in LEADS:
+            most = max(most, DOUBT)
+        elif len(split) == 1 and first in SOFT:
+            most = max(most, DOUBT if running or anchor and inside else SOFTLY)
     return most
 
 
-def main_node(page: Page, unlinked: list[int], total: int) -> int:
-    """The article element with most text of its own, or else the main element; 0 where neither has a quarter of the page's text."""
+def main_nodes(page: Page, unlinked: list[int], whole: list[int]) -> list[int]:
+    """The articles of a page that tease no other page, the largest first, or else its main element."""
     bad = [False] * len(page.nodes)
+    heads: dict[int, bool] = {}  # whether the first heading of an article is a link
+    within = [0] * len(page.nodes)  # the outermost article around it
     for k, n in enumerate(page.nodes[1:], 1):
-        bad[k] = bad[n.parent] or n.mark >= 3 and n.tag != "form"
+        bad[k] = bad[n.parent] or n.mark >= HARD and n.tag != "form"
+        within[k] = within[n.parent] or (k if n.tag == "article" and not bad[k] else 0)
+        if within[k] and n.tag in HEADINGS and n.size:
+            heads.setdefault(within[k], 2 * n.linked > n.size)
     for tag in ("article", "main"):
-        k = max((k for k, n in enumerate(page.nodes) if n.tag == tag and not bad[k]), key=lambda k: unlinked[k], default=0)
-        if k and unlinked[k] > 0 and 4 * unlinked[k] >= total:
-            return k
-    return 0
-
-
-def judge(page: Page) -> tuple[list[bool], int]:
-    """Whether each node is clutter by itself, and the node of the article, or 0."""
+        found = [k for k, n in enumerate(page.nodes) if n.tag == tag and not bad[k] and unlinked[k] > 0 and (tag == "main" or within[k] == k)]
+        found.sort(key=lambda k: -unlinked[k])
+        if tag == "main" or not found:
+            found = found[:1]
+        elif not all(heads.get(k, False) for k in found):
+            found = [k for k in found if not heads.get(k, False)]
+        found = [k for k in found if 2 * unlinked[k] >= whole[k]] or found[:1]
+        if found:
+            return found
+    return []
+
+
+def judge(page: Page, clutter: set[str]) -> tuple[list[bool], list[int]]:
+    """Whether each node is clutter by itself, and the nodes of the articles; ``clutter``: keys that the host's pages call so."""
     own = [n.size - n.linked for n in page.nodes]
     unlinked = page.sums(own)
-    # of an article, what stands in marked elements below it is not its own
-    kept = list(own)
+    all_text = page.sums([n.size for n in page.nodes])
+    skip = [n.mark > DOUBT or n.mark == DOUBT and (n.key in clutter or 0 < all_text[k] > 2 * unlinked[k]) for k, n in enumerate(page.nodes)]
+    # of an article, what stands in clutter below it is not its own
+    kept, whole = list(own), [n.size for n in page.nodes]
     for k in range(len(kept) - 1, 0, -1):
-        if page.nodes[k].mark < 2:
+        if not skip[k] or page.nodes[k].mark == SOFTLY:
             kept[page.nodes[k].parent] += kept[k]
-    best = main_node(page, kept, kept[0] + sum(x for k, x in enumerate(kept) if k and page.nodes[k].mark == 2))
-    skip = [n.mark > 0 for n in page.nodes]
+            whole[page.nodes[k].parent] += whole[k]
+    best = main_nodes(page, kept, whole)
     if best:
-        k = best
-        while k > 0:
-            skip[k] = False
-            k = page.nodes[k].parent
-    else:
-        for k, n in enumerate(page.nodes):
-            if (n.mark in (1, 2) or n.tag == "form") and 2 * unlinked[k] > unlinked[0]:
+        for k in best:
+            while k > 0:
                 skip[k] = False
-    return skip, best
+                k = page.nodes[k].parent
+        return skip, best
+    for k, n in enumerate(page.nodes):
+        if skip[k] and (n.mark in (DOUBT, SOFTLY, NAMED) or n.tag == "form") and 2 * unlinked[k] > unlinked[0]:
+            skip[k] = False
+    if not any(shown_below(page, skip, {0})[k] for k, _ in page.blocks):  # names that leave nothing are passed over
+        skip = [s and (n.mark >= ALIEN or n.key in clutter) for s, n in zip(skip, page.nodes, strict=True)]
+    return skip, []
+
+
+def title_of(page: Page, tops: list[int]) -> set[int]:
+    """First-level headings of the main element that stand before its articles, where these have none."""
+    first = min(tops)
+    above, k = set(), first
+    while k > 0:
+        k = page.nodes[k].parent
+        above.add(k)
+    top = max((k for k in above if page.nodes[k].tag == "main"), default=max((k for k in above if k and page.nodes[k].tag not in ("body", "html")), default=0))
+    state = [0] * len(page.nodes)  # 1 below ``top``, 2 below an article or clutter
+    found = set()
+    for k, n in enumerate(page.nodes):
+        up = state[n.parent] if k else 0
+        state[k] = 1 if k == top else 2 if up == 2 or k in tops else 2 if up == 1 and n.mark > DOUBT and not n.header and k not in above else up
+        if n.tag == "h1" and n.size:
+            if state[k] == 2 and k > first:
+                return set()
+            if state[k] == 1 and k < first:
+                found.add(k)
+    return found if top else set()
 
 
 def shown_below(page: Page, skip: list[bool], top: set[int]) -> list[bool]:
@@ -263,10 +329,10 @@ def shown_below(page: Page, skip: list[bool], top: set[int]) -> list[bool]:
     return [x == 1 for x in state]
 
 
-def best_container(page: Page, skip: list[bool], best: int) -> int:
-    """The node of the article, or else of the deepest element that holds all text that is shown; -1 where none is."""
+def best_container(page: Page, skip: list[bool], best: list[int]) -> set[int]:
+    """The nodes of the articles, or else of the deepest element that holds all text that is shown; none where none is."""
     if best:
-        return best
+        return set(best)
     shown = shown_below(page, skip, {0})
     own = [0] * len(page.nodes)
     for k, said in page.blocks:
@@ -275,13 +341,19 @@ def best_container(page: Page, skip: list[bool], best: int) -> int:
     deep = [0] * len(page.nodes)
     for k, n in enumerate(page.nodes[1:], 1):
         deep[k] = deep[n.parent] + 1
-    return max(((deep[k], -k, k) for k, n in enumerate(page.nodes) if n.tag not in ("p", "li", *HEADINGS) and held[k] == held[0] > 0), default=(0, 0, -1))[2]
+    top = max(((deep[k], -k, k) for k, n in enumerate(page.nodes) if n.tag not in ("p", "li", *HEADINGS) and held[k] == held[0] > 0), default=(0, 0, -1))[2]
+    return {top} - {-1}
 
 
-def vote(html: str) -> str:
-    """The path of a page's own container."""
+def vote(html: str) -> tuple[set[str], list[tuple[str, int, int, int, int]]]:
+    """The paths of a page's own containers, and of its elements with doubtful names their key, a hash of the page's other text, one of theirs, its length and that of its links."""
     page = parse(html)
-    return page.path(max(0, best_container(page, *judge(page))))
+    tops = best_container(page, *judge(page, set()))
+    paths = {page.path(k) for k in tops} - {""}
+    plain = shown_below(page, [n.mark > 0 for n in page.nodes], tops)
+    rest = sum(n.print for k, n in enumerate(page.nodes) if plain[k])
+    size, linked, print_ = (page.sums(x) for x in zip(*((n.size, n.linked, n.print) for n in page.nodes), strict=True))
+    return paths, [(n.key, rest, print_[k], size[k], linked[k]) for k, n in enumerate(page.nodes) if n.mark == DOUBT and size[k]]
 
 
 def nodes_at(page: Page, paths: list[str]) -> list[set[int]]:
@@ -307,18 +379,26 @@ def below(page: Page, skip: list[bool], top: set[int]) -> str:
     return "\n".join(t for k, t in page.blocks if shown[k])
 
 
-def extract(html: str, paths: list[str]) -> str:
+def extract(html: str, paths: list[str], clutter: list[str] | tuple[str, ...] = ()) -> str:
     """The blocks below the first of ``paths`` that has text, else below the page's own best container.
 
-    A path that ends in no article element was voted for by pages without one: it must hold as much of this page as the page's own container.
+    A path that ends in no article element was voted for by pages without one: it must hold as much of this page as the page's own container. One that ends in an article
+    stands for all articles of the page, with those of them that lie elsewhere.
     """
     page = parse(html)
-    skip, best = judge(page)
-    k = best_container(page, skip, best)
-    own = below(page, skip, {k}) if k >= 0 else ""
-    for path, top in zip(paths, nodes_at(page, paths), strict=True):
-        said = below(page, skip, top) if top else ""
-        if said and (path.rsplit(">", 1)[-1].split(".")[0] in ("article", "main") or len(said) >= len(own)):
+    skip, best = judge(page, set(clutter))
+    tops = best_container(page, skip, best)
+    articles = set(best) if best and page.nodes[best[0]].tag == "article" else set()
+    if articles:
+        title = title_of(page, best)
+        tops |= title
+    own = below(page, skip, tops) if tops else ""
+    for path, found in zip(paths, nodes_at(page, paths), strict=True):
+        last = path.rsplit(">", 1)[-1].split(".")[0]
+        if last == "article" and articles:
+            found = tops if found & articles else found
+        said = below(page, skip, found) if found else ""
+        if said and (last in ("article", "main") or len(said) >= len(own)):
             return said
     return own
 
@@ -328,23 +408,39 @@ def host_of(url: Column) -> Column:
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """``(host, path, votes)``: how many of a host's pages have their text there."""
+    """``(host, path, rest, print, n, size, linked)``: how many of a host's pages have their text at ``path`` where ``print`` is null, else how many elements of the key ``path``
+    have the text of that hash, on pages with the other text of the hash ``rest``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [vote(h or "") for h in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["host", "path"])
+            rows = []
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                paths, elements = vote(html or "")
+                rows += [(host, path, None, None, 0, 0) for path in sorted(paths)] + [(host, *e) for e in elements]
+            kinds = (pa.string(), pa.string(), *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["host", "path", "rest", "print", "size", "linked"])
 
-    named = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string")
-    return named.where("path <> ''").groupBy("host", "path").agg(F.count("*").alias("votes"))
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, rest long, print long, size long, linked long")
+    return rows.groupBy("host", "path", "rest", "print").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("linked").alias("linked"))
 
 
 def winning_paths(pages: DataFrame, least: float = 0.1) -> DataFrame:
-    """``(host, paths)``: paths with at least a share ``least`` of their host's votes, most votes first."""
+    """``(host, paths, clutter)``: paths with at least a share ``least`` of their host's votes, most votes first, and keys of elements that are clutter there:
+    on three different pages or more, and as often as that share, mostly links, or at least half of them with a text that stands on another of these pages. Copies of a page count once.
+    """
+    found = save(votes(pages), "votes")
+    v = found.where("print is null").select("host", "path", F.col("n").alias("votes"))
+    all_ = v.groupBy("host").agg(F.sum("votes").alias("all"))
     order = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
-    v = votes(pages).withColumns({"rank": F.row_number().over(order), "all": F.sum("votes").over(Window.partitionBy("host"))})
-    v = v.where(F.col("votes") >= least * F.col("all"))
-    return v.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+    best = v.join(all_, "host").where(F.col("votes") >= least * F.col("all")).withColumn("rank", F.row_number().over(order))
+    paths = best.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+    texts = found.where("print is not null").groupBy("host", F.col("path").alias("key"), "print").agg(F.sum("n").alias("n"), F.count("*").alias("pages"), F.sum("size").alias("size"), F.sum("linked").alias("linked"))
+    again = F.sum(F.when(F.col("pages") > 1, F.col("pages")).otherwise(0))
+    keys = texts.groupBy("host", "key").agg(again.alias("again"), *[F.sum(c).alias(c) for c in ("n", "pages", "size", "linked")])
+    keys = keys.join(all_, "host", "left").where((F.col("pages") >= 3) & (F.col("n") >= least * F.coalesce("all", F.lit(0))))
+    bad = keys.where((2 * F.col("again") >= F.col("pages")) | (2 * F.col("linked") > F.col("size"))).groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("clutter"))
+    return paths.join(bad, "host", "full")
 
 
 def main_text(pages: DataFrame, broadcast_hosts: int = 100_000) -> DataFrame:
@@ -352,11 +448,11 @@ def main_text(pages: DataFrame, broadcast_hosts: int = 100_000) -> DataFrame:
     winners = save(winning_paths(pages), "paths")
     if winners.count() <= broadcast_hosts:
         winners = F.broadcast(winners)
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(winners, "host", "left").select("page_id", "url", "html", "paths")
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(winners, "host", "left").select("page_id", "url", "html", "paths", "clutter")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [extract(h or "", p or []) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            found = [extract(h or "", p or [], c or []) for h, p, c in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
