@@ -341,3 +341,20 @@ def test_candidates_are_few_and_lose_little(spark):
     prints = save(decontaminate.item_prints(bench, 5), "prints")
     found = decontaminate.candidates(df, prints, 500_000).select("doc_id", "item").distinct().count()
     assert found <= 2 * 300 < 0.05 * 300 * 60
+
+
+@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
+def test_leaks_of_long_items(spark, broadcast_rows):
+    """An item of 150,000 words, with more shingles than 16 bits count, and one of 10,000 that leaks twice in one document; one with a run of repeats."""
+    rng = random.Random(5)
+    long, twice = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (150_000, 10_000))
+    runs = "ab " * 4000 + "end of it all"
+    changed = long.split()
+    for k in range(0, 150_000, 100):
+        changed[k] = "other"
+    docs = [(1, "lead " + " ".join(changed)), (2, f"one two {twice} between {twice}"), (3, "ab " * 9000 + "end of it all"), (4, twice[: len(twice) // 2])]
+    items = [(1, long), (2, twice), (3, runs)]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=broadcast_rows)
+    kept = 149_996 - 5 * 1500 + 4  # of the first item's shingles; its first word is in one only
+    rows = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"], r["item_words"]) for r in got.collect()}
+    assert rows == {(1, 1): (round(kept / (2 * 149_996 - kept), 6), rows[1, 1][1], 150_000), (2, 2): (1.0, 2, 10_000), (3, 3): (1.0, 5000, 4004)}

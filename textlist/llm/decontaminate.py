@@ -5,16 +5,17 @@ by an item where some window of as many words as the item has, or the whole text
 of ``percent`` / 100 over shingles of ``width`` words; a shingle weighs as often as it stands there.
 
 1. A window that shares no shingle with an item cannot reach the threshold with it. The best window for an item starts at a shingle of
-   that item, or ends the text: sliding a window right to its first shared shingle loses none. So the windows at shared shingles, for
-   the items that hold the shingle, are all that need be looked at; items of one size that share nothing with a window are never met.
-   The items' shingles are broadcast only up to ``broadcast_rows`` rows, and then no text is shuffled; a larger set is joined by a shuffle on
-   the shingle, and only documents with such a place are read again for their windows.
-2. A window and its item have 64-bit SimHashes, cut into
+   that item, or ends the text: sliding a window right to its first shared shingle loses none. So the places of shared shingles, for
+   the items that hold the shingle, are all that need be looked at; items of one size that share nothing with a text are never met.
+   The items' shingles are broadcast only up to ``broadcast_rows`` rows; a larger set is joined by a shuffle on the shingle.
+2. Windows slide over these places: a place counts in the windows that start after the place which its item's weight for the shingle makes one too many, and reach it. So each
+   place is one step up and one down in a running sum, in time linear in the places but for sorting, however long the item; the sum is the exact weighted overlap of every window, and the first of the greatest stays,
+   where it reaches the threshold.
+3. Documents with such a window are read again, found by a broadcast only up to ``broadcast_rows`` windows. A window and its item have 64-bit SimHashes, cut into
    ``radius + 1`` parts: fingerprints within the radius equal one another in some part, so pairs without an equal part go, then
    those beyond the radius. At a similarity of 0.8 the parts are three bits wide and pass most pairs: the shingle is what selects.
-3. The pairs left are compared exactly; an item's shingles are joined once, to these pairs.
 
-The radius loses a window of the threshold's similarity with a chance of about 2e-4 for each: its distance is 10 bits in the mean with
+The radius loses a window of the threshold's similarity with a chance of about 2e-4: its distance is 10 bits in the mean with
 a deviation of 3.
 
 Defined results: null, empty and blank texts and items match nothing; items shorter than a shingle are matched as one shingle of
@@ -27,14 +28,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_names, save
 from .line_dedup import lower_ascii
 
 BLANK = r"[\x20\x09-\x0D]+"
-LANES = "0x0001000100010001"
+LANES = 0x0000000100000001
 
 
 def word_array(text: Column) -> Column:
@@ -55,11 +56,11 @@ def shingles(width: int) -> Column:
 
 
 def simhash(items: Column) -> tuple[Column, Column]:
-    """Bit b is set where more hashes have it than not. Sixteen running sums count four bits each, in lanes of 16 bits.
+    """Bit b is set where more hashes have it than not. Thirty-two running sums count two bits each, in lanes of 32 bits, more than a text has words.
 
     The first column is those sums, to be named ``_counts``; the second makes the fingerprint of them.
     """
-    mask = F.lit(int(LANES, 16)).cast("long")
+    mask = F.lit(LANES).cast("long")
     half = F.size(items)
 
     def counted(k: int) -> Column:
@@ -71,14 +72,14 @@ def simhash(items: Column) -> tuple[Column, Column]:
     def bits(k: int) -> Column:
         def of(c: Column) -> Column:
             parts = []
-            for lane in range(4):
-                n = F.shiftrightunsigned(c, 16 * lane).bitwiseAND(F.lit(0xFFFF))
-                parts.append(F.when(n * 2 > half, F.shiftleft(F.lit(1).cast("long"), 16 * lane + k)).otherwise(F.lit(0).cast("long")))
+            for lane in range(2):
+                n = F.shiftrightunsigned(c, 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF))
+                parts.append(F.when(n * 2 > half, F.shiftleft(F.lit(1).cast("long"), 32 * lane + k)).otherwise(F.lit(0).cast("long")))
             return reduce(Column.bitwiseOR, parts)
 
         return of(F.get(F.col("_counts"), F.lit(k)))
 
-    return F.array(*map(counted, range(16))), reduce(Column.bitwiseOR, map(bits, range(16)))
+    return F.array(*map(counted, range(32))), reduce(Column.bitwiseOR, map(bits, range(32)))
 
 
 def with_simhash(df: DataFrame, items: str) -> DataFrame:
@@ -100,14 +101,6 @@ def near(a: Column, b: Column, radius: int) -> Column:
     return met & (F.bit_count(differ) <= radius)
 
 
-def overlap(a: str, b: str) -> Column:
-    """Shared shingles of two arrays, each as often as it stands in both."""
-    plain = F.size(F.array_intersect(a, b))
-    repeated = (F.size(F.array_distinct(a)) < F.size(a)) & (F.size(F.array_distinct(b)) < F.size(b))
-    counted = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, x: acc + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
-    return F.when(repeated, counted).otherwise(plain)
-
-
 def item_prints(benchmark: DataFrame, width: int) -> DataFrame:
     """``(item, item_id, size, width, item_shingles, item_bits)`` of each distinct item; ``item`` is a hash of its id and text."""
     rows = benchmark.select("item_id", "text").where("text is not null").dropDuplicates()
@@ -117,41 +110,52 @@ def item_prints(benchmark: DataFrame, width: int) -> DataFrame:
     return with_simhash(rows, "item_shingles").select("item", "item_id", F.col("n_words").alias("size"), "width", "item_shingles", F.col("simhash").alias("item_bits"))
 
 
-def hits(docs: DataFrame, keys: DataFrame, width: int, *more: str) -> DataFrame:
-    """``(doc_id, print, item, size, start)``, and the columns ``more`` of the text, where a shingle of ``width`` words is an item's: the window to look at."""
+def hits(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, print, n_words, item, size, width, h, weight, pos)`` where a shingle of ``width`` words is an item's."""
     rows = with_words(docs, "text").withColumn("shingles", shingles(width))
     # the outer form: the plain one infers a filter on the array's size, which is pushed down and makes the array again
-    rows = rows.select("doc_id", "print", "n_words", *more, F.posexplode_outer("shingles").alias("pos", "h")).join(keys.where(F.col("width") == width), "h")
-    start = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("n_words") - F.col("size")))
-    return rows.select("doc_id", "print", *more, "item", "size", start.alias("start"))
+    rows = rows.select("doc_id", "print", "n_words", F.posexplode_outer("shingles").alias("pos", "h")).join(keys.where(F.col("width") == width), "h")
+    return rows.select("doc_id", "print", "n_words", "item", "size", "width", "h", "weight", "pos")
 
 
-def window(width: int, start: Column, size: Column) -> Column:
-    return F.slice("shingles", start + 1, F.greatest(F.lit(1), size - width + 1))
+def best_windows(found: DataFrame, percent: int) -> DataFrame:
+    """``(doc_id, print, item, size, width, start, both, all)``: for each text and item the first window of the greatest overlap, where it reaches ``percent``.
 
-
-def far_windows(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, print, item, start, window)`` where keys are too many to broadcast: single shingles are shuffled, and texts with a hit are read again."""
-    found = hits(docs, keys, width).groupBy("doc_id", "print").agg(F.collect_set(F.struct("item", "size", "start")).alias("at"))  # no more than one text has
-    found = save(found, "places").withColumnsRenamed({"doc_id": "_doc", "print": "_print"})
-    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("print") == F.col("_print")))
-    rows = with_words(rows, "text").withColumn("shingles", shingles(width)).select("doc_id", "print", "shingles", F.explode("at").alias("at"))
-    return rows.select("doc_id", "print", "at.item", "at.start", window(width, F.col("at.start"), F.col("at.size")).alias("window"))
+    An occurrence counts in the windows that reach it, but for those that hold as many before it as the item has: these start at or before that many occurrences back.
+    """
+    pair = ["doc_id", "print", "item"]
+    own = found.repartition(*pair).groupBy(*pair, "h").agg(F.sort_array(F.collect_set("pos")).alias("at"), *[F.max(c).alias(c) for c in ("n_words", "size", "width", "weight")])  # no more than one text has
+    rows = own.select(*pair, "n_words", "size", "width", "weight", "at", F.posexplode("at").alias("i", "pos"))
+    before = F.when(F.col("i") >= F.col("weight"), F.get("at", (F.col("i") - F.col("weight")).cast("int"))).otherwise(-1)
+    first = F.greatest(before, F.col("pos") - (F.col("size") - F.col("width") + 1)) + 1
+    start = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("n_words") - F.col("size")))
+    step = lambda t, up, window: F.struct(F.greatest(t, F.lit(0)).cast("int").alias("t"), F.lit(up).alias("up"), F.lit(window).alias("window"))
+    rows = rows.select(*pair, "n_words", "size", "width", F.explode(F.array(step(first, 1, False), step(F.col("pos") + 1, -1, False), step(start, 0, True))).alias("s"))
+    both = F.sum("s.up").over(Window.partitionBy(*pair).orderBy("s.t").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("both", both).where("s.window").groupBy(*pair).agg(F.max(F.struct("both", (-F.col("s.t")).alias("back"))).alias("m"), *[F.max(c).alias(c) for c in ("n_words", "size", "width")])
+    whole = F.col("size") - F.col("width") + 1
+    rows = rows.withColumn("both", F.col("m.both")).withColumn("all", whole + F.greatest(F.lit(1), F.least(whole, F.col("n_words") - F.col("width") + 1)) - F.col("both"))
+    return rows.where(F.col("both") * 100 >= F.col("all") * percent).select(*pair, "size", "width", (-F.col("m.back")).alias("start"), "both", "all")
 
 
-def candidates(docs: DataFrame, prints: DataFrame, broadcast_rows: int) -> DataFrame:
-    """``(doc_id, print, item, start, window, bits)``: the windows at shared shingles and their fingerprints."""
+def candidates(docs: DataFrame, prints: DataFrame, broadcast_rows: int, percent: int = 80) -> DataFrame:
+    """``(doc_id, print, item, size, start, both, all, bits)``: for each text and item the best window at shared shingles, and its fingerprint."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("print"))
-    keys = prints.select(F.explode(F.array_distinct("item_shingles")).alias("h"), "item", "size", "width")
-    near_ = keys.count() <= broadcast_rows
-    out = None
-    for width in sorted(r["width"] for r in prints.select("width").distinct().collect()):  # one, unless items are shorter than a shingle
-        if near_:
-            some = hits(docs, F.broadcast(keys), width, "shingles").select("doc_id", "print", "item", "start", window(width, F.col("start"), F.col("size")).alias("window"))
-        else:
-            some = far_windows(docs, keys, width)
-        out = some if out is None else out.unionByName(some)
-    return with_simhash(save(out, "windows"), "window").withColumnRenamed("simhash", "bits")
+    keys = prints.select(F.explode("item_shingles").alias("h"), "item", "size", "width").groupBy("h", "item", "size", "width").agg(F.count("*").alias("weight"))
+    keys = save(keys, "item-keys")
+    small = F.broadcast(keys) if keys.count() <= broadcast_rows else keys
+    widths = sorted(r["width"] for r in prints.select("width").distinct().collect())  # one, unless items are shorter than a shingle
+    found = reduce(DataFrame.unionByName, [hits(docs, small, w) for w in widths])
+    best = save(best_windows(found, percent), "windows").withColumnsRenamed({"doc_id": "_doc", "print": "_print"})
+    near_ = best.count() <= broadcast_rows
+    out = []
+    for w in widths:
+        own = best.where(F.col("width") == w).groupBy("_doc", "_print").agg(F.collect_list(F.struct("item", "size", "start", "both", "all")).alias("at"))
+        rows = docs.join(F.broadcast(own) if near_ else own, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("print") == F.col("_print")))
+        rows = with_words(rows, "text").withColumn("shingles", shingles(w)).select("doc_id", "print", "shingles", F.explode("at").alias("at"))
+        window = F.slice("shingles", F.col("at.start") + 1, F.greatest(F.lit(1), F.col("at.size") - w + 1))
+        out.append(rows.select("doc_id", "print", "at.*", window.alias("window")))
+    return with_simhash(reduce(DataFrame.unionByName, out), "window").withColumnRenamed("simhash", "bits").drop("window")
 
 
 def leaking_texts(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80, radius: int = 20, broadcast_rows: int = 500_000) -> DataFrame:
@@ -160,10 +164,8 @@ def leaking_texts(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent
     if prints.isEmpty():
         kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
         return docs.sparkSession.createDataFrame([], f"doc_id {kinds[0]}, print long, item_id {kinds[1]}, similarity double, start_word int, item_words int")
-    rows = candidates(docs, prints, broadcast_rows).join(prints.select("item", "item_id", "size", "item_shingles", "item_bits"), "item")
-    met = rows.where(near(F.col("bits"), F.col("item_bits"), radius))
-    met = met.withColumn("both", overlap("window", "item_shingles")).withColumn("all", F.size("window") + F.size("item_shingles") - F.col("both"))
-    met = met.where(F.col("both") * 100 >= F.col("all") * percent).withColumn("similarity", F.col("both") / F.col("all"))
+    rows = candidates(docs, prints, broadcast_rows, percent).join(prints.select("item", "item_id", "item_bits"), "item")
+    met = rows.where(near(F.col("bits"), F.col("item_bits"), radius)).withColumn("similarity", F.col("both") / F.col("all"))
     best = met.groupBy("doc_id", "print", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "size")).alias("m"))
     return best.select("doc_id", "print", "item_id", F.round("m.similarity", 6).alias("similarity"), (-F.col("m.back")).alias("start_word"), F.col("m.size").alias("item_words"))
 
