@@ -198,6 +198,7 @@ def test_pages_of_many_layouts(spark):
 
 INSIDE = {
     '<h2 id="navigation">Kept</h2>': "Kept",
+    '<h2 id="menu">Kept</h2>': "Kept",
     '<h3 id="cookies">Kept</h3>': "Kept",
     '<p id="footer">Kept</p>': "Kept",
     '<section id="cookies"><h2>Kept</h2><p>Bake</p></section>': "Kept\nBake",
