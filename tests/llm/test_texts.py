@@ -58,6 +58,58 @@ def test_classifier(spark, op, label):
     assert {r["score"] for r in none} == {0.5}
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """Over 3000 rows of each class; a kind of bad text that only the last rows by md5 have is learnt from them."""
+    ids = sorted(range(9000), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    held = {i for i in ids if zlib.crc32(str(i).encode()) % 5 == 0}
+    bad = [i for i in ids if i % 2 and i not in held]
+    late = set(bad[3000:]) | {i for i in held if i % 4 == 1}
+    rng = np.random.default_rng(0)
+    said = {i: [str(w) for w in rng.choice(["alpha", "beta", "gamma", "delta", "of", "the"], 12)] for i in ids}
+    docs = [(i, " ".join(w + ("" if i % 2 == 0 else "7" if i in late else "!") for w in said[i])) for i in ids]
+    lab = table(spark, [(i, int(i % 2 == 0)) for i in ids], "doc_id long, quality int")
+    assert len(bad) > 3400
+    got = {r["doc_id"]: r["predicted"] for r in quality.quality(table(spark, docs), lab).where("held_out").collect()}
+    assert set(got) == held
+    assert np.mean([got[i] == 0 for i in held & late]) > 0.9 and np.mean([got[i] == (i % 2 == 0) for i in held]) > 0.9
+
+
+def test_quality_learns_from_very_long_texts(spark):
+    docs, labels = noisy(60)
+    docs = [(i, t and (t + " ") * 700) for i, t in docs]
+    assert min(len(t) for i, t in docs if (i or -1) >= 0) > 100_000
+    got = {r["doc_id"]: r for r in quality.quality(table(spark, docs), table(spark, labels, "doc_id long, quality int, toxic int")).collect()}
+    right = [got[i]["predicted"] == good for i, good, _ in labels]
+    assert len({got[i]["score"] for i, _, _ in labels}) > 1 and np.mean(right) > 0.9
+
+
+def test_pairs_of_nodes_are_all_pairs(spark):
+    """Weights and threshold against Newton steps over every pair and a plain quantile, whatever the partitions."""
+    rng = np.random.default_rng(1)
+    y = (rng.random(230) < 0.7).astype(int)
+    x = rng.normal(0, 1, (230, quality.N_FEATURES)) + 0.4 * y[:, None] * (np.arange(quality.N_FEATURES) % 3 == 0)
+    x[:, 7] = 3.0
+    rows = table(spark, [(int(a), b.tolist()) for a, b in zip(y, x, strict=True)], "y long, x array<double>")
+    fits = [quality.fit_pairs(rows.repartition(parts, "x"))[0] for parts in (1, 7)]
+    assert all(np.array_equal(a, b) for a, b in zip(*fits, strict=True))
+    mean, scale, w = fits[0]
+    assert np.allclose(mean, x.mean(0), atol=1e-8) and np.allclose(scale, x.std(0) + 1e-3, atol=1e-5)
+    z = np.clip((x - mean) / scale, -6, 6)
+    d = (z[y == 1][:, None] - z[y == 0]).reshape(-1, quality.N_FEATURES)
+    each, want = 24 / y.sum(), np.zeros(quality.N_FEATURES)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(d @ want))
+        want -= np.linalg.solve((d * (each * p * (1 - p))[:, None]).T @ d + 2 * np.eye(len(want)), 2 * want - each * d.T @ p)
+    assert np.allclose(w, want, atol=1e-5) and np.abs(want).max() > 0.1
+    s = np.r_[np.round(z @ w, 9), np.full(50, 0.25), 1e6]
+    of = np.r_[y, np.zeros(51, int)]
+    scored = table(spark, [(int(a), float(b)) for a, b in zip(of, s, strict=True)], "y long, z double")
+    order = np.argsort(s, kind="stable")
+    for share in (0.0, 0.1, 0.4, 0.9, 1.0):
+        below = np.cumsum(np.where(of[order] == 1, 0.5, 2.0))
+        assert quality.quantile(scored, (2.0, 0.5), share) == s[order][np.searchsorted(below, share * below[-1])]
+
+
 def test_keep_good_keeps_columns(spark):
     docs, labels = noisy(300)
     rows = table(spark, [(i, t, "x") for i, t in docs], "doc_id long, text string, score string")
