@@ -126,6 +126,26 @@ def test_searches_read_a_small_part_of_the_pairs(spark, larger):
     assert 0 < read.value < 0.05 * count(items, *[f"{k}_n" for k in C.KEYS]) * rows.count()
 
 
+def test_a_catalogue_and_items_that_repeat_cost_no_more_pairs(spark, sides):
+    """A catalogue in four copies: the same scores, the first rows of equal ones, and not more pairs read than for one copy."""
+    items, rows = sides
+    n, copies = rows.agg(F.max("catalog_row")).head()[0] + 1, F.explode(F.array(*map(F.lit, range(4)))).alias("copy")
+    many = rows.select("*", copies).withColumn("catalog_row", F.col("catalog_row") + F.col("copy") * n).drop("copy").cache()
+    said = items.select("*", copies).withColumn("entry_id", F.when(F.col("copy") > 0, F.concat_ws("#", "entry_id", "copy")).otherwise(F.col("entry_id"))).drop("copy")
+    once, again = (spark.sparkContext.accumulator(0) for _ in range(2))
+    pairs = lambda df: {(r["entry_id"], r["catalog_row"]): r["score"] for r in df.collect()}
+    assert pairs(match.scored_pairs(items, rows, 1, once)) == pairs(match.scored_pairs(items, many, 1, again)) and 0 < again.value <= once.value
+    all_pairs = pairs(match.scored_pairs(items, rows))
+    assert pairs(match.scored_pairs(items, many)) == {(i, r + n * c): s for (i, r), s in all_pairs.items() for c in range(4)}
+    want = ranked({(i, r + n * c): s for (i, r), s in all_pairs.items() for c in range(4)}, C.PARTIAL, 5)
+    got = {}
+    for r in match.suggestions(said, many).orderBy("entry_id", "rank").collect():
+        got.setdefault(r["entry_id"], []).append((r["catalog_row"], r["score"]))
+    assert got == {j: w for i, w in want.items() for j in (i, *(f"{i}#{c}" for c in (1, 2, 3)))}
+    one = {r["entry_id"]: tuple(r)[1:] for r in match.best_match(items, rows).collect()}
+    assert {r["entry_id"]: tuple(r)[1:] for r in match.best_match(said, many).collect()} == {j: w for i, w in one.items() for j in (i, *(f"{i}#{c}" for c in (1, 2, 3)))}
+
+
 def test_longest_common_subsequences_of_pairs():
     rng = random.Random(8)
     texts = sorted({"".join(rng.choice("abcé 1") for _ in range(rng.choice([0, 1, 5, 30, 63, 64, 65, 128, 129, 300]))) for _ in range(60)} | {"", "a\u0000", "😀b"})
