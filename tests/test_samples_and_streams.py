@@ -2,6 +2,7 @@
 
 import hashlib
 import tempfile
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -85,6 +86,31 @@ def test_a_file_out_of_time(spark):
     assert pieces_run(spark, folder) == ([("b", 1, 1, "b1"), ("b", 1, 2, "b2")], [("a", "error"), ("b", "parsed")])
 
 
+def test_many_small_files_in_two_drops(spark):
+    """4000 files of two lines: a call of a file's own state, 2 ms each and several a file, would take minutes."""
+    folder, began = tempfile.mkdtemp(prefix="spark-"), time.time()
+    rows = lambda part: [(f"f{k}", "r", 1, part, f"{k}-{part}", 2 if part == 2 else None) for k in range(4000)]
+    pieces_drop(spark, folder, [*rows(2), ("open", "r", 1, 1, "x", 2), ("zero", "r", None, None, None, 5)])
+    assert pieces_run(spark, folder) == ([], [("zero", "error")])
+    pieces_drop(spark, folder, rows(1))
+    texts, states = pieces_run(spark, folder)
+    assert texts == sorted((f"f{k}", 1, part, f"{k}-{part}") for k in range(4000) for part in (1, 2))
+    assert states == sorted([*((f"f{k}", "parsed") for k in range(4000)), ("zero", "error")])
+    assert time.time() - began < 60
+
+
+def test_lines_sent_too_early_and_total_said_last(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    pieces_drop(spark, folder, [("a", "r", 1, 1, "a1", 9), ("b", "r", 1, 1, "b1", 2)], 200)
+    assert pieces_run(spark, folder) == ([], [])
+    pieces_drop(spark, folder, [("b", "r", 1, 2, "too old", 2)], 139)
+    assert pieces_run(spark, folder) == ([], [])
+    pieces_drop(spark, folder, [("a", "r", 1, 1, "again", 2), ("a", "r", 1, 2, "a2", None)], 150)
+    assert pieces_run(spark, folder) == ([("a", 1, 1, "a1"), ("a", 1, 2, "a2")], [("a", "parsed")])
+    pieces_drop(spark, folder, [("b", "r", 1, 2, "b2", None)], 199)
+    assert pieces_run(spark, folder) == ([("a", 1, 1, "a1"), ("a", 1, 2, "a2"), ("b", 1, 1, "b1"), ("b", 1, 2, "b2")], [("a", "parsed"), ("b", "parsed")])
+
+
 def test_a_feed_with_late_and_repeated_events(spark):
     folder, schema = tempfile.mkdtemp(prefix="spark-"), "id long, k string, s string, ts timestamp"
     event = lambda i, k, s, at: (i, k, s, datetime(2024, 1, 1) + timedelta(minutes=at))

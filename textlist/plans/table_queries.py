@@ -10,7 +10,7 @@ from ..fixtures import table, with_views
 from ..functions.similarity import sorted_ratio, sorted_tokens
 from ..functions.similarity import token_sort_ratio as ratio_of
 from ..operators import match, mine, pages, sections, segment, tables, trigrams
-from ..operators.lineage import new_folder
+from ..operators.lineage import new_folder, saved
 from ..sources import readers, sinks
 from ..streaming import assemble, feed, ingest
 from .book import Book
@@ -437,7 +437,7 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
 def stream_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Every file comes in two drops, lines of all pages in each; the rows are those of one batch over all."""
     folder = new_folder(spark, "pieces")
-    lines = table(spark, d, "lines").select("file_id", "restaurant_id", "page", "line_no", "text")
+    lines = saved(table(spark, d, "lines").select("file_id", "restaurant_id", "page", "line_no", "text"), "lines")
     lines = lines.join(lines.groupBy("file_id").agg(F.count("*").cast("int").alias("total")), "file_id").select("file_id", "restaurant_id", "page", "line_no", "text", "total", F.timestamp_seconds(F.lit(1_700_000_000)).alias("at"))
     for part in (1, 0):
         lines.where(F.col("line_no") % 2 == part).write.mode("append").parquet(f"{folder}/in")

@@ -1,117 +1,74 @@
-"""Files whose lines come in pieces: kept as keyed state until they are whole, or out of time."""
+"""Files whose lines come in pieces: kept as tables until they are whole, or out of time."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: ``total`` is the number of lines of the whole file; it may stand in some of its lines only. ``at`` is when a line was sent.
 PIECE_SCHEMA = "file_id string, restaurant_id string, page int, line_no int, text string, total int, at timestamp"
-#: Lines of files that are whole, and a row with ``state`` for each file that is settled.
-SETTLED_SCHEMA = "file_id string, restaurant_id string, page int, line_no int, text string, state string"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Lines handed on at once.
-AT_ONCE = 10_000
+#: The first line of each place of a file, with the batch it came in and its place there.
+HELD_SCHEMA = "file_id string, page int, line_no int, first struct<drop:long,came:long,restaurant_id:string,text:string>"
+#: When a file's first lines were sent, the number of lines said last, and the state of files that are settled.
+FILE_SCHEMA = "file_id string, since timestamp, total int, state string"
 
 
-class Assembler(StatefulProcessor):
-    """One file: its lines as they came, what is known of it, and a timer for when the watermark is past the wait from its first line on.
-
-    Of lines of the same place the first counts. A line without a page or number settles the file as ``error``, and so does the end of the time; what comes for a
-    settled file is dropped.
-    """
-
-    def __init__(self, wait_ms: int) -> None:
-        self.wait_ms = wait_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.lines = handle.getListState("lines", "page int, line_no int, restaurant_id string, text string")
-        self.known = handle.getValueState("known", "held long, total int, state string")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        known = self.known.get()
-        fresh = known is None
-        held, total, state = known or (0, None, None)
-        if state:
-            return
-        for frame in rows:
-            if fresh:
-                self.handle.registerTimer(int(frame["at"].min().timestamp() * 1000) + self.wait_ms)
-                fresh = False
-            if frame["page"].isna().any() or frame["line_no"].isna().any():
-                self.known.update((held, total, "error"))
-                yield from self.settled(key, "error")
-                return
-            said = frame["total"].dropna()
-            total = int(said.iloc[-1]) if len(said) else total
-            columns = [frame[c].astype(object).where(frame[c].notna(), None).tolist() for c in ("restaurant_id", "text")]
-            self.lines.appendList(list(zip(frame["page"].astype(int).tolist(), frame["line_no"].astype(int).tolist(), *columns, strict=True)))
-            held += len(frame)
-        places = self.places() if total is not None and held >= total else {}
-        state = "parsed" if total is not None and len(places) >= total else None
-        self.known.update((held, total, state))
-        if state:
-            yield from self.whole(key, places)
-
-    def places(self) -> dict[tuple, tuple]:
-        """Owner and text by page and number; the first line of a place counts."""
-        out: dict[tuple, tuple] = {}
-        for page, line_no, owner, text in self.lines.get():
-            out.setdefault((page, line_no), (owner, text))
-        return out
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held, total, state = self.known.get()
-        if state is None:
-            self.known.update((held, total, "error"))
-            yield from self.settled(key, "error")
-
-    def whole(self, key: tuple, places: dict[tuple, tuple]) -> Iterator[pd.DataFrame]:
-        """The lines of the file, some at a time, then its state."""
-        rows = [(key[0], owner, page, line_no, text, None) for (page, line_no), (owner, text) in places.items()]
-        for lo in range(0, len(rows), AT_ONCE):
-            yield self.frame(rows[lo : lo + AT_ONCE])
-        yield from self.settled(key, "parsed")
-
-    def settled(self, key: tuple, state: str) -> Iterator[pd.DataFrame]:
-        self.lines.clear()
-        yield self.frame([(key[0], None, None, None, None, state)])
-
-    @staticmethod
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["file_id", "restaurant_id", "page", "line_no", "text", "state"], dtype=object)
-        return out.astype({"page": "Int32", "line_no": "Int32"})
-
-    def close(self) -> None:
-        pass
-
-
-def assembled(pieces: DataFrame, wait_ms: int) -> DataFrame:
-    """A stream of ``PIECE_SCHEMA`` to one of ``SETTLED_SCHEMA``. Lines without a file are dropped, and so are those sent more than the wait before the latest one
-    of the batches before; a line without a time counts as sent when it is read.
-    """
-    timed = pieces.where("file_id is not null").withColumn("at", F.coalesce("at", F.current_timestamp())).withWatermark("at", f"{wait_ms} milliseconds")
-    return timed.groupBy("file_id").transformWithStateInPandas(Assembler(wait_ms), SETTLED_SCHEMA, "append", "EventTime")
+def settled(held: DataFrame, files: DataFrame, latest: int | None, wait_ms: int) -> DataFrame:
+    """``FILE_SCHEMA`` of ``files(file_id, since, total, broken)`` after a batch: whole by the number of places ``held``, else out of time, else open. ``latest`` is in microseconds."""
+    places = held.groupBy("file_id").agg(F.count("*").alias("places"))
+    late = F.lit(False) if latest is None else F.unix_micros("since") <= latest - 2000 * wait_ms
+    state = F.when(F.col("broken"), "error").when(F.coalesce("places", F.lit(0)) >= F.col("total"), "parsed").when(late, "error")
+    return files.join(places, "file_id", "left").select("file_id", "since", "total", state.alias("state"))
 
 
 def ingest_pieces(spark: SparkSession, source: str, entries_path: str, status_path: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame], wait_ms: int = 3_600_000) -> None:
     """Run ``parse`` over the files that became whole since the last call, and write entries and states, a folder for each batch.
 
-    State is in the checkpoint, so files go on growing after a restart, wherever it runs; a batch that is tried again overwrites its own folder. Files that are not whole
-    when lines sent twice ``wait_ms`` after their first one come in get the state ``error``.
+    Open files are two tables under the checkpoint, their lines and what is known of them, written anew by each batch from those of the batch before, so files go on growing after a
+    restart, wherever it runs; a batch that is tried again overwrites its own folders. All files of a batch are worked on together, whatever their number.
+
+    Of lines of the same place the first counts. A line without a page or number settles the file as ``error``, and so do lines, of any file, sent twice ``wait_ms`` after its
+    first one, where it is not whole by then; what comes for a settled file is dropped. Lines without a file are dropped, and so are those sent ``wait_ms`` or more before
+    the latest one of the batches before; a line without a time counts as sent when it is read.
     """
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(checkpoint).getFileSystem(spark._jsc.hadoopConfiguration())
+    at_batch = lambda what, n: f"{checkpoint}/pieces/{what}/batch={n}"
+    read = lambda what, schema, n: spark.read.schema(schema).parquet(at_batch(what, n)) if n >= 0 else spark.createDataFrame([], schema)
 
     def one(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        parse(batch.where("state is null").drop("state")).write.mode("overwrite").parquet(f"{entries_path}/batch={number}")
-        batch.where("state is not null").select("file_id", F.col("state").alias("status")).write.mode("overwrite").parquet(f"{status_path}/batch={number}")
-        batch.unpersist()
-
-    stream = assembled(spark.readStream.schema(PIECE_SCHEMA).parquet(source), wait_ms)
-    stream.writeStream.foreachBatch(one).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        new = batch.where("file_id is not null").withColumns({"at": F.coalesce("at", F.current_timestamp()), "came": F.monotonically_increasing_id(), "drop": F.lit(number).cast("long")})
+        latest = read("latest", "at long", number - 1).agg(F.max("at")).head()[0]
+        if latest is not None:
+            new = new.where(F.unix_micros("at") > latest - 1000 * wait_ms)
+        if number:
+            done = spark.read.schema("file_id string, batch long").option("basePath", status_path).parquet(status_path).where(F.col("batch") < number)
+            new = new.join(done.select("file_id").distinct(), "file_id", "left_anti")
+        new.write.mode("overwrite").parquet(at_batch("new", number))  # read several times below
+        new = read("new", f"{PIECE_SCHEMA}, came long, drop long", number)
+        newest = new.agg(F.max(F.unix_micros("at"))).head()[0]
+        latest = max((t for t in (latest, newest) if t is not None), default=None)
+        spark.createDataFrame([(latest,)], "at long").write.mode("overwrite").parquet(at_batch("latest", number))
+
+        before = read("files", FILE_SCHEMA, number - 1).where("state is null")
+        lines = new.where("page is not null and line_no is not null").select("file_id", "page", "line_no", F.struct("drop", "came", "restaurant_id", "text").alias("first"))
+        lines = read("held", HELD_SCHEMA, number - 1).join(before.select("file_id"), "file_id", "left_semi").unionByName(lines)
+        lines.repartition("file_id").groupBy("file_id", "page", "line_no").agg(F.min("first").alias("first")).write.mode("overwrite").parquet(at_batch("held", number))
+        held = read("held", HELD_SCHEMA, number)
+
+        known = before.select("file_id", F.lit(-1).cast("long").alias("drop"), F.col("since").alias("at"), F.lit(0).cast("long").alias("came"), "total", F.lit(False).alias("broken"))
+        known = known.unionByName(new.select("file_id", "drop", "at", "came", "total", (F.col("page").isNull() | F.col("line_no").isNull()).alias("broken")))
+        said = F.max(F.when(F.col("total").isNotNull(), F.struct("drop", "came", "total")))["total"]
+        files = known.groupBy("file_id").agg(F.min(F.struct("drop", "at"))["at"].alias("since"), said.alias("total"), F.max("broken").alias("broken"))
+        settled(held, files, latest, wait_ms).write.mode("overwrite").parquet(at_batch("files", number))
+        files = read("files", FILE_SCHEMA, number)
+
+        whole = held.join(files.where("state = 'parsed'").select("file_id"), "file_id", "left_semi")
+        parse(whole.select("file_id", "first.restaurant_id", "page", "line_no", "first.text")).write.mode("overwrite").parquet(f"{entries_path}/batch={number}")
+        files.where("state is not null").select("file_id", F.col("state").alias("status")).write.mode("overwrite").parquet(f"{status_path}/batch={number}")
+        for what in ("new", "held", "files", "latest"):  # a batch that is tried again needs no more than the one before it
+            folder.delete(spark._jvm.org.apache.hadoop.fs.Path(at_batch(what, number - (1 if what == "new" else 2))), True)
+
+    stream = spark.readStream.schema(PIECE_SCHEMA).parquet(source)
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
