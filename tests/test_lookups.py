@@ -20,6 +20,19 @@ def test_trigrams_find_what_contains_finds(spark):
         assert got == sorted(i for i, t in [*enumerate(texts), (3, "domaine of the 12")] if t is not None and query.lower() in t.lower()), query
 
 
+def test_repeated_texts_are_indexed_once(spark):
+    """Rows of few texts: postings for the texts, not for the rows, and each query finds all the rows that hold it, equal ids included."""
+    said = ["Domaine 1 ring", "ring of", "x", "", "a r", None]
+    data = [(f"e{k % 250}", said[k % 6]) for k in range(300)]
+    rows = spark.createDataFrame(data, "id string, text string")
+    texts = trigrams.texts_of(rows)
+    index = trigrams.build(texts)
+    assert texts.count() == 5 and index.count() == trigrams.build(spark.createDataFrame(list(enumerate(said)), "id long, text string")).count()
+    queries = ["ring", "", "o", "a r", "Domaine 1 RING", "nowhere"]
+    got = sorted(map(tuple, trigrams.search_all(index, texts, rows, queries).collect()))
+    assert got == sorted((q, i) for q in queries for i, t in data if t is not None and q.lower() in t.lower())
+
+
 def test_only_buckets_that_changed_are_read(spark):
     rows = [(k, f"name {k}", k % 5, None if k % 3 else "x") for k in range(2000)]
     before = spark.createDataFrame(rows, "id long, name string, n int, note string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import new_folder
+from .lineage import new_folder, saved
 
 #: Stand before and behind a text, so that short queries are inside some trigram too; no query has it.
 EDGE = "\u0000"
@@ -43,3 +43,18 @@ def search(postings: DataFrame, rows: DataFrame, query: str) -> DataFrame:
         own = postings.where(F.col("folder").isin(folders) & F.col("gram").isin(grams))
         found = own.groupBy("id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams)).select("id")
     return rows.join(found, "id", "left_semi").where(F.contains(F.lower("text"), F.lit(said)))
+
+
+def texts_of(rows: DataFrame) -> DataFrame:
+    """``(id, text)``: the distinct texts of ``rows``, numbered. An index of these takes the room of what is said, not of how often."""
+    texts = rows.where("text is not null").select("text").distinct()
+    return saved(texts.select(F.monotonically_increasing_id().alias("id"), "text"), "texts")
+
+
+def search_all(postings: DataFrame, texts: DataFrame, rows: DataFrame, queries: list[str]) -> DataFrame:
+    """``(query, id)`` of the ``rows(id, text)`` whose text holds a query: each is looked up among ``texts`` by their ``postings``, and the rows are read once for all."""
+    found = None
+    for query in queries:
+        own = search(postings, texts, query).select(F.lit(query).alias("query"), "text")
+        found = own if found is None else found.unionByName(own)
+    return rows.join(saved(found, "found"), "text").select("query", "id")

@@ -317,11 +317,9 @@ def search_entries(spark: SparkSession, d: str) -> DataFrame:
 def search_indexed(spark: SparkSession, d: str) -> DataFrame:
     """Substrings of several lengths, each found by the same index of trigrams."""
     rows = table(spark, d, "stored").select(F.col("entry_id").alias("id"), F.concat_ws(" ", "producer", "cuvee", "region").alias("text"))
-    index, out = trigrams.build(rows), None
-    for query in ("Domaine 1", "ring", "x", "o", "a r", "estate of nowhere"):
-        found = trigrams.search(index, rows, query).select(F.lit(query).alias("query"), F.col("id").alias("entry_id"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    texts = trigrams.texts_of(rows)
+    found = trigrams.search_all(trigrams.build(texts), texts, rows, ["Domaine 1", "ring", "x", "o", "a r", "estate of nowhere"])
+    return found.withColumnRenamed("id", "entry_id")
 
 
 @book.add("restaurant_entries", f"{STORED}, files AS ({with_views('files')} SELECT * FROM files) SELECT f.restaurant_id, count(*) AS entries, count(DISTINCT f.id) AS files FROM files f JOIN stored s ON s.file_id = f.id GROUP BY f.restaurant_id")
