@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from textlist.llm import flac, html_extract, license_scan, line_dedup, media, mixing, queries, quality, toxicity
@@ -397,6 +398,37 @@ def test_flac_of_other_programs(spark, depth, count, layout, wasted):
         flac.decode([made[0][:-9]])
 
 
+def test_streams_of_all_kinds_are_decoded_together(monkeypatch):
+    """Many small streams of several sample sizes and channels, nulls between them, take few calls of the decoder; a fault costs only its own stream."""
+    rng = np.random.default_rng(5)
+    kinds = [(8, 1), (16, 2), (24, 1), (12, 3)]
+    wave = lambda depth, n: [int(v) for v in rng.integers(-(1 << depth - 1), 1 << depth - 1, n)]
+    made = [(d, c, channels := [wave(d, 300) for _ in range(c)], ordinary_stream(channels, d, 192, None, 0, k % 2 == 0)) for k in range(80) for d, c in [kinds[k % 4]]]
+    column = pa.array([x for *_, stream in made for x in (stream, None)], pa.binary())
+    calls, whole = [], flac.decode
+    monkeypatch.setattr(flac, "decode", lambda streams: calls.append(len(streams)) or whole(streams))
+    got = {int(at[i]): f.samples[f.offsets[i] : f.offsets[i + 1]].tolist() for at, f in media.decoded(column, "raise") for i in range(len(at))}
+    assert got == {2 * k: np.array(channels).T.ravel().tolist() for k, (_, _, channels, _) in enumerate(made)}
+    assert len(calls) < 5 and sum(calls) == 80
+    bad = pa.array([made[0][3], made[1][3][:-9], made[2][3], b"no"], pa.binary())
+    assert [at.tolist() for at, _ in media.decoded(bad, "skip")] == [[0], [2]]
+    with pytest.raises(flac.Broken):
+        list(media.decoded(bad, "raise"))
+
+
+def test_blocks_of_streams_of_several_kinds(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], []
+    for k, (depth, count) in enumerate([(8, 1), (24, 2), (16, 1), (12, 3)]):
+        channels = [[int(v) for v in rng.integers(-(1 << depth - 1), 1 << depth - 1, 300)] for _ in range(count)]
+        rows += [(k, bytearray(ordinary_stream(channels, depth, 192, None, 0, True)))]
+        pcm = b"".join(int(v).to_bytes(-(-depth // 8), "little", signed=True) for v in np.array(channels).T.ravel())
+        cut = 192 * count * -(-depth // 8)
+        want += [(k, 0, 0, 192, count, depth, pcm[:cut]), (k, 1, 192, 108, count, depth, pcm[cut:])]
+    got = media.pcm_blocks(spark.createDataFrame(rows, "doc_id long, media binary").coalesce(1)).orderBy("doc_id", "block").collect()
+    assert [(*tuple(r)[:6], bytes(r["pcm"])) for r in got] == want
+
+
 def test_media_of_no_rows(spark):
     assert media.pcm_blocks(media.store(table(spark, []))).count() == media.media_digest(table(spark, [])).count() == 0
 

@@ -52,6 +52,41 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
+def decoded(streams: pa.Array, on_error: str) -> Iterator[tuple[np.ndarray, flac.Frames]]:
+    """The frames of ``streams``, some ``SLICE`` of bytes or samples at a time and at least one stream, and where these streams stand; nulls are left out.
+
+    Where one of several streams has a fault, each is decoded by itself.
+    """
+
+    def read(some: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, flac.Frames]]:
+        try:
+            yield np.array([i for i, _ in some], np.int64), flac.decode([x for _, x in some])
+        except (flac.Broken, flac.Unread):
+            if len(some) > 1:
+                for one in some:
+                    yield from read([one])
+            elif on_error != "skip":
+                raise
+
+    held, size = [], 0
+    for i, stream in enumerate(streams):
+        if not stream.is_valid:
+            continue
+        x = stream.as_py()
+        try:
+            head = flac.metadata(x)
+            heavy = max(len(x), head.total * head.channels)
+        except (flac.Broken, flac.Unread):
+            heavy = len(x)
+        if held and size + heavy > SLICE:
+            yield from read(held)
+            held, size = [], 0
+        held.append((i, x))
+        size += heavy
+    if held:
+        yield from read(held)
+
+
 def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", on_error: str = "raise") -> DataFrame:
     """``(id, block, sample_offset, n_samples, channels, bits, pcm)`` of each frame of each stream.
 
@@ -60,23 +95,18 @@ def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, stream in enumerate(batch.column(1)):
-                if not stream.is_valid:
-                    continue
-                try:
-                    f = flac.decode([stream.as_py()])
-                except (flac.Broken, flac.Unread):
-                    if on_error != "skip":
-                        raise
-                    continue
-                channels, bits = int(f.channels[0]), int(f.depth[0])
-                wide = channels * -(-bits // 8)
-                pcm = f.samples.astype("<i4").view(np.uint8).reshape(-1, 4)[:, : -(-bits // 8)].tobytes()
-                n = len(f.sample)
+            for at, f in decoded(batch.column(1), on_error):
+                wide = -(-f.depth // 8)
+                if len(np.unique(wide)) == 1:
+                    data = f.samples.astype("<i4").view(np.uint8).reshape(-1, 4)[:, : wide[0]].tobytes()
+                else:
+                    data = f.samples.astype("<i4").view(np.uint8).reshape(-1, 4)[np.arange(4) < np.repeat(wide, np.diff(f.offsets))[:, None]].tobytes()
+                ends = np.cumsum(f.count * (f.channels * wide)[f.row]).tolist()
+                block = np.arange(len(f.row)) - np.searchsorted(f.row, f.row)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.repeat(batch.column(0)[i], n), pa.array(np.arange(n)), pa.array(f.sample), pa.array(f.count), pa.array(np.full(n, channels, np.int32)), pa.array(np.full(n, bits, np.int32)),
-                        pa.array([pcm[wide * a : wide * (a + m)] for a, m in zip(f.sample.tolist(), f.count.tolist(), strict=True)], pa.binary()),
+                        batch.column(0).take(pa.array(at[f.row])), pa.array(block), pa.array(f.sample), pa.array(f.count), pa.array(f.channels[f.row].astype(np.int32)), pa.array(f.depth[f.row].astype(np.int32)),
+                        pa.array([data[a:b] for a, b in zip([0, *ends], ends)], pa.binary()),  # noqa: B905
                     ], [id_col, "block", "sample_offset", "n_samples", "channels", "bits", "pcm"],
                 )
 
