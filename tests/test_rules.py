@@ -110,3 +110,20 @@ def test_rules_without_texts_and_texts_without_rules(spark):
     assert rules.extract_fields(texts, none).count() == 3
     assert rules.extract_fields(texts.where("false"), given(spark, ["(?P<a>a)"])).count() == 0
     assert rules.extract_fields(texts, given(spark, ["(?P<producer>abc)"]).withColumn("fields", F.array(F.lit("producer")))).where("fields['producer'] = 'abc'").count() == 1
+
+
+def test_patterns_run_once_for_each_text(spark):
+    """Rows that repeat three texts and a null: four rows go through the patterns, and each row gets what its text and its own heading give."""
+    said = ["Domaine Ring Loire 1999  90€", 'Pinot Noir "Bolt", Old Estate, Loire 2003 12 €', "nothing here", None]
+    data = [(f"e{k}", "f", "r", said[k % 4], "old head", f"sub {k % 3}" if k % 3 else None) for k in range(60)]
+    entries = spark.createDataFrame(data, "entry_id string, file_id string, restaurant_id string, raw_text string, text string, sub_section string")
+    assert rules.said_of(entries).count() == 4
+    got = {r["entry_id"]: r for r in rules.extract_fields(entries).collect()}
+    assert len(got) == 60
+    for i, _, _, raw, _, sub in data:
+        r = got[i]
+        alone = got[f"e{said.index(raw)}"]  # e0: no heading, others: their own
+        own = {f: v for f, v in r["fields"].items() if f not in ("subregion", "grape_variety")}
+        assert own == {f: v for f, v in alone["fields"].items() if f not in ("subregion", "grape_variety")}
+        assert (r["text"] is None) == (raw is None) and r["fields"].get("subregion") == sub
+    assert got["e0"]["fields"]["vintage"] == "1999" and got["e3"]["fields"] == {}
