@@ -127,3 +127,14 @@ def test_patterns_run_once_for_each_text(spark):
         assert own == {f: v for f, v in alone["fields"].items() if f not in ("subregion", "grape_variety")}
         assert (r["text"] is None) == (raw is None) and r["fields"].get("subregion") == sub
     assert got["e0"]["fields"]["vintage"] == "1999" and got["e3"]["fields"] == {}
+
+
+def test_owners_that_share_a_bucket_keep_their_rules(spark):
+    """600 owners in 64 buckets a task: each text meets its own owner's rules only; rules and texts without an owner meet nothing."""
+    owners = [f"o{k}" for k in range(600)] + [None]
+    made = rules.check_rules(spark.createDataFrame([(o, p, f"(?P<cuvee>w{k % 5}{p})") for k, o in enumerate(owners) for p in (0, 1)], "owner string, rule_pos int, pattern string"))
+    texts = spark.createDataFrame([(o, f"t{k}", f"w{k % 5}1 w{(k + 1) % 5}0") for k, o in enumerate(owners)], "owner string, text_id string, text string")
+    got = sorted((r["owner"], r["text_id"], r["rule_pos"]) for r in rules.tried(texts, made).collect())
+    assert got == sorted((o, f"t{k}", 1) for k, o in enumerate(owners) if o)
+    words, always = rules.automaton([(0, ["ab"]), (1, []), (2, ["b", "ab"])])
+    assert always == [1] and sorted(i for _, own in words.iter("ab") for i in own) == [0, 2, 2]
